@@ -1,2 +1,7 @@
-QUERIES, ORACLE_SQL = {}, {}
-def flagship(spark, sf_dir): return spark.range(1)
+"""All registered queries of the course-material engine."""
+
+from .course import QUERIES
+from .course import SQL as ORACLE_SQL
+from .course import lexical_search_batch as flagship
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
