@@ -56,7 +56,20 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     out = df.write.mode("errorifexists")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the driver then lets go of this stage's shuffle files
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(back)] = path
+    return back
+
+
+_PATHS: dict[int, str] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    spark, path = table.sparkSession, _PATHS.pop(id(table))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: str, modulus: int) -> Column:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fold, small_batches, written
+from .common import discard, extended, fold, small_batches, written
 from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
 
 KEY_BITS = 44
@@ -148,13 +148,9 @@ def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int =
 class Model:
     """The filter and the frequent words' exact counts."""
 
-    def __init__(self, parts: list[tuple[int, bytes]], ranges: int, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int):
-        sizes = np.zeros(ranges, np.int64)
-        for r, raw in parts:
-            sizes[r] = len(raw)
-        self.sizes, self.starts = sizes * 8, (np.cumsum(sizes) - sizes) * 8
-        self.bits = np.frombuffer(b"".join(raw for _, raw in sorted(parts)) or b"\0", np.uint8)
-        self.range_shift = np.uint64(KEY_BITS - ranges.bit_length() + 1)
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int):
+        self.bits, self.sizes, self.starts = bits, sizes * 8, (np.cumsum(sizes) - sizes) * 8
+        self.range_shift = np.uint64(KEY_BITS - len(sizes).bit_length() + 1)
         order = np.argsort(heavy)
         self.heavy, self.heavy_counts = heavy[order], heavy_counts[order]
         self.tokens, self.distinct = tokens, distinct
@@ -213,9 +209,18 @@ def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None,
     counted = written(counts(docs, text_col=text_col, ranges=ranges), "lm-counts")
     words = written(word_counts(counted), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = words.filter(F.col("c") * heavy >= n).toPandas()  # at most `heavy` rows, as the counts sum to n
-    parts = [(r["range"], bytes(r.bits)) for r in filter_parts(counted, ranges=ranges).collect()]
-    return Model(parts, ranges, frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64), n, v), words.filter(F.col("c") * heavy < n)
+    frequent = words.filter(F.col("c") * heavy >= n).toArrow()  # at most `heavy` rows, as the counts sum to n
+    built = written(filter_parts(counted, ranges=ranges), "lm-filter")
+    discard(counted)
+    sizes = np.zeros(ranges, np.int64)
+    for r, size in built.select("range", F.octet_length("bits")).collect():
+        sizes[r] = size
+    bits, ends = np.zeros(max(1, int(sizes.sum())), np.uint8), np.cumsum(sizes)
+    for a in range(0, ranges, 8):  # a few parts at a time: the driver holds the filter once
+        for r in built.filter(F.col("range").between(a, a + 7)).select("range", "bits").collect():
+            bits[ends[r["range"]] - sizes[r["range"]] : ends[r["range"]]] = np.frombuffer(r.bits, np.uint8)
+    keys, many = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
+    return Model(bits, sizes, keys, many, n, v), words.filter(F.col("c") * heavy < n)
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 7) -> DataFrame:
