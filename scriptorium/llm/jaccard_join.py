@@ -15,9 +15,10 @@ Links are found without emitting all pairs of a group of copies. Equal sets
 are one class from the start. Under each key all members are verified against
 one pivot, the set with the smallest share of rare tokens (the likely original
 of its copies). The components so far are then computed, and only pairs that
-met a pivot and lie in different components are verified against each other, in
-blocks inside the tasks; other pairs cannot change the result. What a pair of
-sets shares is counted exactly.
+share a key and lie in different components are verified: listed under keys of
+at most ``FEW`` classes, compared in blocks inside the tasks, once a pivot,
+under all others. Other pairs cannot change the result. What a pair of sets
+shares is counted exactly.
 
 Defined results: a text without words has no shingles and is linked with
 nothing; one of fewer than ``WIDTH`` words is a single shingle; rows with a
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, small_batches, written
+from .common import discard, extended, small_batches, written
 from .components import components
 from .words import ODD, WordHasher, mixed
 
@@ -48,6 +49,8 @@ SKETCH_BITS = 20
 SMALL = 16
 #: Classes of a block when those that met one pivot are compared.
 BLOCK = 128
+#: Under keys of at most so many classes pairs are listed; under others they are compared in blocks.
+FEW = 48
 #: A class keeps so many bits of its digest below its rank.
 _ID_BITS = np.uint64(57)
 _ID = (1 << 57) - 1
@@ -78,6 +81,26 @@ def _bucket(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes that the set meets; four to eight buckets a token."""
+    level = (4 * len(own) - 1).bit_length()
+    flags = np.zeros(1 << max(3, level), bool)
+    flags[(own >> np.uint64(64 - max(3, level))).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def may_reach(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
+    """Whether two sets may reach the threshold: a bucket that one alone meets holds a token that the other lacks."""
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).max(1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).max(1)
+    both = int((a & b).sum())
+    most = min(nx - (int(a.sum()) - both), ny - (int(b.sum()) - both))
+    return 100 * most >= percent * (nx + ny - most)
+
+
 def least_overlap(n: int, percent: int = PERCENT) -> int:
     """Tokens that a set of n must share with any partner."""
     return -(-n * percent // 100)
@@ -133,7 +156,7 @@ class Signer:
 
 def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
     """One pass: per row id, set size and class; per task its part of the count sketch."""
-    schema = extended(docs.select(F.col(id_col).alias("id")), "n long, class long, part int, sketch binary")
+    schema = extended(docs.select(F.col(id_col).alias("id")), "n long, class long, part int, sketch binary, bits binary")
     pieces = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +165,22 @@ def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFram
         kind = None
         for b in batches:
             kind = b.column(0).type
-            n, cls = [], []
+            n, cls, bits = [], [], []
             fresh = []
             for t in b.column(1).to_pylist():
                 own = shingles(hasher(t), width)
                 n.append(len(own))
+                bits.append(bitmap(own) if len(own) else None)
                 cls.append(_identity(own) if len(own) else None)
                 if len(own) and cls[-1] not in seen:
                     seen.add(cls[-1])
                     fresh.append(own)
             if fresh:
                 sketch += np.bincount(_bucket(np.concatenate(fresh)), minlength=len(sketch)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.array(bits, pa.binary())], names=schema.names)
         if seen:
             low = np.minimum(sketch, 65535).astype("<u2").reshape(pieces, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, kind), pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, kind), pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary()), pa.nulls(pieces, pa.binary())], names=schema.names)
 
     return written(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "sets")
 
@@ -263,33 +287,58 @@ def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     indexed = index(docs, _sketch(table), text_col=text_col, width=width, percent=percent)
     shared = indexed.groupBy("key").agg(F.min("code").alias("pivot"), F.max("code").alias("last")).filter("pivot < last").select("key", "pivot")
     met = written(indexed.join(shared, "key").select("key", F.col("code").bitwiseAND(_ID).alias("class"), F.col("pivot").bitwiseAND(_ID).alias("pivot")).distinct(), "met")
+    discard(indexed)
     stars = met.filter("class <> pivot").select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
-    size = own.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("id").alias("id"))
+    size = table.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("id").alias("id"), F.max("bits").alias("bits"))
     size = written(met.select("class").distinct().join(size, "class"), "met-classes")
     first = written(_near(stars, size, percent), "stars")
     found = _found(docs, first, size, id_col, text_col, width)
     links = verified(first, found, percent)
+    discard(found)
     roots = written(components(links), "roots")
-    more = _across(docs, met, size, roots, id_col, text_col, width, percent)
-    links = links.unionByName(more)
+    rooted = met.join(roots.withColumnRenamed("v", "class"), "class", "left")
+    rooted = written(rooted.select("key", "pivot", "class", F.coalesce("root", "class").alias("root")), "rooted")
+    spread = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi and m > 2")
+    open_keys = written(spread.select("key", "m"), "open-keys")
+    few = _few(rooted, open_keys.filter(F.col("m") <= FEW), size, percent).join(first, ["a", "b"], "left_anti")
+    few = written(_near(few, size, percent), "few")
+    links = links.unionByName(verified(few, _found(docs, few, size, id_col, text_col, width), percent))
+    many = rooted.join(open_keys.filter(F.col("m") > FEW).select("key"), "key").select("pivot", "class", "root").distinct()
+    links = links.unionByName(_across(docs, written(many, "many"), size, id_col, text_col, width, percent))
     return own, components(links), links
 
 
 def _near(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the threshold."""
-    n = lambda c: size.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
+    """Pairs (a, b) that sizes and bitmaps do not rule out."""
+    n = lambda c: size.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.join(n("a"), "a").join(n("b"), "b").filter(100 * low >= percent * high).select("a", "b")
+    both = pairs.join(n("a"), "a").join(n("b"), "b").filter(100 * low >= percent * high)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_reach(x.as_buffer(), nx.as_py(), y.as_buffer(), ny.as_py(), percent) for nx, x, ny, y in zip(*b.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def _found(docs: DataFrame, pairs: DataFrame, size: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = size.join(needed, "class").select("id")
     found = _chosen_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width)
-    return written(found.dropDuplicates(["class"]), "tokens")
+    return written(found, "tokens")
+
+
+def _few(rooted: DataFrame, keys: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under keys of few classes, sizes allowing."""
+    own = rooted.join(keys.select("key"), "key").join(size.select("class", "n"), "class")
+    own = written(own.select("key", "class", "root", "n"), "few-classes")
+    x, y = own.alias("x"), own.alias("y")
+    near = (F.col("x.class") > F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
-def _blocks(met: DataFrame, roots: DataFrame) -> DataFrame:
+def _blocks(rooted: DataFrame) -> DataFrame:
     """Deal the classes that met one pivot to block pairs: rows (pivot, kind, i, j, class, root).
 
     Only pairs of different components matter. The members of a group's largest
@@ -297,8 +346,6 @@ def _blocks(met: DataFrame, roots: DataFrame) -> DataFrame:
     other; both are dealt into blocks of about ``BLOCK`` by a hash. Groups of
     two have been verified as stars.
     """
-    rooted = met.select("pivot", "class").distinct().join(roots.withColumnRenamed("v", "class"), "class", "left")
-    rooted = written(rooted.select("pivot", "class", F.coalesce("root", "class").alias("root")), "rooted")
     parts = rooted.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("c"))
     groups = parts.groupBy("pivot").agg(F.sum("c").alias("m"), F.max("c").alias("main_c"), F.max_by("root", F.struct("c", "root")).alias("main"))
     groups = groups.filter("m > 2 and main_c < m").select("pivot", "main", F.ceil(F.col("main_c") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("main_c")) / BLOCK).cast("int").alias("nr"))
@@ -335,13 +382,14 @@ def overlaps(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _across(docs: DataFrame, met: DataFrame, size: DataFrame, roots: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _across(docs: DataFrame, rooted: DataFrame, size: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links between classes that met one pivot and lie in different components, as far as they merge components."""
-    dealt = written(_blocks(met, roots), "dealt")
+    dealt = written(_blocks(rooted), "dealt")
     wanted = size.join(dealt.select("class").distinct(), "class").select("id")
-    found = written(_chosen_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width).dropDuplicates(["class"]), "tokens")
+    found = written(_chosen_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width), "tokens")
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("class")  # copies of a text may bring its set twice
         own = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         n, root, cls = np.array(list(map(len, own))), rows["root"].to_numpy(), rows["class"].to_numpy()
         same = overlaps(own)
