@@ -59,8 +59,8 @@ def parse_allowlist(text: DataFrame) -> DataFrame:
     user, refs = T.strip(F.lower(F.split_part(F.col("e"), F.lit("="), F.lit(1)))), F.split(F.regexp_replace("e", "^[^=]*=?", ""), ",")
     ref = F.filter(F.transform(refs, T.strip), lambda x: x != "")
     bad = ~F.col("e").contains("=") | (user == "") | (F.size(ref) == 0)
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("malformed allowlist entry: "), F.col("e"))).cast("string")).otherwise(user)
-    return entry.select(checked.alias("username"), F.explode(ref).alias("course_ref")).distinct()
+    fail = F.raise_error(F.concat(F.lit("malformed allowlist entry: "), F.col("e"))).cast("string")
+    return entry.select(user.alias("username"), F.explode(F.when(bad, F.array(fail)).otherwise(ref)).alias("course_ref")).distinct()
 
 
 def resolve(documents_: DataFrame, wanted: DataFrame) -> DataFrame:

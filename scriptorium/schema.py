@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
+
+
+def _strings(*names: str) -> StructType:
+    out = StructType()
+    for name in names:
+        out = out.add(name, StringType())
+    return out
+
 
 #: An indexable unit: a page, slide, sheet, chapter or wiki page.
-DOCUMENT = StructType.fromDDL("activity_ref string, title string, text string, locator string, course_name string, folder string, licence string")
+DOCUMENT = _strings("activity_ref", "title", "text", "locator", "course_name", "folder", "licence")
 #: A request to index documents of one course.
-REQUEST = StructType.fromDDL("course_ref string, `replace` boolean, documents array<struct<activity_ref string, title string, text string, locator string, course_name string, folder string, licence string>>")
+REQUEST = StructType().add("course_ref", StringType()).add("replace", BooleanType()).add("documents", ArrayType(DOCUMENT))
 #: A stored chunk; tables are partitioned by course.
-CHUNK = StructType.fromDDL("activity_ref string, title string, locator string, course_name string, folder string, licence string, text string, chunk_ord bigint, course_ref string")
-#: One event of a background job.
-JOB_EVENT = StructType.fromDDL("course_ref string, job_id bigint, kind string, event string, ord bigint")
+CHUNK = _strings("activity_ref", "title", "locator", "course_name", "folder", "licence", "text").add("chunk_ord", LongType()).add("course_ref", StringType())
