@@ -27,7 +27,7 @@ BITS = 20
 SAMPLE_ROWS = 12_000
 #: ... of texts of at most so many bytes.
 SAMPLE_BYTES = 65_536
-EPOCHS = 3
+EPOCHS = 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _STRIP = b".,;:!?\"'()[]{}|*#$%&-"
 
@@ -58,7 +58,7 @@ class Hasher:
 class Ftrl:
     """FTRL-proximal logistic regression over binary features; the last weight is the bias."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.6, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -102,7 +102,7 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS) ->
     hasher, ftrl = Hasher(bits), Ftrl(1 << bits)
     held = [(hasher(t), y) for t, y in rows]
     positive = max(1, sum(y for _, y in held))
-    up = min(5.0, max(1.0, (len(held) - positive) / positive))
+    up = min(3.0, max(1.0, (len(held) - positive) / positive))
     for _ in range(epochs):
         for x, y in held:
             ftrl.learn(x, y, up if y else 1.0)
