@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended, small_batches
-from .pieces import PieceEncoder
+from .pieces import Encoded, PieceEncoder, flattened, pre_token_pattern
 
 _M64 = (1 << 64) - 1
 
@@ -83,6 +83,9 @@ class MinimalPerfectHash:
 class ByteBpe:
     """Encoder and decoder of one vocabulary."""
 
+    #: Pre-tokens that the memo holds before it is emptied.
+    CAPACITY = 300_000
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         keys = list(ranks)
@@ -93,7 +96,7 @@ class ByteBpe:
         self.memo: PieceEncoder | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "find")} | {"memo": None}
 
     def whole(self, piece: bytes) -> int | None:
         """The id of a pre-token that is in the vocabulary."""
@@ -126,14 +129,29 @@ class ByteBpe:
             i = after[i]
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
-        return [self.merged(p) if (one := self.whole(p)) is None else [one] for p in map(str.encode, pieces)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _pieces(self, units: list[str]) -> Encoded:
+        """Ids of strings, pre-token by pre-token; new pre-tokens go through the two tiers."""
+        known = self.pieces
+        if len(known) > self.CAPACITY:
+            known.clear()
+        rows = []
+        for unit in units:
+            row: list[int] = []
+            for p in [unit] if unit[1:].isalpha() and unit[0] == " " else self.find(unit):
+                if (ids := known.get(p)) is None:
+                    raw = p.encode()
+                    ids = known[p] = self.merged(raw) if (one := self.whole(raw)) is None else [one]
+                row += ids
+            rows.append(row)
+        return flattened(rows)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.memo is None:
-            self.memo = PieceEncoder(self._pieces)
-        return self.memo.encode([t or "" for t in texts])
+            self.pieces: dict[str, list[int]] = {}
+            self.find = pre_token_pattern().findall
+            self.memo = PieceEncoder(self._pieces, self._pieces)
+        return self.memo.encode(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
@@ -164,7 +182,7 @@ def _mapped(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shipped.value
         for b in batches:
-            rows = [row(bpe, array("I", x).tolist()) for x in bpe.encode(b.column(1).to_pylist())]
+            rows = [row(bpe, array("I", x).tolist()) for x in bpe.encode(b.column(1))]
             parts = zip(*rows, strict=True) if rows else [()] * len(columns)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k[2]) for c, k in zip(parts, columns, strict=True))], names=schema.names)
 

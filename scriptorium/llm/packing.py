@@ -107,7 +107,7 @@ def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[int,
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = SEQUENCE) -> DataFrame:
     """Cut encoded documents into pieces; written, with each piece's partition and rank there."""
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark, 2048)
     schema = extended(docs.select(F.col(id_col).alias("_id")), "piece int, start long, length long, ids_crc32 long, part long, place long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         end = array("I", [end_id]).tobytes()
         for b in batches:
             rows, source = [], []
-            for i, raw in enumerate(encoder.encode(b.column(1).to_pylist())):
+            for i, raw in enumerate(encoder.encode(b.column(1))):
                 ids = raw + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]

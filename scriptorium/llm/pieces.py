@@ -1,26 +1,32 @@
-"""Encoding texts piece by piece, with a memo of pieces already encoded.
+"""Encoding texts unit by unit, with a memo of units already encoded.
 
 Byte-level BPE treats each match of the pre-token pattern separately. A space
-that stands before a non-space always begins a match, so a text may be cut
-there; what lies between two cuts is looked up whole, and only new pieces go to
-the encoder behind. Texts with runs of white space take the pattern directly.
-The memo is emptied when full, so its memory is bounded and results never
-depend on it.
+or a line feed between two characters that are not white space always begins a
+match, so a text may be cut there. A batch is cut and its units are numbered by
+Arrow; the memo is asked once for each different unit of the batch, and only
+new units go to the encoder behind. Texts with runs of white space, or with
+special strings, go to that encoder whole. The memo is emptied when full, so
+its memory is bounded and results never depend on it.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Unicode White_Space, spelled out: Python's ``\s`` also has U+001C to U+001F.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _SPACES = frozenset(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
+#: What an encoder gives for several strings: all ids, and how many each string has.
+Encoded = tuple[np.ndarray, np.ndarray]
+
 
 def pre_token_pattern(pattern: str | None = None) -> regex.Pattern:
     """The tokenizers' pre-token pattern with white space as Unicode defines it."""
@@ -29,110 +35,128 @@ def pre_token_pattern(pattern: str | None = None) -> regex.Pattern:
     return regex.compile(p)
 
 
+def flattened(rows: Sequence[Sequence[int]]) -> Encoded:
+    """Lists of ids as one array and the lengths."""
+    counts = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter((i for r in rows for i in r), np.uint32, int(counts.sum())), counts
+
+
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids through ``encode_pieces``.
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
-    The memos keep ids as characters (UTF-32 is then the id array). Each has two
-    generations: when the young one is full it becomes the old one, and what is
-    met again moves back, so common pieces stay.
+    ``encode_units`` encodes units (each with the space or line feed that it
+    begins with), ``encode_whole`` texts of any form.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[list[int]]], capacity: int = 300_000):
-        self.encode_pieces = encode_pieces
-        self.capacity = capacity
-        self.find = pre_token_pattern().findall
-        self.pieces: dict[str, str] = {}
-        self.units: dict[str, str] = {}
-        self.old_pieces: dict[str, str] = {}
-        self.old_units: dict[str, str] = {}
-
-    def _cut(self, unit: str) -> list[str] | None:
-        """The pre-tokens of a unit and the space before it; None if that space belongs to a longer run."""
-        if unit.isalpha():
-            return [" " + unit]
-        if not unit or unit[0] in _SPACES:
-            return None
-        if unit[-1] in ".,;:" and unit[:-1].isalpha():
-            return [" " + unit[:-1], unit[-1]]
-        return self.find(" " + unit)
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) > self.capacity:
-            self.old_pieces, self.pieces = self.pieces, {}
-        missing = pieces.difference(self.pieces)
-        if self.old_pieces:
-            again = missing.intersection(self.old_pieces)
-            self.pieces.update({p: self.old_pieces[p] for p in again})
-            missing.difference_update(again)
-        new = list(missing)
-        self.pieces.update(zip(new, ("".join(map(chr, ids)) for ids in self.encode_pieces(new)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        if len(self.units) > self.capacity:
-            self.old_units, self.units = self.units, {}
-        get, old = self.units.get, self.old_units.get
-        cut: dict[str, list[str] | None] = {}
-        jobs: dict[str, tuple[list, list, list[str] | None]] = {}
-        for t in texts:
-            if t in jobs:
-                continue
-            parts = t.split(" ")
-            found = list(map(get, parts))
-            found[0] = ""
-            gaps = [(i, parts[i]) for i, v in enumerate(found) if v is None] if None in found else []
-            first: list[str] | None = self.find(parts[0])
-            for _, u in gaps:
-                if u not in cut:
-                    if (v := old(u)) is not None:
-                        self.units[u] = v
-                    else:
-                        cut[u] = self._cut(u)
-                if u in cut and cut[u] is None:
-                    first, gaps, found = self.find(t), [], [""]
-                    break
-            jobs[t] = found, gaps, first
-        needed = {p for _, _, first in jobs.values() for p in first}
-        needed.update(p for pieces in cut.values() if pieces for p in pieces)
-        self._learn(needed)
-        known, units = self.pieces, self.units
-        for u, pieces in cut.items():
-            if pieces:
-                units[u] = known[pieces[0]] if len(pieces) == 1 else "".join([known[p] for p in pieces])
-        done = {}
-        for t, (found, gaps, first) in jobs.items():
-            for i, u in gaps:
-                found[i] = units[u]
-            found[0] = "".join([known[p] for p in first])
-            done[t] = "".join(found).encode("utf-32-le", "surrogatepass")
-        return [done[t] for t in texts]
+    def __init__(self, encode_units: Callable[[list[str]], Encoded], encode_whole: Callable[[list[str]], Encoded], special: Sequence[str] = (), capacity: int = 1_000_000):
+        self.encode_units, self.encode_whole = encode_units, encode_whole
+        self.special, self.capacity = list(special), capacity
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _alone(unit: str) -> bool:
+        """Whether what stands before the unit is a single white space."""
+        body = unit[1:] if unit[:1] == "\n" else unit
+        return bool(body) and body[0] not in _SPACES
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """The memo's number of each unit; -1 where a run of white space goes through it."""
+        if len(self.number) > self.capacity:
+            self._forget()
+        get = self.number.get
+        found = list(map(get, units))
+        if None in found:
+            new = [u for u, n in zip(units, found, strict=True) if n is None]
+            fit = [u for u in new if self._alone(u)]
+            if fit:
+                ids, counts = self.encode_units([u if u[0] == "\n" else " " + u for u in fit])
+                self.number.update(zip(fit, range(len(self.counts), len(self.counts) + len(fit)), strict=True))
+                self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            found = [get(u, -1) for u in units]
+        return np.array(found, np.int64)
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text (null: none)."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column = column.cast(pa.large_string()).fill_null("")
+        if not len(column):
+            return []
+        whole = pc.match_substring(column, " \n").to_numpy(zero_copy_only=False)
+        for s in self.special:
+            whole = whole | pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", column) if whole.any() else column
+        parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        firsts, at = at[:-1] - at[0], at - at[0]
+        units = parts.flatten()
+        heads = units.take(pa.array(firsts)).to_pylist()
+        coded = units.dictionary_encode()
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        number[firsts] = 0
+        if (number < 0).any():
+            whole[np.searchsorted(at, np.flatnonzero(number < 0), side="right") - 1] = True
+        counts = np.zeros(len(number), np.int64)
+        starts = np.zeros(len(number), np.int64)
+        used = ~np.repeat(whole, np.diff(at))
+        used[firsts] = False
+        ends = np.cumsum(self.counts)
+        own = number[used]
+        counts[used] = self.counts[own]
+        starts[used] = ends[own] - self.counts[own]
+        if whole.any():
+            asked = column.filter(pa.array(whole)).to_pylist()
+            for i, t in zip(np.flatnonzero(whole).tolist(), asked, strict=True):
+                heads[i] = t
+        head_ids, head_counts = self.encode_whole(heads)
+        counts[firsts] = head_counts
+        starts[firsts] = len(self.ids) + np.cumsum(head_counts) - head_counts
+        until = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(starts - until[:-1], counts)
+        places += np.arange(until[-1])
+        raw = np.concatenate([self.ids, head_ids]).astype("<u4")[places].tobytes()
+        cuts = (4 * until[at]).tolist()
+        return [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
 class LibraryEncoder:
     """The ``tokenizers`` library over a tokenizer file, special strings as the library has them."""
 
-    def __init__(self, path: str, capacity: int = 300_000):
+    #: Units that the library gets in one string.
+    JOINED = 2048
+
+    def __init__(self, path: str, capacity: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = PieceEncoder(self._encode, capacity)
-
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: the vocabulary spells a byte as a character.
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.memo = PieceEncoder(self._units, self._whole, special, capacity)
+
+    def _whole(self, texts: list[str]) -> Encoded:
+        return flattened([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _units(self, units: list[str]) -> Encoded:
+        """Encode units in joined strings; a unit's ids end where its bytes do."""
+        joined = ["".join(units[i : i + self.JOINED]) for i in range(0, len(units), self.JOINED)]
+        ids, _ = self._whole(joined)
+        ends = np.cumsum(self.width[ids])
+        sizes = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        last = np.searchsorted(ends, sizes)
+        if not np.array_equal(ends[last], sizes):
+            raise ValueError("the tokenizer joins bytes across a white space")
+        return ids, np.diff(last, prepend=-1)
+
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text (null: none)."""
-        texts = [t or "" for t in texts]
-        out = self.memo.encode([t if not self._has_special(t) else "" for t in texts])
-        for i, t in enumerate(texts):
-            if self._has_special(t):
-                out[i] = array("I", self._encode([t])[0]).tobytes()
-        return out
-
-    def _has_special(self, text: str) -> bool:
-        return any(s in text for s in self.special)
+        return self.memo.encode(texts)
 
 
 _LOADED: dict[str, LibraryEncoder] = {}

@@ -112,7 +112,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     ``image`` (the packed ids).
     """
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark, 2048)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("t")).withColumn("h", F.xxhash64("t"))
@@ -140,7 +140,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
                 keys.append(k)
                 held.append(ids + end)
                 if sum(map(len, held[-1:])) + state.get("size", 0) >= 4 * SEGMENT_IDS:

@@ -12,10 +12,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scriptorium.llm import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, token_files, toxicity, warc
 from scriptorium.llm.common import fold
+from scriptorium.llm.pieces import library_encoder
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -299,3 +302,12 @@ def test_media(docs, rows, empty):
     with pytest.raises(ValueError, match="size|short"):
         media.inspect(media.wrap(bytes(192))[:-50])
     assert media.media_features(media.to_media(empty.select("doc_id", "text"))).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "\n", "\t", "\r", " ", " ", "\x1c", "\x85", "ab", "Straße", "'s", "12", ".,", "é", "日本", "<|endoftext|>", "\0"]), max_size=12).map("".join), max_size=5))
+def test_units_as_the_library(texts):
+    encoder = library_encoder(JSON)
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    assert encoder.encode([*texts, None]) == [*want, b""]
