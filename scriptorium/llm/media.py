@@ -169,7 +169,7 @@ def feature(layout: dict) -> str:
 
 def to_media(docs: DataFrame, *, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """Replace the text column by its length in bytes and an ISO media file."""
-    small_batches(docs.sparkSession, 512)
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
     source = docs.select(*rest, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     schema = extended(source.drop("_t"), f"n_bytes long, `{media_col}` binary")
@@ -184,7 +184,7 @@ def to_media(docs: DataFrame, *, text_col: str = "text", media_col: str = "media
 
 def media_features(frame: DataFrame, *, media_col: str = "media") -> DataFrame:
     """Replace the media column by what its tables and its payload, read back, say."""
-    small_batches(frame.sparkSession, 512)
+    small_batches(frame.sparkSession)
     rest = [c for c in frame.columns if c != media_col]
     source = frame.select(*rest, media_col)
     schema = extended(source.drop(media_col), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

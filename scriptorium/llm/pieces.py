@@ -55,7 +55,15 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.ends, self.n_units = np.zeros(1 << 16, np.int64), 0
+
+    def _append(self, ids: np.ndarray) -> None:
+        """Write ids behind the memo's; room doubles, so the cost does not depend on the batches."""
+        need = self.n_ids + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(need, 2 * len(self.ids)) - self.n_ids, np.uint32)])
+        self.ids[self.n_ids : need] = ids
 
     @staticmethod
     def _alone(unit: str) -> bool:
@@ -74,8 +82,13 @@ class PieceEncoder:
             fit = [u for u in new if self._alone(u)]
             if fit:
                 ids, counts = self.encode_units([u if u[0] == "\n" else " " + u for u in fit])
-                self.number.update(zip(fit, range(len(self.counts), len(self.counts) + len(fit)), strict=True))
-                self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+                self.number.update(zip(fit, range(self.n_units, self.n_units + len(fit)), strict=True))
+                self._append(ids)
+                until = self.n_units + len(fit)
+                if until > len(self.ends):
+                    self.ends = np.concatenate([self.ends[: self.n_units], np.zeros(max(until, 2 * len(self.ends)) - self.n_units, np.int64)])
+                self.ends[self.n_units : until] = self.n_ids + np.cumsum(counts)
+                self.n_units, self.n_ids = until, self.n_ids + len(ids)
             found = [get(u, -1) for u in units]
         return np.array(found, np.int64)
 
@@ -103,21 +116,22 @@ class PieceEncoder:
         starts = np.zeros(len(number), np.int64)
         used = ~np.repeat(whole, np.diff(at))
         used[firsts] = False
-        ends = np.cumsum(self.counts)
         own = number[used]
-        counts[used] = self.counts[own]
-        starts[used] = ends[own] - self.counts[own]
+        begins = np.where(own > 0, self.ends[own - 1], 0)
+        counts[used] = self.ends[own] - begins
+        starts[used] = begins
         if whole.any():
             asked = column.filter(pa.array(whole)).to_pylist()
             for i, t in zip(np.flatnonzero(whole).tolist(), asked, strict=True):
                 heads[i] = t
         head_ids, head_counts = self.encode_whole(heads)
         counts[firsts] = head_counts
-        starts[firsts] = len(self.ids) + np.cumsum(head_counts) - head_counts
+        self._append(head_ids)  # for this batch only
+        starts[firsts] = self.n_ids + np.cumsum(head_counts) - head_counts
         until = np.concatenate([[0], np.cumsum(counts)])
         places = np.repeat(starts - until[:-1], counts)
         places += np.arange(until[-1])
-        raw = np.concatenate([self.ids, head_ids]).astype("<u4")[places].tobytes()
+        raw = self.ids[places].astype("<u4", copy=False).tobytes()
         cuts = (4 * until[at]).tolist()
         return [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
 

@@ -112,7 +112,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     ``image`` (the packed ids).
     """
     spark = docs.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("t")).withColumn("h", F.xxhash64("t"))
@@ -156,7 +156,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
 def read_files(table: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Per document, from the files: id, global ``start``, ``n_tokens``, ``ids_crc32``."""
-    small_batches(table.sparkSession, 8)  # segments are large
+    small_batches(table.sparkSession)
     totals = table.groupBy("file").agg(F.sum("n_ids").alias("n"))  # one row a file
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = F.broadcast(totals.select(F.col("file").alias("f"), before.alias("base")))
