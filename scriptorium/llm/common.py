@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes an Arrow batch holds at most; a row that is longer comes alone.
 BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

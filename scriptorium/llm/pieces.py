@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +39,7 @@ def pre_token_pattern(pattern: str | None = None) -> regex.Pattern:
 def flattened(rows: Sequence[Sequence[int]]) -> Encoded:
     """Lists of ids as one array and the lengths."""
     counts = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((i for r in rows for i in r), np.uint32, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(rows), np.uint32, int(counts.sum())), counts
 
 
 class PieceEncoder:
@@ -48,7 +49,7 @@ class PieceEncoder:
     begins with), ``encode_whole`` texts of any form.
     """
 
-    def __init__(self, encode_units: Callable[[list[str]], Encoded], encode_whole: Callable[[list[str]], Encoded], special: Sequence[str] = (), capacity: int = 1_000_000):
+    def __init__(self, encode_units: Callable[[list[str]], Encoded], encode_whole: Callable[[list[str]], Encoded], special: Sequence[str] = (), capacity: int = 600_000):
         self.encode_units, self.encode_whole = encode_units, encode_whole
         self.special, self.capacity = list(special), capacity
         self._forget()
@@ -78,8 +79,8 @@ class PieceEncoder:
         get = self.number.get
         found = list(map(get, units))
         if None in found:
-            new = [u for u, n in zip(units, found, strict=True) if n is None]
-            fit = [u for u in new if self._alone(u)]
+            gaps = [i for i, n in enumerate(found) if n is None]
+            fit = [u for u in map(units.__getitem__, gaps) if self._alone(u)]
             if fit:
                 ids, counts = self.encode_units([u if u[0] == "\n" else " " + u for u in fit])
                 self.number.update(zip(fit, range(self.n_units, self.n_units + len(fit)), strict=True))
@@ -89,7 +90,8 @@ class PieceEncoder:
                     self.ends = np.concatenate([self.ends[: self.n_units], np.zeros(max(until, 2 * len(self.ends)) - self.n_units, np.int64)])
                 self.ends[self.n_units : until] = self.n_ids + np.cumsum(counts)
                 self.n_units, self.n_ids = until, self.n_ids + len(ids)
-            found = [get(u, -1) for u in units]
+            for i in gaps:
+                found[i] = get(units[i], -1)
         return np.array(found, np.int64)
 
     def encode(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
@@ -142,7 +144,7 @@ class LibraryEncoder:
     #: Units that the library gets in one string.
     JOINED = 2048
 
-    def __init__(self, path: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, capacity: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,7 +164,7 @@ class LibraryEncoder:
         joined = ["".join(units[i : i + self.JOINED]) for i in range(0, len(units), self.JOINED)]
         ids, _ = self._whole(joined)
         ends = np.cumsum(self.width[ids])
-        sizes = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        sizes = np.cumsum(pc.binary_length(pa.array(units, pa.string())).to_numpy(zero_copy_only=False), dtype=np.int64)
         last = np.searchsorted(ends, sizes)
         if not np.array_equal(ends[last], sizes):
             raise ValueError("the tokenizer joins bytes across a white space")
