@@ -58,8 +58,8 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            bits = np.unpackbits(rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, count=int(w), bitorder="little")
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             data[start[rows][:, None] + np.arange(packed.shape[1])] = packed
     where = np.nonzero(over)
     parts = [struct.pack("<4sQII", _MAGIC, n, blocks, len(where[0])), low.astype("<u4"), width, over.sum(1).astype("<u2"), start.astype("<u8"), where[1].astype(np.uint8), rest[where].astype("<u4"), data]
@@ -91,8 +91,9 @@ class Packed:
             if w:
                 size = int(w) * (BLOCK // 8)
                 raw = self.data[self.start[which[rows]].astype(np.int64)[:, None] + np.arange(size)]
-                bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-                out[rows] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+                bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
+                bits[:, :, : int(w)] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
+                out[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
         many = self.first[which + 1] - self.first[which]
         row = np.repeat(np.arange(len(which)), many)
         at = np.repeat(self.first[which], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
