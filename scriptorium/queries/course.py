@@ -116,7 +116,7 @@ _BATCH = "SELECT item_id AS query_id, 'studip:src' || (item_id % 20) AS course_r
 
 
 def batch(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "'studip:src' || (item_id % 20) AS course_ref", "substr(text, 1, 60) AS text", "6 AS k")
+    return read(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "'studip:src' || (item_id % 20) AS course_ref", "text", "6 AS k")
 
 
 _ONE = "SELECT 1 AS query_id, 'studip:src1' AS course_ref, 'Where is retitioning of the onenerth oredat' AS text, 4 AS k"
