@@ -323,7 +323,7 @@ _KIND = "CASE page_id % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'wiki' WHEN 2 THEN 'new
 
 @query(f"SELECT page_id, {_KIND} AS kind FROM pages WHERE length({duck.collapse('substr(url, 1, 38)')}) >= CASE page_id % 4 WHEN 0 THEN 15 WHEN 2 THEN 1 ELSE 40 END")
 def text_floor_pages(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").selectExpr("page_id", "'studip' AS platform", f"{_KIND} AS kind", "substr(url, 1, 38) AS text")
+    rows = read(spark, sf_dir, "pages").select("page_id", F.lit("studip").alias("platform"), F.expr(_KIND).alias("kind"), T.strip_html("html").alias("text"))
     return ingest.long_enough(rows).select("page_id", "kind")
 
 
