@@ -70,6 +70,11 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
 _PATHS: dict[int, str] = {}
 
 
+def path_of(table: DataFrame) -> str:
+    """Where :func:`written` put a table."""
+    return _PATHS[id(table)]
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table of :func:`written` that nothing reads any more."""
     spark, path = table.sparkSession, _PATHS.pop(id(table))

@@ -14,8 +14,10 @@ The exact base score needs exact word counts. Words with a count of at least
 N / ``HEAVY`` are at most ``HEAVY`` many and are broadcast; occurrences of all
 others are joined by hash, where no key holds more than N / HEAVY rows.
 
-The filter takes ``BITS_PER_EVENT`` bits an event and never more than
-``MAX_BITS``; past that bound its false-positive rate rises, no count is left out.
+The filter takes ``BITS_PER_EVENT`` bits an event at every size. Up to
+``BROADCAST_BITS`` workers hold all of it. Past that no process does: each batch
+of texts asks its distinct keys of the filter's parts, one key range at a time,
+and the answers (a byte a key) return to the batch; the scores are the same.
 
 Defined results: a null text is the end token alone; repeated rows are counted
 and scored each; with no training text every word is unknown.
@@ -28,10 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import discard, extended, fold, small_batches, written
+from .common import discard, extended, fold, path_of, small_batches, written
 from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
 
 KEY_BITS = 44
@@ -39,7 +43,7 @@ BASE = 1.5
 MU = 200.0
 PROBES = 4
 BITS_PER_EVENT = 8
-MAX_BITS = 1 << 33
+BROADCAST_BITS = 1 << 33
 HEAVY = 1 << 22
 #: The end token, also the context of the first word; no word holds white space.
 END = np.uint64(0x5E6D1A7C3B2F4E91)
@@ -128,13 +132,13 @@ def _places(keys: np.ndarray, j: int, bits: np.ndarray | int) -> Iterator[np.nda
         yield (low + np.uint64(i) * step) % np.asarray(bits, np.uint64)
 
 
-def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int = BITS_PER_EVENT, max_bits: int = MAX_BITS) -> DataFrame:
+def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int = BITS_PER_EVENT) -> DataFrame:
     """The filter: one row a key range (``range``, ``events``, ``bits``)."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = _merged(rows["squeezed"])
         q = 1 + np.floor(np.log(n) / np.log(BASE) + 1e-9).astype(np.int64)
-        size = int(min(max(64, q.sum() * bits_per_event), max_bits // ranges)) // 8 * 8
+        size = int(max(64, q.sum() * bits_per_event)) // 8 * 8
         flags = np.zeros(size, bool)
         for j in range(1, int(q.max()) + 1):
             own = keys[q >= j]
@@ -145,15 +149,36 @@ def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int =
     return counted.filter("pairs").groupBy("range").applyInPandas(build, "`range` int, events long, bits binary")
 
 
+def _steps(keys: np.ndarray, bits: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The quantised count of each key by probing its part of ``bits``; 0 if the first probe fails."""
+    q = np.zeros(len(keys), np.int64)
+    alive = np.flatnonzero(sizes > 0)
+    j = 1
+    while len(alive) and j < 200:
+        hit = np.ones(len(alive), bool)
+        for at in _places(keys[alive], j, sizes[alive]):
+            at = starts[alive] + at.astype(np.int64)
+            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        alive = alive[hit]
+        q[alive] = j
+        j += 1
+    return q
+
+
+def _step_counts(q: np.ndarray) -> np.ndarray:
+    """The middle of each quantised step."""
+    return np.where(q > 0, np.maximum(1.0, (BASE ** (q - 1.0) + BASE**q - 1) / 2), 0.0)
+
+
 class Model:
-    """The filter and the frequent words' exact counts."""
+    """The filter and the frequent words' exact counts; past ``BROADCAST_BITS``, ``parts`` is the filter's table and ``bits`` is empty."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, parts: str | None = None):
         self.bits, self.sizes, self.starts = bits, sizes * 8, (np.cumsum(sizes) - sizes) * 8
         self.range_shift = np.uint64(KEY_BITS - len(sizes).bit_length() + 1)
         order = np.argsort(heavy)
         self.heavy, self.heavy_counts = heavy[order], heavy_counts[order]
-        self.tokens, self.distinct = tokens, distinct
+        self.tokens, self.distinct, self.parts = tokens, distinct, parts
         self.hasher: WordHasher | None = None
 
     def __getstate__(self) -> dict:
@@ -161,35 +186,36 @@ class Model:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts by probing, as the middle of the quantised step; 0 if the first probe fails."""
-        q = np.zeros(len(keys), np.int64)
         r = (keys >> self.range_shift).astype(np.int64)
-        alive = np.flatnonzero(self.sizes[r] > 0)
-        j = 1
-        while len(alive) and j < 200:
-            size, start = self.sizes[r[alive]], self.starts[r[alive]]
-            hit = np.ones(len(alive), bool)
-            for at in _places(keys[alive], j, size):
-                at = start + at.astype(np.int64)
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
-            q[alive] = j
-            j += 1
-        return np.where(q > 0, np.maximum(1.0, (BASE ** (q - 1.0) + BASE**q - 1) / 2), 0.0)
-
-    def score(self, texts: list[str | None]) -> list[tuple]:
-        """Per text: tokens, known ones, base score, model score; hashes and numbers of the words not among the frequent."""
+        return _step_counts(_steps(keys, self.bits, self.sizes[r], self.starts[r]))
+
+    def asked(self, texts: list[str | None]) -> np.ndarray:
+        """All keys whose counts :meth:`score` reads, sorted."""
+        self.hasher = self.hasher or WordHasher()
+        words, _ = _tokens(self.hasher, texts)
+        return np.unique(np.concatenate([_word_keys(words), _word_keys(np.array([END])), _pair_keys(_previous(words), words)]))
+
+    def score(self, texts: list[str | None], steps: np.ndarray | None = None) -> list[tuple]:
+        """Per text: tokens, known ones, base score, model score; hashes and numbers of the words not among the frequent.
+
+        ``steps`` answers the keys of :meth:`asked` in their order, where the filter is not held here.
+        """
         self.hasher = self.hasher or WordHasher()
         words, sizes = _tokens(self.hasher, texts)
+        count = self.count
+        if steps is not None:
+            known, answers = self.asked(texts), _step_counts(steps.astype(np.int64))
+            count = lambda keys: answers[np.searchsorted(known, keys)]
         distinct, back = np.unique(words, return_inverse=True)
         at = np.searchsorted(self.heavy, distinct)
         at[at == len(self.heavy)] = 0
         frequent = self.heavy[at] == distinct if len(self.heavy) else np.zeros(len(distinct), bool)
         c = np.where(frequent, self.heavy_counts[at] if len(self.heavy) else 0, 0)
         whole = self.tokens + self.distinct + 1.0
-        single = self.count(_word_keys(distinct))
+        single = count(_word_keys(distinct))
         pairs, pair_back = np.unique(_pair_keys(_previous(words), words), return_inverse=True)
-        pair = self.count(pairs)[pair_back]
-        before = np.concatenate([self.count(_word_keys(np.array([END]))), single[back][:-1]]) if len(words) else single
+        pair = count(pairs)[pair_back]
+        before = np.concatenate([count(_word_keys(np.array([END]))), single[back][:-1]]) if len(words) else single
         p = (np.minimum(pair, before) + MU * (single[back] + 1) / whole) / (before + MU)
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
@@ -202,7 +228,7 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None, heavy: int = HEAVY) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None, heavy: int = HEAVY, broadcast_bits: int = BROADCAST_BITS) -> tuple[Model, DataFrame]:
     """The model of all rows of ``docs``, and all words' exact counts."""
     spark = docs.sparkSession
     ranges = ranges or 64 << max(0, (docs.count() // 1_000_000).bit_length())
@@ -215,12 +241,59 @@ def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None,
     sizes = np.zeros(ranges, np.int64)
     for r, size in built.select("range", F.octet_length("bits")).collect():
         sizes[r] = size
-    bits, ends = np.zeros(max(1, int(sizes.sum())), np.uint8), np.cumsum(sizes)
-    for a in range(0, ranges, 8):  # a few parts at a time: the driver holds the filter once
+    whole = int(sizes.sum()) * 8 <= broadcast_bits
+    bits, ends = np.zeros(max(1, int(sizes.sum())) if whole else 0, np.uint8), np.cumsum(sizes)
+    for a in range(0, ranges if whole else 0, 8):  # a few parts at a time: the driver holds the filter once
         for r in built.filter(F.col("range").between(a, a + 7)).select("range", "bits").collect():
             bits[ends[r["range"]] - sizes[r["range"]] : ends[r["range"]]] = np.frombuffer(r.bits, np.uint8)
     keys, many = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
-    return Model(bits, sizes, keys, many, n, v), words.filter(F.col("c") * heavy < n)
+    return Model(bits, sizes, keys, many, n, v, None if whole else path_of(built)), words.filter(F.col("c") * heavy < n)
+
+
+def _ask(source: DataFrame, shipped: Broadcast, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``source`` in numbered chunks, and the filter's answers to each chunk's keys (``chunk``, ``range``, ``payload``).
+
+    A task holds one part of the filter at a time, and the keys that one chunk asks of it.
+    """
+    schema = extended(source, "row long, chunk long, `range` int, payload binary")
+    schema = StructType([StructField(f.name, f.dataType) for f in schema.fields])
+    null = lambda n, k: [pa.nulls(n, t) for t in k]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = chunk = TaskContext.get().partitionId() << 40
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(row, row + n)), pa.array(np.full(n, chunk)), *null(n, (pa.int32(), pa.binary()))], names=schema.names)
+            keys = shipped.value.asked(b.column(2).to_pylist())
+            r, at = np.unique((keys >> shipped.value.range_shift).astype(np.int32), return_index=True)
+            payload = [x.tobytes() for x in np.split(keys, at[1:])]
+            yield pa.RecordBatch.from_arrays([*null(len(r), [c.type for c in b.columns]), pa.nulls(len(r), pa.int64()), pa.array(np.full(len(r), chunk)), pa.array(r), pa.array(payload, pa.binary())], names=schema.names)
+            row, chunk = row + n, chunk + 1
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = None, np.zeros(0, np.uint8)
+        for b in batches:
+            out = []
+            for r, chunk, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk is None:
+                    held, bits = r, np.frombuffer(payload, np.uint8)
+                    continue
+                keys = np.frombuffer(payload, np.uint64)
+                size = np.full(len(keys), 8 * len(bits) if r == held else 0, np.int64)
+                out.append((chunk, r, _steps(keys, bits, size, np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes()))
+            chunks, ranges, payloads = zip(*out, strict=True) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ranges, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "range", "payload"])
+
+    both = written(source.mapInArrow(cut, schema), "lm-asked")
+    asked = both.filter("`range` IS NOT NULL").select("range", "chunk", "payload")
+    held = parts.select("range", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("payload"))
+    dealt = held.unionByName(asked).repartition("range").sortWithinPartitions("range", F.col("chunk").asc_nulls_first())
+    answers = dealt.mapInArrow(probe, "chunk long, `range` int, payload binary")
+    return both.filter("`range` IS NULL").drop("range", "payload"), answers
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 2, folds: int = 7) -> DataFrame:
@@ -231,20 +304,32 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_
     source = docs.select(F.col(id_col).alias("_id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string"))
     schema = extended(docs.select(F.col(id_col).alias("_id")), "held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<long>, many array<long>")
 
+    def columns(rows: list[tuple], start: int) -> list[pa.Array]:
+        n, known, base, score, rare, many = zip(*rows, strict=True) if rows else [()] * 6
+        cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (rare, many)]
+        return [pa.array(np.arange(start, start + len(rows))), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), *lists]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             rows = shipped.value.score(b.column(2).to_pylist())
-            n, known, base, score, rare, many = zip(*rows, strict=True) if rows else [()] * 6
-            ids = np.arange(row, row + len(rows))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns(rows, row)], names=schema.names)
             row += len(rows)
-            cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (rare, many)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(ids), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), *lists], names=schema.names)
 
-    scored = written(source.mapInArrow(run, schema), "lm-scored")
+    def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.sort_by("row"), answers.sort_by("range")
+        steps = np.frombuffer(b"".join(answers.column("payload").to_pylist()), np.uint8)
+        rows = shipped.value.score(texts.column("text").to_pylist(), steps)
+        return pa.Table.from_arrays([*texts.select(["_id", "held_out"]).columns, *columns(rows, texts.column("row")[0].as_py() if rows else 0)], names=schema.names)
+
+    if model.parts is None:
+        scored = written(source.mapInArrow(run, schema), "lm-scored")
+    else:
+        texts, answers = _ask(source.withColumnRenamed(text_col, "text"), shipped, spark.read.parquet(model.parts))
+        scored = written(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answered, schema), "lm-scored")
     spread = scored.select("row", F.explode(F.arrays_zip("rare", "many")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.many").alias("many"))
     more = spread.join(rare, "h").groupBy("row").agg(F.sum("many").alias("more_known"), F.sum(F.col("many") * F.log10(F.col("c") + 1)).alias("more_base"))
     zero = F.lit(0)
