@@ -87,8 +87,18 @@ def segments(recordings: DataFrame, size: int = 900) -> DataFrame:
     return recordings.select(*rest, F.posexplode(out).alias("seq", "s")).select(*rest, "seq", "s.locator", "s.text")
 
 
+def _unbounded_walk(spark: SparkSession, nodes: str) -> None:
+    """Lift the session's recursion limits: any number of rows, and as many levels as ``nodes`` has rows, past which only a cycle goes."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    key = "spark.sql.cteRecursionLevelLimit"
+    levels = int(spark.conf.get(key))
+    if levels != -1:
+        spark.conf.set(key, str(max(levels, spark.table(nodes).count() + 1)))
+
+
 def reading_order(spark: SparkSession, elements: str) -> DataFrame:
     """Depth-first order of a view ``(tree, id, parent, position)``; siblings by position, then id; orphans last."""
+    _unbounded_walk(spark, elements)
     return spark.sql(f"""
         WITH RECURSIVE walk (tree, id, path) AS (
           SELECT tree, id, array(named_struct('p', position, 'i', CAST(id AS STRING))) FROM {elements} WHERE parent IS NULL
@@ -105,6 +115,7 @@ def reading_order(spark: SparkSession, elements: str) -> DataFrame:
 
 def folder_walk(spark: SparkSession, nodes: str, depth: int = 8) -> DataFrame:
     """Objects of a view ``(tree, id, parent, type, title)`` with the path of containers above them."""
+    _unbounded_walk(spark, nodes)
     return spark.sql(f"""
         WITH RECURSIVE walk (tree, id, type, title, folder, depth) AS (
           SELECT tree, id, type, title, '', 0 FROM {nodes} WHERE parent IS NULL

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from scriptorium.operators import ingest
 from scriptorium.queries import ORACLE_SQL, QUERIES, duck
 from scriptorium.queries.course import _html_sql, batch
 
@@ -36,3 +37,10 @@ def test_text_floor_reads_html(spark, tmp_path):
     pages = [(0, "<b>" + "x" * 14 + "</b>"), (4, "<b>" + "x" * 15 + "</b>"), (1, "<p>" + "x" * 39 + "</p>"), (5, "<p>" + "x" * 40 + "</p>"), (2, "<i> </i>"), (6, "<i>x</i>"), (3, "&nbsp;" * 60), (7, "y" * 40), (8, None)]
     spark.createDataFrame([(i, "u" * 60, h) for i, h in pages], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(map(tuple, QUERIES["text_floor_pages"](spark, str(tmp_path)).collect())) == [(4, "file"), (5, "wiki"), (6, "news"), (7, "description")]
+
+
+def test_walks_pass_the_row_limit(spark):
+    rows = 1_000_100
+    spark.range(rows).selectExpr("id % 100 AS tree", "id", "CAST(NULL AS BIGINT) AS parent", "'fold' AS type", "'n' AS title", "0 AS position").createOrReplaceTempView("many_nodes")
+    assert ingest.folder_walk(spark, "many_nodes").count() == rows
+    assert ingest.reading_order(spark, "many_nodes").count() == rows
