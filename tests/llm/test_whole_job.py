@@ -3,7 +3,10 @@
 import math
 import random
 
+import pytest
+
 from scriptorium.llm import language_model
+from scriptorium.llm.components import components
 
 
 def test_language_model_filter_by_ranges(spark):
@@ -22,3 +25,11 @@ def test_language_model_filter_by_ranges(spark):
     for a, b in zip(whole, parts, strict=True):
         assert a[:5] == b[:5]
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
+
+
+def test_components_settle_or_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components(chain, rounds=1)
+    assert sorted(map(tuple, components(chain).collect())) == [(i, 0) for i in range(13)]
+    assert components(chain.limit(0), rounds=1).count() == 0
