@@ -57,12 +57,13 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     This cuts lineage in a way that survives the loss of executors, and fixes
     what a later join would otherwise compute twice.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     out = df.write.mode("errorifexists")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the driver then lets go of this stage's shuffle files
-    back = spark.read.schema(df.schema).parquet(path)
+    del df, out
+    spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver lets go of their stages
+    back = spark.read.schema(schema).parquet(path)
     _PATHS[id(back)] = path
     return back
 

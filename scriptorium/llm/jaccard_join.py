@@ -1,8 +1,9 @@
 """Exact Jaccard join on word shingles by token-combination prefixes.
 
 A text's set holds the 64-bit hashes of its distinct ``WIDTH``-word shingles.
-Tokens fall into two classes by a fixed-size count sketch of the corpus:
-frequent ones and the rest. In the global order (rare before frequent, then by
+Tokens fall into two classes by a count sketch of the corpus (a counter for
+about ten words, ``MOST_SKETCH_BITS`` at most): frequent ones and the rest. In
+the global order (rare before frequent, then by
 count and hash) a prefix is extended until its signatures survive the loss of
 as many tokens as a partner at the threshold may lack. Rare tokens are indexed
 alone. Frequent tokens are indexed by pairs inside groups of tokens; m of them
@@ -12,19 +13,26 @@ always agree. Sets under ``SMALL`` tokens use single tokens only. Any pair at
 the threshold shares a key, whatever the sketch says.
 
 Links are found without emitting all pairs of a group of copies. Equal sets
-are one class from the start. Under each key all members are verified against
+are one class from the start; a class is named by ``_ID_BITS`` bits of a 128-bit
+digest, and names that two digests share are replaced before anything is joined.
+Keys whose tokens all have full counters may be held by any share of the
+classes: their least member is found by partial aggregation and joined, so that
+adaptive execution can split them. All other keys are sorted once and read in
+runs. Under each key all members are verified against
 one pivot, the set with the smallest share of rare tokens (the likely original
 of its copies). The components so far are then computed, and only pairs that
 share a key and lie in different components are verified: listed under keys of
-at most ``FEW`` classes, compared in blocks inside the tasks, once a pivot,
-under all others. Other pairs cannot change the result. What a pair of sets
+at most ``FEW`` classes, compared in blocks of neighbouring sizes inside the
+tasks, once a pivot, under all others; there bitmaps decide first which sets
+are shipped at all. Other pairs cannot change the result. What a pair of sets
 shares is counted exactly.
 
 Defined results: a text without words has no shingles and is linked with
 nothing; one of fewer than ``WIDTH`` words is a single shingle; rows with a
 null id take part, and a component of such rows alone has a null id; repeated
-rows are copies; an empty table gives an empty one. Two different shingles
-count as one if their 64-bit hashes agree.
+rows are copies, also of one id; a text may have any length (a task holds the
+tokens of one at a time); an empty table gives an empty one. Two different
+shingles count as one if their 64-bit hashes agree.
 """
 
 from __future__ import annotations
@@ -41,20 +49,28 @@ from pyspark.sql import functions as F
 
 from .common import discard, extended, small_batches, written
 from .components import components
-from .words import ODD, WordHasher, mixed
+from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
 
 WIDTH = 5
 PERCENT = 80
-SKETCH_BITS = 20
+#: The sketch has a counter for so many bytes of text ...
+SKETCH_BYTES = 64
+#: ... and at most 2 to this many; past that the bar between rare and frequent rises, and more keys are shared.
+MOST_SKETCH_BITS = 26
+#: A full counter.
+FULL = 255
 SMALL = 16
-#: Classes of a block when those that met one pivot are compared.
-BLOCK = 128
+#: Classes and tokens of a block when those that met one pivot are compared: by bitmaps, then by tokens.
+BITS_BLOCK, BLOCK = (1024, 1 << 22), (128, 1 << 18)
+#: Parts into which the classes of a hot key are dealt.
+_SALT = 64
 #: Under keys of at most so many classes pairs are listed; under others they are compared in blocks.
 FEW = 48
 #: A class keeps so many bits of its digest below its rank.
-_ID_BITS = np.uint64(57)
-_ID = (1 << 57) - 1
+_ID_BITS = 57
+_ID = (1 << _ID_BITS) - 1
 _BITMAP_BITS = 24
+_FLUSH = 4_000_000
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -73,17 +89,28 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed(x))
 
 
-def _identity(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) & _ID
+class Identity:
+    """Names of sets: the low bits of a 128-bit digest, its high half where two digests share those."""
 
+    def __init__(self, shared: frozenset[int] = frozenset(), mask: int = _ID):
+        self.shared, self.mask = shared, mask
 
-def _bucket(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    def __call__(self, own: np.ndarray) -> tuple[int, int]:
+        """A set's name, and the other half of its digest (signed)."""
+        digest = xxhash.xxh3_128_intdigest(own.tobytes())
+        name, other = digest & self.mask, digest >> 64
+        if name in self.shared:
+            name = other & self.mask
+        return name, other - (1 << 64 if other >> 63 else 0)
+
+
+def _bucket(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A bit for each bucket of hashes that the set meets; four to eight buckets a token."""
-    level = (4 * len(own) - 1).bit_length()
+    """A bit for each bucket of hashes that the set meets; two to four buckets a token."""
+    level = (2 * len(own) - 1).bit_length()
     flags = np.zeros(1 << max(3, level), bool)
     flags[(own >> np.uint64(64 - max(3, level))).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
@@ -122,104 +149,178 @@ class Signer:
 
         return list(range(tier(n * self.percent / 100), tier(n * 100 / self.percent) + 1))
 
-    def __call__(self, own: np.ndarray) -> tuple[np.ndarray, int]:
-        """Keys of a sorted set, and its rank (0 to 63) by its share of rare tokens."""
+    def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys of a sorted set, which of them may be hot, and the set's rank (0 to 63) by its share of rare tokens."""
         n = len(own)
         count = self.sketch[_bucket(own, self.bits)].astype(np.int64)
         is_frequent = count > self.frequent
         order = np.lexsort((own, np.where(is_frequent, count, 0), is_frequent))
-        tokens, frequent = own[order], is_frequent[order]
+        tokens, frequent, full = own[order], is_frequent[order], count[order] >= FULL
         rare = n - int(frequent.sum())
         need = n - least_overlap(n, self.percent) + 1
-        keys = [mixed(tokens[: min(need, n if self.tiers(n) == [-1] else max(rare, 0))])]
+        single = min(need, n if self.tiers(n) == [-1] else max(rare, 0))
+        keys, hot = [mixed(tokens[:single])], [full[:single]]
         for tier in self.tiers(n):
             if tier < 0:
                 keys.append(mixed(tokens[:need]))
+                hot.append(full[:need])
             elif rare < need:
                 groups = max(1, SMALL * 4**tier // 8)
-                late = tokens[rare:]
+                late, late_full = tokens[rare:], full[rare:]
                 group = (mixed(late) % np.uint64(groups)).astype(np.int64)
                 # the first token of a group adds no survivor, each further one adds one
                 by = np.lexsort((np.arange(len(late)), group))
                 first = np.zeros(len(late), bool)
                 first[by] = np.concatenate([[True], group[by][1:] != group[by][:-1]])
                 end = int(np.searchsorted(np.cumsum(~first), need - rare)) + 1
-                late, group = late[:end], group[:end]
-                by = np.lexsort((np.arange(end), group))
-                late, group = late[by], group[by]
+                by = np.lexsort((np.arange(end), group[:end]))
+                late, late_full, group = late[by], late_full[by], group[by]
                 starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
                 for a, b in zip(starts, np.append(starts[1:], end), strict=True):
                     i, j = np.triu_indices(b - a, 1)
                     keys.append(mixed(late[a:b][i] * ODD[0] ^ (late[a:b][j] + np.uint64(tier + 2)) * ODD[1]))
-        return np.unique(np.concatenate(keys)), min(63, 64 * rare // max(1, n))
+                    hot.append(late_full[a:b][i] & late_full[a:b][j])
+        distinct, first = np.unique(np.concatenate(keys), return_index=True)
+        return distinct, np.concatenate(hot)[first], min(63, 64 * rare // max(1, n))
+
+
+def sketch_bits(docs: DataFrame, text_col: str) -> int:
+    """The size of the sketch, by the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return min(MOST_SKETCH_BITS, max(16, (int(size) // SKETCH_BYTES).bit_length()))
 
 
-def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """One pass: per row id, set size and class; per task its part of the count sketch."""
-    schema = extended(docs.select(F.col(id_col).alias("id")), "n long, class long, part int, sketch binary, bits binary")
-    pieces = 64
+def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, bits: int, identity: Identity | None = None) -> DataFrame:
+    """One pass: per row id, set size, class and bitmap; per task what it adds to the count sketch."""
+    identity = identity or Identity()
+    schema = extended(docs.select(F.col(id_col).alias("id")), "n long, class long, other long, bits binary, part int, counts binary")
+    part_bits = np.uint64(min(20, bits - 6))
+    pieces = 1 << (bits - int(part_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = WordHasher(), set()
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        kind = None
+        hasher, seen, kind = WordHasher(), set(), None
+        held, size = [], 0
+
+        def shipped() -> pa.RecordBatch:
+            keys, many = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            cut = np.searchsorted(keys >> part_bits, np.arange(pieces + 1, dtype=np.uint64))
+            rows = [(i, squeezed(keys[a:b], np.minimum(many[a:b], FULL))) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=schema.names)
+
         for b in batches:
             kind = b.column(0).type
-            n, cls, bits = [], [], []
+            own = [shingles(hasher(t), width) for t in b.column(1).to_pylist()]
+            named = [identity(x) if len(x) else (None, None) for x in own]
             fresh = []
-            for t in b.column(1).to_pylist():
-                own = shingles(hasher(t), width)
-                n.append(len(own))
-                bits.append(bitmap(own) if len(own) else None)
-                cls.append(_identity(own) if len(own) else None)
-                if len(own) and cls[-1] not in seen:
-                    seen.add(cls[-1])
-                    fresh.append(own)
+            for x, (name, _) in zip(own, named, strict=True):
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    fresh.append(x)
             if fresh:
-                sketch += np.bincount(_bucket(np.concatenate(fresh)), minlength=len(sketch)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.array(bits, pa.binary())], names=schema.names)
-        if seen:
-            low = np.minimum(sketch, 65535).astype("<u2").reshape(pieces, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(pieces, kind), pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary()), pa.nulls(pieces, pa.binary())], names=schema.names)
+                held.append(np.unique(_bucket(np.concatenate(fresh), bits).astype(np.uint64), return_counts=True))
+                size += len(held[-1][0])
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([y for _, y in named], pa.int64()), pa.array([bitmap(x) if len(x) else None for x in own], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
+            if size > _FLUSH:
+                yield shipped()
+                held, size = [], 0
+        if held:
+            yield shipped()
 
     return written(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "sets")
 
 
-def _sketch(table: DataFrame) -> np.ndarray:
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(rows["sketch"].iloc[0]) // 2, np.int64)
-        for raw in rows["sketch"]:
-            total += np.frombuffer(raw, "<u2")
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "sketch": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
-    rows = table.filter("sketch is not null").select("part", "sketch").groupBy("part").applyInPandas(add, "part int, sketch binary").collect()
-    return np.frombuffer(b"".join(bytes(r.sketch) for r in sorted(rows, key=lambda r: r.part)), "<u4") if rows else np.zeros(1 << SKETCH_BITS, np.uint32)
-
+def _sketch(table: DataFrame, bits: int) -> np.ndarray:
+    size = 1 << min(20, bits - 6)
 
-def index(docs: DataFrame, sketch: np.ndarray, *, text_col: str, width: int, percent: int) -> DataFrame:
-    """Rows (key, code): a set's keys, and its class under its rank."""
-    shipped = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 bytes a counter
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        part, total = int(rows["part"].iloc[0]), np.zeros(size, np.int64)
+        for raw in rows["counts"]:
+            keys, many = unsqueezed(raw)
+            total[keys.astype(np.int64) - part * size] += many
+        return pd.DataFrame({"part": [part], "counts": [np.minimum(total, FULL).astype(np.uint8).tobytes()]})
+
+    out = np.zeros(1 << bits, np.uint8)
+    for r in table.filter("counts is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def _named_apart(table: DataFrame, mask: int = _ID, most: int = 1 << 20) -> tuple[DataFrame, Identity]:
+    """The rows of :func:`sets` under names that no two digests share, and the naming."""
+    own = table.filter("counts is null").select("id", "n", "class", "other", "bits")
+    two = lambda t: t.filter("n > 0").groupBy("class").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi").select("class")
+    shared = [r[0] for r in two(own).limit(most + 1).collect()]  # expected: rows ** 2 / 2 ** 58
+    if not shared:
+        return own, Identity(mask=mask)
+    if len(shared) > most:
+        raise RuntimeError("too many sets share a name")
+    again = F.broadcast(table.sparkSession.createDataFrame([(x,) for x in shared], "class long").withColumn("again", F.lit(True)))
+    own = own.join(again, "class", "left").withColumn("class", F.when(F.col("again"), F.col("other").bitwiseAND(mask)).otherwise(F.col("class"))).drop("again")
+    if two(own).limit(1).collect():
+        raise RuntimeError("two sets share a name")
+    return own, Identity(frozenset(shared), mask)
+
+
+def index(docs: DataFrame, sketch: np.ndarray, identity: Identity, *, text_col: str, width: int, percent: int) -> DataFrame:
+    """Rows (key, code, hot): a set's keys, and its class under its rank."""
+    shipped = docs.sparkSession.sparkContext.broadcast(sketch)  # a byte a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, sign = WordHasher(), set(), Signer(shipped.value, percent)
         for b in batches:
-            keys, codes, many = [np.zeros(0, np.uint64)], [], []
+            keys, hots, codes, many = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [], []
             for t in b.column(0).to_pylist():
                 own = shingles(hasher(t), width)
-                if not len(own) or (cls := _identity(own)) in seen:
+                if not len(own) or (cls := identity(own)[0]) in seen:
                     continue
                 seen.add(cls)
-                k, rank = sign(own)
+                k, hot, rank = sign(own)
                 keys.append(k)
-                codes.append(rank << 57 | cls)
+                hots.append(hot)
+                codes.append(rank << _ID_BITS | cls)
                 many.append(len(k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(codes, np.int64), many))], names=["key", "code"])
-
-    return written(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, code long"), "index")
-
-
-def _chosen_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Sets (``class``, ``tokens``) of documents among ``wanted`` ids, found through a bitmap of fixed size."""
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(codes, np.int64), many)), pa.array(np.concatenate(hots))], names=["key", "code", "hot"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, code long, hot boolean")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, code), the distinct ones of keys with two codes or more, with the least code; all distinct ones of hot keys, without it."""
+    def shared(k: np.ndarray, c: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        k, c, hot = k[new], c[new], hot[new]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(k)))
+        pivot, keep = np.repeat(c[start], size), np.repeat(size > 1, size) | hot
+        return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(c[keep]), pa.array(pivot[keep], mask=hot[keep])], names=["key", "code", "pivot"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    for b in batches:
+        if b.num_rows:
+            held = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, b.columns, strict=True)]
+            end = len(held[0]) if held[2][-1] else int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            yield shared(*(x[:end] for x in held))
+            held = [x[end:] for x in held]
+    yield shared(*held)
+
+
+def _met(indexed: DataFrame) -> DataFrame:
+    """Rows (key, class, pivot) of all keys with two classes or more; written."""
+    salt = F.when(F.col("hot"), F.pmod("code", F.lit(_SALT))).otherwise(0)
+    dealt = indexed.repartition("key", salt).sortWithinPartitions("key", "code")
+    with _batches_of(indexed.sparkSession, 1 << 14):
+        found = written(dealt.mapInArrow(_runs, "key long, code long, pivot long"), "runs")
+    hot = found.filter("pivot is null").select("key", "code")
+    least = hot.groupBy("key").agg(F.min("code").alias("pivot"), F.max("code").alias("last")).filter("pivot < last").select("key", "pivot")
+    both = found.filter("pivot is not null").unionByName(hot.join(least, "key"))
+    return written(both.select("key", F.col("code").bitwiseAND(_ID).alias("class"), F.col("pivot").bitwiseAND(_ID).alias("pivot")), "met")
+
+
+def _chosen_sets(docs: DataFrame, wanted: DataFrame, identity: Identity, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Sets (``class``, ``tokens``) of documents among ``wanted`` ids, found through a bitmap of fixed size; written."""
     h = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << _BITMAP_BITS))
     words = wanted.select(F.shiftright(h, 6).alias("w"), (h % 64).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).collect()
     bitmap = np.zeros(1 << (_BITMAP_BITS - 6), np.int64)
@@ -236,13 +337,13 @@ def _chosen_sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: s
             cls, tokens = [], []
             for t in b.column(1).filter(pa.array(keep)).to_pylist():
                 own = shingles(hasher(t), width)
-                if len(own) and (c := _identity(own)) not in seen:
+                if len(own) and (c := identity(own)[0]) not in seen:
                     seen.add(c)
                     cls.append(c)
                     tokens.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(tokens, pa.binary())], names=["class", "tokens"])
 
-    return source.mapInArrow(run, "class long, tokens binary")
+    return written(source.mapInArrow(run, "class long, tokens binary"), "tokens")
 
 
 @contextmanager
@@ -282,51 +383,55 @@ def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All sets (id, n, class), the classes' roots (v, root), and the links (a, b) they rest on."""
     small_batches(docs.sparkSession)
-    table = sets(docs, id_col=id_col, text_col=text_col, width=width)
-    own = table.filter("sketch is null").select("id", "n", "class")
-    indexed = index(docs, _sketch(table), text_col=text_col, width=width, percent=percent)
-    shared = indexed.groupBy("key").agg(F.min("code").alias("pivot"), F.max("code").alias("last")).filter("pivot < last").select("key", "pivot")
-    met = written(indexed.join(shared, "key").select("key", F.col("code").bitwiseAND(_ID).alias("class"), F.col("pivot").bitwiseAND(_ID).alias("pivot")).distinct(), "met")
-    discard(indexed)
+    bits = sketch_bits(docs, text_col)
+    table = sets(docs, id_col=id_col, text_col=text_col, width=width, bits=bits)
+    own, identity = _named_apart(table)
+    met = _met(index(docs, _sketch(table, bits), identity, text_col=text_col, width=width, percent=percent))
     stars = met.filter("class <> pivot").select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
-    size = table.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("id").alias("id"), F.max("bits").alias("bits"))
+    size = own.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("id").alias("id"), F.max("bits").alias("bits"))
     size = written(met.select("class").distinct().join(size, "class"), "met-classes")
-    first = written(_near(stars, size, percent), "stars")
-    found = _found(docs, first, size, id_col, text_col, width)
+    first = _near(stars, size, percent)
+    find = lambda classes: _chosen_sets(docs, size.join(classes.distinct(), "class").select("id"), identity, id_col=id_col, text_col=text_col, width=width)
+    found = find(_ends(first))
     links = verified(first, found, percent)
     discard(found)
     roots = written(components(links), "roots")
     rooted = met.join(roots.withColumnRenamed("v", "class"), "class", "left")
     rooted = written(rooted.select("key", "pivot", "class", F.coalesce("root", "class").alias("root")), "rooted")
+    discard(met)
     spread = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi and m > 2")
     open_keys = written(spread.select("key", "m"), "open-keys")
     few = _few(rooted, open_keys.filter(F.col("m") <= FEW), size, percent).join(first, ["a", "b"], "left_anti")
-    few = written(_near(few, size, percent), "few")
-    links = links.unionByName(verified(few, _found(docs, few, size, id_col, text_col, width), percent))
+    few = _near(few, size, percent)
     many = rooted.join(open_keys.filter(F.col("m") > FEW).select("key"), "key").select("pivot", "class", "root").distinct()
-    links = links.unionByName(_across(docs, written(many, "many"), size, id_col, text_col, width, percent))
-    return own, components(links), links
+    many = _candidates(written(many, "many"), size, percent)
+    discard(rooted)
+    found = find(_ends(few).unionByName(many.select("class")))
+    links = links.unionByName(verified(few, found, percent)).unionByName(_across(many, found, percent))
+    discard(found)
+    return own.select("id", "n", "class"), components(links), links
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
 
 
 def _near(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and bitmaps do not rule out."""
-    n = lambda c: size.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    """Pairs (a, b) that sizes and then bitmaps do not rule out; written."""
+    n = lambda c, *more: size.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", *more)])
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    both = pairs.join(n("a"), "a").join(n("b"), "b").filter(100 * low >= percent * high)
+    pairs = written(pairs.join(n("a"), "a").join(n("b"), "b").filter(100 * low >= percent * high).select("a", "b"), "near-size")
+    both = pairs.join(n("a", "bits"), "a").join(n("b", "bits"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [may_reach(x.as_buffer(), nx.as_py(), y.as_buffer(), ny.as_py(), percent) for nx, x, ny, y in zip(*b.columns[2:], strict=True)]
+            many, raw = [c.to_pylist() for c in (b.column(2), b.column(4))], [c.to_pylist() for c in (b.column(3), b.column(5))]
+            keep = [may_reach(x, nx, y, ny, percent) for nx, x, ny, y in zip(many[0], raw[0], many[1], raw[1], strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
-
-
-def _found(docs: DataFrame, pairs: DataFrame, size: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = size.join(needed, "class").select("id")
-    found = _chosen_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width)
-    return written(found, "tokens")
+    out = written(both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long"), "near")
+    discard(pairs)
+    return out
 
 
 def _few(rooted: DataFrame, keys: DataFrame, size: DataFrame, percent: int) -> DataFrame:
@@ -338,21 +443,24 @@ def _few(rooted: DataFrame, keys: DataFrame, size: DataFrame, percent: int) -> D
     return x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
-def _blocks(rooted: DataFrame) -> DataFrame:
-    """Deal the classes that met one pivot to block pairs: rows (pivot, kind, i, j, class, root).
+def _blocks(rooted: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """Deal the classes that met one pivot to block pairs: rows (pivot, band, kind, i, j, class, root).
 
+    Partners differ in size by less than the width of a band, so a set meets
+    those of its own band and of the next; each band is a group of its own.
     Only pairs of different components matter. The members of a group's largest
     component (M) therefore meet only the rest (R), and the rest meet each
-    other; both are dealt into blocks of about ``BLOCK`` by a hash. Groups of
-    two have been verified as stars.
+    other; both are dealt by a hash into blocks of about ``block`` classes and tokens.
     """
-    parts = rooted.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("c"))
-    groups = parts.groupBy("pivot").agg(F.sum("c").alias("m"), F.max("c").alias("main_c"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    groups = groups.filter("m > 2 and main_c < m").select("pivot", "main", F.ceil(F.col("main_c") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("main_c")) / BLOCK).cast("int").alias("nr"))
-    own = rooted.join(written(groups, "groups"), "pivot")
+    size = lambda c: F.ceil(F.greatest(F.col(f"{c}.c") / block[0], F.col(f"{c}.t") / block[1])).cast("int")
+    rooted = rooted.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1)))
+    parts = rooted.groupBy("pivot", "band", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    groups = parts.groupBy("pivot", "band").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.max(F.struct("c", "root", "t")).alias("main"))
+    groups = groups.filter("main.c < c").withColumn("rest", F.struct((F.col("c") - F.col("main.c")).alias("c"), (F.col("t") - F.col("main.t")).alias("t")))
+    groups = groups.select("pivot", "band", F.col("main.root").alias("main"), size("main").alias("nm"), size("rest").alias("nr"))
+    own = rooted.join(written(groups, "groups"), ["pivot", "band"])
     main = F.col("root") == F.col("main")
-    block = F.pmod(F.xxhash64("class"), F.when(main, F.col("nm")).otherwise(F.col("nr"))).cast("int")
-    own = own.withColumn("block", block)
+    own = own.withColumn("block", F.pmod(F.xxhash64("class"), F.when(main, F.col("nm")).otherwise(F.col("nr"))).cast("int"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     of_main = F.transform(each("nr"), lambda r: cell("M", F.col("block"), r))
@@ -360,7 +468,35 @@ def _blocks(rooted: DataFrame) -> DataFrame:
         F.transform(each("nm"), lambda m: cell("M", m, F.col("block"))),
         F.transform(each("nr"), lambda r: cell("R", F.least(r, F.col("block")), F.greatest(r, F.col("block")))),
     )
-    return own.select("pivot", "class", "root", F.explode(F.when(main, of_main).otherwise(of_rest)).alias("x")).select("pivot", "x.kind", "x.i", "x.j", "class", "root")
+    dealt = own.withColumn("x", F.explode(F.when(main, of_main).otherwise(of_rest)))
+    return dealt.select("pivot", "band", "x.kind", "x.i", "x.j", "class", "root")
+
+
+_CELL = ("pivot", "band", "kind", "i", "j")
+
+
+def _candidates(rooted: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Of the classes that met one pivot (pivot, class, root), those whose bitmaps allow a partner of another component; written, with their band."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    banded = written(rooted.join(size.select("class", "n", band.alias("own_band")), "class"), "banded")
+    dealt = _blocks(banded, BITS_BLOCK).join(size.select("class", "n", "bits"), "class")
+
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        root, n = rows["root"].to_numpy(), rows["n"].to_numpy().astype(np.float32)
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in rows["bits"]]
+        least = min(map(len, flags))
+        flags = np.stack([x.reshape(least, -1).max(1) for x in flags])
+        weight = flags.sum(1, dtype=np.float32)
+        some = np.zeros(len(n), bool)
+        for a in range(0, len(n), 256):  # so many rows at a time, so many buckets at a time: memory stays small
+            own = slice(a, a + 256)
+            both = sum(flags[own, c : c + 4096].astype(np.float32) @ flags[:, c : c + 4096].T.astype(np.float32) for c in range(0, least, 4096))
+            spare = np.minimum((n - weight)[own, None], (n - weight)[None, :]) + both
+            some[own] = ((100 * spare >= percent * (n[own, None] + n[None, :] - spare)) & (root[own, None] != root[None, :])).any(1)
+        return rows.loc[some, ["pivot", "class", "root"]]
+
+    found = dealt.groupBy(*_CELL).applyInPandas(check, "pivot long, class long, root long").distinct()
+    return written(found.join(banded, ["pivot", "class", "root"]), "candidates")
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
@@ -382,11 +518,9 @@ def overlaps(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _across(docs: DataFrame, rooted: DataFrame, size: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _across(candidates: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links between classes that met one pivot and lie in different components, as far as they merge components."""
-    dealt = written(_blocks(rooted), "dealt")
-    wanted = size.join(dealt.select("class").distinct(), "class").select("id")
-    found = written(_chosen_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width), "tokens")
+    dealt = written(_blocks(candidates, BLOCK), "dealt")
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("class")  # copies of a text may bring its set twice
@@ -407,7 +541,7 @@ def _across(docs: DataFrame, rooted: DataFrame, size: DataFrame, id_col: str, te
                 links.append((cls[i], cls[j]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return written(dealt.join(found, "class").groupBy("pivot", "kind", "i", "j").applyInPandas(check, "a long, b long"), "links")
+    return written(dealt.join(found, "class").groupBy(*_CELL).applyInPandas(check, "a long, b long"), "links")
 
 
 def clustered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -16,6 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from scriptorium.llm import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, token_files, toxicity, warc
 from scriptorium.llm.common import fold
 from scriptorium.llm.pieces import library_encoder
@@ -311,3 +313,34 @@ def test_units_as_the_library(texts):
     want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.encode(texts) == want
     assert encoder.encode([*texts, None]) == [*want, b""]
+
+
+def test_jaccard_wide_pivot(spark):
+    """Two thousand sets that met one pivot in many components, of two sizes."""
+    rnd = random.Random(11)
+    rows, shared = [], [f"s{i}" for i in range(40)]
+    for g in range(1000):
+        w = shared[: rnd.choice([24, 40])] + [f"g{g}x{k}" for k in range(30)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w, f"t{rnd.randrange(3)}"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.clustered(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(t.split()) - 4, i - i % 2) for i, t in rows}
+
+
+def test_jaccard_names_are_told_apart(docs, rows):
+    """A naming of few bits, in which sets do share names, gives the same components."""
+    sets = {jaccard_join.shingles(jaccard_join.WordHasher()(t)).tobytes() for _, t, *_ in rows if words(t)}
+    digests = [jaccard_join.xxhash.xxh3_128_intdigest(s) for s in sets]
+    rnd = random.Random(3)
+    for _ in range(10_000):
+        mask = rnd.getrandbits(57) & rnd.getrandbits(57)
+        low = Counter(d & mask for d in digests)
+        names = {d >> 64 & mask if low[d & mask] > 1 else d & mask for d in digests}
+        if max(low.values()) > 1 and len(names) == len(digests):
+            break
+    assert max(low.values()) > 1
+    table = jaccard_join.sets(docs, id_col="doc_id", text_col="text", width=5, bits=16, identity=jaccard_join.Identity(mask=mask))
+    own, identity = jaccard_join._named_apart(table, mask)
+    assert identity.shared
+    assert {r["class"] for r in own.filter("n > 0").collect()} == names
+    with pytest.raises(RuntimeError, match="share a name"):
+        jaccard_join._named_apart(table.withColumn("other", F.hash("id").cast("long") * 2), 1)
