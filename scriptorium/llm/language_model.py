@@ -3,12 +3,19 @@
 One pass over the training texts counts words (64-bit hashes) and bigrams
 (``KEY_BITS``-bit keys); each task sums its own counts and ships them sorted
 and squeezed by key range, so the shuffle carries about three bytes a distinct
-bigram and task. For each key range one task quantises the counts,
-``q = 1 + floor(log_BASE(count))``, and enters the events (key, 1..q) into that
-range's part of the filter. Workers read a count back by probing j = 1, 2, ...
-until one fails. The probability is Dirichlet-smoothed:
-P(w|v) = (c(vw) + MU P(w)) / (c(v) + MU), P(w) = (c(w)+1) / (N+V+1), all
-counts from the filter and c(vw) at most c(v).
+bigram and task. For each key range one task quantises the counts into cells of
+whole numbers (single ones at first, then each ``BASE`` times wider) and enters the
+events (key, 1..q) of a key in cell q into that range's part of the filter, the
+first by ``FIRST`` bits, the rest by ``LATER``. Workers read a count back by
+probing j = 1, 2, ... and, past ``LINEAR``, by doubling and halving, and take
+the mean of the cell's whole numbers. The probability is Dirichlet-smoothed:
+P(w|v) = (c(vw) + MU P(w)) / (c(v) + FALSE + MU), P(w) = (c(w)+1) / (N+V+1),
+c(vw) at most c(v) and c(w), c(v) and c(w) exact for frequent words. FALSE is
+the count that false positives add to a context's V possible bigrams on average:
+V times the chance that ``FIRST`` probes hit in a filter filled as this one is.
+So the probabilities after a word sum to 1 but for the chance in which false
+positives it meets (a deviation of sqrt(FALSE) / (c(v) + FALSE + MU)) and the
+rounding of counts over 50, by at most 1 in 100.
 
 The exact base score needs exact word counts. Words with a count of at least
 N / ``HEAVY`` are at most ``HEAVY`` many and are broadcast; occurrences of all
@@ -17,15 +24,17 @@ others are joined by hash, where no key holds more than N / HEAVY rows.
 The filter takes ``BITS_PER_EVENT`` bits an event at every size. Up to
 ``BROADCAST_BITS`` workers hold all of it. Past that no process does: each batch
 of texts asks its distinct keys of the filter's parts, one key range at a time,
-and the answers (a byte a key) return to the batch; the scores are the same.
+and the answers (two bytes a key) return to the batch; the scores are the same.
 
-Defined results: a null text is the end token alone; repeated rows are counted
-and scored each; with no training text every word is unknown.
+Defined results: a null text is the end token alone; a null id is in no held-out
+fold; repeated rows are counted and scored each; texts of any length are scored
+whole, a task holds the tokens of one batch; with no training text every word
+is unknown; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,11 +47,13 @@ from pyspark.sql.types import StructField, StructType
 from .common import discard, extended, fold, path_of, small_batches, written
 from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
 
-KEY_BITS = 44
-BASE = 1.5
-MU = 200.0
-PROBES = 4
-BITS_PER_EVENT = 8
+KEY_BITS = 56
+BASE = 1.02
+MU = 500.0
+#: Bits of a key's first event, whose false positives are unseen bigrams, and of each later one.
+FIRST, LATER = 12, 8
+LINEAR = 8
+BITS_PER_EVENT = 16
 BROADCAST_BITS = 1 << 33
 HEAVY = 1 << 22
 #: The end token, also the context of the first word; no word holds white space.
@@ -51,6 +62,18 @@ _FLUSH = 4_000_000
 _SHIFT = np.uint64(64 - KEY_BITS)
 
 
+def _cells() -> np.ndarray:
+    """The least count of each cell; the last one, of some 10 ** 12, has no end."""
+    least = [1]
+    while len(least) < 1300:
+        least.append(max(least[-1] + 1, int(np.ceil(least[-1] * BASE))))
+    return np.array(least, np.int64)
+
+
+_LEAST = _cells()
+_MEAN = np.concatenate([[0.0], (_LEAST + np.append(_LEAST[1:] - 1, _LEAST[-1])) / 2])
+
+
 def _word_keys(words: np.ndarray) -> np.ndarray:
     return mixed(words * ODD[0] + np.uint64(1)) >> _SHIFT
 
@@ -123,71 +146,104 @@ def word_counts(counted: DataFrame) -> DataFrame:
     return counted.filter(~F.col("pairs")).groupBy("range").applyInPandas(merge, "h long, c long")
 
 
-def _places(keys: np.ndarray, j: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+def _places(keys: np.ndarray, j: np.ndarray | int, bits: np.ndarray | int, probes: int) -> Iterator[np.ndarray]:
     """The bit positions of events (key, j)."""
-    x = mixed(keys * ODD[1] + np.uint64(j * int(ODD[2]) % (1 << 64)))
+    x = mixed(keys * ODD[1] + np.asarray(j, np.uint64) * ODD[2])
     step = (x >> np.uint64(32)) | np.uint64(1)
     low = x & np.uint64(0xFFFFFFFF)
-    for i in range(PROBES):
+    for i in range(probes):
         yield (low + np.uint64(i) * step) % np.asarray(bits, np.uint64)
 
 
 def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int = BITS_PER_EVENT) -> DataFrame:
-    """The filter: one row a key range (``range``, ``events``, ``bits``)."""
+    """The filter: one row a key range (``range``, ``events``, ``filled`` share, ``bits``)."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = _merged(rows["squeezed"])
-        q = 1 + np.floor(np.log(n) / np.log(BASE) + 1e-9).astype(np.int64)
+        q = np.searchsorted(_LEAST, n, "right")
         size = int(max(64, q.sum() * bits_per_event)) // 8 * 8
         flags = np.zeros(size, bool)
         for j in range(1, int(q.max()) + 1):
-            own = keys[q >= j]
-            for at in _places(own, j, size):
+            keys, q = keys[q >= j], q[q >= j]
+            for at in _places(keys, j, size, FIRST if j == 1 else LATER):
                 flags[at.astype(np.int64)] = True
-        return pd.DataFrame({"range": [int(rows["range"].iloc[0])], "events": [int(q.sum())], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+        return pd.DataFrame({"range": [int(rows["range"].iloc[0])], "events": [int(np.searchsorted(_LEAST, n, "right").sum())], "filled": [float(flags.mean())], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    return counted.filter("pairs").groupBy("range").applyInPandas(build, "`range` int, events long, bits binary")
+    return counted.filter("pairs").groupBy("range").applyInPandas(build, "`range` int, events long, filled double, bits binary")
 
 
 def _steps(keys: np.ndarray, bits: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The quantised count of each key by probing its part of ``bits``; 0 if the first probe fails."""
+    """The cell of each key by probing its part of ``bits``; 0 if the first event is missing."""
     q = np.zeros(len(keys), np.int64)
+
+    def held(at: np.ndarray, j: np.ndarray | int, probes: int) -> np.ndarray:
+        """Which of ``keys[at]`` have their event j, as a mask."""
+        out, left = np.zeros(len(at), bool), np.arange(len(at))
+        x = mixed(keys[at] * ODD[1] + np.asarray(j, np.uint64) * ODD[2])
+        step, low, size, start = (x >> np.uint64(32)) | np.uint64(1), x & np.uint64(0xFFFFFFFF), sizes[at].astype(np.uint64), starts[at]
+        for i in range(probes):
+            place = start + ((low + np.uint64(i) * step) % size).astype(np.int64)
+            hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            left, low, step, size, start = left[hit], low[hit], step[hit], size[hit], start[hit]
+        out[left] = True
+        return out
+
     alive = np.flatnonzero(sizes > 0)
-    j = 1
-    while len(alive) and j < 200:
-        hit = np.ones(len(alive), bool)
-        for at in _places(keys[alive], j, sizes[alive]):
-            at = starts[alive] + at.astype(np.int64)
-            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        alive = alive[hit]
+    for j in range(1, LINEAR + 1):
+        alive = alive[held(alive, j, FIRST if j == 1 else LATER)]
         q[alive] = j
-        j += 1
+    low, high = np.full(len(alive), LINEAR), np.full(len(alive), len(_LEAST) + 1)
+    reach = 2 * LINEAR
+    climbing = np.arange(len(alive))
+    while len(climbing) and reach <= len(_LEAST):
+        hit = held(alive[climbing], reach, LATER)
+        low[climbing[hit]], high[climbing[~hit]] = reach, reach
+        climbing, reach = climbing[hit], 2 * reach
+    while len(between := np.flatnonzero(high - low > 1)):
+        middle = (low[between] + high[between]) // 2
+        hit = held(alive[between], middle, LATER)
+        low[between[hit]], high[between[~hit]] = middle[hit], middle[~hit]
+    q[alive] = low
     return q
 
 
-def _step_counts(q: np.ndarray) -> np.ndarray:
-    """The middle of each quantised step."""
-    return np.where(q > 0, np.maximum(1.0, (BASE ** (q - 1.0) + BASE**q - 1) / 2), 0.0)
-
-
 class Model:
     """The filter and the frequent words' exact counts; past ``BROADCAST_BITS``, ``parts`` is the filter's table and ``bits`` is empty."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, parts: str | None = None):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, false: float = 0.0, parts: str | None = None):
         self.bits, self.sizes, self.starts = bits, sizes * 8, (np.cumsum(sizes) - sizes) * 8
         self.range_shift = np.uint64(KEY_BITS - len(sizes).bit_length() + 1)
         order = np.argsort(heavy)
         self.heavy, self.heavy_counts = heavy[order], heavy_counts[order]
-        self.tokens, self.distinct, self.parts = tokens, distinct, parts
+        self.tokens, self.distinct, self.false, self.parts = tokens, distinct, false, parts
         self.hasher: WordHasher | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"hasher": None}
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts by probing, as the middle of the quantised step; 0 if the first probe fails."""
+        """Counts by probing, as the mean of the cell."""
         r = (keys >> self.range_shift).astype(np.int64)
-        return _step_counts(_steps(keys, self.bits, self.sizes[r], self.starts[r]))
+        return _MEAN[_steps(keys, self.bits, self.sizes[r], self.starts[r])]
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        """Counts of the frequent words among ``words``, 0 for others."""
+        at = np.searchsorted(self.heavy, words)
+        at[at == len(self.heavy)] = 0
+        return np.where(self.heavy[at] == words, self.heavy_counts[at], 0) if len(self.heavy) else np.zeros(len(words), np.int64)
+
+    def probability(self, before: np.ndarray, words: np.ndarray, count: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """P(word | word before) of each pair of hashes."""
+        count = count or self.count
+        known, back = np.unique(np.concatenate([before, words]), return_inverse=True)
+        single = self.exact(known)
+        rare = np.flatnonzero(single == 0)
+        single = single.astype(float)
+        single[rare] = count(_word_keys(known[rare]))
+        pairs, pair_back = np.unique(_pair_keys(before, words), return_inverse=True)
+        c_before, c = single[back[: len(before)]], single[back[len(before) :]]
+        pair = np.minimum(count(pairs)[pair_back], np.minimum(c_before, c))
+        return (pair + MU * (c + 1) / (self.tokens + self.distinct + 1.0)) / (c_before + self.false + MU)
 
     def asked(self, texts: list[str | None]) -> np.ndarray:
         """All keys whose counts :meth:`score` reads, sorted."""
@@ -204,19 +260,13 @@ class Model:
         words, sizes = _tokens(self.hasher, texts)
         count = self.count
         if steps is not None:
-            known, answers = self.asked(texts), _step_counts(steps.astype(np.int64))
+            known, answers = self.asked(texts), _MEAN[steps.astype(np.int64)]
             count = lambda keys: answers[np.searchsorted(known, keys)]
         distinct, back = np.unique(words, return_inverse=True)
-        at = np.searchsorted(self.heavy, distinct)
-        at[at == len(self.heavy)] = 0
-        frequent = self.heavy[at] == distinct if len(self.heavy) else np.zeros(len(distinct), bool)
-        c = np.where(frequent, self.heavy_counts[at] if len(self.heavy) else 0, 0)
+        c = self.exact(distinct)
+        frequent = c > 0
         whole = self.tokens + self.distinct + 1.0
-        single = count(_word_keys(distinct))
-        pairs, pair_back = np.unique(_pair_keys(_previous(words), words), return_inverse=True)
-        pair = count(pairs)[pair_back]
-        before = np.concatenate([count(_word_keys(np.array([END]))), single[back][:-1]]) if len(words) else single
-        p = (np.minimum(pair, before) + MU * (single[back] + 1) / whole) / (before + MU)
+        p = self.probability(_previous(words), words, count)
         starts = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
         base, score, known = add(np.log10((c + 1) / whole)[back]), add(np.log10(p)), add((c > 0)[back].astype(np.int64))
@@ -228,7 +278,7 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None, heavy: int = HEAVY, broadcast_bits: int = BROADCAST_BITS) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None, heavy: int = HEAVY, bits_per_event: int = BITS_PER_EVENT, broadcast_bits: int = BROADCAST_BITS) -> tuple[Model, DataFrame]:
     """The model of all rows of ``docs``, and all words' exact counts."""
     spark = docs.sparkSession
     ranges = ranges or 64 << max(0, (docs.count() // 1_000_000).bit_length())
@@ -236,18 +286,20 @@ def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None,
     words = written(word_counts(counted), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = words.filter(F.col("c") * heavy >= n).toArrow()  # at most `heavy` rows, as the counts sum to n
-    built = written(filter_parts(counted, ranges=ranges), "lm-filter")
+    built = written(filter_parts(counted, ranges=ranges, bits_per_event=bits_per_event), "lm-filter")
     discard(counted)
     sizes = np.zeros(ranges, np.int64)
-    for r, size in built.select("range", F.octet_length("bits")).collect():
+    false = 0.0
+    for r, size, filled in built.select("range", F.octet_length("bits"), "filled").collect():
         sizes[r] = size
+        false += v * filled**FIRST / ranges
     whole = int(sizes.sum()) * 8 <= broadcast_bits
     bits, ends = np.zeros(max(1, int(sizes.sum())) if whole else 0, np.uint8), np.cumsum(sizes)
     for a in range(0, ranges if whole else 0, 8):  # a few parts at a time: the driver holds the filter once
         for r in built.filter(F.col("range").between(a, a + 7)).select("range", "bits").collect():
             bits[ends[r["range"]] - sizes[r["range"]] : ends[r["range"]]] = np.frombuffer(r.bits, np.uint8)
     keys, many = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
-    return Model(bits, sizes, keys, many, n, v, None if whole else path_of(built)), words.filter(F.col("c") * heavy < n)
+    return Model(bits, sizes, keys, many, n, v, false, None if whole else path_of(built)), words.filter(F.col("c") * heavy < n)
 
 
 def _ask(source: DataFrame, shipped: Broadcast, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -284,7 +336,7 @@ def _ask(source: DataFrame, shipped: Broadcast, parts: DataFrame) -> tuple[DataF
                     continue
                 keys = np.frombuffer(payload, np.uint64)
                 size = np.full(len(keys), 8 * len(bits) if r == held else 0, np.int64)
-                out.append((chunk, r, _steps(keys, bits, size, np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes()))
+                out.append((chunk, r, _steps(keys, bits, size, np.zeros(len(keys), np.int64)).astype(np.uint16).tobytes()))
             chunks, ranges, payloads = zip(*out, strict=True) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ranges, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "range", "payload"])
 
@@ -321,7 +373,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_
 
     def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
         texts, answers = texts.sort_by("row"), answers.sort_by("range")
-        steps = np.frombuffer(b"".join(answers.column("payload").to_pylist()), np.uint8)
+        steps = np.frombuffer(b"".join(answers.column("payload").to_pylist()), np.uint16)
         rows = shipped.value.score(texts.column("text").to_pylist(), steps)
         return pa.Table.from_arrays([*texts.select(["_id", "held_out"]).columns, *columns(rows, texts.column("row")[0].as_py() if rows else 0)], names=schema.names)
 

@@ -143,11 +143,57 @@ def test_language_model(spark, docs, rows, empty):
         tokens = [*words(text[r.doc_id]), None]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(tokens), sum(train[t] > 0 for t in tokens), n)
         assert math.isclose(r.base_score, sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens), rel_tol=1e-9)
-        assert r.score <= 0
+    # the score against the formula with exact counts; so many bits that no probe is false, counts over 50 rounded
+    model, rare = language_model.train(docs.filter(fold("doc_id", 7) != 2), bits_per_event=100)
+    assert model.false < 1e-6
+    pairs = Counter()
+    for r in rows:
+        if not held(r[0]):
+            tokens = [None, *words(r[1]), None]
+            pairs.update(zip(tokens, tokens[1:], strict=False))
+    cell = lambda c: language_model._MEAN[np.searchsorted(language_model._LEAST, c, "right")]
+    for r in language_model.score(docs, model, rare).collect():
+        tokens = [None, *words(text[r.doc_id]), None]
+        p = [(min(cell(pairs[v, w]), train[v], train[w]) + language_model.MU * (train[w] + 1) / (n + v_count + 1)) / (train[v] + language_model.MU) for v_count in [len(train)] for v, w in zip(tokens, tokens[1:], strict=False)]
+        assert math.isclose(r.score, sum(map(math.log10, p)), rel_tol=1e-6)
     model, rare = language_model.train(empty)
     assert language_model.score(empty, model, rare).count() == 0
 
 
+def test_language_model_sums_to_one(spark):
+    """After rare and common words, the probabilities of all words sum to 1."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(vocabulary[min(3999, int(rnd.paretovariate(0.6)))] for _ in range(200)) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _ = language_model.train(docs)
+    seen = Counter(w for t in texts for w in t.split())
+    hasher = language_model.WordHasher()
+    every = np.append(hasher(" ".join(seen)), language_model.END)
+    common = [w for w, _ in seen.most_common(6)]
+    rare = [w for w, c in seen.items() if c in (1, 2, 7, 30)][:30]
+    for v in common + rare:
+        before = np.repeat(hasher(v), len(every))
+        assert abs(model.probability(before, every).sum() - 1) < 0.01, (v, seen[v])
+
+
+def test_counts_are_read_back():
+    """Cells hold each count, and probing finds the cell of any count."""
+    n = np.array([1, 2, 9, 10, 11, 12, 13, 100, 5000, 10**6, 10**10])
+    q = np.searchsorted(language_model._LEAST, n, "right")
+    assert (language_model._MEAN[q][n <= 13] == n[n <= 13]).all()
+    assert (abs(language_model._MEAN[q] - n) <= 0.013 * n).all()
+    keys = np.arange(1, len(n) + 1, dtype=np.uint64) * np.uint64(1 << 30)
+    flags = np.zeros(1 << 18, bool)
+    for k, most in zip(keys, q, strict=True):
+        for j in range(1, most + 1):
+            for at in language_model._places(np.array([k]), j, len(flags), language_model.FIRST if j == 1 else language_model.LATER):
+                flags[at.astype(np.int64)] = True
+    bits = np.packbits(flags, bitorder="little")
+    ask = np.append(keys, np.uint64(5))
+    assert language_model._steps(ask, bits, np.full(len(ask), len(flags)), np.zeros(len(ask), np.int64)).tolist() == [*q.tolist(), 0]
+
+
 def test_toxicity(spark, docs, empty):
     rnd = random.Random(2)
     texts = [(i, " ".join(rnd.choice(["red", "blue", "tree", "sky", "road", "song"]) for _ in range(30)) + (" idiot moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
