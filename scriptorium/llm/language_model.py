@@ -51,10 +51,11 @@ KEY_BITS = 56
 BASE = 1.02
 MU = 500.0
 #: Bits of a key's first event, whose false positives are unseen bigrams, and of each later one.
-FIRST, LATER = 12, 8
+FIRST, LATER = 10, 5
 LINEAR = 8
-BITS_PER_EVENT = 16
-BROADCAST_BITS = 1 << 33
+BITS_PER_EVENT = 12
+#: Up to 192 MB of filter a worker holds all of it.
+BROADCAST_BITS = 3 << 29
 HEAVY = 1 << 22
 #: The end token, also the context of the first word; no word holds white space.
 END = np.uint64(0x5E6D1A7C3B2F4E91)
@@ -172,23 +173,26 @@ def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int =
     return counted.filter("pairs").groupBy("range").applyInPandas(build, "`range` int, events long, filled double, bits binary")
 
 
-def _steps(keys: np.ndarray, bits: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The cell of each key by probing its part of ``bits``; 0 if the first event is missing."""
+def _steps(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The cell of each key by probing its part of the filter; 0 if the first event is missing."""
     q = np.zeros(len(keys), np.int64)
+    if not len(bits):
+        return q
+    size = np.uint64(8 * len(bits))
 
     def held(at: np.ndarray, j: np.ndarray | int, probes: int) -> np.ndarray:
         """Which of ``keys[at]`` have their event j, as a mask."""
         out, left = np.zeros(len(at), bool), np.arange(len(at))
         x = mixed(keys[at] * ODD[1] + np.asarray(j, np.uint64) * ODD[2])
-        step, low, size, start = (x >> np.uint64(32)) | np.uint64(1), x & np.uint64(0xFFFFFFFF), sizes[at].astype(np.uint64), starts[at]
+        step, low = (x >> np.uint64(32)) | np.uint64(1), x & np.uint64(0xFFFFFFFF)
         for i in range(probes):
-            place = start + ((low + np.uint64(i) * step) % size).astype(np.int64)
+            place = ((low + np.uint64(i) * step) % size).astype(np.int64)
             hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            left, low, step, size, start = left[hit], low[hit], step[hit], size[hit], start[hit]
+            left, low, step = left[hit], low[hit], step[hit]
         out[left] = True
         return out
 
-    alive = np.flatnonzero(sizes > 0)
+    alive = np.arange(len(keys))
     for j in range(1, LINEAR + 1):
         alive = alive[held(alive, j, FIRST if j == 1 else LATER)]
         q[alive] = j
@@ -208,10 +212,10 @@ def _steps(keys: np.ndarray, bits: np.ndarray, sizes: np.ndarray, starts: np.nda
 
 
 class Model:
-    """The filter and the frequent words' exact counts; past ``BROADCAST_BITS``, ``parts`` is the filter's table and ``bits`` is empty."""
+    """The filter (an array a key range) and the frequent words' exact counts; past ``BROADCAST_BITS``, ``parts`` is the filter's table and ``bits`` is empty."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, false: float = 0.0, parts: str | None = None):
-        self.bits, self.sizes, self.starts = bits, sizes * 8, (np.cumsum(sizes) - sizes) * 8
+    def __init__(self, bits: list[np.ndarray], sizes: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, tokens: int, distinct: int, false: float = 0.0, parts: str | None = None):
+        self.bits, self.sizes = bits, sizes * 8
         self.range_shift = np.uint64(KEY_BITS - len(sizes).bit_length() + 1)
         order = np.argsort(heavy)
         self.heavy, self.heavy_counts = heavy[order], heavy_counts[order]
@@ -223,8 +227,13 @@ class Model:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts by probing, as the mean of the cell."""
-        r = (keys >> self.range_shift).astype(np.int64)
-        return _MEAN[_steps(keys, self.bits, self.sizes[r], self.starts[r])]
+        order = np.argsort(keys, kind="stable")
+        ranges = (keys[order] >> self.range_shift).astype(np.int64)
+        own, first = np.unique(ranges, return_index=True)
+        q = np.zeros(len(keys), np.int64)
+        for r, at in zip(own, np.split(order, first[1:]), strict=False):  # no keys: no range, one empty piece
+            q[at] = _steps(keys[at], self.bits[r])
+        return _MEAN[q]
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Counts of the frequent words among ``words``, 0 for others."""
@@ -247,7 +256,7 @@ class Model:
 
     def asked(self, texts: list[str | None]) -> np.ndarray:
         """All keys whose counts :meth:`score` reads, sorted."""
-        self.hasher = self.hasher or WordHasher()
+        self.hasher = self.hasher or WordHasher(120_000)
         words, _ = _tokens(self.hasher, texts)
         return np.unique(np.concatenate([_word_keys(words), _word_keys(np.array([END])), _pair_keys(_previous(words), words)]))
 
@@ -256,7 +265,7 @@ class Model:
 
         ``steps`` answers the keys of :meth:`asked` in their order, where the filter is not held here.
         """
-        self.hasher = self.hasher or WordHasher()
+        self.hasher = self.hasher or WordHasher(120_000)
         words, sizes = _tokens(self.hasher, texts)
         count = self.count
         if steps is not None:
@@ -294,10 +303,10 @@ def train(docs: DataFrame, *, text_col: str = "text", ranges: int | None = None,
         sizes[r] = size
         false += v * filled**FIRST / ranges
     whole = int(sizes.sum()) * 8 <= broadcast_bits
-    bits, ends = np.zeros(max(1, int(sizes.sum())) if whole else 0, np.uint8), np.cumsum(sizes)
-    for a in range(0, ranges if whole else 0, 8):  # a few parts at a time: the driver holds the filter once
-        for r in built.filter(F.col("range").between(a, a + 7)).select("range", "bits").collect():
-            bits[ends[r["range"]] - sizes[r["range"]] : ends[r["range"]]] = np.frombuffer(r.bits, np.uint8)
+    bits = [np.zeros(0, np.uint8)] * (ranges if whole else 0)
+    for a in range(0, len(bits), 4):  # a few parts at a time: the driver holds the filter once
+        for r in built.filter(F.col("range").between(a, a + 3)).select("range", "bits").collect():
+            bits[r["range"]] = np.frombuffer(r.bits, np.uint8)
     keys, many = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
     return Model(bits, sizes, keys, many, n, v, false, None if whole else path_of(built)), words.filter(F.col("c") * heavy < n)
 
@@ -335,8 +344,7 @@ def _ask(source: DataFrame, shipped: Broadcast, parts: DataFrame) -> tuple[DataF
                     held, bits = r, np.frombuffer(payload, np.uint8)
                     continue
                 keys = np.frombuffer(payload, np.uint64)
-                size = np.full(len(keys), 8 * len(bits) if r == held else 0, np.int64)
-                out.append((chunk, r, _steps(keys, bits, size, np.zeros(len(keys), np.int64)).astype(np.uint16).tobytes()))
+                out.append((chunk, r, _steps(keys, bits if r == held else bits[:0]).astype(np.uint16).tobytes()))
             chunks, ranges, payloads = zip(*out, strict=True) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ranges, pa.int32()), pa.array(payloads, pa.binary())], names=["chunk", "range", "payload"])
 
@@ -367,9 +375,10 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_
 
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            rows = shipped.value.score(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *columns(rows, row)], names=schema.names)
-            row += len(rows)
+            for part in (b.slice(a, 512) for a in range(0, b.num_rows, 512)):
+                rows = shipped.value.score(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns(rows, row)], names=schema.names)
+                row += len(rows)
 
     def answered(texts: pa.Table, answers: pa.Table) -> pa.Table:
         texts, answers = texts.sort_by("row"), answers.sort_by("range")
