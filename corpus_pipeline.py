@@ -2,7 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir),
 and its result is written as Parquet and read again for the next. All stages
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``. Every stage takes null ids,
+null and empty texts, texts of any length, repeated rows and further columns;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,35 +18,44 @@ from scriptorium.llm.common import documents, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known: not ``und``, and likelier than not."""
+    """Keep documents whose language is known: not ``und``, and likelier than not.
+
+    Null texts and texts without a letter go; repeated rows share their fate.
+    """
     return language_id.accepted(docs, language_id.train(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass the base rule and the certified cutoffs."""
+    """Keep documents that pass the base rule and the certified cutoffs of their language.
+
+    Null and short texts fail the base rule; a row without an id or a label is
+    judged like all others; without labels only the base rule rejects.
+    """
     return quality_rules.filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies the document with the smallest id, and rows without an id.
+    """Keep one document of each group of near copies: the one with the smallest id.
 
-    Repeated rows of an id count as one document, of which one row stays.
+    Rows with an id come before those without, equal ids in the order of a
+    digest of the whole row; rows equal in all columns are one document. Texts
+    without a word are copies of nothing and stay.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    groups = jaccard_join.clustered(named)
-    first = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
-    one = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    digest = F.unhex(F.md5(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary")))
+    keyed = docs.select(F.struct("*").alias("_row"), F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), digest.alias("digest")).alias("_key"))
+    groups = jaccard_join.clustered(keyed.select("_key", F.col("_row.text").alias("text")), id_col="_key")
+    first = groups.filter(F.col("_key") == F.col("component_id")).select("_key.digest").distinct()
+    return keyed.withColumn("digest", F.col("_key.digest")).join(written(first, "first-of-group"), "digest", "left_semi").dropDuplicates(["digest"]).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences."""
+    """Pack the documents into sequences; a null text is its end token, each repeated row is packed."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("pack", pack)]
 
-#: No SQL: language models, certified cutoffs and tokenizers are beyond it; tests hold it against brute force.
+#: No SQL: language models and tokenizers are beyond it; ``tests/llm/test_pipeline.py`` holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -194,6 +194,7 @@ def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, bits: int,
     """One pass: per row id, set size, class and bitmap; per task what it adds to the count sketch."""
     identity = identity or Identity()
     schema = extended(docs.select(F.col(id_col).alias("id")), "n long, class long, other long, bits binary, part int, counts binary")
+    schema["id"].nullable = True  # rows of the sketch have no id
     part_bits = np.uint64(min(20, bits - 6))
     pieces = 1 << (bits - int(part_bits))
 

@@ -1,19 +1,27 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule maps a text to a whole level from 0 to 100 and rejects levels above
-a cutoff. Cutoffs are chosen for each stratum (language) from all labelled
-rows: a cutoff is certified if the exact binomial tail P(Bin(n, limit) <= k)
-of its k false rejections among n good texts is at most ``delta`` divided by
-the number of (stratum, rule) families (Bonferroni). Within a family cutoffs
-are tested from lenient to strict; the tail grows along that order, so the
-sequence needs no further correction. Of the certified cutoffs the one with
-the best balance of bad and good texts rejected is taken, the most lenient one
-on a tie. With probability 1 - ``delta`` no stratum loses more than ``risk`` of
-its good texts to the rules; a stratum with too few labels gets no cutoff.
+Each rule maps a text to a whole level from 0 to 100. Within a stratum
+(language) a level's rank is the permille of all texts of the stratum with a
+smaller level; no label enters it. A text's severity is its highest rank under
+any rule, so one cutoff on the severity is a cutoff for every rule, and all
+rules together have one family of cutoffs a stratum.
+
+Cutoffs are tested on the labelled texts from lenient to strict. A cutoff is
+certified if the exact binomial tail P(Bin(n, risk) <= k) of its k false
+rejections among the n good texts is at most ``delta`` divided by the number of
+strata (Bonferroni); the tail grows along the order, so the sequence itself
+needs no correction. Of the certified cutoffs the one with the best balance of
+bad and good texts rejected is taken, the most lenient one on a tie. With
+probability 1 - ``delta`` no stratum loses more than ``risk`` of its good texts
+to the rules. A stratum needs ln(delta / strata) / ln(1 - risk) good labels
+(about 220 for four strata); one with fewer gets no cutoff.
 
 Defined results: a null text has no words and fails the base rule; a null
-language is a stratum of its own; a text with several labels counts with the
-lowest; without labels only the base rule rejects.
+language is a stratum of its own; a null id has no label; a text with several
+labels counts with the lowest, and a label of an id on several rows counts for
+each; repeated rows get the same verdict; texts of any length are measured
+whole; levels and severities at a cutoff are kept; without labels only the base
+rule rejects; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -116,31 +124,50 @@ def _tail(n: Column, k: Column, limit: float, enough: float) -> Column:
     return F.when(k >= n * limit, F.lit(1.0)).when(chernoff <= enough, chernoff).otherwise(exact)
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Certified cutoffs: one row a stratum that has any, a column a rule (null: none).
+def _stratum(c: str) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("stratum"), F.col(c).isNull().alias("unnamed")]
+
+
+def certificates(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """One row a stratum that has a certified cutoff: the cutoff's severity, the good texts (``n``), those it rejects (``k``), the bad texts rejected (``hit``) of ``n_bad``, the ``tail`` and its bound, a column a rule with its greatest level kept.
 
     ``stats`` has the id, the stratum and the struct of :func:`measured`.
     """
+    own = ["stratum", "unnamed"]
+    levelled = stats.filter(~base_failed()).select(F.col(id_col).alias("_k"), *_stratum(stratum_col), *[c.alias(r) for r, c in levels().items()])
+    lifted = levelled.select(*own, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x")).select(*own, "x.rule", "x.level")
+    texts = lifted.groupBy(*own, "rule", "level").agg(F.count(F.lit(1)).alias("texts"))
+    all_of = Window.partitionBy(*own, "rule")
+    below = F.coalesce(F.sum("texts").over(all_of.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = written(texts.select(*own, "rule", "level", F.floor(1000 * below / F.sum("texts").over(all_of)).cast("int").alias("rank")), "quality-ranks")
+    # at most 101 levels a rule
+    ranks = ranked.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "rule", "level"), "rank"))).alias("ranks"))
     good = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_k")).agg(F.min(label_col).alias("_good"))
-    lifted = stats.filter(~base_failed()).select(F.col(id_col).alias("_k"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(stratum_col).isNull().alias("unnamed"), F.explode(F.create_map(*[x for r, c in levels().items() for x in (F.lit(r), c)])).alias("rule", "level"))
-    counted = lifted.join(good, "_k").groupBy("stratum", "unnamed", "rule", "level").agg(F.sum((F.col("_good") == 1).cast("long")).alias("good"), F.sum((F.col("_good") == 0).cast("long")).alias("bad"))
-    families = counted.select("stratum", "unnamed").distinct().count() * len(RULES)
-    limit, enough = risk / len(RULES), delta / max(1, families)
-    own = Window.partitionBy("stratum", "unnamed", "rule")
-    above = own.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    severity = F.greatest(*[F.element_at("ranks", F.concat_ws(":", F.lit(r), F.col(r))) for r in RULES])
+    counted = levelled.join(good, "_k").join(ranks, own).groupBy(*own, severity.alias("severity")).agg(F.sum((F.col("_good") == 1).cast("long")).alias("good"), F.sum((F.col("_good") == 0).cast("long")).alias("bad"))
+    counted = written(counted, "quality-counts")
+    enough = delta / max(1, counted.select(*own).distinct().count())
+    each = Window.partitionBy(*own)
+    above = each.orderBy(F.desc("severity")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    cut = counted.withColumn("n", F.sum("good").over(own)).withColumn("n_bad", F.sum("bad").over(own)).withColumn("k", F.coalesce(F.sum("good").over(above), zero)).withColumn("hit", F.coalesce(F.sum("bad").over(above), zero))
-    certified = cut.filter(F.col("n") > 0).withColumn("tail", _tail(F.col("n"), F.col("k"), limit, enough)).filter((F.col("tail") <= enough) & (F.col("hit") > 0))
+    cut = counted.withColumn("n", F.sum("good").over(each)).withColumn("n_bad", F.sum("bad").over(each)).withColumn("k", F.coalesce(F.sum("good").over(above), zero)).withColumn("hit", F.coalesce(F.sum("bad").over(above), zero))
+    certified = cut.filter(F.col("n") > 0).withColumn("tail", _tail(F.col("n"), F.col("k"), risk, enough)).filter((F.col("tail") <= enough) & (F.col("hit") > 0))
     balance = F.col("hit") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("k") / F.col("n")
-    best = certified.groupBy("stratum", "unnamed", "rule").agg(F.max_by("level", F.struct(balance, F.col("level"))).alias("cutoff"))
-    return best.groupBy("stratum", "unnamed").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    best = certified.groupBy(*own).agg(F.max_by(F.struct("severity", "n", "k", "hit", "n_bad", "tail"), F.struct(balance, F.col("severity"))).alias("best")).select(*own, "best.*", F.lit(enough).alias("bound"))
+    kept = ranked.join(best.select(*own, "severity"), own).filter(F.col("rank") <= F.col("severity")).groupBy(*own).agg(*[F.max(F.when(F.col("rule") == r, F.col("level"))).alias(f"cut_{r}") for r in RULES])
+    return best.join(kept, own)
+
+
+def thresholds(stats: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The cutoffs of :func:`certificates` alone: a row a certified stratum, a column a rule."""
+    return certificates(stats, labels, **options).select("stratum", "unnamed", *[f"cut_{r}" for r in RULES])
 
 
 def judged(docs: DataFrame, cutoffs: DataFrame, *, stratum_col: str = "lang") -> DataFrame:
     """Rows of :func:`measured` with ``_base_failed`` and ``_kept``.
 
-    The cutoffs may be broadcast: a stratum is among them only if over a
-    thousand labelled texts certify it (the tail of fewer cannot be small).
+    The cutoffs may be broadcast: a stratum is among them only if some hundreds
+    of labelled texts certify it (the tail of fewer cannot be small).
     """
     c = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("unnamed").alias("_unnamed"), *[F.col(f"cut_{r}").alias(f"_cut_{r}") for r in RULES])
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
@@ -165,9 +192,13 @@ def rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def filtered(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    stats = measured(docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("_lang"), F.col(text_col).alias("_text")), "_text").select("_id", "_lang", "_q")
-    cutoffs = written(thresholds(stats, labels.select(F.col(id_col).alias("_id"), "quality"), id_col="_id", stratum_col="_lang"), "cutoffs")
+    """The rows of ``docs`` that are kept, with the columns of ``docs``.
+
+    Texts are measured once: rows are written beside their counts, from which
+    both the cutoffs and the verdicts are read.
+    """
     row = docs.select(F.struct("*").alias("_row"))
-    out = row.select("_row", F.col(f"_row.{text_col}").alias("_text"), F.col(f"_row.{stratum_col}").alias("_lang"))
-    return judged(measured(out, "_text"), cutoffs, stratum_col="_lang").filter("_kept").select("_row.*")
+    row = row.select("_row", F.col(f"_row.{text_col}").alias("_text"), F.col(f"_row.{stratum_col}").alias("_lang"), F.col(f"_row.{id_col}").alias("_id"))
+    stats = written(measured(row, "_text").drop("_text"), "quality-rows")
+    cutoffs = thresholds(stats, labels.select(F.col(id_col).alias("_id"), "quality"), id_col="_id", stratum_col="_lang")
+    return judged(stats, cutoffs, stratum_col="_lang").filter("_kept").select("_row.*")
