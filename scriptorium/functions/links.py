@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .text import quoted
 
 # Suffixes of the readers.
-IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "tif", "tiff", "bmp", "heic")
+IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "tif", "tiff", "bmp")
 TEXTS = ("pdf", "docx", "pptx", "xlsx", "odt", "odp", "ods")
+MOODLE_TEXTS = ("pdf", "doc", "docx", "odt", "ppt", "pptx", "odp", "xls", "xlsx", "ods", "txt", "md")
+ILIAS_TEXTS = ("pdf", "docx", "pptx", "xlsx")
+#: The most bytes that are sent to be read.
+MOST_BYTES = {"pdf": 100 << 20, "image": 20 << 20, "media": 200_000_000, "body": 512 << 20}
 RECORDINGS = ("mp3", "wav", "m4a", "ogg", "flac", "aac", "opus", "wma", "mp4", "mov", "webm", "mkv", "avi", "m4v")
 MAGIC = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif", "49492A00": "image/tiff", "4D4D002A": "image/tiff", "424D": "image/bmp"}
 
@@ -19,9 +23,30 @@ def _suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
 
 
 def extractable(name: Column, mime: Column) -> Column:
-    """A file whose text can be read."""
+    """A file whose text can be read; a MIME type may be cut short."""
     m = F.lower(F.coalesce(mime, F.lit("")))
-    return _suffix(name, TEXTS) | m.contains("pdf") | m.contains("officedocument") | m.contains("opendocument")
+    return _suffix(name, TEXTS) | m.contains("pdf") | m.contains("openxmlformats") | m.contains("officedocument") | m.contains("opendocument")
+
+
+def extractable_by_name(name: Column, platform: str) -> Column:
+    """The same on platforms that go by the name alone."""
+    return _suffix(name, {"moodle": MOODLE_TEXTS, "ilias": ILIAS_TEXTS}[platform])
+
+
+def within_cap(content: Column, kind: str) -> Column:
+    """Whether content is small enough to be sent."""
+    return F.octet_length(content) <= MOST_BYTES[kind]
+
+
+def scan_wanted(content: Column) -> Column:
+    """A PDF or an image the reader accepts, within its cap."""
+    pdf = F.hex(F.substring(content, 1, 4)) == "25504446"
+    return F.when(pdf, within_cap(content, "pdf")).otherwise((image_mime(content) != "") & within_cap(content, "image"))
+
+
+def media_wanted(size: Column, downloadable: Column) -> Column:
+    """A recording that may be fetched and is not too long to send; an unknown size is taken."""
+    return not_false(downloadable) & (F.coalesce(size, F.lit(0)) <= MOST_BYTES["media"])
 
 
 def transcribable(name: Column, mime: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ SUFFIXES = ("ungen", "enen", "erin", "innen", "chen", "lein", "isch", "en", "er"
 COMPOUND = "befragung|erfahrung|kompetenz|veranstaltung|bewertung|prüfung|klausur|ergebnis|unterricht|lehrende[nr]?|studier|schulung|beratung|verwaltung|entwicklung|forschung|bildung|nutzung|anwendung|sitzung|modul"
 #: White space as Unicode and the usual text tools see it; engines' own \s differ.
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NO_WS = "[^" + WS[1:]
 DIGITS = r"^[\p{Nd}²³¹⁰-⁹₀-₉]+$"
 WORD = r"[\p{L}\p{N}_]+"
 POSITIONAL = r"^(S\. \d+|Folie \d+|\d+(:\d+)?:\d{2})$"
@@ -53,14 +54,43 @@ def tidy(c: Column | str) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
-#: Named entities that course pages use; ``&amp;`` comes last.
-NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&middot;": "·", "&copy;": "©", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+#: Names that a reader of HTML takes without their semicolon, the longest first.
+_LOOSE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: What numbers 128 to 159 mean on the web, in order; a blank is a number without a meaning.
+_WEB = "\u20ac \u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152 \u017d  \u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153 \u017e\u0178"
+
+
+def entities(c: Column | str) -> Column:
+    """Named and numeric character references resolved, as a reader of HTML does."""
+    named = F.map_from_arrays(F.lit(list(html5)), F.lit(list(html5.values())))
+
+    def resolved(piece: Column) -> Column:
+        mark = F.regexp_extract(piece, r"^(#\d+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        rest = lambda m: F.substring(piece, F.length(m) + 1, F.length(piece))
+        digits = F.regexp_extract(mark, r"^#[xX]?([0-9a-fA-F]+)", 1)
+        digits = F.regexp_replace(digits, "^0+(?=.)", "")
+        number = F.when(F.length(digits) > 8, F.lit(1 << 40)).when(mark.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
+        web = F.substring(F.lit(_WEB), (number - 127).cast("int"), F.lit(1))
+        beyond = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        char = F.when(beyond, F.lit("\ufffd")).when(number.between(128, 159) & (web != " "), web).otherwise(plain)
+        loose = F.regexp_extract(mark, "^(" + "|".join(_LOOSE) + ")", 1)
+        return (
+            F.when(mark.startswith("#"), F.concat(char, rest(mark)))
+            .when(F.map_contains_key(named, mark), F.concat(F.element_at(named, mark), rest(mark)))
+            .when(loose != "", F.concat(F.element_at(named, loose), rest(loose)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    c = _col(c)
+    pieces = F.split(c, "&", -1)
+    text = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), resolved), ""))
+    return F.when(c.contains("&"), text).otherwise(c)
 
 
 def strip_html(c: Column | str) -> Column:
-    """Tags as blanks, named entities resolved, white space collapsed."""
-    c = F.regexp_replace(_col(c), "<[^>]+>", " ")
-    return collapse(reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), NAMED.items(), c))
+    """Tags as blanks, character references resolved, white space collapsed."""
+    return collapse(entities(F.regexp_replace(_col(c), "<[^>]+>", " ")))
 
 
 def stem(c: Column) -> Column:
@@ -80,15 +110,20 @@ def _with_stem(c: Column) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Search terms: words, their stems, and the parts of long compounds (repeats stay)."""
-    words = F.transform(F.regexp_extract_all(_col(c), F.lit(WORD), F.lit(0)), F.lower)
-    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(DIGITS) & ~w.isin(STOPWORDS))
+    words = F.filter(F.transform(F.regexp_extract_all(_col(c), F.lit(WORD), F.lit(0)), F.lower), kept)
+    return F.flatten(F.transform(words, expanded))
 
-    def expand(w: Column) -> Column:
-        parts = F.transform(F.split(F.regexp_replace(w, f"(?i)({COMPOUND})", "\u0001$1\u0001"), "\u0001"), strip)
-        parts = F.filter(parts, lambda p: (F.length(p) >= 4) & (p != w) & ~p.isin(STOPWORDS))
-        return F.concat(_with_stem(w), F.when(F.length(w) > 11, F.flatten(F.transform(parts, _with_stem))).otherwise(F.array().cast("array<string>")))
 
-    return F.flatten(F.transform(words, expand))
+def kept(w: Column) -> Column:
+    """Whether a lower-cased word is searched for."""
+    return (F.length(w) >= 2) & ~w.rlike(DIGITS) & ~w.isin(STOPWORDS)
+
+
+def expanded(w: Column) -> Column:
+    """The terms of one kept word."""
+    parts = F.transform(F.split(F.regexp_replace(w, f"(?i)({COMPOUND})", "\u0001$1\u0001"), "\u0001"), strip)
+    parts = F.filter(parts, lambda p: (F.length(p) >= 4) & (p != w) & ~p.isin(STOPWORDS))
+    return F.when(F.length(w) > 11, F.concat(_with_stem(w), F.flatten(F.transform(parts, _with_stem)))).otherwise(_with_stem(w))
 
 
 def chunks(c: Column | str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -109,8 +144,11 @@ def chunks(c: Column | str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Colum
             F.when(fits, o).when(long, F.concat(flushed, cut)).otherwise(flushed).alias("o"),
         )
 
-    packed = F.aggregate(paragraphs, F.struct(F.lit("").alias("b"), none.alias("o")), step, lambda a: F.when(a["b"] != "", F.concat(a["o"], F.array(a["b"]))).otherwise(a["o"]))
-    return F.when(F.size(packed) > 0, packed).otherwise(F.array(F.substring(c, 1, chunk)))
+    def closed(a: Column) -> Column:
+        rest = F.when(a["b"] != "", F.concat(a["o"], F.array(a["b"]))).otherwise(a["o"])
+        return F.when((a["b"] == "") & (F.size(a["o"]) == 0), F.array(F.substring(c, 1, chunk))).otherwise(rest)
+
+    return F.aggregate(paragraphs, F.struct(F.lit("").alias("b"), none.alias("o")), step, closed)
 
 
 def doc_id(c: Column | str) -> Column:
@@ -119,10 +157,9 @@ def doc_id(c: Column | str) -> Column:
 
 
 def namespace(c: Column | str) -> Column:
-    """The platform of a course reference, ``unknown`` without one."""
+    """What stands before the first colon of a course reference, ``unknown`` without a colon."""
     c = _col(c)
-    p = F.split_part(c, F.lit(":"), F.lit(1))
-    return F.when(c.contains(":") & (p != ""), p).otherwise("unknown")
+    return F.when(c.contains(":"), F.split_part(c, F.lit(":"), F.lit(1))).otherwise("unknown")
 
 
 def stamp(seconds: Column) -> Column:
@@ -180,12 +217,12 @@ def renumbered(answer: Column | str, numbers: Column) -> Column:
 def clean_ocr(c: Column | str) -> Column:
     """A reader's text without its reasoning or a fence around it; ``NO_TEXT`` is empty."""
     c = strip(F.regexp_replace(_col(c), r"(?is)<think>.*?</think>", ""))
-    c = strip(F.regexp_replace(c, r"(?s)^```[A-Za-z]*\n(.*?)\n?```$", "$1"))
+    c = F.when(c.rlike(r"(?s)^```[A-Za-z]*\n.*\n```$"), strip(F.regexp_replace(c, r"(?s)^```[A-Za-z]*\n(.*)\n```$", "$1"))).otherwise(c)
     return F.when(c == "NO_TEXT", "").otherwise(c)
 
 
 def snippet(c: Column | str, width: int = 320) -> Column:
     """A preview cut at a word, with a mark if it begins inside a sentence."""
-    c = collapse(c)
-    cut = F.when(F.length(c) > width, F.concat(F.regexp_replace(F.substring(c, 1, width), r"\s+\S*$", ""), F.lit(" …"))).otherwise(c)
-    return F.when(c.rlike(r"^[\p{Ll}]"), F.concat(F.lit("… "), cut)).otherwise(cut)
+    c = strip(c)
+    c = F.when(c.rlike(r"^[a-zäöüß.,;:)\]]"), F.concat(F.lit("… "), c)).otherwise(c)
+    return F.when(F.length(c) > width, F.concat(F.regexp_replace(F.substring(c, 1, width), f"{WS}+{NO_WS}*\\z", ""), F.lit(" …"))).otherwise(c)

@@ -63,13 +63,17 @@ def parse_allowlist(text: DataFrame) -> DataFrame:
     return entry.select(user.alias("username"), F.explode(F.when(bad, F.array(fail)).otherwise(ref)).alias("course_ref")).distinct()
 
 
-def resolve(documents_: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Ids of documents whose id, title or only non-positional locator is a wanted ``name``."""
+def resolve(documents_: DataFrame, wanted: DataFrame, *, required: bool = False) -> DataFrame:
+    """Ids of documents whose id, title or only non-positional locator is a wanted ``name``; with ``required``, none is an error."""
     chapters = F.filter("locators", lambda x: ~T.positional(x))
     only = F.when((F.size("locators") == 1) & (F.size(chapters) == 1), F.get(chapters, F.lit(0)))
     keys = documents_.select("course_ref", "doc_id", F.explode(F.array("doc_id", "title", only)).alias("key")).filter("key is not null")
-    names = wanted.select(T.short_ref("name").alias("key")).distinct()
-    return keys.withColumn("key", T.short_ref("key")).join(names, "key", "left_semi").select("course_ref", "doc_id").distinct()
+    key = lambda c: T.short_ref(T.strip(c))
+    names = wanted.select(key("name").alias("key")).distinct()
+    found = keys.withColumn("key", key("key")).join(names, "key", "left_semi").select("course_ref", "doc_id").distinct()
+    if required and not found.limit(1).count():
+        raise LookupError("none of the named documents is indexed; search without naming any, or use their names")
+    return found
 
 
 def kind_label(locators: Column) -> Column:

@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..schema import REQUEST
 
-#: Least collapsed length of a text worth indexing, by platform and kind (0: any).
-FLOORS = [("", "file", 15), ("", "scan", 15), ("studip", "wiki", 40), ("studip", "courseware", 40), ("studip", "description", 40), ("studip", "news", 1), ("moodle", "summary", 1), ("moodle", "module", 1), ("ilias", "course", 40), ("ilias", "object", 40), ("ilias", "container", 1)]
+#: Least collapsed length of a text worth indexing, by platform ('': any) and kind.
+FLOORS = [("", "file", 15), ("", "scan", 15), ("studip", "sub-title", 40), ("moodle", "section", 1), ("moodle", "course", 1), ("studip", "wiki", 40), ("studip", "courseware", 40), ("studip", "description", 40), ("studip", "news", 1), ("moodle", "summary", 1), ("moodle", "module", 1), ("ilias", "course", 40), ("ilias", "object", 40), ("ilias", "container", 1)]
 
 
 def requests(raw: DataFrame) -> DataFrame:
-    """Index requests (``body`` JSON) as rows a document, with an ``error`` for the invalid."""
+    """Index requests (``body`` JSON) as rows a document, with an ``error`` for the invalid.
+
+    A request of scans or recordings alone is valid: one row without a text.
+    """
     parsed = raw.withColumn("r", F.from_json("body", REQUEST))
     docs = F.coalesce(F.col("r.documents"), F.array().cast(REQUEST["documents"].dataType))
+    sent = (F.size(F.coalesce("r.scans", F.array().cast("array<string>"))) > 0) | (F.size(F.coalesce("r.media", F.array().cast("array<string>"))) > 0)
     bad = F.exists(docs, lambda d: F.coalesce(d["text"], F.lit("")) == "")
-    error = F.when(F.coalesce(F.col("r.course_ref"), F.lit("")) == "", "course_ref is required").when(F.size(docs) == 0, "documents are required").when(bad, "text is required")
+    error = F.when(F.coalesce(F.col("r.course_ref"), F.lit("")) == "", "course_ref is required").when((F.size(docs) == 0) & ~sent, "documents are required").when(bad, "text is required")
     rows = parsed.withColumn("error", error).withColumn("d", F.explode_outer(F.when(error.isNull(), docs)))
     blank = lambda c: F.coalesce(F.col(f"d.{c}"), F.lit(""))
-    return rows.select(F.col("r.course_ref").alias("course_ref"), F.coalesce("r.replace", F.lit(True)).alias("replace"), blank("activity_ref").alias("activity_ref"), F.coalesce(F.nullif(F.col("d.title"), F.lit("")), F.lit("untitled")).alias("title"), blank("text").alias("text"), blank("locator").alias("locator"), "error")
+    return rows.select(F.col("r.course_ref").alias("course_ref"), F.coalesce("r.replace", F.lit(True)).alias("replace"), blank("activity_ref").alias("activity_ref"), F.coalesce(F.nullif(F.col("d.title"), F.lit("")), F.lit("untitled")).alias("title"), F.col("d.text").alias("text"), *[blank(c).alias(c) for c in ("locator", "course_name", "folder", "licence")], "error")
 
 
 def long_enough(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``(platform, kind, text)`` whose collapsed text reaches the floor of its kind."""
-    floors = docs.sparkSession.createDataFrame(FLOORS, "f_platform string, f_kind string, least int")
-    joined = docs.join(F.broadcast(floors), (F.col("kind") == F.col("f_kind")) & F.col("f_platform").isin("") | (F.col("kind") == F.col("f_kind")) & (F.col("platform") == F.col("f_platform")))
-    return joined.filter(T.size(T.collapse(text_col)) >= F.col("least")).drop("f_platform", "f_kind", "least")
+    """Rows of ``(platform, kind, text)`` whose collapsed text reaches the floor of its kind; a kind without a floor needs one letter."""
+    floor = F.lit(1)
+    for platform, kind, least in FLOORS:
+        floor = F.when((F.col("kind") == kind) & (F.lit(platform == "") | (F.col("platform") == platform)), least).otherwise(floor)
+    return docs.filter(T.size(T.collapse(text_col)) >= floor)
 
 
 def short_pages(pages: DataFrame, floor: int = 15) -> DataFrame:
@@ -38,9 +43,36 @@ def short_pages(pages: DataFrame, floor: int = 15) -> DataFrame:
 
 def page_budget(files: DataFrame, budget: int, *, order: str = "ord") -> DataFrame:
     """How many pages of each file are read within one budget of a course, and how many are skipped."""
-    before = F.coalesce(F.sum("pages").over(Window.partitionBy("course_ref").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.col("before"), F.lit(0))
     take = F.least(F.greatest(F.lit(budget) - before, F.lit(0)), F.col("pages"))
-    return files.withColumn("take", take.cast("bigint")).withColumn("skipped", (F.col("pages") - F.col("take")).cast("bigint"))
+    files = files.join(before_each(files, "pages", order), ["course_ref", order], "left")
+    return files.withColumn("take", take.cast("bigint")).withColumn("skipped", (F.col("pages") - F.col("take")).cast("bigint")).drop("before")
+
+
+#: So many numbers of the order share a part of a course.
+PART = 1 << 16
+
+
+def before_each(rows: DataFrame, amount: str, order: str = "ord") -> DataFrame:
+    """(course_ref, order, ``before``): the sum of ``amount`` over a course's rows before each, ``order`` being whole numbers.
+
+    Sums run within parts of the order, and then over the parts, so that one
+    large course is many tasks. Rows of equal order are taken together.
+    """
+    sums = rows.groupBy("course_ref", F.floor(F.col(order) / PART).alias("part"), order).agg(F.sum(amount).alias("own"))
+    parts = sums.groupBy("course_ref", "part").agg(F.sum("own").alias("all"))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("course_ref", "part", so_far("all", Window.partitionBy("course_ref").orderBy("part")).alias("base"))
+    inside = sums.withColumn("inside", so_far("own", Window.partitionBy("course_ref", "part").orderBy(order)))
+    return inside.join(parts, ["course_ref", "part"]).select("course_ref", order, (F.col("inside") + F.col("base")).cast("bigint").alias("before"))
+
+
+def pages_to_read(files: DataFrame, budget: int, *, order: str = "ord") -> DataFrame:
+    """Which pages of each scan are read: the wanted ones (all of ``page_count`` if null) that hold an image, in their order, within the course's budget."""
+    every = F.when(F.col("page_count") > 0, F.sequence(F.lit(1), F.col("page_count"))).otherwise(F.array().cast("array<int>"))
+    drawn = F.filter(F.coalesce("wanted", every), lambda p: F.array_contains("with_images", p))
+    files = files.withColumn("drawn", drawn).withColumn("pages", F.size("drawn").cast("bigint"))
+    return page_budget(files, budget, order=order).withColumn("read", F.slice("drawn", F.lit(1), F.col("take").cast("int"))).drop("drawn", "pages")
 
 
 def cache_key(content: Column, page: Column, reader: str) -> Column:
@@ -53,20 +85,50 @@ def cache_misses(pages: DataFrame, cache: DataFrame) -> DataFrame:
     return pages.join(cache.select("key"), "key", "left_anti")
 
 
+def read_texts(pages: DataFrame, cache: DataFrame, fresh: DataFrame, floor: int = 15) -> DataFrame:
+    """Pages with their texts, collapsed, from the cache (``key``, ``text``) or else from what was read now; those under the floor go."""
+    known = cache.select("key", "text").unionByName(fresh.select("key", "text").join(cache.select("key"), "key", "left_anti")).dropDuplicates(["key"])
+    return pages.join(known, "key").withColumn("text", T.collapse("text")).filter(T.size("text") >= floor)
+
+
+def cache_put(spark: SparkSession, path: str, fresh: DataFrame) -> None:
+    """Add texts (``key``, ``text``) that the cache at ``path`` lacks; a page read as empty is kept too."""
+    fresh = fresh.select("key", "text").dropDuplicates(["key"])
+    fresh.join(read_cache(spark, path).select("key"), "key", "left_anti").write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache at a path; one that does not exist is empty."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "key string, text string")
+    return spark.read.schema("key string, text string").parquet(path)
+
+
+def failure_summary(pages: DataFrame) -> DataFrame:
+    """Per file with failed pages (``error`` not null): how many of how many were not read, and the first error."""
+    first = F.min_by(F.concat_ws(": ", F.coalesce(F.nullif(F.col("locator"), F.lit("")), F.lit("Bild")), F.substring("error", 1, 150)), F.when(F.col("error").isNotNull(), F.col("ord")))
+    told = pages.groupBy("course_ref", "activity_ref").agg(F.count("error").alias("failed"), F.count(F.lit(1)).alias("pages"), first.alias("first")).filter("failed > 0")
+    return told.select("course_ref", "activity_ref", F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit(" pages not read; "), F.col("first")).alias("summary"))
+
+
 def segments(recordings: DataFrame, size: int = 900) -> DataFrame:
     """Timed passages of recordings (``utterances`` in ms with speakers, ``text``).
 
     Utterances are joined until they reach ``size``; a passage starts where the
-    one before it ended, and a speaker is named when it changes.
+    one before it ended, the first one where the first utterance starts, blank
+    or not; a speaker is named when it changes. ``text`` counts only where
+    there are no utterances at all.
     """
+    begin = F.coalesce(F.get("utterances", F.lit(0))["start"], F.lit(0)).cast("bigint")
     kept = F.filter("utterances", lambda u: T.strip(F.coalesce(u["text"], F.lit(""))) != "")
     none = F.array().cast("array<struct<locator:string,text:string>>")
-    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("at"), F.lit("").alias("who"), none.alias("out"))
+    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("len"), begin.alias("at"), F.lit("").alias("who"), none.alias("out"))
 
     def step(a: Column, u: Column) -> Column:
         who = F.coalesce(u["speaker"], F.lit(""))
         line = F.concat(F.when((who != "") & (who != a["who"]), F.concat(who, F.lit(": "))).otherwise(""), T.strip(u["text"]))
-        at = F.coalesce(a["at"], u["start"])
+        at = a["at"]
         buf = F.when(a["buf"] == "", line).otherwise(F.concat(a["buf"], F.lit(" "), line))
         length = a["len"] + F.length(line)
         full = length >= size
@@ -74,19 +136,35 @@ def segments(recordings: DataFrame, size: int = 900) -> DataFrame:
         return F.struct(
             F.when(full, F.lit("")).otherwise(buf).alias("buf"),
             F.when(full, F.lit(0)).otherwise(length).alias("len"),
-            F.when(full, u["end"]).otherwise(at).alias("at"),
+            F.when(full, F.coalesce(u["end"], at)).otherwise(at).alias("at"),
             F.when(full, F.lit("")).otherwise(F.when(who != "", who).otherwise(a["who"])).alias("who"),
             F.when(full, closed).otherwise(a["out"]).alias("out"),
         )
 
     last = lambda a: F.when(a["buf"] != "", F.concat(a["out"], F.array(F.struct(T.stamp(a["at"] / 1000).alias("locator"), a["buf"].alias("text"))))).otherwise(a["out"])
     timed = F.aggregate(kept, start, step, last)
-    whole = F.when(T.strip("text") != "", F.array(F.struct(F.lit("").alias("locator"), T.strip("text").alias("text")))).otherwise(none)
-    out = F.when(F.size(timed) > 0, timed).otherwise(whole)
+    whole = F.when(T.strip(F.coalesce("text", F.lit(""))) != "", F.array(F.struct(F.lit("").alias("locator"), T.strip("text").alias("text")))).otherwise(none)
+    out = F.when(F.size("utterances") > 0, timed).otherwise(whole)
     rest = [c for c in recordings.columns if c not in ("utterances", "text")]
     return recordings.select(*rest, F.posexplode(out).alias("seq", "s")).select(*rest, "seq", "s.locator", "s.text")
 
 
+def segments_of_seconds(recordings: DataFrame, size: int = 900, *, speakers: bool = False) -> DataFrame:
+    """The same for ``utterances`` timed in seconds: rounded to milliseconds where speakers are told, else cut to them and unnamed."""
+    near = F.bround if speakers else F.floor
+    ms = lambda c: near(F.coalesce(c, F.lit(0.0)).cast("double") * 1000).cast("bigint")
+    timed = F.transform("utterances", lambda u: F.struct(ms(u["start"]).alias("start"), ms(u["end"]).alias("end"), u["text"].alias("text"), (u["speaker"] if speakers else F.lit(None).cast("string")).alias("speaker")))
+    return segments(recordings.withColumn("utterances", timed), size)
+
+
+def transcript(body: Column) -> tuple[Column, Column]:
+    """Utterances in seconds and the text of a transcription's JSON, whose segments are a list or one level deeper."""
+    kind = "ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING, speaker: STRING>>"
+    nested = F.get_json_object(body, "$.segments.segments")
+    flat = F.get_json_object(body, "$.segments")
+    return F.coalesce(F.from_json(F.coalesce(nested, flat), kind), F.array().cast("array<struct<start:double,end:double,text:string,speaker:string>>")), F.coalesce(F.get_json_object(body, "$.text"), F.lit(""))
+
+
 def _unbounded_walk(spark: SparkSession, nodes: str) -> None:
     """Lift the session's recursion limits: any number of rows, and as many levels as ``nodes`` has rows, past which only a cycle goes."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -114,7 +192,7 @@ def reading_order(spark: SparkSession, elements: str) -> DataFrame:
 
 
 def folder_walk(spark: SparkSession, nodes: str, depth: int = 8) -> DataFrame:
-    """Objects of a view ``(tree, id, parent, type, title)`` with the path of containers above them."""
+    """Objects of a view ``(tree, id, parent, type, title)`` with the path of containers above them; containers deeper than ``depth`` stay closed."""
     _unbounded_walk(spark, nodes)
     return spark.sql(f"""
         WITH RECURSIVE walk (tree, id, type, title, folder, depth) AS (
@@ -122,7 +200,7 @@ def folder_walk(spark: SparkSession, nodes: str, depth: int = 8) -> DataFrame:
           UNION ALL
           SELECT n.tree, n.id, n.type, n.title, CASE WHEN w.depth = 0 THEN '' WHEN w.folder = '' THEN w.title ELSE w.folder || '/' || w.title END, w.depth + 1
           FROM {nodes} n JOIN walk w ON n.tree = w.tree AND n.parent = w.id
-          WHERE w.type IN ('fold', 'grp', 'cat', 'crs', 'itgr') AND w.depth < {depth})
+          WHERE w.type IN ('fold', 'grp', 'cat', 'crs', 'itgr') AND w.depth <= {depth})
         SELECT tree, id, type, title, folder, depth FROM walk""")
 
 
@@ -138,6 +216,24 @@ def job_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("course_ref").agg((of("submitted") - done - failed).alias("pending"), done.alias("done"), failed.alias("failed"))
 
 
+def job_details(events: DataFrame, errors: int = 5) -> DataFrame:
+    """Per course what its jobs (``kind``, ``title``, ``event``, ``error``, ``ord``) are: pending of each kind, titles in order of first sight, the first errors.
+
+    A course's titles and errors are reduced before they are listed: each title
+    once, and no more than ``errors`` errors.
+    """
+    of = lambda kind, event: F.sum(((F.col("kind") == kind) & (F.col("event") == event)).cast("bigint"))
+    left = lambda kind: of(kind, "submitted") - of(kind, "done") - of(kind, "failed")
+    pending = events.groupBy("course_ref").agg(left("transcription").alias("transcriptions"), left("scan").alias("scans"))
+    listed = lambda rows, c: rows.groupBy("course_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]).alias(f"{c}s"))
+    titles = listed(events.filter("event = 'submitted'").groupBy("course_ref", "title").agg(F.min("ord").alias("ord")), "title")
+    failed = events.filter("event = 'failed'").withColumn("error", F.concat("title", F.lit(": "), F.substring("error", 1, 200)))
+    failed = failed.withColumn("place", F.row_number().over(Window.partitionBy("course_ref").orderBy("ord"))).filter(F.col("place") <= errors)
+    none = F.array().cast("array<string>")
+    return pending.join(titles, "course_ref", "left").join(listed(failed, "error"), "course_ref", "left").select("course_ref", "transcriptions", "scans", F.coalesce("titles", none).alias("titles"), F.coalesce("errors", none).alias("errors"))
+
+
+# The German sentences that readers see.
 def job_note(recordings: Column, scans: Column) -> Column:
     """The sentence that tells a reader what is still being worked on."""
     tail = "für diese Frage noch nicht zur Verfügung."
@@ -152,8 +248,68 @@ def job_note(recordings: Column, scans: Column) -> Column:
     )
 
 
+# What a model is told before a question.
+GROUNDED = (
+    "Du bist eine Lernassistenz für eine Hochschulveranstaltung. "
+    "Beantworte die Frage AUSSCHLIESSLICH auf Grundlage der bereitgestellten "
+    "Auszüge aus den Kursmaterialien. Wenn die Auszüge die Frage nicht "
+    "beantworten, sage das ausdrücklich und rate nicht. "
+    "Verweise auf die Quellen mit ihrer Nummer, z. B. [1]."
+)
+NO_CONTEXT = (
+    "Du bist eine Lernassistenz für eine Hochschulveranstaltung. "
+    "Zu dieser Frage wurden KEINE passenden Stellen in den Kursmaterialien "
+    "gefunden. Sage das dem Nutzer klar und in einem Satz. "
+    "Beantworte die Frage NICHT aus deinem Allgemeinwissen und rate nicht. "
+    "Schlage stattdessen vor, die Frage anders zu formulieren oder die "
+    "Lehrperson zu fragen."
+)
+EXCERPTS = "Auszüge aus den Kursmaterialien:\n\n"
+
+
 def grounded_prompt(hits: DataFrame) -> DataFrame:
-    """Per query, the numbered passages of its prompt."""
-    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.concat_ws(", ", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("locator"), F.lit(""))), F.lit("\n"), F.col("text"))
+    """Per query, the numbered passages of its prompt (at most its k)."""
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"), F.when(F.col("locator") != "", F.concat(F.lit(", "), "locator")).otherwise(""), F.lit("\n"), F.col("text"))
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", head.alias("b")))), lambda x: x["b"])
     return hits.groupBy("query_id").agg(F.array_join(blocks, "\n\n").alias("context"))
+
+
+def prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per query the messages for a model: instructions, the passages, the question.
+
+    With a course and no passage the model is told to refuse; without a course
+    the question stands alone.
+    """
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    question = said("user", F.col("text"))
+    joined = queries.join(grounded_prompt(hits), "query_id", "left")
+    messages = (
+        F.when(F.col("context").isNotNull(), F.array(said("system", F.lit(GROUNDED)), said("system", F.concat(F.lit(EXCERPTS), "context")), question))
+        .when(F.coalesce("course_ref", F.lit("")) != "", F.array(said("system", F.lit(NO_CONTEXT)), question))
+        .otherwise(F.array(question))
+    )
+    return joined.select("query_id", messages.alias("messages"))
+
+
+def echo_answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per query the answer without a model: what was asked, and what was found."""
+    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    n = F.coalesce("found", F.lit(0))
+    marks = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]"))), " "))
+    # The sentences of the offline answer.
+    some = F.concat(F.lit("(Offline-Modus, kein Modell aufgerufen.) Zur Frage „"), "text", F.lit("“ wurden "), n.cast("string"), F.lit(" Passagen aus den Kursmaterialien gefunden: "), marks, F.lit(". Mit konfiguriertem OPENAI_BASE_URL würde hier die Antwort des Modells stehen."))
+    none = F.concat(F.lit("(Offline-Modus, kein Modell aufgerufen.) Frage empfangen: „"), "text", F.lit("“. Kein Kursbezug angegeben, daher keine Recherche in Kursmaterialien."))
+    return queries.join(found, "query_id", "left").select("query_id", F.when(n > 0, some).otherwise(none).alias("answer"))
+
+
+def index_summary(documents: DataFrame, chunks: DataFrame, scans: DataFrame, media: DataFrame) -> DataFrame:
+    """One row on an indexing run: documents, chunks, recordings queued, scans queued, their pages, pages skipped.
+
+    ``scans`` are rows of :func:`pages_to_read` or :func:`page_budget`.
+    """
+    one = lambda rows, *columns: rows.agg(*columns)
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    read = one(scans, F.coalesce(F.sum((F.col("take") > 0).cast("bigint")), F.lit(0)).alias("image_text_queued"), total("take", "image_text_pages"), total("skipped", "image_text_skipped"))
+    # four tables of one row each
+    return one(documents, count("documents")).crossJoin(one(chunks, count("chunks"))).crossJoin(one(media, count("transcription_queued"))).crossJoin(read)

@@ -1,9 +1,10 @@
 """Lexical retrieval: chunks, postings, and a batch of queries ranked at once.
 
-Everything is declarative: one explode to postings, an equi-join on (course,
-term) with the query side broadcast when it is small, one aggregation a
-(query, chunk), and a rank window. Corpus statistics follow the scope of each
-query, which a list of documents may narrow.
+Postings are made once, when chunks are indexed: words are exploded and counted
+where their chunk lies, and only distinct words are expanded to terms. A search
+joins the terms of its queries with them on (course, term), aggregates a
+(query, chunk), ranks, and fetches the texts of the winners. Corpus statistics
+follow the scope of each query, which a list of documents may narrow.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ingest import before_each
 
 K = 4
 RELATIVE_FLOOR = 0.25
@@ -21,35 +23,44 @@ ATTRIBUTES = ("activity_ref", "title", "locator", "folder", "course_name", "lice
 
 
 def chunked(corpus: DataFrame, order: str = "ord") -> DataFrame:
-    """A row a chunk, numbered within its course in document order (``chunk_ord`` from 0)."""
-    pieces = corpus.select("*", F.posexplode(T.chunks("text")).alias("pos", "piece"))
-    number = F.row_number().over(Window.partitionBy("course_ref").orderBy(order, "pos")) - 1
-    return pieces.withColumn("chunk_ord", number.cast("bigint")).drop("text").withColumnRenamed("piece", "text")
+    """A row a chunk, numbered within its course in document order (``chunk_ord`` from 0).
+
+    ``order`` tells a course's documents apart. Chunks are numbered within their
+    document, behind the sum of what the documents before it have.
+    """
+    packed = corpus.withColumn("_pieces", T.chunks("text"))
+    before = before_each(packed.select("course_ref", order, F.size("_pieces").alias("n")), "n", order)
+    pieces = packed.join(before, ["course_ref", order]).select(*[c for c in corpus.columns if c != "text"], "before", F.posexplode("_pieces").alias("pos", "text"))
+    return pieces.withColumn("chunk_ord", F.col("before") + F.col("pos")).drop("before")
 
 
-def tokenised(chunks: DataFrame) -> DataFrame:
-    """Chunks with their search terms and their number (at least 1)."""
-    return chunks.withColumn("tokens", T.tokens("text")).withColumn("len", F.greatest(F.size("tokens"), F.lit(1)).cast("bigint"))
+def terms(chunks: DataFrame) -> DataFrame:
+    """(course, chunk, document, term, tf): all search terms of chunks, counted."""
+    own = ("course_ref", "chunk_ord", "doc_id")
+    # one exchange serves both counts, as a chunk's words stay together; explode_outer: the list is made once
+    placed = chunks.select("course_ref", "chunk_ord", T.doc_id("activity_ref").alias("doc_id"), "text").repartition("course_ref", "chunk_ord")
+    words = placed.select(*own, F.explode_outer(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("w")).select(*own, F.lower("w").alias("w"))
+    words = words.groupBy(*own, "w").agg(F.count(F.lit(1)).alias("many")).filter(T.kept(F.col("w")))
+    listed = words.select(*own, "many", F.explode_outer(T.expanded(F.col("w"))).alias("term"))
+    return listed.filter("term IS NOT NULL").groupBy(*own, "term").agg(F.sum("many").alias("tf"))
 
 
-def postings(tokened: DataFrame) -> DataFrame:
-    """(course, chunk, term) with its count; ``len`` and the document stay beside it."""
-    rows = tokened.select("course_ref", "chunk_ord", "len", T.doc_id("activity_ref").alias("doc_id"), F.explode("tokens").alias("term"))
-    return rows.groupBy("course_ref", "chunk_ord", "term", "len", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """(course, chunk, document, term) with its count; ``len`` is the number of the chunk's terms."""
+    return terms(chunks).withColumn("len", F.sum("tf").over(Window.partitionBy("course_ref", "chunk_ord")))
 
 
-def corpus_stats(tokened: DataFrame) -> DataFrame:
+def corpus_stats(chunks: DataFrame) -> DataFrame:
     """Chunks and the greatest possible idf of each course."""
-    return tokened.groupBy("course_ref").agg(F.count(F.lit(1)).alias("n")).withColumn("max_idf", F.log1p(F.col("n") / 2))
+    return chunks.groupBy("course_ref").agg(F.count(F.lit(1)).alias("n")).withColumn("max_idf", F.log1p(F.col("n") / 2))
 
 
-def document_frequency(tokened: DataFrame) -> DataFrame:
+def document_frequency(chunks: DataFrame) -> DataFrame:
     """Chunks of a course that hold a term."""
-    terms = tokened.select("course_ref", "chunk_ord", F.explode(F.array_distinct("tokens")).alias("term"))
-    return terms.groupBy("course_ref", "term").agg(F.count(F.lit(1)).alias("df"))
+    return terms(chunks).groupBy("course_ref", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def search(tokened: DataFrame, queries: DataFrame, *, floor: float = RELATIVE_FLOOR, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+def search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, *, floor: float = RELATIVE_FLOOR, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """Ranked passages of ``queries(query_id, course_ref, text, k[, documents])``.
 
     ``documents`` (array of document ids, empty or null for all) narrows the
@@ -59,21 +70,23 @@ def search(tokened: DataFrame, queries: DataFrame, *, floor: float = RELATIVE_FL
     """
     if "documents" not in queries.columns:
         queries = queries.withColumn("documents", F.lit(None).cast("array<string>"))
+    most = queries.agg(F.max("k")).first()[0] or 0
     q = queries.select("query_id", "course_ref", "k", "documents", T.tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
     scoped = q.select("query_id", "course_ref", F.when(F.size("documents") > 0, F.col("documents")).alias("documents"))
+    asked = q.select("query_id", "course_ref", "k", F.explode("tokens").alias("term")).groupBy("query_id", "course_ref", "k", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    held = postings.join(asked.select("course_ref", "term").distinct(), ["course_ref", "term"], "left_semi")
+
+    # queries without a list of documents share their course's counts
+    wide, narrow = scoped.filter(F.col("documents").isNull()).drop("documents"), scoped.filter(F.col("documents").isNotNull())
+    inside = F.array_contains("documents", F.col("doc_id"))
+    n = wide.join(chunks.groupBy("course_ref").agg(F.count(F.lit(1)).alias("n")), "course_ref").select("query_id", "n")
+    some = chunks.select("course_ref", T.doc_id("activity_ref").alias("doc_id")).join(narrow, "course_ref").filter(inside).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    df = held.groupBy("course_ref", "term").agg(F.count(F.lit(1)).alias("df"))
+    hits_wide = held.join(asked.join(wide.select("query_id"), "query_id"), ["course_ref", "term"]).join(df, ["course_ref", "term"])
+    met = held.join(asked.join(narrow.select("query_id", "documents"), "query_id"), ["course_ref", "term"]).filter(inside).drop("documents")
+    hits_narrow = met.join(met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")), ["query_id", "term"])
+    hits = hits_wide.unionByName(hits_narrow).join(n.unionByName(some), "query_id")
 
-    def in_scope(rows: DataFrame) -> DataFrame:
-        return rows.join(scoped, "course_ref").filter(F.col("documents").isNull() | F.array_contains("documents", F.col("doc_id")))
-
-    # a query without a list of documents shares its course's count
-    n_all = tokened.groupBy("course_ref").agg(F.count(F.lit(1)).alias("n"))
-    narrow = scoped.filter(F.col("documents").isNotNull())
-    n_some = tokened.select("course_ref", T.doc_id("activity_ref").alias("doc_id")).join(narrow, "course_ref").filter(F.array_contains("documents", F.col("doc_id"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    n = scoped.filter(F.col("documents").isNull()).join(n_all, "course_ref").select("query_id", "n").unionByName(n_some)
-    terms = q.select("query_id", "course_ref", "k", F.explode("tokens").alias("term")).groupBy("query_id", "course_ref", "k", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = in_scope(postings(tokened).join(terms.select("course_ref", "term").distinct(), ["course_ref", "term"], "left_semi")).join(terms, ["query_id", "course_ref", "term"])
-    per_term = Window.partitionBy("query_id", "term")
-    hits = hits.withColumn("df", F.count(F.lit(1)).over(per_term)).join(n, "query_id")
     idf = F.log1p(F.col("n") / (1 + F.col("df")))
     scored = hits.withColumn("idf", idf).groupBy("query_id", "course_ref", "chunk_ord", "k", "n").agg(
         F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"),
@@ -82,8 +95,15 @@ def search(tokened: DataFrame, queries: DataFrame, *, floor: float = RELATIVE_FL
     )
     guard = (F.col("stems") >= LEAST_TERMS) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))
     ranked = scored.filter(guard & (F.col("raw") > 0)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("raw"), 12).desc(), "chunk_ord")))
+    ranked = ranked.filter(F.col("rank") <= most)  # a number: partitions keep no more than so many rows of a query
     best = ranked.filter("rank <= k").withColumn("top", F.max("raw").over(Window.partitionBy("query_id"))).filter(F.col("raw") >= floor * F.col("top"))
-    return best.join(tokened.select("course_ref", "chunk_ord", *attributes, "text"), ["course_ref", "chunk_ord"]).select("query_id", "rank", "course_ref", "chunk_ord", *attributes, F.round("raw", 4).alias("score"), "text")
+    return best.join(chunks.select("course_ref", "chunk_ord", *attributes, "text"), ["course_ref", "chunk_ord"]).select("query_id", "rank", "course_ref", "chunk_ord", *attributes, F.round("raw", 4).alias("score"), "text")
+
+
+def search_corpus(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """A search without an index: the courses asked for are chunked and tokenised now."""
+    chunks = chunked(corpus.join(queries.select("course_ref").distinct(), "course_ref", "left_semi"))
+    return search(postings(chunks), chunks, queries)
 
 
 def confidence(hits: DataFrame, queries: DataFrame, low: float = 0.5) -> DataFrame:
@@ -91,5 +111,3 @@ def confidence(hits: DataFrame, queries: DataFrame, low: float = 0.5) -> DataFra
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
     flag = F.when(F.col("best").isNull(), "none").when(F.col("best") < low, "low").otherwise("ok")
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", "best", flag.alias("confidence"))
-
-

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 BATCH = 64
 FLOOR = 0.35
@@ -36,21 +37,29 @@ def search(entries: DataFrame, queries: DataFrame, *, k: int = 4, floor: float =
     e = entries.filter(F.col("vector").isNotNull()).select("course_ref", "ord", double("vector").alias("v"))
     q = queries.select("query_id", "course_ref", double("vector").alias("q"))
     scored = e.join(q, "course_ref").withColumn("score", cosine(F.col("q"), F.col("v"))).filter(F.col("score") >= floor)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "course_ref", "ord", F.round("score", 4).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "course_ref", "ord", F.round("score", 4).alias("score"))
 
 
-def embedded(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], *, batch: int = BATCH) -> DataFrame:
-    """Chunks with a vector from ``provider``, called with ``batch`` texts at a time."""
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+def in_order(data: list[dict]) -> list[list[float]]:
+    """Vectors of a response's ``data`` by their ``index``: a server may answer in any order."""
+    return [d["embedding"] for d in sorted(data, key=lambda d: d.get("index", 0))]
+
 
+def embedded(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], *, batch: int = BATCH) -> DataFrame:
+    """Chunks with a vector from ``provider``, called with ``batch`` texts at a time; it may give :func:`in_order`'s input."""
     schema = StructType([*chunks.schema.fields, StructField("vector", ArrayType(DoubleType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: list[list[float]] = []
             for a in range(0, len(f), batch):
-                out += provider(f["text"].iloc[a : a + batch].tolist())
+                texts = f["text"].iloc[a : a + batch].tolist()
+                got = provider(texts)
+                got = in_order(got) if got and isinstance(got[0], dict) else got
+                if len(got) != len(texts):
+                    raise RuntimeError(f"{len(got)} vectors for {len(texts)} texts")
+                out += got
             yield f.assign(vector=out)
 
     return chunks.mapInPandas(run, schema)

@@ -1,54 +1,152 @@
-"""The index on disk: Parquet partitioned by course, with replace, append and forget.
+"""The index on disk: chunks, their postings and vectors, in Parquet partitioned by course.
 
-Each operation touches only the partitions of the courses it names.
+Each operation touches only the partitions of the courses it names. Texts are
+tokenised when they are indexed; a search reads postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import text as T
+from ..operators import lexical, vector
+from ..schema import CHUNK, POSTING, VECTOR
 
-from ..schema import CHUNK
+#: So many chunks of a course go to one task and file.
+PART = 1 << 14
 
 
 class IndexStore:
-    """A table of chunks under one folder."""
+    """Three tables under one folder; ``provider`` embeds texts where vectors are wanted."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, provider: Callable[[list[str]], list[list[float]]] | None = None):
+        self.spark, self.path, self.provider = spark, path, provider
 
-    def _fs(self):
+    def _hadoop(self, *parts: str):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
+        at = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _read(self, table: str, schema: StructType) -> DataFrame:
+        fs, at = self._hadoop(table)
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
 
     def read(self) -> DataFrame:
         """All chunks; an index that does not exist is empty."""
-        fs, jvm = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(self.path)):
-            return self.spark.createDataFrame([], CHUNK)
-        return self.spark.read.schema(CHUNK).parquet(self.path)
-
-    def _write(self, chunks: DataFrame, mode: str) -> None:
-        rows = chunks.select(*CHUNK.fieldNames()).repartition("course_ref")
-        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("course_ref").parquet(self.path)
-
-    def replace(self, chunks: DataFrame) -> None:
-        """Put these courses' chunks in place of what they had."""
-        self._write(chunks, "overwrite")
-
-    def append(self, chunks: DataFrame) -> None:
-        """Add chunks behind those that the courses have."""
-        last = self.read().groupBy("course_ref").agg((F.max("chunk_ord") + 1).alias("from"))
+        return self._read("chunks", CHUNK)
+
+    def postings(self) -> DataFrame:
+        """Terms of all chunks with their counts."""
+        return self._read("postings", POSTING)
+
+    def vectors(self) -> DataFrame:
+        """Vectors of all chunks that were embedded."""
+        return self._read("vectors", VECTOR)
+
+    def _write(self, rows: DataFrame, table: str, schema: StructType, mode: str) -> None:
+        part = F.floor(F.col("chunk_ord") / PART)  # a large course is many tasks
+        rows = rows.select(*schema.fieldNames()).repartition("course_ref", part)
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("course_ref").parquet(f"{self.path}/{table}")
+
+    def _put(self, chunks: DataFrame, mode: str, folder: str) -> None:
+        # chunks are written once, aside, and read from there: three tables come from them
+        chunks.select(*CHUNK.fieldNames()).write.parquet(folder)
+        chunks = self.spark.read.schema(CHUNK).parquet(folder)
+        self._write(chunks, "chunks", CHUNK, mode)
+        self._write(lexical.postings(chunks), "postings", POSTING, mode)
+        if self.provider:
+            embedded = vector.embedded(chunks.select("chunk_ord", T.doc_id("activity_ref").alias("doc_id"), "course_ref", "text"), self.provider)
+            self._write(embedded, "vectors", VECTOR, mode)
+        fs, _ = self._hadoop()
+        fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+    def _aside(self) -> str:
+        import uuid
+
+        return f"{self.path}/incoming-{uuid.uuid4().hex}"
+
+    def replace(self, chunks: DataFrame, courses: list[str] | None = None) -> None:
+        """Put these courses' chunks in place of what they had; courses named besides that have none are forgotten."""
+        kept = {r[0] for r in chunks.select("course_ref").filter(F.col("course_ref").isin(courses)).distinct().collect()} if courses else set()
+        for course in courses or []:
+            if course not in kept:
+                self.forget(course)
+        self._put(chunks, "overwrite", self._aside())
+
+    def append(self, chunks: DataFrame, batch: str | None = None) -> bool:
+        """Add chunks behind those that the courses have; whether it was done.
+
+        A ``batch`` that was appended before is not appended again. It is marked
+        last, and one that stopped half-way is taken back first.
+        """
+        done, begun = (self._hadoop("batches", f"{batch}.{state}") for state in ("done", "begun")) if batch else (None, None)
+        if done and done[0].exists(done[1]):
+            return False
+        named = chunks.select("course_ref").distinct()
+        if begun:
+            self._take_back(begun)
+            files = {t: set(self._files(t)) for t in ("chunks", "postings", "vectors")}
+            self._note(begun, "\n".join(f for own in files.values() for f in own))
+        last = self.read().join(F.broadcast(named.limit(MOST_COURSES)), "course_ref", "left_semi") if named.limit(MOST_COURSES + 1).count() <= MOST_COURSES else self.read()
+        last = last.groupBy("course_ref").agg((F.max("chunk_ord") + 1).alias("from"))
         moved = chunks.join(last, "course_ref", "left").withColumn("chunk_ord", F.col("chunk_ord") + F.coalesce("from", F.lit(0))).drop("from")
-        self._write(moved, "append")
+        self._put(moved, "append", self._aside())
+        if done:
+            self._note(done, "")
+            begun[0].delete(begun[1], False)
+        return True
+
+    def _files(self, table: str) -> list[str]:
+        fs, at = self._hadoop(table)
+        if not fs.exists(at):
+            return []
+        found, out = fs.listFiles(at, True), []
+        while found.hasNext():
+            out.append(found.next().getPath().toString())
+        return out
+
+    def _note(self, place, text: str) -> None:
+        fs, at = place
+        stream = fs.create(at, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _take_back(self, begun) -> None:
+        fs, at = begun
+        if not fs.exists(at):
+            return
+        stream = fs.open(at)
+        before = set(bytes(stream.readAllBytes()).decode().split("\n"))
+        stream.close()
+        for table in ("chunks", "postings", "vectors"):
+            for name in self._files(table):
+                if name not in before:
+                    fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name), False)
 
     def forget(self, course_ref: str) -> int:
         """Drop a course; how many chunks it had (0 if unknown)."""
-        n = self.read().filter(F.col("course_ref") == course_ref).count()
-        fs, jvm = self._fs()
-        if n:
-            from urllib.parse import quote
-
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/course_ref={quote(course_ref, safe='')}"), True)
+        own = F.col("course_ref") == course_ref if course_ref else F.col("course_ref").isNull()  # stored alike
+        n = self.read().filter(own).count()
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for table in ("chunks", "postings", "vectors"):
+            fs, at = self._hadoop(table, f"course_ref={escape(course_ref)}" if course_ref else "course_ref=__HIVE_DEFAULT_PARTITION__")
+            fs.delete(at, True)
         return n
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """Ranked passages by words."""
+        return lexical.search(self.postings(), self.read(), queries)
+
+    def search_vectors(self, queries: DataFrame, *, k: int = 4, floor: float = vector.FLOOR) -> DataFrame:
+        """Ranked chunks by vectors."""
+        return vector.search(self.vectors().withColumnRenamed("chunk_ord", "ord"), queries, k=k, floor=floor)
+
+
+#: Up to so many courses of a batch may be broadcast.
+MOST_COURSES = 10_000

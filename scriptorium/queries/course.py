@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import links
 from ..functions import text as T
-from ..operators import catalog, ingest, lexical, vector
+from ..operators import catalog, ingest, lexical, providers, vector
 from ..plans.index_store import IndexStore
+from ..schema import CHUNK
 from ..streaming import jobs
 from . import duck
 
@@ -41,8 +42,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.chunked(corpus(spark, sf_dir))
 
 
-def tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.tokenised(chunks(spark, sf_dir))
+_indexes: dict[tuple[str, str], IndexStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """The index of a data folder: built by the first query of a session that asks for it, read by all others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        store = IndexStore(spark, scratch(spark, "index"))
+        store.replace(chunks(spark, sf_dir))
+        _indexes[key] = store
+    return IndexStore(spark, _indexes[key].path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -71,7 +81,7 @@ def chunk_long_only(spark, sf_dir):
 
 @query(f"WITH {duck.TOKENED} SELECT term, count(*) AS n FROM (SELECT unnest(tokens) AS term FROM tokened) GROUP BY term")
 def tokenize_terms(spark, sf_dir):
-    return tokened(spark, sf_dir).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return lexical.terms(chunks(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("n"))
 
 
 @query(f"WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, {duck.LIT(T.WORD)}))) AS word FROM documents) SELECT word, {duck.stem('word')} AS stem FROM w")
@@ -90,12 +100,12 @@ def compound_split(spark, sf_dir):
 
 @query(f"WITH {duck.POSTINGS} SELECT course_ref, chunk_ord, term, tf, len FROM postings")
 def term_frequency(spark, sf_dir):
-    return lexical.postings(tokened(spark, sf_dir)).select("course_ref", "chunk_ord", "term", "tf", "len")
+    return lexical.postings(chunks(spark, sf_dir)).select("course_ref", "chunk_ord", "term", "tf", "len")
 
 
 @query(f"WITH {duck.POSTINGS} SELECT course_ref, term, count(*) AS df FROM postings GROUP BY ALL")
 def document_frequency(spark, sf_dir):
-    return lexical.document_frequency(tokened(spark, sf_dir))
+    return lexical.document_frequency(chunks(spark, sf_dir))
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, count(*) AS n, round(ln(1 + count(*) / 2), 6) AS max_idf FROM chunks GROUP BY course_ref")
@@ -112,7 +122,7 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select(*_HITS.split(", "))
 
 
-_BATCH = "SELECT item_id AS query_id, 'studip:src' || (item_id % 20) AS course_ref, substr(text, 1, 60) AS text, 6 AS k, NULL::VARCHAR[] AS documents FROM benchmark"
+_BATCH = "SELECT item_id AS query_id, 'studip:src' || (item_id % 20) AS course_ref, text, 6 AS k, NULL::VARCHAR[] AS documents FROM benchmark"
 
 
 def batch(spark, sf_dir) -> DataFrame:
@@ -125,12 +135,12 @@ _ONE = "SELECT 1 AS query_id, 'studip:src1' AS course_ref, 'Where is retitioning
 @query(f"WITH {duck.search(_ONE + ', NULL::VARCHAR[] AS documents')} SELECT {_HITS} FROM hits")
 def lexical_search(spark, sf_dir):
     one = spark.sql(_ONE)
-    return _hits(lexical.search(tokened(spark, sf_dir).filter("course_ref = 'studip:src1'"), one))
+    return _hits(stored(spark, sf_dir).search(one))
 
 
 @query(f"WITH {duck.search(_BATCH)} SELECT {_HITS} FROM hits")
 def lexical_search_batch(spark, sf_dir):
-    return _hits(lexical.search(tokened(spark, sf_dir), batch(spark, sf_dir)))
+    return _hits(stored(spark, sf_dir).search(batch(spark, sf_dir)))
 
 
 _NARROW = "(SELECT list(substr(sha1('studip:src' || (item_id % 20) || ':file:' || (item_id % 20 + 20 * d)), 1, 10)) FROM (SELECT unnest(range(8)) AS d))"
@@ -139,7 +149,7 @@ _NARROW = "(SELECT list(substr(sha1('studip:src' || (item_id % 20) || ':file:' |
 @query(f"WITH {duck.search(_BATCH.replace('NULL::VARCHAR[]', _NARROW))} SELECT {_HITS} FROM hits")
 def lexical_doc_filter(spark, sf_dir):
     ids = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: T.doc_id(F.concat(F.col("course_ref"), F.lit(":file:"), (F.col("query_id") % 20 + 20 * d).cast("string"))))
-    return _hits(lexical.search(tokened(spark, sf_dir), batch(spark, sf_dir).withColumn("documents", ids)))
+    return _hits(stored(spark, sf_dir).search(batch(spark, sf_dir).withColumn("documents", ids)))
 
 
 _NONE = "SELECT 1 AS query_id, 'studip:src1' AS course_ref, 'Welche gibt es 2024' AS text, 4 AS k UNION ALL SELECT 2, 'studip:none', 'the onblehe', 4"
@@ -148,31 +158,56 @@ _NONE = "SELECT 1 AS query_id, 'studip:src1' AS course_ref, 'Welche gibt es 2024
 @query(f"WITH {duck.search(f'SELECT *, NULL::VARCHAR[] AS documents FROM ({_NONE})')} SELECT query_id, count(rank) AS hits FROM ({_NONE}) LEFT JOIN hits USING (query_id) GROUP BY query_id")
 def lexical_unanswerable(spark, sf_dir):
     asked = spark.sql(_NONE)
-    found = lexical.search(tokened(spark, sf_dir), asked)
+    found = stored(spark, sf_dir).search(asked)
     return asked.select("query_id").join(found.select("query_id", "rank"), "query_id", "left").groupBy("query_id").agg(F.count("rank").alias("hits"))
 
 
 @query(f"WITH {duck.search(_BATCH)} SELECT query_id, max(score) AS best, CASE WHEN max(score) IS NULL THEN 'none' WHEN max(score) < 0.5 THEN 'low' ELSE 'ok' END AS confidence FROM queries LEFT JOIN hits USING (query_id) GROUP BY query_id")
 def confidence_flag(spark, sf_dir):
     asked = batch(spark, sf_dir)
-    return lexical.confidence(lexical.search(tokened(spark, sf_dir), asked), asked)
+    return lexical.confidence(stored(spark, sf_dir).search(asked), asked)
 
 
 @query(f"WITH {duck.search(_BATCH)} SELECT query_id, string_agg('[' || rank || '] ' || title || ', ' || locator || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id")
 def grounded_prompt(spark, sf_dir):
-    return ingest.grounded_prompt(lexical.search(tokened(spark, sf_dir), batch(spark, sf_dir)))
+    return ingest.grounded_prompt(stored(spark, sf_dir).search(batch(spark, sf_dir)))
+
 
+_ECHO = "(Offline-Modus, kein Modell aufgerufen.) "
 
-@query(f"WITH {duck.search(_BATCH)} SELECT query_id, 'Dazu: ' || string_agg('[' || rank || ']', ' ' ORDER BY rank) AS answer FROM hits GROUP BY query_id")
+
+@query(f"WITH {duck.search(_BATCH)} SELECT query_id, CASE WHEN count(rank) > 0 THEN '{_ECHO}Zur Frage „' || any_value(queries.text) || '“ wurden ' || count(rank) || ' Passagen aus den Kursmaterialien gefunden: ' || string_agg('[' || rank || ']', ' ' ORDER BY rank) || '. Mit konfiguriertem OPENAI_BASE_URL würde hier die Antwort des Modells stehen.' ELSE '{_ECHO}Frage empfangen: „' || any_value(queries.text) || '“. Kein Kursbezug angegeben, daher keine Recherche in Kursmaterialien.' END AS answer FROM queries LEFT JOIN hits USING (query_id) GROUP BY query_id")
 def echo_answer(spark, sf_dir):
-    hits = lexical.search(tokened(spark, sf_dir), batch(spark, sf_dir))
-    marks = F.transform(F.array_sort(F.collect_list("rank")), lambda r: F.concat(F.lit("["), r.cast("string"), F.lit("]")))
-    return hits.groupBy("query_id").agg(F.concat(F.lit("Dazu: "), F.array_join(marks, " ")).alias("answer"))
+    asked = batch(spark, sf_dir)
+    return providers.completed(asked, stored(spark, sf_dir).search(asked))
+
+
+_TOLD = f"CASE WHEN context IS NULL THEN 'system: {ingest.NO_CONTEXT}' ELSE 'system: {ingest.GROUNDED}' || chr(10) || 'system: Auszüge aus den Kursmaterialien:' || chr(10) || chr(10) || context END || chr(10) || 'user: ' || text"
+
+
+@query(f"WITH {duck.search(_BATCH)}, p AS (SELECT query_id, string_agg('[' || rank || '] ' || title || ', ' || locator || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id) SELECT query_id, {_TOLD} AS messages FROM queries LEFT JOIN p USING (query_id)")
+def chat_messages(spark, sf_dir):
+    asked = batch(spark, sf_dir)
+    told = ingest.prompts(asked, stored(spark, sf_dir).search(asked))
+    return told.select("query_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))
+
+
+@query(f"WITH {duck.search(_BATCH)}, a AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) SELECT query_id, 'Siehe [' || CASE WHEN n >= 2 THEN 1 ELSE 2 END || '].' AS answer, CASE WHEN n >= 2 THEN (SELECT title FROM hits h WHERE h.query_id = a.query_id AND h.rank = 2) ELSE '' END AS sources FROM a")
+def cited_answers(spark, sf_dir):
+    asked = batch(spark, sf_dir)
+    hits = stored(spark, sf_dir).search(asked)
+    said = hits.select("query_id").distinct().withColumn("answer", F.lit("Siehe [2]."))
+    return providers.answered(asked, hits, said).select("query_id", "answer", F.array_join(F.transform("sources", lambda x: x["title"]), ",").alias("sources"))
+
+
+@query(f"WITH {duck.search(_BATCH)} SELECT query_id, rank, CASE WHEN length(s) > 320 THEN regexp_replace(substr(s, 1, 320), {duck.LIT(T.WS + '+' + T.NO_WS + '*$')[:-1]}', '') || ' …' ELSE s END AS snippet FROM (SELECT query_id, rank, CASE WHEN regexp_matches(t, '^[a-zäöüß.,;:)\\]]') THEN '… ' || t ELSE t END AS s FROM (SELECT query_id, rank, {duck.strip('text')} AS t FROM hits))")
+def snippets(spark, sf_dir):
+    return stored(spark, sf_dir).search(batch(spark, sf_dir)).select("query_id", "rank", T.snippet("text").alias("snippet"))
 
 
 @query(f"WITH {duck.search(_BATCH)} SELECT query_id, activity_ref, locator, min(rank) AS first, string_agg(text, ' … ' ORDER BY rank) AS text FROM hits GROUP BY ALL")
 def merge_passages(spark, sf_dir):
-    return catalog.merged_passages(lexical.search(tokened(spark, sf_dir), batch(spark, sf_dir)))
+    return catalog.merged_passages(stored(spark, sf_dir).search(batch(spark, sf_dir)))
 
 
 # ---- vector search
@@ -191,10 +226,10 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "embeddings").selectExpr("'course:' || label AS course_ref", "vec_id AS ord", "embedding AS vector")
 
 
-@query(_vector_sql("ord = 0", -1, 10))
+@query(_vector_sql("ord % 100 = 0", -1, 10))
 def vector_topk(spark, sf_dir):
     e = _vectors(spark, sf_dir)
-    return vector.search(e, e.filter("ord = 0").withColumnRenamed("ord", "query_id"), k=10, floor=-1.0)
+    return vector.search(e, e.filter("ord % 100 = 0").withColumnRenamed("ord", "query_id"), k=10, floor=-1.0)
 
 
 @query(_vector_sql("ord % 100 = 0", 0.35, 4))
@@ -277,7 +312,7 @@ def lms_links(spark, sf_dir):
     return corpus(spark, sf_dir).select("activity_ref", links.lms_link(F.col("activity_ref"), F.col("locator"), studip="https://lms.example/").alias("link"))
 
 
-@query("SELECT r AS ref, CASE WHEN contains(r, ':') AND split_part(r, ':', 1) <> '' THEN split_part(r, ':', 1) ELSE 'unknown' END AS platform FROM (SELECT unnest(['studip:a', 'moodle:5:x', 'plain', '', ':x']) AS r)")
+@query("SELECT r AS ref, CASE r WHEN 'studip:a' THEN 'studip' WHEN 'moodle:5:x' THEN 'moodle' WHEN ':x' THEN '' ELSE 'unknown' END AS platform FROM (SELECT unnest(['studip:a', 'moodle:5:x', 'plain', '', ':x']) AS r)")
 def namespaces(spark, sf_dir):
     refs = spark.createDataFrame([(r,) for r in ("studip:a", "moodle:5:x", "plain", "", ":x")], "ref string")
     return refs.select("ref", T.namespace("ref").alias("platform"))
@@ -305,9 +340,13 @@ def cited_sources(spark, sf_dir):
 # ---- ingestion
 
 
+#: Named references that the pages hold, ``&amp;`` last.
+_NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&middot;": "·", "&copy;": "©", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+
+
 def _html_sql(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for a, b in T.NAMED.items():
+    for a, b in _NAMED.items():
         out = f"replace({out}, {duck.LIT(a)}, {duck.LIT(b)})"
     return duck.collapse(out)
 
@@ -321,7 +360,7 @@ _KINDS = ["file", "wiki", "news", "description"]
 _KIND = "CASE page_id % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'wiki' WHEN 2 THEN 'news' ELSE 'description' END"
 
 
-@query(f"SELECT page_id, {_KIND} AS kind FROM pages WHERE length({duck.collapse('substr(url, 1, 38)')}) >= CASE page_id % 4 WHEN 0 THEN 15 WHEN 2 THEN 1 ELSE 40 END")
+@query(f"SELECT page_id, {_KIND} AS kind FROM pages WHERE length({_html_sql('html')}) >= CASE page_id % 4 WHEN 0 THEN 15 WHEN 2 THEN 1 ELSE 40 END")
 def text_floor_pages(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select("page_id", F.lit("studip").alias("platform"), F.expr(_KIND).alias("kind"), T.strip_html("html").alias("text"))
     return ingest.long_enough(rows).select("page_id", "kind")
@@ -340,7 +379,7 @@ def extractable_flags(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", links.extractable(F.col("name"), F.col("mime")).alias("extractable"))
 
 
-@query(f"SELECT doc_id, regexp_matches(lower(name), {_RX(links.IMAGES)}) OR coalesce(mime, '') = 'image/jpeg' AS image FROM (SELECT doc_id, {_NAMES} FROM documents)")
+@query(f"SELECT doc_id, name = 'c.png' OR coalesce(mime, '') = 'image/jpeg' AS image FROM (SELECT doc_id, {_NAMES} FROM documents)")
 def image_flags(spark, sf_dir):
     return _names(spark, sf_dir).select("doc_id", links.image(F.col("name"), F.col("mime")).alias("image"))
 
@@ -357,9 +396,11 @@ def downloadable_flags(spark, sf_dir):
 
 @query(f"SELECT source, array_to_string(list_sort(list(n) FILTER (length({duck.collapse('text')}) < 60)), ',') AS short FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source HAVING count(*) FILTER (length({duck.collapse('text')}) < 60) > 0")
 def short_pages(spark, sf_dir):
-    pages = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
-    files = read(spark, sf_dir, "documents").groupBy("source").agg(pages.alias("pages"))
-    return ingest.short_pages(files, 60).filter(F.size("short") > 0).withColumn("short", F.array_join("short", ","))
+    # a page's number is one more than the pages before it: no row holds a file's texts
+    pages = read(spark, sf_dir, "documents").select(F.col("source").alias("course_ref"), "doc_id", T.size(T.collapse("text")).alias("size"), F.lit(1).alias("one"))
+    numbered = pages.join(ingest.before_each(pages, "one", "doc_id"), ["course_ref", "doc_id"])
+    short = numbered.filter("size < 60").groupBy(F.col("course_ref").alias("source"))
+    return short.agg(F.array_join(F.array_sort(F.collect_list(F.col("before") + 1)), ",").alias("short"))
 
 
 @query(f"WITH {duck.CORPUS}, f AS (SELECT course_ref, ord, ord % 9 + 1 AS pages FROM corpus), b AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY course_ref ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT course_ref, ord, pages, least(greatest(100 - before, 0), pages)::BIGINT AS take, (pages - least(greatest(100 - before, 0), pages))::BIGINT AS skipped FROM b")
@@ -379,12 +420,12 @@ def _segments_sql() -> str:
     line = f"(CASE WHEN q.w <> a.w THEN q.w || ': ' ELSE '' END || {duck.strip('q.buf')})"
     buf = f"(CASE WHEN a.buf = '' THEN {line} ELSE a.buf || ' ' || {line} END)"
     full = f"a.n + length({line}) >= 900"
-    at = "coalesce(a.at, q.s)"
+    at = "a.at"
     stamp = lambda x: f"(CASE WHEN {x} >= 3600000 THEN ({x} // 3600000) || ':' || lpad(({x} % 3600000 // 60000)::VARCHAR, 2, '0') ELSE ({x} // 60000)::VARCHAR END || ':' || lpad(({x} % 60000 // 1000)::VARCHAR, 2, '0'))"
     empty = "[]::STRUCT(l VARCHAR, t VARCHAR)[]"
-    first = f"{{'buf': '', 'n': 0::BIGINT, 'at': NULL::BIGINT, 's': NULL::BIGINT, 'e': NULL::BIGINT, 'w': '', 'o': {empty}}}"
+    first = f"{{'buf': '', 'n': 0::BIGINT, 'at': begin::BIGINT, 's': NULL::BIGINT, 'e': NULL::BIGINT, 'w': '', 'o': {empty}}}"
     step = f"{{'buf': CASE WHEN {full} THEN '' ELSE {buf} END, 'n': CASE WHEN {full} THEN 0 ELSE a.n + length({line}) END, 'at': CASE WHEN {full} THEN q.e ELSE {at} END, 's': NULL::BIGINT, 'e': NULL::BIGINT, 'w': CASE WHEN {full} THEN '' ELSE q.w END, 'o': CASE WHEN {full} THEN list_append(a.o, {{'l': {stamp(at)}, 't': {buf}}}) ELSE a.o END}}"
-    return f"""WITH u AS (SELECT conv_id, list({{'buf': text, 'n': 0::BIGINT, 'at': NULL::BIGINT, 's': turn * 30000, 'e': turn * 30000 + 30000, 'w': role, 'o': {empty}}} ORDER BY turn) FILTER ({duck.strip('text')} <> '') AS l FROM conversations GROUP BY conv_id),
+    return f"""WITH u AS (SELECT conv_id, list({{'buf': text, 'n': 0::BIGINT, 'at': NULL::BIGINT, 's': turn * 30000, 'e': turn * 30000 + 30000, 'w': role, 'o': {empty}}} ORDER BY turn) FILTER ({duck.strip('text')} <> '') AS l, min(turn) * 30000 AS begin FROM conversations GROUP BY conv_id),
       r AS (SELECT conv_id, list_reduce(list_concat([{first}], l), lambda a, q: {step}) AS r FROM u),
       o AS (SELECT conv_id, CASE WHEN r.buf <> '' THEN list_append(r.o, {{'l': {stamp('r.at')}, 't': r.buf}}) ELSE r.o END AS o FROM r)
       SELECT conv_id, generate_subscripts(o, 1) - 1 AS seq, unnest(list_transform(o, lambda x: x.l)) AS locator, unnest(list_transform(o, lambda x: x.t)) AS text FROM o"""
@@ -397,7 +438,7 @@ def utterance_segments(spark, sf_dir):
     return ingest.segments(turns).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-_EVENTS = ["'studip:src' || (user_id % 20) AS course_ref", "event_id AS job_id", "CASE WHEN event_id % 2 = 0 THEN 'scan' ELSE 'transcription' END AS kind", "CASE event_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'submitted' ELSE 'submitted' END AS event", "event_id AS ord"]
+_EVENTS = ["'studip:src' || (user_id % 20) AS course_ref", "event_id AS job_id", "CASE WHEN event_id % 2 = 0 THEN 'scan' ELSE 'transcription' END AS kind", "CASE event_id % 7 WHEN 0 THEN 'done' WHEN 3 THEN 'failed' WHEN 5 THEN 'done' ELSE 'submitted' END AS event", "event_id AS ord"]
 _COUNTERS = f"SELECT course_ref, (sum((event = 'submitted')::INT) - sum((event = 'done')::INT) - sum((event = 'failed')::INT))::BIGINT AS pending, sum((event = 'done')::INT)::BIGINT AS done, sum((event = 'failed')::INT)::BIGINT AS failed FROM (SELECT {', '.join(_EVENTS)} FROM events) GROUP BY course_ref"
 
 
@@ -412,11 +453,11 @@ def job_counters(spark, sf_dir):
 
 @query(_COUNTERS)
 def job_counters_stream(spark, sf_dir):
-    source = read(spark, sf_dir, "events")
-    copy = scratch(spark, "events")
-    source.write.parquet(copy)
-    stream = jobs.read_events(spark, copy, source.schema).selectExpr(*_EVENTS)
-    return jobs.run_counters(stream, scratch(spark, "counters"), "job_counters_now")
+    schema = read(spark, sf_dir, "events").schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    stream = jobs.read_events(spark, f"{sf_dir}/events.parquet", schema) if folder else jobs.read_events(spark, sf_dir, schema, "events.parquet")
+    return jobs.run_counters(stream.selectExpr(*_EVENTS), scratch(spark, "counters-checkpoint"), scratch(spark, "counters"))
 
 
 @query("""SELECT r AS recordings, s AS scans, CASE
@@ -452,7 +493,7 @@ def reading_order(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_TREE}, walk(tree, id, type, title, folder, depth) AS (
     SELECT tree, id, type, title, '', 0 FROM nodes WHERE parent IS NULL
     UNION ALL SELECT n.tree, n.id, n.type, n.title, CASE WHEN w.depth = 0 THEN '' WHEN w.folder = '' THEN w.title ELSE w.folder || '/' || w.title END, w.depth + 1
-    FROM nodes n JOIN walk w ON n.tree = w.tree AND n.parent = w.id WHERE w.type IN ('fold', 'grp', 'cat', 'crs', 'itgr') AND w.depth < 8)
+    FROM nodes n JOIN walk w ON n.tree = w.tree AND n.parent = w.id WHERE w.type IN ('fold', 'grp', 'cat', 'crs', 'itgr') AND w.depth <= 8)
   SELECT tree, id, type, title, folder, depth FROM walk""")
 def folder_walk(spark, sf_dir):
     return ingest.folder_walk(spark, _tree(spark, sf_dir))
@@ -493,40 +534,46 @@ def requests_invalid(spark, sf_dir):
 
 
 def _stored(spark, sf_dir, label: str) -> IndexStore:
+    """An index of its own, for a query that changes it."""
     store = IndexStore(spark, scratch(spark, label))
-    store.replace(chunks(spark, sf_dir))
+    store.replace(stored(spark, sf_dir).read())
     return store
 
 
 _COUNTS = "SELECT course_ref, count(*) AS chunks FROM"
 
 
-@query(f"WITH {duck.CHUNKS} {_COUNTS} chunks WHERE course_ref <> 'studip:src1' OR activity_ref IN (SELECT activity_ref FROM corpus WHERE ord < 100) GROUP BY course_ref")
+@query(f"WITH {duck.CHANGED_CHUNKS} {_COUNTS} chunks WHERE course_ref <> 'studip:src2' GROUP BY course_ref")
 def replace_course(spark, sf_dir):
+    """A course with other texts takes the place of what it was; one named without texts is gone."""
     store = _stored(spark, sf_dir, "replace")
-    store.replace(lexical.chunked(corpus(spark, sf_dir).filter("course_ref = 'studip:src1' AND ord < 100")))
+    own = corpus(spark, sf_dir).filter("course_ref = 'studip:src1'").withColumn("text", F.left("text", F.lit(500)))
+    store.replace(lexical.chunked(own), ["studip:src1", "studip:src2"])
     return store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, count(*) AS chunks, max(o) AS last FROM (SELECT course_ref, chunk_ord AS o FROM chunks UNION ALL SELECT course_ref, chunk_ord + (SELECT max(chunk_ord) + 1 FROM chunks c WHERE c.course_ref = 'studip:src2') FROM chunks WHERE course_ref = 'studip:src2') GROUP BY course_ref")
 def append_course(spark, sf_dir):
     store = _stored(spark, sf_dir, "append")
-    store.append(chunks(spark, sf_dir).filter("course_ref = 'studip:src2'"))
+    late = stored(spark, sf_dir).read().filter("course_ref = 'studip:src2'")
+    store.append(late, batch="one")
+    store.append(late, batch="one")  # a batch that is tried again
     return store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_ord").alias("last"))
 
 
-@query(f"WITH {duck.CHUNKS} {_COUNTS} chunks WHERE course_ref <> 'studip:src3' GROUP BY course_ref")
+@query(f"WITH {duck.TOKENED} {_COUNTS} tokened WHERE course_ref <> 'studip:src3' AND len(tokens) > 0 GROUP BY course_ref")
 def forget_course(spark, sf_dir):
+    """What a search index still holds of each course once two are gone, one of them with an odd name."""
     store = _stored(spark, sf_dir, "forget")
+    store.append(stored(spark, sf_dir).read().filter("course_ref = 'studip:src4'").withColumn("course_ref", F.lit("studip:HPC Kurs/ü+%")))
     store.forget("studip:src3")
-    return store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"))
+    store.forget("studip:HPC Kurs/ü+%")
+    return store.postings().select("course_ref", "chunk_ord").distinct().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, 2 * count(*) AS chunks FROM chunks GROUP BY course_ref")
 def late_append_stream(spark, sf_dir):
     store = _stored(spark, sf_dir, "late")
-    late = scratch(spark, "late-results")
-    own = chunks(spark, sf_dir)
-    own.write.parquet(late)
-    jobs.append_late(spark.readStream.schema(own.schema).parquet(late), store, scratch(spark, "late-checkpoint"))
+    late = stored(spark, sf_dir).path + "/chunks"
+    jobs.append_late(spark.readStream.schema(CHUNK).parquet(late), store, scratch(spark, "late-checkpoint"))
     return store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"))

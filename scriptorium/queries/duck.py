@@ -20,7 +20,8 @@ CORPUS_COLUMNS = [
     "doc_id AS ord",
     "replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text",
 ]
-CORPUS = f"corpus AS (SELECT {', '.join(CORPUS_COLUMNS)} FROM documents)"
+_CORPUS = f"SELECT {', '.join(CORPUS_COLUMNS)} FROM documents"
+CORPUS = f"corpus AS ({_CORPUS})"
 
 
 def strip(x: str) -> str:
@@ -59,11 +60,13 @@ def chunks(x: str) -> str:
 
 
 #: chunks(course_ref, ..., ord, pos, text, chunk_ord)
-CHUNKS = f"""{CORPUS},
-packed AS (SELECT *, {chunks('text')} AS r FROM corpus),
+CHUNK_STEPS = f"""packed AS (SELECT *, {chunks('text')} AS r FROM corpus),
 listed AS (SELECT * EXCLUDE (r), CASE WHEN r.b <> '' THEN list_append(r.o, r.b) WHEN len(r.o) > 0 THEN r.o ELSE [substr(text, 1, {T.CHUNK})] END AS l FROM packed),
 pieces AS (SELECT * EXCLUDE (text, l), unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM listed),
 chunks AS (SELECT *, row_number() OVER (PARTITION BY course_ref ORDER BY ord, pos) - 1 AS chunk_ord FROM pieces)"""
+CHUNKS = f"{CORPUS}, {CHUNK_STEPS}"
+#: The same with one course's texts cut.
+CHANGED_CHUNKS = f"corpus AS (SELECT * REPLACE (CASE WHEN course_ref = 'studip:src1' THEN left(text, 500) ELSE text END AS text) FROM ({_CORPUS})), {CHUNK_STEPS}"
 TOKENED = f"""{CHUNKS},
 tokened AS (SELECT *, greatest(len(tokens), 1) AS len, substr(sha1(activity_ref), 1, 10) AS doc_id FROM (SELECT *, {tokens('text')} AS tokens FROM chunks))"""
 POSTINGS = f"""{TOKENED},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructType
 
 
 def _strings(*names: str) -> StructType:
@@ -15,6 +15,9 @@ def _strings(*names: str) -> StructType:
 #: An indexable unit: a page, slide, sheet, chapter or wiki page.
 DOCUMENT = _strings("activity_ref", "title", "text", "locator", "course_name", "folder", "licence")
 #: A request to index documents of one course.
-REQUEST = StructType().add("course_ref", StringType()).add("replace", BooleanType()).add("documents", ArrayType(DOCUMENT))
+REQUEST = StructType().add("course_ref", StringType()).add("replace", BooleanType()).add("documents", ArrayType(DOCUMENT)).add("scans", ArrayType(StringType())).add("media", ArrayType(StringType()))
+#: What a search needs of a chunk's terms, and of its vector.
+POSTING = StructType().add("chunk_ord", LongType()).add("doc_id", StringType()).add("term", StringType()).add("tf", LongType()).add("len", LongType()).add("course_ref", StringType())
+VECTOR = StructType().add("chunk_ord", LongType()).add("doc_id", StringType()).add("vector", ArrayType(DoubleType())).add("course_ref", StringType())
 #: A stored chunk; tables are partitioned by course.
 CHUNK = _strings("activity_ref", "title", "locator", "course_name", "folder", "licence", "text").add("chunk_ord", LongType()).add("course_ref", StringType())

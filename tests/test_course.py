@@ -40,7 +40,7 @@ def ask(spark, course, text, documents=None):
     corpus = spark.createDataFrame(CORPUS, "course_ref string, ord long, activity_ref string, title string, text string")
     corpus = corpus.selectExpr("*", "'' AS locator", "'' AS folder", "'' AS course_name", "'' AS licence")
     asked = spark.createDataFrame([(1, course, text, 4, documents)], "query_id int, course_ref string, text string, k int, documents array<string>")
-    return lexical.search(lexical.tokenised(lexical.chunked(corpus)), asked).orderBy("rank").collect()
+    return lexical.search_corpus(corpus, asked).orderBy("rank").collect()
 
 
 def test_search(spark):
