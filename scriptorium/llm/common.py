@@ -64,25 +64,26 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     del df, out
     spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver lets go of their stages
     back = spark.read.schema(schema).parquet(path)
-    _PATHS[id(back)] = path
+    back._written_to = path
     return back
 
 
-_PATHS: dict[int, str] = {}
-
-
 def path_of(table: DataFrame) -> str:
     """Where :func:`written` put a table."""
-    return _PATHS[id(table)]
+    return table._written_to
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table of :func:`written` that nothing reads any more."""
-    spark, path = table.sparkSession, _PATHS.pop(id(table))
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this session's."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    remove(table.sparkSession, path_of(table))
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id is in no held-out fold (-1)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, token_files, toxicity, warc
-from .common import documents, fold
+from .common import documents, fold, remove, written
 
 
 def op1_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,15 @@ def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit a replica in which every page whose id leaves 13 modulo 97 is damaged."""
-    first = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    second = warc.damaged(first, F.col("key") % 97 == 13)
+    """Write WARC files, store a replica in which every page whose id leaves 13 modulo 97 is damaged, and audit it."""
+    path = warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    first = written(warc.read_warc(spark, path), "warc-index")
+    replica = warc.copied(spark, path, damage=F.col("key") % 97 == 13)
+    second = written(warc.read_warc(spark, replica), "warc-index")
+    remove(spark, path)
+    remove(spark, replica)
     found = warc.audit(first, second).select("file", "ordinal", F.lit(True).alias("differs"))
-    digest = lambda t: F.sha2(F.col(t), 256)
-    both = first.select("file", "ordinal", F.col("key").alias("page_id"), F.col("length").alias("record_bytes"), digest("record").alias("record_sha256"))
+    both = first.select("file", "ordinal", F.col("key").alias("page_id"), F.col("length").alias("record_bytes"), F.col("sha256").alias("record_sha256"))
     return both.join(found, ["file", "ordinal"], "left").select("page_id", "record_bytes", "record_sha256", F.coalesce("differs", F.lit(False)).alias("corrupt"))
 
 
