@@ -34,6 +34,8 @@ BLOCK = 128
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 0.9
 #: A segment is closed once it has so many ids; documents are never cut.
+#: Text of a file, about.
+FILE_BYTES = 64 << 20
 SEGMENT_IDS = 1 << 18
 _MAGIC = b"PFR1"
 
@@ -105,19 +107,23 @@ class Packed:
         return self.blocks(np.arange(len(self.low))).reshape(-1)[: self.n]
 
 
-def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, files: int | None = None) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode and write all documents in order of id; returns the files as a table.
 
+    A file holds about ``file_bytes`` of text, but there are no fewer files than
+    the session has shuffle partitions. Rows of one id are split like others.
+
     Columns: ``file`` (ascending with the ids), ``segment``, ``start`` (ids of
     the same file before the segment), ``n_ids``, ``doc_ids``, ``lengths``,
     ``image`` (the packed ids).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // file_bytes))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("t")).withColumn("h", F.xxhash64("t"))
-    dealt = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("t")).withColumn("at", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(files, "k", "at").sortWithinPartitions("k", "at").select("k", "t")
     schema = "file int, segment int, start long, n_ids long, doc_ids array<long>, lengths array<long>, image binary"
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = ["file", "segment", "start", "n_ids", "doc_ids", "lengths", "image"]
