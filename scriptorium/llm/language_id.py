@@ -5,11 +5,15 @@ For each language a variable-order tree of byte contexts (orders 0 to
 text's score under a language is its exact code length: escape method C with
 full symbol exclusion, order -1 being uniform over the bytes never seen. With
 frozen counts the cost of a byte depends only on the ``ORDER`` bytes before it,
-so each distinct window is priced once and remembered.
+so each distinct window is priced once and remembered. Texts are priced in
+pieces of ``PIECE`` bytes, each with the ``ORDER`` bytes before it, so memory
+does not grow with a text.
 
 Defined results: null text or a text without a letter gives ``und`` and score
 0; an empty training set gives ``und`` everywhere; ties go to the language that
-sorts first; repeated rows give equal rows; an empty table gives an empty one.
+sorts first; repeated rows give equal rows, and are learned from like others; a
+null id is in no held-out fold; texts of any length are scored whole; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended, fold, hash_share, small_batches
@@ -29,6 +33,10 @@ ORDER = 3
 SAMPLE_DOCS = 400
 #: ... of at most so many bytes each.
 SAMPLE_BYTES = 32_768
+#: Bytes that are priced at once.
+PIECE = 1 << 20
+#: More languages than this are an error: a model of all of them could not be shipped.
+MOST_LANGUAGES = 5000
 _MEMO = 1 << 18
 
 
@@ -136,16 +144,28 @@ class Model:
         group: list[int] = []
         size = 0
         for i, text in enumerate(texts):
+            if len(text) > PIECE:  # by itself, piece by piece
+                before = b"\0" * self.order
+                for a in range(0, len(text), PIECE):
+                    piece = before + text[a : a + PIECE]
+                    out[i] += self._priced(_windows(np.frombuffer(piece, np.uint8), self.order + 1)[self.order :]).sum(0)
+                    before = piece[-self.order :] if self.order else b""
+                continue
             group.append(i)
             size += len(text)
-            if size >= 1 << 21 or i == len(texts) - 1:
-                buffer, starts, ends = _joined([texts[j] for j in group], self.order)
-                running = np.zeros((len(buffer) + 1, len(self.trees)))
-                np.cumsum(self._priced(_windows(buffer, self.order + 1)), axis=0, out=running[1:])
-                out[group] = running[ends] - running[starts]
+            if size >= PIECE:
+                out[group] = self._sums([texts[j] for j in group])
                 group, size = [], 0
+        if group:
+            out[group] = self._sums([texts[j] for j in group])
         return out
 
+    def _sums(self, texts: list[bytes]) -> np.ndarray:
+        buffer, starts, ends = _joined(texts, self.order)
+        running = np.zeros((len(buffer) + 1, len(self.trees)))
+        np.cumsum(self._priced(_windows(buffer, self.order + 1)), axis=0, out=running[1:])
+        return running[ends] - running[starts]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and their posterior probabilities under equal priors."""
         known = [i for i, t in enumerate(texts) if t and self.trees and any(map(str.isalpha, t))]
@@ -159,18 +179,27 @@ class Model:
         return names, scores
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 1, folds: int = 3, sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 1, folds: int = 3, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Model:
     """Learn from texts with a label outside the held-out fold.
 
-    The sample is at most about ``sample_docs`` texts of ``SAMPLE_BYTES`` bytes
-    a language, so it and the model have a fixed bound at any input size.
+    The sample is at most about ``sample_docs`` texts a language of at most
+    ``sample_bytes`` bytes, so it and the model have a fixed bound at any input
+    size. A language whose labelled texts are all longer is learned from a piece
+    of that size of each drawn text. Rows that repeat an id are drawn together;
+    at most ``4 * sample_docs`` of a language are taken, however ids repeat.
     """
-    own = docs.filter(F.col(lang_col).isNotNull() & (fold(id_col, folds) != held_out))
-    counts = {r[0]: r[1] for r in own.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    own = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held_out)).select(F.col(lang_col).cast("string").alias("k"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    short = F.octet_length("t") <= sample_bytes
+    counts = own.groupBy("k").agg(F.sum(short.cast("long")).alias("short"), F.count(F.lit(1)).alias("all")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Model({}, order)
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / n))])
-    chosen = own.filter((hash_share(id_col, 17) < rate[F.col(lang_col)]) & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(F.col(lang_col).alias("k"), F.col(text_col).alias("t"))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r.k, min(1.0, sample_docs / (r.short or r["all"])))])
+    only_long = [r.k for r in counts if not r.short]
+    drawn = own.filter((short | F.col("k").isin(only_long)) & (hash_share("id", 17) < rate[F.col("k")])).select("k", F.left("t", F.lit(sample_bytes)).alias("t"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"), "t"))
+    chosen = drawn.withColumn("place", place).filter(F.col("place") <= 4 * sample_docs).select("k", "t")
     texts: dict[str, list[bytes]] = {}
     for k, t in sorted((r.k, r.t.encode()) for r in chosen.collect()):
         texts.setdefault(k, []).append(t)
