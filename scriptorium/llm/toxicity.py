@@ -6,8 +6,9 @@ FTRL-proximal with a rate for each coordinate and L1, which leaves few nonzero
 weights; only those are broadcast, at most ``2 ** BITS`` of them.
 
 Defined results: a null or empty text scores the bias alone; without training
-rows every score is 0.5; labels repeated for an id count with the highest;
-repeated rows give equal rows.
+rows every score is 0.5, which predicts 1; labels repeated for an id count with
+the highest; a null id has no label; repeated rows give equal rows; texts of any
+length are scored whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -111,13 +112,18 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS) ->
     return Model(at, w[at], float(w[-1]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 0, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from labelled rows outside the held-out fold, about ``sample_rows`` at most."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 0, folds: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from labelled rows outside the held-out fold, about ``sample_rows`` at most, of at most ``sample_bytes`` each.
+
+    Rows that repeat an id are learned from once each, but no more than
+    ``2 * sample_rows`` rows are taken in all.
+    """
     own = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col, folds) != held_out)).groupBy(F.col(id_col).alias("_k")).agg(F.max(label_col).cast("int").alias("_y"))
     n = own.count()
     chosen = own.filter(hash_share("_k", 23) < min(1.0, sample_rows / max(1, n)))  # so many ids: may be broadcast
-    text = docs.filter(F.octet_length(text_col) <= SAMPLE_BYTES)
-    rows = text.join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select(F.xxhash64("_k", text_col).alias("h"), F.col(text_col).alias("t"), "_y")
+    text = docs.filter(F.octet_length(text_col) <= sample_bytes)
+    rows = text.join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select(F.xxhash64("_k", text_col).alias("h"), F.col(text_col).cast("string").alias("t"), "_y")
+    rows = rows.orderBy("h", "t", "_y").limit(2 * sample_rows)  # each task keeps no more
     return fit([(r.t, r._y) for r in sorted(rows.collect(), key=lambda r: (r.h, r.t, r._y))])
 
 
