@@ -7,7 +7,11 @@ codec, timescale, duration and the byte ranges of the key frames; it never
 decodes the payload. ``payload`` reads the stored bytes back by the tables.
 
 Defined results: a null text counts as empty and yields one padded unit; equal
-texts yield equal files; a container that is cut short raises ``ValueError``.
+texts yield equal files; texts of any length are one file each, which a worker
+holds alone; repeated rows give equal rows; an empty table gives an empty one.
+``inspect`` and ``payload`` raise ``ValueError`` for a container that is cut
+short, lacks a table or contradicts itself; ``media_features`` then gives a row
+with an ``error`` and nulls, also for a null file.
 """
 
 from __future__ import annotations
@@ -127,18 +131,26 @@ def inspect(media: bytes) -> dict:
     for name, a, b in boxes(media):
         found.setdefault(name, (a, b))
     mdia, stbl = "/moov/trak/mdia", "/moov/trak/mdia/minf/stbl"
-    if f"{stbl}/stsd" not in found or f"{mdia}/mdhd" not in found:
-        raise ValueError("no track")
+    missing = [t for t in (f"{stbl}/stsd", f"{mdia}/mdhd", f"{stbl}/stsz") if t not in found]
+    if missing:
+        raise ValueError(f"no {missing[0]}")
+    for name, least in ((f"{stbl}/stsd", 16), (f"{mdia}/mdhd", 24), (f"{stbl}/stsz", 12)):
+        if found[name][1] - found[name][0] < least:
+            raise ValueError(f"{name} is cut short")
     at = found[f"{stbl}/stsd"][0]
     codec = media[at + 12 : at + 16].decode("latin-1")
     timescale = struct.unpack_from(">I", media, found[f"{mdia}/mdhd"][0] + (20 if media[found[f"{mdia}/mdhd"][0]] else 12))[0]
     durations = _table(media, found.get(f"{stbl}/stts"), 8, ">u4", 2)
     fixed, count = struct.unpack_from(">II", media, found[f"{stbl}/stsz"][0] + 4)
+    if fixed * count > len(media):
+        raise ValueError("the samples are longer than the file")
     sizes = np.full(count, fixed, np.int64) if fixed else _table(media, found[f"{stbl}/stsz"], 12, ">u4")[:, 0]
     offsets = _table(media, found.get(f"{stbl}/stco"), 8, ">u4")[:, 0]
     if f"{stbl}/co64" in found:
         offsets = _table(media, found[f"{stbl}/co64"], 8, ">u8")[:, 0]
     runs = _table(media, found.get(f"{stbl}/stsc"), 8, ">u4", 3)
+    if len(sizes) != count or (runs < 1).any() or (np.diff(runs[:, 0]) < 1).any() or (runs[:, 1] > count).any() or (runs[:, 0] > len(offsets)).any():
+        raise ValueError("the sample tables disagree")
     ends = np.append(runs[1:, 0] - 1, len(offsets))
     a_chunk = np.repeat(runs[:, 1], np.maximum(ends - (runs[:, 0] - 1), 0))
     if a_chunk.sum() != count:
@@ -148,6 +160,8 @@ def inspect(media: bytes) -> dict:
     first = np.cumsum(a_chunk) - a_chunk
     starts = offsets[chunk] + before - before[first][chunk] if count else before
     sync = _table(media, found[f"{stbl}/stss"], 8, ">u4")[:, 0] - 1 if f"{stbl}/stss" in found else np.arange(count)
+    if ((sync < 0) | (sync >= count)).any():
+        raise ValueError("a key frame is no sample")
     return {"codec": codec, "timescale": timescale, "duration": int((durations[:, 0] * durations[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": sync}
 
 
@@ -183,20 +197,27 @@ def to_media(docs: DataFrame, *, text_col: str = "text", media_col: str = "media
 
 
 def media_features(frame: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """Replace the media column by what its tables and its payload, read back, say."""
+    """Replace the media column by what its tables and its payload, read back, say; ``error`` is null where they can be read."""
     small_batches(frame.sparkSession)
     rest = [c for c in frame.columns if c != media_col]
     source = frame.select(*rest, media_col)
-    schema = extended(source.drop(media_col), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    schema = extended(source.drop(media_col), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+
+    def read(m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * 6 + ("no file",)
+        own = (len(m), hashlib.sha256(m).hexdigest())
+        try:
+            layout = inspect(m)
+            data = payload(m, layout)
+        except (ValueError, struct.error) as fault:
+            return (None, None, None, *own, None, str(fault))
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *own, feature(layout), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for m in b.column(len(rest)).to_pylist():
-                layout = inspect(m)
-                data = payload(m, layout)
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(layout)))
+            rows = [read(m) for m in b.column(len(rest)).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
