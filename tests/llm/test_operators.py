@@ -89,6 +89,36 @@ def test_language_code_lengths():
     assert np.allclose(tree.bits(grams), [cost(probe[i - 2 : i], probe[i]) for i in range(2, len(probe))])
 
 
+def test_language_of_long_texts():
+    texts = ["der hund und die katze " * 30, "the dog and the cat " * 30]
+    model = language_id.Model({"de": [texts[0].encode()], "en": [texts[1].encode()]})
+    long = (texts[1] * 4000)[: 2 * language_id.PIECE + 17].encode()
+    parts = [long[a : a + 1000] for a in range(0, len(long), 1000)]
+    whole = model.code_lengths([b"x", long, b"the dog", long[:5]])
+    plain = [sum(t.bits(language_id._windows(np.frombuffer(b"\0" * 3 + long, np.uint8), 4)[3:][i : i + 4096]).sum() for i in range(0, len(long), 4096)) for t in model.trees]
+    assert np.allclose(whole[1], plain) and len(parts) > 2000
+    assert np.allclose(whole[[0, 2, 3]], model.code_lengths([b"x", b"the dog", long[:5]]))
+
+
+def test_language_predictions_by_brute_force(spark, docs, rows):
+    """Each prediction against code lengths summed byte by byte, and their posterior."""
+    known = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("der hund und die katze sind im haus", "de"), ("the dog and the cat are in the house", "en"), ("le chien et le chat sont dans la maison", "fr")] * 5)], "doc_id long, text string, lang string")
+    model = language_id.train(known)
+    text = {r[0]: r[1] for r in rows}
+    for r in language_id.identify(docs, model).collect():
+        t = text[r.doc_id]
+        if not t or not any(map(str.isalpha, t)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        if len(t) > 2000:
+            continue
+        raw = b"\0" * 3 + t.encode()
+        bits = [sum(float(tree.bits(np.array([int.from_bytes(raw[i : i + 4], "big")], np.uint64))[0]) for i in range(len(raw) - 3)) for tree in model.trees]
+        best = min(bits)
+        assert bits[model.languages.index(r.lang_pred)] <= best + 1e-6
+        assert math.isclose(r.score, 1 / sum(2.0 ** max(best - b, -1000) for b in bits), rel_tol=1e-6)
+
+
 def test_language(spark, docs, empty):
     texts = [("der hund und die katze sind im haus " * 3, "de"), ("the dog and the cat are in the house " * 3, "en")] * 20
     known = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(texts)], "doc_id long, text string, lang string")
@@ -194,6 +224,46 @@ def test_counts_are_read_back():
     assert language_model._steps(ask, bits).tolist() == [*q.tolist(), 0]
 
 
+def test_ftrl_by_brute_force():
+    """Steps of FTRL-proximal as published, coordinate by coordinate."""
+    rnd = random.Random(6)
+    a, b, l1, l2, size = 0.5, 1.0, 0.3, 1.0, 12
+    model = toxicity.Ftrl(size, a, b, l1, l2)
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(200):
+        x, y, much = sorted(rnd.sample(range(size), rnd.randint(0, 5))), rnd.randint(0, 1), rnd.choice([1.0, 2.5])
+        model.learn(np.array(x, np.int64), y, much)
+        at = [*x, size]
+        w = [weight(i) for i in at]
+        g = (1 / (1 + math.exp(-sum(w))) - y) * much
+        for i, own in zip(at, w, strict=True):
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a
+            z[i] += g - sigma * own
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert np.allclose(model.weights(slice(None)), [weight(i) for i in range(size + 1)])
+
+
+def test_toxicity_scores_by_brute_force():
+    """Scores from the weights of plainly hashed features."""
+    texts = ["you idiot, go away!", "A nice  day", "", None, "idiot idiot idiot day", "the quick brown fox"]
+    model = toxicity.fit([(t, int("idiot" in (t or ""))) for t in texts * 6], bits=16)
+    weights = dict(zip(model.features.tolist(), model.weights, strict=True))
+    mask = (1 << 64) - 1
+    for t, score in zip(texts, model.score(texts), strict=True):
+        words = [toxicity.xxhash.xxh3_64_intdigest(w.strip(toxicity._STRIP) or w) for w in (t or "").lower().encode().split()]
+        first, second = int(toxicity._A), int(toxicity._B)
+        features = {w * first & mask for w in words}
+        for gap in (1, 2):
+            features |= {((v * first & mask) ^ ((w + gap) * second & mask)) * first & mask for v, w in zip(words, words[gap:], strict=False)}
+        total = model.bias + sum(weights.get(f >> 48, 0.0) for f in {f >> 48 << 48 for f in features})
+        assert math.isclose(score, 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
 def test_toxicity(spark, docs, empty):
     rnd = random.Random(2)
     texts = [(i, " ".join(rnd.choice(["red", "blue", "tree", "sky", "road", "song"]) for _ in range(30)) + (" idiot moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
@@ -207,17 +277,57 @@ def test_toxicity(spark, docs, empty):
     assert none.score([None, "x"]).tolist() == [0.5, 0.5]
 
 
-def test_warc_audit(spark):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>é</p>" * (i % 5)) for i in range(300)] + [(None, None, None)], "page_id long, url string, html string")
-    first = warc.write_warc(pages, files=3)
-    second = warc.damaged(first, first["key"].isin(7, 123, 299))
-    found = warc.audit(first, second).join(first, ["file", "ordinal"]).collect()
-    assert sorted(r.key for r in found) == [7, 123, 299]
-    assert all(r.hash_a != r.hash_b and r.start_a == r.offset for r in found)
-    assert warc.audit(first, first).count() == 0
-    lost = warc.audit(first, first.filter("key <> 5")).join(first, ["file", "ordinal"]).filter("key = 5").first()
-    assert lost.hash_b is None
-    assert warc.audit(first.limit(0), first.limit(0)).count() == 0
+def test_warc_files_and_audit(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "<p>é\r\n\r\nWARC/1.1</p>" * (i % 5)) for i in range(300)] + [(None, None, None)] + [(5, "http://x/5", "")] * 3
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, record string, file int")
+    path = warc.write_warc(pages, file_bytes=20_000)
+    index = warc.read_warc(spark, path, with_records=True).orderBy("file", "ordinal").collect()
+    assert len({r.file for r in index}) > 2 and Counter(r.key for r in index) == Counter(r[0] for r in rows)
+    assert [r.key for r in index] == sorted((r[0] for r in rows), key=lambda k: -1 if k is None else k)
+    by_file = {}
+    for r in index:
+        assert r.error is None and r.offset == by_file.get(r.file, 0) and r.sha256 == hashlib.sha256(r.record).hexdigest()
+        by_file[r.file] = r.offset + r.length
+    whole = {r.key: r.record.decode() for r in index}
+    for i, url, html in rows:
+        head, http, body = whole[i].split("\r\n\r\n", 2)
+        assert f"WARC-Target-URI: {url or ''}\r\n" in head and body == (html or "") + "\r\n\r\n"
+        assert int(head.rsplit(": ", 1)[1]) == len((http + "\r\n\r\n" + (html or "")).encode())
+
+    first = warc.read_warc(spark, path)
+    key = F.col("key")
+    told = lambda second: Counter((r.key, r.what) for r in warc.diagnosed(warc.audit(first, second), first, second).join(first.select("file", "ordinal", "key"), ["file", "ordinal"], "left").collect())
+    assert told(warc.read_warc(spark, warc.copied(spark, path))) == Counter()
+    damaged = warc.read_warc(spark, warc.copied(spark, path, damage=key.isin(7, 123, 299)))
+    assert told(damaged) == Counter([(7, "damaged"), (123, "damaged"), (299, "damaged")])
+    assert all(r.start_a == r.start_b and r.end_a == r.end_b and r.hash_a != r.hash_b for r in warc.audit(first, damaged).collect())
+    lost = told(warc.read_warc(spark, warc.copied(spark, path, lose=key == 150)))
+    assert lost[150, "lost"] == 1 and {what for _, what in lost} <= {"lost", "moved"}
+    # a file that is cut on disk: what can be unpacked is read, the rest is lost
+    import glob
+
+    cut = warc.copied(spark, path)
+    name = sorted(glob.glob(f"{cut}/file=*/*.gz"))[0]
+    raw = open(name, "rb").read()
+    open(name, "wb").write(raw[: len(raw) // 2])
+    for crc in glob.glob(f"{cut}/file=*/.*.crc"):
+        __import__("os").remove(crc)
+    after = told(warc.read_warc(spark, cut))
+    assert after and {what for _, what in after} <= {"lost", "damaged"}
+    none = warc.write_warc(pages.limit(0))
+    assert warc.read_warc(spark, none).count() == 0
+    assert warc.audit(warc.read_warc(spark, none), warc.read_warc(spark, none)).count() == 0
+
+
+def test_warc_records_with_faults():
+    good = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    wrong = good.replace(b"Length: 3", b"Length: 2")
+    headless = b"XARC" + good[4:]
+    got = list(warc.records(good + wrong + good + headless + good + good[:-6]))
+    assert [g[3] for g in got] == [None, "wrong length", None, "no head", None, "cut short"]
+    assert sum(g[1] for g in got) == len(good) * 6 - 6 and [g[2] for g in got] == ["urn:page:1"] * 6
+    assert [g[3] for g in warc.records(good.replace(b"Content", b"Xontent"))] == ["no length"]
+    assert list(warc.records(b"")) == []
 
 
 def brute_components(rows):
@@ -329,6 +439,65 @@ def test_quality_cutoffs(spark):
     assert kept == {r[0] for r in good}
 
 
+def test_certificates_by_brute_force(spark):
+    """Cutoffs of mixed strata, with ties, nulls and too few labels, against a plain search; and the verdicts they give."""
+    rnd = random.Random(21)
+    rows, labels = [], []
+    for lang, many in (("en", 1500), ("de", 500), (None, 400), ("fr", 60)):
+        for _ in range(many):
+            good = rnd.random() < 0.8
+            i = len(rows)
+            marks = rnd.choice([0, 0, 0, 1]) if good else rnd.choice([0, 9, 20])
+            rows.append((i, " ".join([f"w{i}x{k}" for k in range(70)]) + "!" * marks + " ###" * (0 if good else rnd.choice([0, 12])), lang))
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame([*rows, (None, None, "en")], "doc_id long, text string, lang string")
+    told = spark.createDataFrame([*labels, (0, None), (None, 1)], "doc_id long, quality int")
+    stats = quality_rules.written(quality_rules.measured(docs).drop("text"), "stats")
+    got = {None if r.unnamed else r.stratum: r for r in quality_rules.certificates(stats, told).collect()}
+    level = lambda t: {"symbols": min(100, 100 * sum(t.count(c) for c in "#*$%&|<>") // len(t.split())), "marks": min(100, 100 * sum(map(t.count, "!?")) // len(t.split())), "dup_lines": 0, "repeats": 0}
+    want, kept = {}, set()
+    for lang in ("en", "de", None, "fr"):
+        own = [(i, level(t)) for i, t, k in rows if k == lang]
+        rank = {(r, v): 1000 * sum(x[r] < v for _, x in own) // len(own) for r in quality_rules.RULES for v in {x[r] for _, x in own}}
+        severity = {i: max(rank[r, x[r]] for r in quality_rules.RULES) for i, x in own}
+        good = [s for i, s in severity.items() if labels[i][1]]
+        bad = [s for i, s in severity.items() if not labels[i][1]]
+        options = []
+        for cut in sorted(set(severity.values())):
+            k, hit = sum(s > cut for s in good), sum(s > cut for s in bad)
+            tail = sum(math.comb(len(good), j) * 0.02**j * 0.98 ** (len(good) - j) for j in range(k + 1))
+            if tail <= 0.05 / 4 and hit and k < 0.02 * len(good):
+                options.append((hit / max(1, len(bad)) - k / len(good), cut, len(good), k, hit))
+        if options:
+            want[lang] = max(options)[1:]
+        kept |= {i for i, s in severity.items() if not options or s <= want[lang][0]}
+    assert {k: (r.severity, r.n, r.k, r.hit) for k, r in got.items()} == want
+    assert set(want) >= {"en", "de", None} and "fr" not in want
+    assert all(r.tail <= r.bound for r in got.values())
+    assert {r.doc_id for r in quality_rules.rules(docs, told).filter("kept").collect()} == kept
+
+
+def test_repeated_rows_clashing_columns_and_long_texts(spark):
+    """Each operator on rows of one id, columns with its own names, and a text of a megabyte."""
+    long = "lorem ipsum dolor " * 60_000
+    rows = [(1, "the same text here for all of us", "en")] * 3 + [(1, "another text of the same id", "en"), (2, long, "de"), (3, None, None)]
+    clash = ["n_words bigint", "score string", "component_id string", "key string", "class string", "file int", "media string", "start string", "_id int", "_text string", "stratum string", "n string", "id string", "held_out string"]
+    docs = spark.createDataFrame([(*r, *([None] * len(clash))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(clash))
+    model = language_id.train(docs)
+    found = [
+        language_id.identify(docs, model), byte_bpe.digests(docs, RANKS), token_files.read_files(token_files.write_files(docs, JSON)),
+        language_model.score(docs, *language_model.train(docs)), toxicity.score(docs, toxicity.train(docs, docs.selectExpr("doc_id", "1 AS toxic"))),
+        jaccard_join.clustered(docs), quality_rules.rules(docs, docs.selectExpr("doc_id", "1 AS quality", "n_words")), media.media_features(media.to_media(docs.select("doc_id", "text"))),
+    ]
+    for frame in found:
+        got = [tuple(r) for r in frame.collect()]
+        assert len(got) == 6 and Counter(r[0] for r in got) == {1: 4, 2: 1, 3: 1}
+    packed = packing.pack(docs, JSON).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3} and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert quality_rules.filtered(docs, docs.selectExpr("doc_id", "1 AS quality")).columns == docs.columns
+    assert language_id.accepted(docs, model).columns == docs.columns
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
@@ -349,9 +518,38 @@ def test_media(docs, rows, empty):
     assert got == want
     with pytest.raises(ValueError, match="size|short"):
         media.inspect(media.wrap(bytes(192))[:-50])
+    # the stored form and its feature, by the plain layout: one chunk every 8 units, a key frame every 16
+    for r in media.media_features(media.to_media(docs.select("doc_id", "text"))).collect():
+        assert r.error is None and r.media_bytes > r.payload_bytes
+        stored = media.wrap(media.padded((dict((x[0], x[1]) for x in rows)[r.doc_id] or "").encode()))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        begin = stored.index(b"mdat") + 4
+        frames = ",".join(f"{begin + 192 * i}+192" for i in range(0, r.payload_bytes // 192, 16))
+        assert r.feature == f"codec=raw;timescale=8000;duration={r.payload_bytes};samples={r.payload_bytes // 192};keyframes={frames}"
     assert media.media_features(media.to_media(empty.select("doc_id", "text"))).count() == 0
 
 
+def test_media_faults(spark):
+    whole = media.wrap(bytes(192 * 40))
+    cases = [None, b"", whole[:-1], whole.replace(b"stsz", b"stsx"), whole.replace(b"stsd", b"stsx"), whole.replace(b"mdhd", b"xxxx"), b"junk" * 9, whole]
+    frame = spark.createDataFrame([(i, None if c is None else bytearray(c), "x") for i, c in enumerate(cases)], "id int, media binary, error_before string")
+    got = {r.id: r for r in media.media_features(frame).collect()}
+    assert [got[i].error is None for i in range(len(cases))] == [False] * 7 + [True]
+    assert got[0].media_bytes is None and got[2].media_bytes == len(whole) - 1 and got[7].payload_bytes == 192 * 40
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 2000), st.binary(min_size=1, max_size=8))
+def test_media_any_fault_is_told(at, patch):
+    whole = media.wrap(bytes(192 * 20))
+    marred = (whole[:at] + patch + whole[at + len(patch) :])[: len(whole)]
+    try:
+        media.feature(layout := media.inspect(marred))
+        media.payload(marred, layout)
+    except (ValueError, media.struct.error):
+        pass
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([" ", "\n", "\t", "\r", " ", " ", "\x1c", "\x85", "ab", "Straße", "'s", "12", ".,", "é", "日本", "<|endoftext|>", "\0"]), max_size=12).map("".join), max_size=5))
 def test_units_as_the_library(texts):
