@@ -43,29 +43,27 @@ _END = "\r\n\r\n"
 
 
 def record(key: Column, url: Column, html: Column) -> Column:
-    """A WARC response record as text."""
+    """A WARC response record as text, without its end."""
     url, html, key = (F.coalesce(c.cast("string"), F.lit("")) for c in (url, html, key))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html)
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), key, F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "))
-    return F.concat(head, F.octet_length(http).cast("string"), F.lit("\r\n\r\n"), http, F.lit("\r\n\r\n"))
+    return F.concat(head, F.octet_length(http).cast("string"), F.lit("\r\n\r\n"), http)
 
 
 def _store(rows: DataFrame, path: str | None) -> str:
     """Write rows (``file``, ``value``), sorted by file and place, to a folder a file; a value is a record without its end."""
     path = path or f"{shared_dir(rows.sparkSession)}/warc-{uuid.uuid4().hex}"
-    rows.select("file", "value").write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").text(path)
+    rows.select("file", "value").write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return path
 
 
 def write_warc(pages: DataFrame, *, key_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, file_bytes: int = FILE_BYTES) -> str:
     """Write pages as WARC files; returns the folder."""
-    whole = record(F.col(key_col), F.col(url_col), F.col(html_col))
-    value = F.substring(whole, F.lit(1), F.length(whole) - len(_END))
-    rows = pages.select(F.col(key_col).cast("long").alias("key"), value.alias("value"))
+    rows = pages.select(F.col(key_col).cast("long").alias("key"), record(F.col(key_col), F.col(url_col), F.col(html_col)).alias("value"))
     size = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(html_col).cast("string"), F.lit(""))) + 300)).first()[0] or 0
-    rows = rows.withColumn("h", F.xxhash64("value")).withColumn("at", F.monotonically_increasing_id())  # equal rows may be split
-    dealt = rows.repartitionByRange(max(1, -(-int(size) // file_bytes)), "key", "h", "at")
-    return _store(dealt.withColumn("file", F.spark_partition_id()).sortWithinPartitions("file", "key", "h", "at"), path)
+    rows = rows.withColumn("at", F.monotonically_increasing_id())  # rows of one key may be split
+    dealt = rows.repartitionByRange(max(1, -(-int(size) // file_bytes)), "key", "at")
+    return _store(dealt.withColumn("file", F.spark_partition_id()).sortWithinPartitions("file", "key", "at"), path)
 
 
 _LENGTH = re.compile(rb"\r\ncontent-length:\s*(\d+)\s*(?=\r\n|\Z)", re.IGNORECASE)
@@ -197,7 +195,7 @@ def copied(spark: SparkSession, path: str, *, damage: Column | None = None, lose
     rows = read_warc(spark, path, with_records=True)
     if lose is not None:
         rows = rows.filter(~F.coalesce(lose, F.lit(False)))
-    value = F.substring(F.col("record").cast("string"), F.lit(1), F.length(F.col("record").cast("string")) - len(_END))
+    value = F.substring("record", F.lit(1), F.octet_length("record") - len(_END)).cast("string")
     last = F.right(value, F.lit(1))
     marred = F.concat(F.substring(value, F.lit(1), F.length(value) - 1), F.repeat(F.when(last == "X", "Y").otherwise("X"), F.octet_length(last)))
     rows = rows.withColumn("value", value if damage is None else F.when(F.coalesce(damage, F.lit(False)), marred).otherwise(value))
