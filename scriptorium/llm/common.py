@@ -6,9 +6,11 @@ ignores any further columns whatever they are called.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,6 +86,15 @@ def discard(table: DataFrame) -> None:
     remove(table.sparkSession, path_of(table))
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: a worker is kept for further tasks, and so is its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id is in no held-out fold (-1)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

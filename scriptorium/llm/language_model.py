@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import discard, extended, fold, path_of, small_batches, written
+from .common import discard, extended, fold, give_back, path_of, small_batches, written
 from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
 
 KEY_BITS = 56
@@ -128,6 +128,8 @@ def counts(docs: DataFrame, *, text_col: str = "text", ranges: int = 64) -> Data
         for pairs in held:
             if held[pairs]:
                 yield shipped(pairs)
+        del hasher
+        give_back()
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pairs boolean, `range` int, squeezed binary")
 
@@ -142,6 +144,7 @@ def word_counts(counted: DataFrame) -> DataFrame:
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         keys, n = _merged(rows["squeezed"])
+        give_back()
         return pd.DataFrame({"h": keys.view(np.int64), "c": n})
 
     return counted.filter(~F.col("pairs")).groupBy("range").applyInPandas(merge, "h long, c long")
@@ -168,7 +171,10 @@ def filter_parts(counted: DataFrame, *, ranges: int = 64, bits_per_event: int =
             keys, q = keys[q >= j], q[q >= j]
             for at in _places(keys, j, size, FIRST if j == 1 else LATER):
                 flags[at.astype(np.int64)] = True
-        return pd.DataFrame({"range": [int(rows["range"].iloc[0])], "events": [int(np.searchsorted(_LEAST, n, "right").sum())], "filled": [float(flags.mean())], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+        events, filled, bits = int(np.searchsorted(_LEAST, n, "right").sum()), float(flags.mean()), np.packbits(flags, bitorder="little").tobytes()
+        del keys, n, q, flags
+        give_back()
+        return pd.DataFrame({"range": [int(rows["range"].iloc[0])], "events": [events], "filled": [filled], "bits": [bits]})
 
     return counted.filter("pairs").groupBy("range").applyInPandas(build, "`range` int, events long, filled double, bits binary")
 
@@ -374,6 +380,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str = "doc_
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
+        give_back()
         for b in batches:
             for part in (b.slice(a, 512) for a in range(0, b.num_rows, 512)):
                 rows = shipped.value.score(part.column(2).to_pylist())
