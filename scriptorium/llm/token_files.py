@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import give_back, small_batches, written
 from .pieces import library_encoder
 
 BLOCK = 128
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 0.9
 #: A segment is closed once it has so many ids; documents are never cut.
-#: Text of a file, about.
-FILE_BYTES = 64 << 20
+#: Stored text of a file, about.
+FILE_BYTES = 32 << 20
 SEGMENT_IDS = 1 << 18
 _MAGIC = b"PFR1"
 
@@ -107,11 +107,17 @@ class Packed:
         return self.blocks(np.arange(len(self.low))).reshape(-1)[: self.n]
 
 
+def file_count(docs: DataFrame, file_bytes: int) -> int:
+    """Files for a table by the size the planner knows of its files; where it knows none, by a thousand rows each."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // file_bytes) if size < 1 << 60 else docs.count() // 1000 + 1
+
+
 def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode and write all documents in order of id; returns the files as a table.
 
-    A file holds about ``file_bytes`` of text, but there are no fewer files than
-    the session has shuffle partitions. Rows of one id are split like others.
+    A file holds about ``file_bytes`` of stored text, but there are no fewer
+    files than the session has shuffle partitions. Rows of one id are split like others.
 
     Columns: ``file`` (ascending with the ids), ``segment``, ``start`` (ids of
     the same file before the segment), ``n_ids``, ``doc_ids``, ``lengths``,
@@ -119,8 +125,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // file_bytes))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), file_count(docs, file_bytes))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("t")).withColumn("at", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange(files, "k", "at").sortWithinPartitions("k", "at").select("k", "t")
@@ -131,6 +136,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         part, encoder = TaskContext.get().partitionId(), library_encoder(tokenizer_path)
         end = array("I", [] if end_id is None else [end_id]).tobytes()
         keys: list = []
