@@ -25,6 +25,9 @@ import regex
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _SPACES = frozenset(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
+#: How a unit begins that no single white space stands before, or a line feed.
+_ODD = _SPACES | {""}
+
 #: What an encoder gives for several strings: all ids, and how many each string has.
 Encoded = tuple[np.ndarray, np.ndarray]
 
@@ -80,7 +83,7 @@ class PieceEncoder:
         found = list(map(get, units))
         if None in found:
             gaps = [i for i, n in enumerate(found) if n is None]
-            fit = [u for u in map(units.__getitem__, gaps) if self._alone(u)]
+            fit = [u for u in map(units.__getitem__, gaps) if u[:1] not in _ODD or self._alone(u)]
             if fit:
                 ids, counts = self.encode_units([u if u[0] == "\n" else " " + u for u in fit])
                 self.number.update(zip(fit, range(self.n_units, self.n_units + len(fit)), strict=True))
@@ -110,7 +113,7 @@ class PieceEncoder:
         units = parts.flatten()
         heads = units.take(pa.array(firsts)).to_pylist()
         coded = units.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         number[firsts] = 0
         if (number < 0).any():
             whole[np.searchsorted(at, np.flatnonzero(number < 0), side="right") - 1] = True
@@ -142,7 +145,7 @@ class LibraryEncoder:
     """The ``tokenizers`` library over a tokenizer file, special strings as the library has them."""
 
     #: Units that the library gets in one string.
-    JOINED = 2048
+    JOINED = 64
 
     def __init__(self, path: str, capacity: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
