@@ -59,7 +59,8 @@ BROADCAST_BITS = 3 << 29
 HEAVY = 1 << 22
 #: The end token, also the context of the first word; no word holds white space.
 END = np.uint64(0x5E6D1A7C3B2F4E91)
-_FLUSH = 4_000_000
+#: Keys that a counting task holds between two sums.
+_FLUSH = 2_000_000
 _SHIFT = np.uint64(64 - KEY_BITS)
 
 
@@ -109,9 +110,13 @@ def counts(docs: DataFrame, *, text_col: str = "text", ranges: int = 64) -> Data
         hasher = WordHasher()
         held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
 
-        def shipped(pairs: bool) -> pa.RecordBatch:
-            keys, n = summed(np.concatenate([k for k, _ in held[pairs]]), np.concatenate([c for _, c in held[pairs]]))
+        def joined(pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+            keys, n = (np.concatenate(x) for x in zip(*held[pairs], strict=True))
             held[pairs].clear()
+            return summed(keys, n)
+
+        def shipped(pairs: bool) -> pa.RecordBatch:
+            keys, n = joined(pairs)
             cut = np.searchsorted(keys >> (pair_bits if pairs else word_bits), np.arange(ranges + 1, dtype=np.uint64))
             rows = [(r, squeezed(keys[a:b], n[a:b])) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([pairs] * len(rows)), pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["pairs", "range", "squeezed"])
@@ -122,7 +127,7 @@ def counts(docs: DataFrame, *, text_col: str = "text", ranges: int = 64) -> Data
                 if len(keys):
                     held[pairs].append(np.unique(keys, return_counts=True))
                 if sum(len(k) for k, _ in held[pairs]) > _FLUSH:
-                    held[pairs] = [summed(np.concatenate([k for k, _ in held[pairs]]), np.concatenate([c for _, c in held[pairs]]))]
+                    held[pairs] = [joined(pairs)]
                     if len(held[pairs][0][0]) > _FLUSH // 2:
                         yield shipped(pairs)
         for pairs in held:
