@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, token_files, toxicity, warc
+from . import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, sentence_pieces, token_files, toxicity, vector_codes, warc
 from .common import documents, fold, remove, written
 
 
@@ -66,10 +66,43 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_language_id, op2_byte_bpe, op3_pfor_token_files, op4_log_frequency_bloom, op5_ftrl_toxicity, op6_merkle_fixity, op7_combination_jaccard, op8_best_fit_packing, op9_risk_controlled_rules, op10_iso_media)}
+def op11_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = vector_codes.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    books = vector_codes.train(table)
+    coded = vector_codes.with_label_error(written(vector_codes.encode(table, books), "vector-codes"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_language_id, op2_byte_bpe, op3_pfor_token_files, op4_log_frequency_bloom, op5_ftrl_toxicity, op6_merkle_fixity, op7_combination_jaccard, op8_best_fit_packing, op9_risk_controlled_rules, op10_iso_media, op11_distinct_chunks, op12_segment_mean_codes)}
+
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """All distances by brute force, a pair of common table expressions a round."""
+    ctes = [
+        """whole AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x IS NULL OR NOT isfinite(x)))""",
+        """placed AS (SELECT vec_id, len(embedding) // 4 AS width, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS place FROM whole)""",
+        """parts AS MATERIALIZED (SELECT vec_id, place // width AS part, place % width AS pos, floor(1024 * x)::BIGINT AS x FROM placed)""",
+        """book0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM whole) USING (vec_id) WHERE entry < 256)""",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"""far{n} AS (SELECT p.vec_id, p.part, b.entry, sum((p.x - b.c) * (p.x - b.c))::BIGINT AS d FROM parts p JOIN book{n} b USING (part, pos) GROUP BY ALL)""")
+        ctes.append(f"""near{n} AS MATERIALIZED (SELECT vec_id, part, entry, d FROM far{n} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)""")
+        ctes.append(f"""book{n + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN (SELECT part, entry, pos, floor(sum(x) / count(*))::BIGINT AS c FROM near{n} JOIN parts USING (vec_id, part) GROUP BY ALL) m USING (part, entry, pos))""")
+    ctes.append(f"""coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)""")
+    return f"""WITH {", ".join(ctes)}
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN whole USING (vec_id)"""
+
 
 _CRLF = "chr(13) || chr(10)"
 ORACLE_SQL = {
+    "op12_segment_mean_codes": _codes_sql(),
     "op6_merkle_fixity": f"""
         WITH http AS (
           SELECT page_id, coalesce(url, '') AS url,
