@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, sentence_pieces, token_files, toxicity, vector_codes, warc
+from . import byte_bpe, jaccard_join, language_id, language_model, media, packing, quality_rules, sentence_pieces, target_encoding, token_files, toxicity, vector_codes, warc
 from .common import documents, fold, remove, written
 
 
@@ -77,7 +77,11 @@ def op12_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_language_id, op2_byte_bpe, op3_pfor_token_files, op4_log_frequency_bloom, op5_ftrl_toxicity, op6_merkle_fixity, op7_combination_jaccard, op8_best_fit_packing, op9_risk_controlled_rules, op10_iso_media, op11_distinct_chunks, op12_segment_mean_codes)}
+def op13_fold_vector_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_encoding.encoded_lines(*(spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_language_id, op2_byte_bpe, op3_pfor_token_files, op4_log_frequency_bloom, op5_ftrl_toxicity, op6_merkle_fixity, op7_combination_jaccard, op8_best_fit_packing, op9_risk_controlled_rules, op10_iso_media, op11_distinct_chunks, op12_segment_mean_codes, op13_fold_vector_encoding)}
 
 
 
@@ -100,9 +104,36 @@ def _codes_sql(rounds: int = 4) -> str:
         FROM coded JOIN whole USING (vec_id)"""
 
 
+def _encoding_sql() -> str:
+    """Windows over a key's earlier lines, less those over its fold's; crc32 by its table."""
+    earlier = "ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+    told = lambda what, key: f"coalesce(sum({what}) OVER (PARTITION BY {key} {earlier}), 0) - coalesce(sum({what}) OVER (PARTITION BY {key}, fold {earlier}), 0)"
+    counts = ", ".join(f"({told('1', key)})::BIGINT AS {key}_n, ({told('hit', key)})::BIGINT AS {key}_s" for key in ("item_id", "vendor_id", "client_id", "kind", "nation", "segment", "whole"))
+    rate = lambda key, prior: f"CASE WHEN {key}_n < 1 THEN {prior} ELSE (1000000 * {key}_s + 50 * {prior}) // ({key}_n + 50) END"
+    return f"""
+        WITH RECURSIVE bit(b, x, k) AS (SELECT b, b::BIGINT, 0 FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, k + 1 FROM bit WHERE k < 8),
+        crc_table AS MATERIALIZED (SELECT list(x ORDER BY b) AS crc FROM bit WHERE k = 8),
+        folds AS MATERIALIZED (
+          SELECT sale_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a // 256, crc[1 + xor(a % 256, b)])), 4294967295) % 5 AS fold
+          FROM (SELECT DISTINCT sale_id FROM sales WHERE sale_id IS NOT NULL), crc_table),
+        sold AS (
+          SELECT sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, coalesce(s.client_id, -1) AS client_id, s.sold_at AS t, f.fold, (coalesce(l.flag, '') = 'returned')::INT AS hit, 0 AS whole
+          FROM sale_lines l JOIN sales s USING (sale_id) JOIN folds f USING (sale_id) WHERE s.sold_at IS NOT NULL),
+        lines AS MATERIALIZED (
+          SELECT d.*, i.kind, v.nation_id AS nation, c.segment
+          FROM sold d LEFT JOIN items i ON i.item_id = d.item_id LEFT JOIN vendors v ON v.vendor_id = d.vendor_id LEFT JOIN clients c ON c.client_id = d.client_id),
+        told AS (SELECT sale_id, item_id, vendor_id, hit, {counts} FROM lines),
+        g AS (SELECT *, {rate("whole", "500000")} AS p FROM told),
+        priors AS (SELECT *, {rate("kind", "p")} AS kind_p, {rate("nation", "p")} AS nation_p, {rate("segment", "p")} AS segment_p FROM g)
+        SELECT sale_id, item_id, vendor_id, count(*) AS n_lines, sum(hit)::BIGINT AS n_returned,
+               max(item_id_n) AS item_n, max({rate("item_id", "kind_p")}) AS item_rate, max(vendor_id_n) AS vendor_n, max({rate("vendor_id", "nation_p")}) AS vendor_rate, max(client_id_n) AS client_n, max({rate("client_id", "segment_p")}) AS client_rate
+        FROM priors GROUP BY sale_id, item_id, vendor_id"""
+
+
 _CRLF = "chr(13) || chr(10)"
 ORACLE_SQL = {
     "op12_segment_mean_codes": _codes_sql(),
+    "op13_fold_vector_encoding": _encoding_sql(),
     "op6_merkle_fixity": f"""
         WITH http AS (
           SELECT page_id, coalesce(url, '') AS url,
