@@ -141,13 +141,17 @@ def encoded_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     several sales have gives its lines to each; where a dimension repeats an id,
     its least value counts. Empty tables give an empty one.
     """
-    dim = lambda table, key, value: table.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.min(value).alias(value))
+
+    def dim(table: DataFrame, key: str, value: str) -> DataFrame:
+        # written: a join right on the exchange of its groups could not be split where a key is common
+        return written(table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value)), f"target-{key}").hint("shuffle_hash")
+
     fold = F.pmod(F.crc32(F.col("sale_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
     sold = sales.filter(F.col("sale_id").isNotNull() & F.col("sold_at").isNotNull()).select("sale_id", F.coalesce(F.col("client_id").cast("long"), F.lit(-1)).alias("client_id"), F.col("sold_at").alias("t"), fold.alias("fold"))
-    sold = sold.join(dim(clients, "client_id", "segment").hint("shuffle_hash"), "client_id", "left").withColumn("sale_row", F.monotonically_increasing_id())
+    sold = sold.join(dim(clients, "client_id", "segment"), "client_id", "left").withColumn("sale_row", F.monotonically_increasing_id())
     sold = written(sold, "target-sales")
     own = lines.filter(F.col("sale_id").isNotNull()).groupBy("sale_id", F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "vendor_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("flag") == hit).alias("s"))
-    own = own.join(dim(items, "item_id", "kind").hint("shuffle_hash"), "item_id", "left").join(dim(vendors, "vendor_id", "nation_id").hint("shuffle_hash"), "vendor_id", "left")
+    own = own.join(dim(items, "item_id", "kind"), "item_id", "left").join(dim(vendors, "vendor_id", "nation_id"), "vendor_id", "left")
     own = own.join(sold.hint("shuffle_hash"), "sale_id").withColumn("rid", F.monotonically_increasing_id())
     own = written(own, "target-lines")
 
