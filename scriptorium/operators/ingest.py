@@ -209,25 +209,44 @@ def with_folder(files: DataFrame, folders: DataFrame) -> DataFrame:
     return files.join(folders.select(F.col("folder_id"), F.col("name").alias("folder_name")), "folder_id", "left").withColumn("folder", F.coalesce("folder_name", F.lit(""))).drop("folder_name")
 
 
+def job_states(events: DataFrame) -> DataFrame:
+    """(course_ref, job_id, kind, title, first, submitted, ended, error, at): a row a job from its events, in any order and repeated as often as may be.
+
+    A job is pending once it is submitted; it ends with the earliest of its
+    ``done`` and ``failed`` events. ``first`` and ``at`` are the places (``ord``)
+    of its first submission and of its end.
+    """
+    of = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    submitted = F.col("event") == "submitted"
+    end = F.min(F.when(F.col("event").isin("done", "failed"), F.struct("ord", "event", of("error").alias("error"))))
+    states = events.groupBy("course_ref", "job_id").agg(F.min(of("kind")).alias("kind"), F.min(of("title")).alias("title"), F.min(F.when(submitted, F.col("ord"))).alias("first"), F.max(submitted).alias("submitted"), end.alias("end"))
+    return states.select("course_ref", "job_id", "kind", "title", "first", "submitted", F.col("end.event").alias("ended"), F.col("end.error").alias("error"), F.col("end.ord").alias("at"))
+
+
+def counted(states: DataFrame) -> DataFrame:
+    """Counters of each course from the states of its jobs."""
+    many = lambda condition: F.count_if(condition).cast("bigint")
+    ended = F.col("ended")
+    return states.groupBy("course_ref").agg(many(F.col("submitted") & ended.isNull()).alias("pending"), many(ended == "done").alias("done"), many(ended == "failed").alias("failed"))
+
+
 def job_counters(events: DataFrame) -> DataFrame:
-    """State of each course's background jobs from submitted, done and failed events."""
-    of = lambda kind: F.sum((F.col("event") == kind).cast("bigint"))
-    done, failed = of("done"), of("failed")
-    return events.groupBy("course_ref").agg((of("submitted") - done - failed).alias("pending"), done.alias("done"), failed.alias("failed"))
+    """Pending, done and failed jobs of each course."""
+    return counted(job_states(events))
 
 
 def job_details(events: DataFrame, errors: int = 5) -> DataFrame:
-    """Per course what its jobs (``kind``, ``title``, ``event``, ``error``, ``ord``) are: pending of each kind, titles in order of first sight, the first errors.
+    """Per course what its jobs are: pending of each kind, titles in order of first sight, the first errors.
 
     A course's titles and errors are reduced before they are listed: each title
     once, and no more than ``errors`` errors.
     """
-    of = lambda kind, event: F.sum(((F.col("kind") == kind) & (F.col("event") == event)).cast("bigint"))
-    left = lambda kind: of(kind, "submitted") - of(kind, "done") - of(kind, "failed")
-    pending = events.groupBy("course_ref").agg(left("transcription").alias("transcriptions"), left("scan").alias("scans"))
+    states = job_states(events)
+    left = lambda kind: F.count_if((F.col("kind") == kind) & F.col("submitted") & F.col("ended").isNull()).cast("bigint")
+    pending = states.groupBy("course_ref").agg(left("transcription").alias("transcriptions"), left("scan").alias("scans"))
     listed = lambda rows, c: rows.groupBy("course_ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]).alias(f"{c}s"))
-    titles = listed(events.filter("event = 'submitted'").groupBy("course_ref", "title").agg(F.min("ord").alias("ord")), "title")
-    failed = events.filter("event = 'failed'").withColumn("error", F.concat("title", F.lit(": "), F.substring("error", 1, 200)))
+    titles = listed(states.filter("submitted").groupBy("course_ref", "title").agg(F.min("first").alias("ord")), "title")
+    failed = states.filter("ended = 'failed'").select("course_ref", F.col("at").alias("ord"), F.concat("title", F.lit(": "), F.substring("error", 1, 200)).alias("error"))
     failed = failed.withColumn("place", F.row_number().over(Window.partitionBy("course_ref").orderBy("ord"))).filter(F.col("place") <= errors)
     none = F.array().cast("array<string>")
     return pending.join(titles, "course_ref", "left").join(listed(failed, "error"), "course_ref", "left").select("course_ref", "transcriptions", "scans", F.coalesce("titles", none).alias("titles"), F.coalesce("errors", none).alias("errors"))

@@ -1,37 +1,59 @@
-"""Lexical retrieval: chunks, postings, and a batch of queries ranked at once.
+"""Lexical retrieval: chunks, postings in blocks, and a batch of queries ranked at once.
 
 Postings are made once, when chunks are indexed: words are exploded and counted
-where their chunk lies, and only distinct words are expanded to terms. A search
-joins the terms of its queries with them on (course, term), aggregates a
-(query, chunk), ranks, and fetches the texts of the winners. Corpus statistics
-follow the scope of each query, which a list of documents may narrow.
+where their chunk lies, and only distinct words are expanded to terms. What is
+stored of a term is a row for each block of 64 neighbouring chunks: a bit for
+each chunk that holds it, its greatest share of a chunk, and the postings
+themselves. A search joins its terms with the blocks' heads once: document
+filters, document frequencies and numbers of chunks are counts of bits, and
+upper bounds of scores are sums of shares. The blocks with the best bounds are
+scored first, their k-th score rules out blocks that cannot reach it, and only
+the postings of the others are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ingest import before_each
+from ..plans.scratch import kept
 
 K = 4
 RELATIVE_FLOOR = 0.25
 LEAST_TERMS = 2
 RARE_SHARE = 0.6
 ATTRIBUTES = ("activity_ref", "title", "locator", "folder", "course_name", "licence")
+#: Chunks of a block: as many as a long has bits.
+BLOCK = 64
+#: Blocks of a query that are scored before any is ruled out.
+FIRST = 8
+#: Queries that are held as literals and broadcast; more are written and joined as tables.
+FEW_QUERIES, FEW_WORDS = 1_000, 100_000
+#: So many numbers of the order share a part of a course.
+PART = 1 << 14
 
 
 def chunked(corpus: DataFrame, order: str = "ord") -> DataFrame:
-    """A row a chunk, numbered within its course in document order (``chunk_ord`` from 0).
+    """A row a chunk, numbered within its course in document order (``chunk_ord`` from 0, without gaps).
 
-    ``order`` tells a course's documents apart. Chunks are numbered within their
-    document, behind the sum of what the documents before it have.
+    Documents of equal order follow their reference and text, those without an
+    order come last; a null course is a course. Sums run within parts of a
+    course's order and then over the parts, so one large course is many tasks.
     """
-    packed = corpus.withColumn("_pieces", T.chunks("text"))
-    before = before_each(packed.select("course_ref", order, F.size("_pieces").alias("n")), "n", order)
-    pieces = packed.join(before, ["course_ref", order]).select(*[c for c in corpus.columns if c != "text"], "before", F.posexplode("_pieces").alias("pos", "text"))
-    return pieces.withColumn("chunk_ord", F.col("before") + F.col("pos")).drop("before")
+    late = F.col(order).isNull()
+    part = F.struct(late.alias("late"), F.when(late, F.pmod(F.xxhash64("text"), F.lit(1024))).otherwise(F.floor(F.col(order) / PART)).cast("long").alias("no"))
+    packed = corpus.withColumn("_pieces", T.chunks("text")).withColumn("_part", part)
+    parts = packed.groupBy("course_ref", "_part").agg(F.sum(F.size("_pieces")).alias("_all"))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("course_ref").alias("_course"), F.col("_part").alias("_of"), so_far("_all", Window.partitionBy("course_ref").orderBy("_part")).alias("_base"))
+    ties = [c for c in ("activity_ref", "locator") if c in corpus.columns]
+    inside = Window.partitionBy("course_ref", "_part").orderBy(order, *ties, F.xxhash64("text"))
+    placed = packed.withColumn("_before", so_far(F.size("_pieces"), inside)).join(parts, F.col("course_ref").eqNullSafe(F.col("_course")) & (F.col("_part") == F.col("_of")))
+    pieces = placed.select(*[c for c in corpus.columns if c != "text"], (F.col("_base") + F.col("_before")).alias("_before"), F.posexplode("_pieces").alias("pos", "text"))
+    return pieces.withColumn("chunk_ord", (F.col("_before") + F.col("pos")).cast("bigint")).drop("_before")
 
 
 def terms(chunks: DataFrame) -> DataFrame:
@@ -60,7 +82,64 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
     return terms(chunks).groupBy("course_ref", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, *, floor: float = RELATIVE_FLOOR, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+# ---- blocks
+
+def _block() -> Column:
+    return F.floor(F.col("chunk_ord") / BLOCK)
+
+
+def _slot() -> Column:
+    return F.pmod(F.col("chunk_ord"), F.lit(BLOCK)).cast("int")
+
+
+def _bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _slot())
+
+
+def posting_blocks(postings: DataFrame) -> DataFrame:
+    """(course, term, block): which chunks of a block hold a term, its greatest share of one, and the postings (64 at most)."""
+    share = F.max(F.col("tf") / F.col("len")).alias("top")
+    hits = F.array_sort(F.collect_list(F.struct(_slot().alias("slot"), F.col("tf"), F.col("len")))).alias("hits")
+    return postings.groupBy("course_ref", "term", _block().alias("block")).agg(F.bit_or(_bit()).alias("bits"), share, hits)
+
+
+def document_blocks(chunks: DataFrame) -> DataFrame:
+    """(course, document, block): which chunks of a block are a document's."""
+    return chunks.groupBy("course_ref", T.doc_id("activity_ref").alias("doc_id"), _block().alias("block")).agg(F.bit_or(_bit()).alias("bits"))
+
+
+@dataclass
+class Searchable:
+    """What a search reads: blocks of terms and of documents, and the chunks, each with its course and batch.
+
+    Chunks have a ``place`` within their batch, and ``chunk_ord`` within their course.
+    """
+
+    terms: DataFrame
+    documents: DataFrame
+    chunks: DataFrame
+
+
+def searchable(chunks: DataFrame) -> Searchable:
+    """Chunks that are in no index, as one batch."""
+    one = lambda df: df.withColumn("batch", F.lit("0"))
+    return Searchable(one(posting_blocks(postings(chunks))), one(document_blocks(chunks)), one(chunks.withColumn("place", F.col("chunk_ord"))))
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, dict | None]:
+    """Tokens of the queries, made once; with what is known of them where they are few."""
+    if "documents" not in queries.columns:
+        queries = queries.withColumn("documents", F.lit(None).cast("array<string>"))
+    ids = F.when(F.size("documents") > 0, F.col("documents")).alias("documents")
+    q = queries.select("query_id", "course_ref", "k", ids, T.tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    head = q.limit(FEW_QUERIES + 1).collect()
+    if len(head) > FEW_QUERIES or sum(len(r.tokens) + len(r.documents or ()) for r in head) > FEW_WORDS:
+        return kept(q), None
+    known = {"courses": sorted({r.course_ref for r in head if r.course_ref is not None}), "terms": sorted({t for r in head for t in r.tokens}), "narrow": any(r.documents for r in head), "most": max([r.k for r in head], default=0)}
+    return q.sparkSession.createDataFrame(head, q.schema), known
+
+
+def search(index: Searchable, queries: DataFrame, *, floor: float = RELATIVE_FLOOR, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """Ranked passages of ``queries(query_id, course_ref, text, k[, documents])``.
 
     ``documents`` (array of document ids, empty or null for all) narrows the
@@ -68,42 +147,68 @@ def search(postings: DataFrame, chunks: DataFrame, queries: DataFrame, *, floor:
     stems counts only if its rarest term is rare in the scope. The best k are
     taken first; of these, scores under ``floor`` times the best go.
     """
-    if "documents" not in queries.columns:
-        queries = queries.withColumn("documents", F.lit(None).cast("array<string>"))
-    most = queries.agg(F.max("k")).first()[0] or 0
-    q = queries.select("query_id", "course_ref", "k", "documents", T.tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
-    scoped = q.select("query_id", "course_ref", F.when(F.size("documents") > 0, F.col("documents")).alias("documents"))
-    asked = q.select("query_id", "course_ref", "k", F.explode("tokens").alias("term")).groupBy("query_id", "course_ref", "k", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    held = postings.join(asked.select("course_ref", "term").distinct(), ["course_ref", "term"], "left_semi")
-
-    # queries without a list of documents share their course's counts
-    wide, narrow = scoped.filter(F.col("documents").isNull()).drop("documents"), scoped.filter(F.col("documents").isNotNull())
-    inside = F.array_contains("documents", F.col("doc_id"))
-    n = wide.join(chunks.groupBy("course_ref").agg(F.count(F.lit(1)).alias("n")), "course_ref").select("query_id", "n")
-    some = chunks.select("course_ref", T.doc_id("activity_ref").alias("doc_id")).join(narrow, "course_ref").filter(inside).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    df = held.groupBy("course_ref", "term").agg(F.count(F.lit(1)).alias("df"))
-    hits_wide = held.join(asked.join(wide.select("query_id"), "query_id"), ["course_ref", "term"]).join(df, ["course_ref", "term"])
-    met = held.join(asked.join(narrow.select("query_id", "documents"), "query_id"), ["course_ref", "term"]).filter(inside).drop("documents")
-    hits_narrow = met.join(met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")), ["query_id", "term"])
-    hits = hits_wide.unionByName(hits_narrow).join(n.unionByName(some), "query_id")
-
-    idf = F.log1p(F.col("n") / (1 + F.col("df")))
-    scored = hits.withColumn("idf", idf).groupBy("query_id", "course_ref", "chunk_ord", "k", "n").agg(
+    q, known = _asked(queries)
+    few = F.broadcast if known else (lambda df: df)  # bounded by FEW_QUERIES and FEW_WORDS
+    most = known["most"] if known else (q.agg(F.max("k")).first()[0] or 0)
+
+    def named(df: DataFrame, terms: bool = False) -> DataFrame:
+        """Only the courses, and terms, that are asked for: the reader passes over other folders and row groups."""
+        if known and len(known["courses"]) <= 100:
+            df = df.filter(F.col("course_ref").isin(known["courses"]))
+        return df.filter(F.col("term").isin(known["terms"])) if known and terms and len(known["terms"]) <= 200 else df
+
+    asked = q.select("query_id", "course_ref", "k", F.col("documents").isNotNull().alias("narrow"), F.explode("tokens").alias("term"))
+    asked = asked.groupBy("query_id", "course_ref", "k", "narrow", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    heads = named(index.terms, True).drop("hits").join(few(asked), ["course_ref", "term"])
+    documents = named(index.documents)
+    wide = documents.groupBy("course_ref").agg(F.sum(F.bit_count("bits")).alias("n"))
+    n = q.filter("documents IS NULL").select("query_id", "course_ref").join(wide, "course_ref").select("query_id", "n")
+    if known is None or known["narrow"]:
+        inside = documents.join(few(q.filter("documents IS NOT NULL").select("query_id", "course_ref", F.explode(F.array_distinct("documents")).alias("doc_id"))), ["course_ref", "doc_id"])
+        scope = inside.groupBy("query_id", "batch", "block").agg(F.bit_or("bits").alias("mask"))
+        n = n.unionByName(scope.groupBy("query_id").agg(F.sum(F.bit_count("mask")).alias("n")))
+        heads = heads.join(scope, ["query_id", "batch", "block"], "left").withColumn("bits", F.when(F.col("narrow"), F.col("bits").bitwiseAND(F.coalesce("mask", F.lit(0)))).otherwise(F.col("bits"))).drop("mask").filter("bits <> 0")
+    heads = kept(heads.select("query_id", "course_ref", "batch", "block", "term", "k", "qtf", "bits", "top"))
+    df = heads.groupBy("query_id", "term").agg(F.sum(F.bit_count("bits")).alias("df"))
+    heads = heads.join(df, ["query_id", "term"]).join(n, "query_id").withColumn("idf", F.log1p(F.col("n") / (1 + F.col("df"))))
+    heads = heads.withColumn("bound", F.sum(F.col("qtf") * F.col("top") * F.col("idf")).over(Window.partitionBy("query_id", "course_ref", "batch", "block")))
+
+    best_blocks = heads.groupBy("query_id", "course_ref", "batch", "block").agg(F.first("bound").alias("bound"))
+    best_blocks = best_blocks.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "batch", "block"))).filter(F.col("place") <= FIRST)
+    first = kept(_scored(index, named, heads.join(best_blocks.select("query_id", "batch", "block"), ["query_id", "batch", "block"], "left_semi")))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc()))).filter("rank = k")
+    bar = ranked.select("query_id", F.col("raw").alias("bar"))
+    rest = heads.join(best_blocks.select("query_id", "batch", "block"), ["query_id", "batch", "block"], "left_anti").join(bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") * (1 - 1e-9))).drop("bar")
+    scored = first.unionByName(_scored(index, named, rest))
+
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("raw"), 12).desc(), "batch", "place")))
+    ranked = ranked.filter(F.col("rank") <= most)  # a number: partitions keep no more than so many rows of a query
+    best = ranked.filter("rank <= k").withColumn("top", F.max("raw").over(Window.partitionBy("query_id"))).filter(F.col("raw") >= floor * F.col("top"))
+    texts = named(index.chunks).select("course_ref", "batch", "place", "chunk_ord", *attributes, "text")
+    return best.join(texts, ["course_ref", "batch", "place"]).select("query_id", "rank", "course_ref", "chunk_ord", *attributes, F.round("raw", 4).alias("score"), "text")
+
+
+def _scored(index: Searchable, named, heads: DataFrame) -> DataFrame:
+    """(query, course, batch, place, k, raw): scores of the chunks of some blocks that the guard lets pass."""
+    own = ("course_ref", "batch", "block", "term")
+    hits = named(index.terms, True).select(*own, "hits").join(heads.select(*own, "query_id", "k", "n", "qtf", "idf", "bits"), list(own))
+    hits = hits.select("*", F.inline("hits")).filter(F.call_function("bit_get", "bits", F.col("slot")) == 1).withColumn("place", F.col("block") * BLOCK + F.col("slot"))
+    scored = hits.groupBy("query_id", "course_ref", "batch", "place", "k", "n").agg(
         F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"),
         F.countDistinct(T.stem(F.col("term"))).alias("stems"),
         F.max("idf").alias("rarest"),
     )
-    guard = (F.col("stems") >= LEAST_TERMS) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))
-    ranked = scored.filter(guard & (F.col("raw") > 0)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("raw"), 12).desc(), "chunk_ord")))
-    ranked = ranked.filter(F.col("rank") <= most)  # a number: partitions keep no more than so many rows of a query
-    best = ranked.filter("rank <= k").withColumn("top", F.max("raw").over(Window.partitionBy("query_id"))).filter(F.col("raw") >= floor * F.col("top"))
-    return best.join(chunks.select("course_ref", "chunk_ord", *attributes, "text"), ["course_ref", "chunk_ord"]).select("query_id", "rank", "course_ref", "chunk_ord", *attributes, F.round("raw", 4).alias("score"), "text")
+    return scored.filter(_guard() & (F.col("raw") > 0)).select("query_id", "course_ref", "batch", "place", "k", "raw")
+
+
+def _guard() -> Column:
+    return (F.col("stems") >= LEAST_TERMS) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))
 
 
 def search_corpus(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """A search without an index: the courses asked for are chunked and tokenised now."""
-    chunks = chunked(corpus.join(queries.select("course_ref").distinct(), "course_ref", "left_semi"))
-    return search(postings(chunks), chunks, queries)
+    chunks = kept(chunked(corpus.join(queries.select("course_ref").distinct(), "course_ref", "left_semi")))
+    return search(searchable(chunks), queries)
 
 
 def confidence(hits: DataFrame, queries: DataFrame, low: float = 0.5) -> DataFrame:

@@ -21,6 +21,10 @@ LONGEST_EDGE, MAX_PAGES, MAX_TOKENS = 2048, 200, 4096
 LEAST_SECONDS, SECONDS_A_MEGABYTE, POLL_SECONDS, RETRY_AFTER = 1800, 60, 5.0, (5.0, 20.0)
 
 
+# What servers call a job that has ended, in any case.
+DONE, FAILED = ("completed", "done", "finished", "success"), ("error", "failed")
+
+
 class Retrieval(Protocol):
     """An index of courses: all results are frames."""
 
@@ -209,15 +213,29 @@ def waited_for(status: Callable[[], dict], size: int, *, pause: Callable[[float]
     end = clock() + longest_wait(size)
     while True:
         state = status()
-        if state.get("status") in ("done", "completed"):
+        now = str(state.get("status") or "").lower()
+        if now in DONE:
             return state
-        if state.get("status") in ("failed", "error"):
-            raise RuntimeError(f"transcription failed: {state.get('error') or 'no detail'}")
+        if now in FAILED:
+            raise RuntimeError(f"the recording could not be transcribed: {state.get('error') or 'no reason given'}")
         if clock() > end:
-            raise RuntimeError(f"transcription timed out (status={state.get('status')}, progress={state.get('progress')})")
+            raise RuntimeError(f"no transcript after {longest_wait(size)} seconds; last seen {now or 'without a status'}, progress {state.get('progress')}")
         pause(POLL_SECONDS)
 
 
+def offers_jobs(call: Callable[[], int]) -> bool:
+    """Whether a server takes transcriptions as jobs, told by the code that ``call`` of its job route gives.
+
+    The route is there if it answers, or refuses for want of a key, a method or
+    a body; any fault means that it is not.
+    """
+    try:
+        code = call()
+    except Exception as fault:
+        return getattr(fault, "code", None) in (401, 403, 405, 422)
+    return code < 500
+
+
 def tried(call: Callable[[], dict], *, pause: Callable[[float], None] = time.sleep) -> dict:
     """A call that is tried again where the network failed, and only there."""
     from urllib.error import HTTPError

@@ -1,152 +1,165 @@
-"""The index on disk: chunks, their postings and vectors, in Parquet partitioned by course.
-
-Each operation touches only the partitions of the courses it names. Texts are
-tokenised when they are indexed; a search reads postings.
+"""The index on disk: one Parquet table, partitioned by course and batch.
+
+A batch's chunks, the blocks of its terms and documents and its vectors are rows
+of one table, told apart by ``kind`` and laid out in files of one kind sorted by
+term, so that readers pass over the rest. One write puts all of them there at
+once and in place of what this batch of a course had before: a batch that is
+tried again replaces itself and nothing else. All statistics are sums over
+batches, so none has to be kept up to date. Chunks are numbered within their
+batch; their number within the course is what the batches before it hold, added
+when they are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import lexical, vector
-from ..schema import CHUNK, POSTING, VECTOR
+from ..schema import CHUNK, INDEX
 
 #: So many chunks of a course go to one task and file.
 PART = 1 << 14
+#: The batch that a course begins with; later ones begin with LATE and so come behind it.
+BASE, LATE = "0", "1-"
 
 
 class IndexStore:
-    """Three tables under one folder; ``provider`` embeds texts where vectors are wanted."""
+    """A table under one folder; ``provider`` embeds texts where vectors are wanted."""
 
     def __init__(self, spark: SparkSession, path: str, provider: Callable[[list[str]], list[list[float]]] | None = None):
         self.spark, self.path, self.provider = spark, path, provider
 
     def _hadoop(self, *parts: str):
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        at = jvm.org.apache.hadoop.fs.Path("/".join((self.path, "index", *parts)))
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _read(self, table: str, schema: StructType) -> DataFrame:
-        fs, at = self._hadoop(table)
+    # ---- reading
+
+    def rows(self, kind: str) -> DataFrame:
+        """The rows of one kind; an index that does not exist is empty."""
+        fs, at = self._hadoop()
         if not fs.exists(at):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+            return self.spark.createDataFrame([], INDEX).filter(F.col("kind") == kind)
+        return self.spark.read.schema(INDEX).parquet(f"{self.path}/index").filter(F.col("kind") == kind)
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``place`` get their ``chunk_ord``: a batch begins where those before it end."""
+        own = Window.partitionBy("course_ref").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+        begins = self.rows("batch").select(F.col("course_ref").alias("_course"), F.col("batch").alias("_batch"), F.coalesce(F.sum("n").over(own), F.lit(0)).alias("_from"))
+        same = F.col("course_ref").eqNullSafe(F.col("_course")) & (F.col("batch") == F.col("_batch"))
+        return rows.join(begins, same).withColumn("chunk_ord", F.col("_from") + F.col("place")).drop("_course", "_batch", "_from")
 
     def read(self) -> DataFrame:
-        """All chunks; an index that does not exist is empty."""
-        return self._read("chunks", CHUNK)
+        """All chunks."""
+        return self._numbered(self.rows("chunk")).select(*CHUNK.fieldNames())
 
     def postings(self) -> DataFrame:
-        """Terms of all chunks with their counts."""
-        return self._read("postings", POSTING)
+        """(course_ref, chunk_ord, term, tf, len) of all chunks."""
+        hits = self.rows("term").select("course_ref", "batch", "block", "term", F.inline("hits")).withColumn("place", F.col("block") * lexical.BLOCK + F.col("slot"))
+        return self._numbered(hits).select("course_ref", "chunk_ord", "term", "tf", "len")
 
     def vectors(self) -> DataFrame:
-        """Vectors of all chunks that were embedded."""
-        return self._read("vectors", VECTOR)
-
-    def _write(self, rows: DataFrame, table: str, schema: StructType, mode: str) -> None:
-        part = F.floor(F.col("chunk_ord") / PART)  # a large course is many tasks
-        rows = rows.select(*schema.fieldNames()).repartition("course_ref", part)
-        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("course_ref").parquet(f"{self.path}/{table}")
-
-    def _put(self, chunks: DataFrame, mode: str, folder: str) -> None:
-        # chunks are written once, aside, and read from there: three tables come from them
-        chunks.select(*CHUNK.fieldNames()).write.parquet(folder)
-        chunks = self.spark.read.schema(CHUNK).parquet(folder)
-        self._write(chunks, "chunks", CHUNK, mode)
-        self._write(lexical.postings(chunks), "postings", POSTING, mode)
+        """(course_ref, chunk_ord, doc_id, vector) of all chunks that were embedded."""
+        return self._numbered(self.rows("vector")).select("course_ref", "chunk_ord", "doc_id", "vector")
+
+    def sizes(self) -> DataFrame:
+        """(course_ref, n): chunks of each course, without reading them."""
+        return self.rows("batch").groupBy("course_ref").agg(F.sum("n").alias("n"))
+
+    def document_frequency(self) -> DataFrame:
+        """(course_ref, term, df): chunks of a course that hold a term, without reading postings."""
+        return self.rows("term").groupBy("course_ref", "term").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("df"))
+
+    def searchable(self) -> lexical.Searchable:
+        """What a search by words reads."""
+        terms = self.rows("term").select("course_ref", "batch", "term", "block", "bits", "top", "hits")
+        documents = self.rows("document").select("course_ref", "batch", "doc_id", "block", "bits")
+        return lexical.Searchable(terms, documents, self._numbered(self.rows("chunk")))
+
+    # ---- writing
+
+    def _put(self, chunks: DataFrame, batch: str) -> set[str | None]:
+        """Write a batch in one go, in place of what it had; the courses that it names."""
+        fs, at = self._hadoop("..", f"incoming-{uuid.uuid4().hex}")
+        aside = at.toString()
+        chunks.select(*CHUNK.fieldNames()).write.parquet(aside)  # four kinds of rows come from it
+        chunks = self.spark.read.schema(CHUNK).parquet(aside)
+        block = F.floor(F.col("chunk_ord") / lexical.BLOCK)
+        sizes = chunks.groupBy("course_ref", block.alias("b")).agg(F.count("chunk_ord").alias("n"), F.count_distinct("chunk_ord").alias("own"), F.count(F.lit(1)).alias("rows"), F.max("chunk_ord").alias("last"), F.min("chunk_ord").alias("first"))
+        sizes = sizes.groupBy("course_ref").agg(F.sum("own").alias("n"), (F.sum("rows") == F.sum("own")).alias("apart"), (F.max("last") + 1).alias("end"), F.min("first").alias("first")).collect()  # a row a course of the batch
+        odd = [r.course_ref for r in sizes if not r.apart or r.first != 0 or r.end != r.n]
+        if odd:
+            fs.delete(at, True)
+            raise ValueError(f"chunks of {odd[:5]} are not numbered from 0 without gaps")
+        placed = chunks.withColumnRenamed("chunk_ord", "place")
+        documents = T.doc_id("activity_ref").alias("doc_id")
+        kinds = {
+            "chunk": placed,
+            "term": lexical.posting_blocks(lexical.postings(chunks)),
+            "document": lexical.document_blocks(chunks),
+            "batch": chunks.groupBy("course_ref").agg(F.count(F.lit(1)).alias("n")),
+        }
         if self.provider:
-            embedded = vector.embedded(chunks.select("chunk_ord", T.doc_id("activity_ref").alias("doc_id"), "course_ref", "text"), self.provider)
-            self._write(embedded, "vectors", VECTOR, mode)
-        fs, _ = self._hadoop()
-        fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), True)
-
-    def _aside(self) -> str:
-        import uuid
-
-        return f"{self.path}/incoming-{uuid.uuid4().hex}"
+            kinds["vector"] = vector.embedded(placed.select("course_ref", "place", documents, "text"), self.provider).drop("text")
+        rows = None
+        for kind, own in kinds.items():
+            own = own.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in own.columns else F.lit(kind if f.name == "kind" else batch if f.name == "batch" else None).cast(f.dataType).alias(f.name) for f in INDEX.fields))
+            rows = own if rows is None else rows.unionByName(own)
+        part = F.floor(F.coalesce("place", F.col("block") * lexical.BLOCK, F.lit(0)) / PART)  # a large course is many tasks
+        rows = rows.repartition("course_ref", "kind", part).sortWithinPartitions("course_ref", "kind", "term", "block")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("course_ref", "batch").parquet(f"{self.path}/index")
+        fs.delete(at, True)
+        return {r.course_ref or None for r in sizes}
 
     def replace(self, chunks: DataFrame, courses: list[str] | None = None) -> None:
-        """Put these courses' chunks in place of what they had; courses named besides that have none are forgotten."""
-        kept = {r[0] for r in chunks.select("course_ref").filter(F.col("course_ref").isin(courses)).distinct().collect()} if courses else set()
+        """Put these courses' chunks in place of what they had; courses named besides that have none are forgotten.
+
+        Their first batch changes at once; batches appended before go after that,
+        so a try that stops half-way leaves the new chunks, and the next one ends it.
+        """
+        old = {(r.course_ref, r.batch) for r in self.rows("batch").select("course_ref", "batch").filter(F.col("batch") != BASE).collect()}  # a row a late batch
+        named = self._put(chunks, BASE)
+        for course, batch in old:
+            if course in named:
+                self._drop(course, batch)
         for course in courses or []:
-            if course not in kept:
+            if (course or None) not in named:
                 self.forget(course)
-        self._put(chunks, "overwrite", self._aside())
 
-    def append(self, chunks: DataFrame, batch: str | None = None) -> bool:
-        """Add chunks behind those that the courses have; whether it was done.
+    def append(self, chunks: DataFrame, batch: str | None = None) -> None:
+        """Add chunks, numbered from 0, behind those that the courses have.
 
-        A ``batch`` that was appended before is not appended again. It is marked
-        last, and one that stopped half-way is taken back first.
+        A ``batch`` that is tried again takes its own place; the name must tell it
+        from all others (a stream's holds the id of its query). Batches lie in the
+        order of their names.
         """
-        done, begun = (self._hadoop("batches", f"{batch}.{state}") for state in ("done", "begun")) if batch else (None, None)
-        if done and done[0].exists(done[1]):
-            return False
-        named = chunks.select("course_ref").distinct()
-        if begun:
-            self._take_back(begun)
-            files = {t: set(self._files(t)) for t in ("chunks", "postings", "vectors")}
-            self._note(begun, "\n".join(f for own in files.values() for f in own))
-        last = self.read().join(F.broadcast(named.limit(MOST_COURSES)), "course_ref", "left_semi") if named.limit(MOST_COURSES + 1).count() <= MOST_COURSES else self.read()
-        last = last.groupBy("course_ref").agg((F.max("chunk_ord") + 1).alias("from"))
-        moved = chunks.join(last, "course_ref", "left").withColumn("chunk_ord", F.col("chunk_ord") + F.coalesce("from", F.lit(0))).drop("from")
-        self._put(moved, "append", self._aside())
-        if done:
-            self._note(done, "")
-            begun[0].delete(begun[1], False)
-        return True
-
-    def _files(self, table: str) -> list[str]:
-        fs, at = self._hadoop(table)
-        if not fs.exists(at):
-            return []
-        found, out = fs.listFiles(at, True), []
-        while found.hasNext():
-            out.append(found.next().getPath().toString())
-        return out
-
-    def _note(self, place, text: str) -> None:
-        fs, at = place
-        stream = fs.create(at, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-
-    def _take_back(self, begun) -> None:
-        fs, at = begun
-        if not fs.exists(at):
-            return
-        stream = fs.open(at)
-        before = set(bytes(stream.readAllBytes()).decode().split("\n"))
-        stream.close()
-        for table in ("chunks", "postings", "vectors"):
-            for name in self._files(table):
-                if name not in before:
-                    fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name), False)
-
-    def forget(self, course_ref: str) -> int:
+        self._put(chunks, LATE + (batch or uuid.uuid4().hex))
+
+    def _drop(self, course: str | None, batch: str | None = None) -> None:
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        parts = [f"course_ref={escape(course)}" if course else "course_ref=__HIVE_DEFAULT_PARTITION__", *([f"batch={escape(batch)}"] if batch else [])]
+        fs, at = self._hadoop(*parts)
+        fs.delete(at, True)
+
+    def forget(self, course_ref: str | None) -> int:
         """Drop a course; how many chunks it had (0 if unknown)."""
         own = F.col("course_ref") == course_ref if course_ref else F.col("course_ref").isNull()  # stored alike
-        n = self.read().filter(own).count()
-        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for table in ("chunks", "postings", "vectors"):
-            fs, at = self._hadoop(table, f"course_ref={escape(course_ref)}" if course_ref else "course_ref=__HIVE_DEFAULT_PARTITION__")
-            fs.delete(at, True)
+        n = self.rows("batch").filter(own).agg(F.sum("n")).first()[0] or 0
+        self._drop(course_ref)
         return n
 
+    # ---- searching
+
     def search(self, queries: DataFrame) -> DataFrame:
         """Ranked passages by words."""
-        return lexical.search(self.postings(), self.read(), queries)
+        return lexical.search(self.searchable(), queries)
 
     def search_vectors(self, queries: DataFrame, *, k: int = 4, floor: float = vector.FLOOR) -> DataFrame:
         """Ranked chunks by vectors."""
         return vector.search(self.vectors().withColumnRenamed("chunk_ord", "ord"), queries, k=k, floor=floor)
-
-
-#: Up to so many courses of a batch may be broadcast.
-MOST_COURSES = 10_000

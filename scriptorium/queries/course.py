@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,8 @@ from ..functions import links
 from ..functions import text as T
 from ..operators import catalog, ingest, lexical, providers, vector
 from ..plans.index_store import IndexStore
-from ..schema import CHUNK
+from ..plans.scratch import fresh
+from ..schema import INDEX
 from ..streaming import jobs
 from . import duck
 
@@ -55,14 +54,7 @@ def stored(spark: SparkSession, sf_dir: str) -> IndexStore:
     return IndexStore(spark, _indexes[key].path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query that writes: in the shared folder, if the session names one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp() if (spark.sparkContext.master or "").startswith("local") else None)
-    if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+scratch = fresh
 
 
 # ---- chunks, terms, statistics
@@ -243,28 +235,28 @@ def vector_floor_batch(spark, sf_dir):
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, count(*) AS chunks FROM chunks GROUP BY course_ref")
 def list_courses(spark, sf_dir):
-    return catalog.courses(chunks(spark, sf_dir)).orderBy("course_ref")
+    return catalog.courses(stored(spark, sf_dir).read()).orderBy("course_ref")
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, count(*) AS chunks FROM chunks WHERE split_part(course_ref, ':', 1) = 'studip' GROUP BY course_ref")
 def list_courses_platform(spark, sf_dir):
-    return catalog.courses(chunks(spark, sf_dir), "studip")
+    return catalog.courses(stored(spark, sf_dir).read(), "studip")
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, coalesce(arg_min(course_name, chunk_ord) FILTER (course_name <> ''), '') AS course_name FROM chunks GROUP BY course_ref")
 def course_names(spark, sf_dir):
-    return catalog.course_names(chunks(spark, sf_dir))
+    return catalog.course_names(stored(spark, sf_dir).read())
 
 
 @query(f"WITH {duck.CHUNKS}, wanted AS (SELECT 'studip:src' || unnest(range(18, 23)) AS course_ref) SELECT course_ref, count(chunk_ord) AS chunks, count(chunk_ord) > 0 AS indexed FROM wanted LEFT JOIN chunks USING (course_ref) GROUP BY course_ref")
 def index_status(spark, sf_dir):
     wanted = spark.range(18, 23).selectExpr("'studip:src' || id AS course_ref")
-    return catalog.index_status(chunks(spark, sf_dir), wanted)
+    return catalog.index_status(stored(spark, sf_dir).read(), wanted)
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, activity_ref, substr(sha1(activity_ref), 1, 10) AS doc_id, min(title) AS title, min(folder) AS folder, count(*) AS chunks, min(locator) AS locators FROM chunks GROUP BY course_ref, activity_ref")
 def course_documents(spark, sf_dir):
-    return catalog.documents(chunks(spark, sf_dir)).withColumn("locators", F.array_join("locators", ","))
+    return catalog.documents(stored(spark, sf_dir).read()).withColumn("locators", F.array_join("locators", ","))
 
 
 @query(f"WITH {duck.CORPUS}, acl AS (SELECT unnest(['studip:src1', 'studip:src7', 'moodle:5']) AS course_ref) SELECT course_ref, count(*) AS documents FROM corpus WHERE course_ref IN (SELECT course_ref FROM acl) GROUP BY course_ref")
@@ -286,17 +278,25 @@ def allowlist_parse(spark, sf_dir):
 @query(f"WITH {duck.CORPUS} SELECT course_ref, substr(sha1(activity_ref), 1, 10) AS doc_id FROM corpus WHERE lower(title) IN ('doc-7.pdf', 'doc-12.pdf') OR substr(sha1(activity_ref), 1, 10) = substr(sha1('studip:src3:file:3'), 1, 10)")
 def resolve_documents(spark, sf_dir):
     wanted = spark.sql("SELECT explode(array('DOC-7.PDF', 'doc-12.pdf', substr(sha1('studip:src3:file:3'), 1, 10))) AS name")
-    return catalog.resolve(catalog.documents(chunks(spark, sf_dir)), wanted)
+    return catalog.resolve(catalog.documents(stored(spark, sf_dir).read()), wanted)
+
 
+_PART = "CAST(floor(doc_id / 3) AS BIGINT)"
+_PLACES = ["'c' AS course_ref", f"'a' || {_PART} AS activity_ref", "'t' AS title", "'' AS folder", "doc_id AS chunk_ord", f"CASE {_PART} % 5 WHEN 0 THEN 'S. ' || doc_id % 3 WHEN 1 THEN 'Folie ' || doc_id % 2 WHEN 2 THEN '12:3' || doc_id % 3 WHEN 3 THEN 'Kapitel' ELSE CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'S. 4' ELSE 'Folie 9' END END AS locator"]
 
-@query(f"WITH {duck.CHUNKS} SELECT activity_ref, '1 Seite' AS label FROM chunks GROUP BY activity_ref")
+
+@query(f"""WITH p AS (SELECT {', '.join(_PLACES)} FROM documents), n AS (
+    SELECT activity_ref, count(DISTINCT locator) FILTER (regexp_matches(locator, '^S\. \d+$')) AS s, count(DISTINCT locator) FILTER (regexp_matches(locator, '^Folie \d+$')) AS f, count(*) FILTER (regexp_matches(locator, '^(\d+:)?\d+:\d\d$')) AS r FROM p GROUP BY activity_ref)
+    SELECT activity_ref, CASE WHEN s = 1 THEN '1 Seite' WHEN s > 1 THEN s || ' Seiten' WHEN f = 1 THEN '1 Folie' WHEN f > 1 THEN f || ' Folien' WHEN r > 0 THEN 'Aufnahme' ELSE '' END AS label FROM n""")
 def kind_labels(spark, sf_dir):
-    return catalog.documents(chunks(spark, sf_dir)).select("activity_ref", catalog.kind_label(F.col("locators")).alias("label"))
+    """Labels of documents of pages, of slides, recordings, chapters and mixtures."""
+    rows = read(spark, sf_dir, "documents").selectExpr(*_PLACES)
+    return catalog.documents(rows).select("activity_ref", catalog.kind_label(F.col("locators")).alias("label"))
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, folder AS grp, count(DISTINCT activity_ref) AS documents, count(*) AS chunks FROM chunks GROUP BY ALL")
 def materials_by_folder(spark, sf_dir):
-    return catalog.by_folder(catalog.documents(chunks(spark, sf_dir)))
+    return catalog.by_folder(catalog.documents(stored(spark, sf_dir).read()))
 
 
 # ---- scalars
@@ -438,8 +438,23 @@ def utterance_segments(spark, sf_dir):
     return ingest.segments(turns).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-_EVENTS = ["'studip:src' || (user_id % 20) AS course_ref", "event_id AS job_id", "CASE WHEN event_id % 2 = 0 THEN 'scan' ELSE 'transcription' END AS kind", "CASE event_id % 7 WHEN 0 THEN 'done' WHEN 3 THEN 'failed' WHEN 5 THEN 'done' ELSE 'submitted' END AS event", "event_id AS ord"]
-_COUNTERS = f"SELECT course_ref, (sum((event = 'submitted')::INT) - sum((event = 'done')::INT) - sum((event = 'failed')::INT))::BIGINT AS pending, sum((event = 'done')::INT)::BIGINT AS done, sum((event = 'failed')::INT)::BIGINT AS failed FROM (SELECT {', '.join(_EVENTS)} FROM events) GROUP BY course_ref"
+#: Four events a job: some come twice, some before their submission, some jobs end twice and some never; places are not in the order of arrival.
+_JOB = "CAST(floor(event_id / 4) AS BIGINT)"
+_END = f"CASE WHEN {_JOB} % 5 = 0 THEN 'submitted' WHEN {_JOB} % 7 = 3 THEN 'failed' ELSE 'done' END"
+_EVENTS = [
+    f"'studip:src' || ({_JOB} % 20) AS course_ref",
+    f"{_JOB} AS job_id",
+    f"CASE WHEN {_JOB} % 2 = 0 THEN 'scan' ELSE 'transcription' END AS kind",
+    f"CASE event_id % 4 WHEN 0 THEN 'submitted' WHEN 2 THEN 'submitted' WHEN 3 THEN {_END} ELSE CASE WHEN {_JOB} % 11 = 4 THEN 'failed' ELSE {_END} END END AS event",
+    "event_id * 7919 % 1000003 AS ord",
+    f"'t' || ({_JOB} % 30) AS title",
+    "'boom ' || event_id AS error",
+]
+_STATES = f"""e AS (SELECT {', '.join(_EVENTS)} FROM events),
+  states AS (SELECT course_ref, job_id, min(kind) AS kind, min(title) AS title, min(ord) FILTER (event = 'submitted') AS first, bool_or(event = 'submitted') AS submitted,
+                    arg_min(event, (ord, event)) FILTER (event IN ('done', 'failed')) AS ended, arg_min(error, (ord, event)) FILTER (event IN ('done', 'failed')) AS error, min(ord) FILTER (event IN ('done', 'failed')) AS placed
+             FROM e GROUP BY course_ref, job_id)"""
+_COUNTERS = f"WITH {_STATES} SELECT course_ref, count(*) FILTER (submitted AND ended IS NULL) AS pending, count(*) FILTER (ended = 'done') AS done, count(*) FILTER (ended = 'failed') AS failed FROM states GROUP BY course_ref"
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -451,13 +466,24 @@ def job_counters(spark, sf_dir):
     return ingest.job_counters(_events(spark, sf_dir))
 
 
-@query(_COUNTERS)
-def job_counters_stream(spark, sf_dir):
+def _event_stream(spark, sf_dir) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     stream = jobs.read_events(spark, f"{sf_dir}/events.parquet", schema) if folder else jobs.read_events(spark, sf_dir, schema, "events.parquet")
-    return jobs.run_counters(stream.selectExpr(*_EVENTS), scratch(spark, "counters-checkpoint"), scratch(spark, "counters"))
+    return stream.selectExpr(*_EVENTS)
+
+
+@query(_COUNTERS)
+def job_counters_stream(spark, sf_dir):
+    return jobs.run_counters(_event_stream(spark, sf_dir), scratch(spark, "counters-checkpoint"), scratch(spark, "counters"))
+
+
+@query(f"WITH {_STATES} SELECT course_ref, job_id, kind, title, ended, error FROM states")
+def job_states_stream(spark, sf_dir):
+    """Every job as it stands after its events, repeated and late ones among them."""
+    states = jobs.run_states(_event_stream(spark, sf_dir), scratch(spark, "states-checkpoint"), scratch(spark, "states"))
+    return states.select("course_ref", "job_id", "kind", "title", "ended", "error")
 
 
 @query("""SELECT r AS recordings, s AS scans, CASE
@@ -547,7 +573,7 @@ _COUNTS = "SELECT course_ref, count(*) AS chunks FROM"
 def replace_course(spark, sf_dir):
     """A course with other texts takes the place of what it was; one named without texts is gone."""
     store = _stored(spark, sf_dir, "replace")
-    own = corpus(spark, sf_dir).filter("course_ref = 'studip:src1'").withColumn("text", F.left("text", F.lit(500)))
+    own = corpus(spark, sf_dir).filter("course_ref = 'studip:src1'").withColumn("text", F.concat("text", F.lit(chr(10) * 2), F.upper("text")))
     store.replace(lexical.chunked(own), ["studip:src1", "studip:src2"])
     return store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"))
 
@@ -574,6 +600,6 @@ def forget_course(spark, sf_dir):
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, 2 * count(*) AS chunks FROM chunks GROUP BY course_ref")
 def late_append_stream(spark, sf_dir):
     store = _stored(spark, sf_dir, "late")
-    late = stored(spark, sf_dir).path + "/chunks"
-    jobs.append_late(spark.readStream.schema(CHUNK).parquet(late), store, scratch(spark, "late-checkpoint"))
+    late = spark.readStream.schema(INDEX).parquet(stored(spark, sf_dir).path + "/index").filter("kind = 'chunk'").withColumnRenamed("place", "chunk_ord")
+    jobs.append_late(late, store, scratch(spark, "late-checkpoint"))
     return store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias("chunks"))

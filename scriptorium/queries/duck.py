@@ -65,8 +65,8 @@ listed AS (SELECT * EXCLUDE (r), CASE WHEN r.b <> '' THEN list_append(r.o, r.b)
 pieces AS (SELECT * EXCLUDE (text, l), unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM listed),
 chunks AS (SELECT *, row_number() OVER (PARTITION BY course_ref ORDER BY ord, pos) - 1 AS chunk_ord FROM pieces)"""
 CHUNKS = f"{CORPUS}, {CHUNK_STEPS}"
-#: The same with one course's texts cut.
-CHANGED_CHUNKS = f"corpus AS (SELECT * REPLACE (CASE WHEN course_ref = 'studip:src1' THEN left(text, 500) ELSE text END AS text) FROM ({_CORPUS})), {CHUNK_STEPS}"
+#: The same with one course's texts followed by themselves in capitals.
+CHANGED_CHUNKS = f"corpus AS (SELECT * REPLACE (CASE WHEN course_ref = 'studip:src1' THEN text || chr(10) || chr(10) || upper(text) ELSE text END AS text) FROM ({_CORPUS})), {CHUNK_STEPS}"
 TOKENED = f"""{CHUNKS},
 tokened AS (SELECT *, greatest(len(tokens), 1) AS len, substr(sha1(activity_ref), 1, 10) AS doc_id FROM (SELECT *, {tokens('text')} AS tokens FROM chunks))"""
 POSTINGS = f"""{TOKENED},

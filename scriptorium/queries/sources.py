@@ -17,7 +17,7 @@ from ..operators import access, catalog, ingest, providers, vector
 from ..plans.index_store import IndexStore
 from ..sources import files, lms, office
 from . import duck
-from .course import _EVENTS, _html_sql, chunks, query, read, scratch, stored
+from .course import _EVENTS, _STATES, _html_sql, chunks, query, read, scratch, stored
 
 # ---- files
 
@@ -370,16 +370,13 @@ def failure_summaries(spark, sf_dir):
     return ingest.failure_summary(rows)
 
 
-_JOBS = [*_EVENTS, "'t' || (event_id % 30) AS title", "CASE WHEN event_id % 7 = 3 THEN 'boom ' || event_id END AS error"]
-
-
-@query(f"""WITH e AS (SELECT {', '.join(_JOBS)} FROM events),
-  p AS (SELECT course_ref, sum(CASE event WHEN 'submitted' THEN 1 ELSE -1 END) FILTER (kind = 'transcription') AS r, sum(CASE event WHEN 'submitted' THEN 1 ELSE -1 END) FILTER (kind = 'scan') AS s FROM e GROUP BY 1),
-  t AS (SELECT course_ref, string_agg(title, ',' ORDER BY o) AS titles FROM (SELECT course_ref, title, min(ord) AS o FROM e WHERE event = 'submitted' GROUP BY ALL) GROUP BY 1),
-  f AS (SELECT course_ref, string_agg(title || ': ' || error, ',' ORDER BY ord) AS errors FROM (SELECT *, row_number() OVER (PARTITION BY course_ref ORDER BY ord) AS n FROM e WHERE event = 'failed') WHERE n <= 5 GROUP BY 1)
-  SELECT course_ref, coalesce(r, 0)::BIGINT AS transcriptions, coalesce(s, 0)::BIGINT AS scans, coalesce(titles, '') AS titles, coalesce(errors, '') AS errors FROM p LEFT JOIN t USING (course_ref) LEFT JOIN f USING (course_ref)""")
+@query(f"""WITH {_STATES},
+  p AS (SELECT course_ref, count(*) FILTER (kind = 'transcription' AND submitted AND ended IS NULL) AS r, count(*) FILTER (kind = 'scan' AND submitted AND ended IS NULL) AS s FROM states GROUP BY 1),
+  t AS (SELECT course_ref, string_agg(title, ',' ORDER BY o) AS titles FROM (SELECT course_ref, title, min(first) AS o FROM states WHERE submitted GROUP BY ALL) GROUP BY 1),
+  f AS (SELECT course_ref, string_agg(title || ': ' || error, ',' ORDER BY placed) AS errors FROM (SELECT *, row_number() OVER (PARTITION BY course_ref ORDER BY placed) AS n FROM states WHERE ended = 'failed') WHERE n <= 5 GROUP BY 1)
+  SELECT course_ref, r AS transcriptions, s AS scans, coalesce(titles, '') AS titles, coalesce(errors, '') AS errors FROM p LEFT JOIN t USING (course_ref) LEFT JOIN f USING (course_ref)""")
 def job_details(spark, sf_dir):
-    told = ingest.job_details(read(spark, sf_dir, "events").selectExpr(*_JOBS))
+    told = ingest.job_details(read(spark, sf_dir, "events").selectExpr(*_EVENTS))
     return told.withColumn("titles", F.array_join("titles", ",")).withColumn("errors", F.array_join("errors", ","))
 
 
