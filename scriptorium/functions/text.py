@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,8 +110,23 @@ def _with_stem(c: Column) -> Column:
     return F.when(s != c, F.array(c, s)).otherwise(F.array(c))
 
 
+_built: dict[tuple[str, str], Column] = {}
+
+
+def built(name: str, make: Callable[[], Column]) -> Column:
+    """A long expression over named columns, put together once a session: that takes a second."""
+    key = (SparkContext.getOrCreate().applicationId, name)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
 def tokens(c: Column | str) -> Column:
     """Search terms: words, their stems, and the parts of long compounds (repeats stay)."""
+    return built(f"tokens {c}", lambda: _tokens(c)) if isinstance(c, str) else _tokens(c)
+
+
+def _tokens(c: Column | str) -> Column:
     words = F.filter(F.transform(F.regexp_extract_all(_col(c), F.lit(WORD), F.lit(0)), F.lower), kept)
     return F.flatten(F.transform(words, expanded))
 

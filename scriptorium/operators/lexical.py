@@ -13,23 +13,26 @@ the postings of the others are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..plans.scratch import kept
 
 K = 4
 RELATIVE_FLOOR = 0.25
-LEAST_TERMS = 2
 RARE_SHARE = 0.6
 ATTRIBUTES = ("activity_ref", "title", "locator", "folder", "course_name", "licence")
 #: Chunks of a block: as many as a long has bits.
 BLOCK = 64
 #: Blocks of a query that are scored before any is ruled out.
 FIRST = 8
+#: Blocks that a search may meet before it takes bounds.
+MANY_BLOCKS = 50_000
 #: Queries that are held as literals and broadcast; more are written and joined as tables.
 FEW_QUERIES, FEW_WORDS = 1_000, 100_000
 #: So many numbers of the order share a part of a course.
@@ -62,8 +65,8 @@ def terms(chunks: DataFrame) -> DataFrame:
     # one exchange serves both counts, as a chunk's words stay together; explode_outer: the list is made once
     placed = chunks.select("course_ref", "chunk_ord", T.doc_id("activity_ref").alias("doc_id"), "text").repartition("course_ref", "chunk_ord")
     words = placed.select(*own, F.explode_outer(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("w")).select(*own, F.lower("w").alias("w"))
-    words = words.groupBy(*own, "w").agg(F.count(F.lit(1)).alias("many")).filter(T.kept(F.col("w")))
-    listed = words.select(*own, "many", F.explode_outer(T.expanded(F.col("w"))).alias("term"))
+    words = words.groupBy(*own, "w").agg(F.count(F.lit(1)).alias("many")).filter(T.built("kept w", lambda: T.kept(F.col("w"))))
+    listed = words.select(*own, "many", F.explode_outer(T.built("expanded w", lambda: T.expanded(F.col("w")))).alias("term"))
     return listed.filter("term IS NOT NULL").groupBy(*own, "term").agg(F.sum("many").alias("tf"))
 
 
@@ -126,85 +129,116 @@ def searchable(chunks: DataFrame) -> Searchable:
     return Searchable(one(posting_blocks(postings(chunks))), one(document_blocks(chunks)), one(chunks.withColumn("place", F.col("chunk_ord"))))
 
 
-def _asked(queries: DataFrame) -> tuple[DataFrame, dict | None]:
-    """Tokens of the queries, made once; with what is known of them where they are few."""
+@dataclass
+class _Asked:
+    """The terms of all queries: (query_id, course_ref, k, narrow, term, stem, qtf); and the documents that narrow some of them."""
+
+    words: DataFrame
+    narrow: DataFrame | None
+    most: int
+    courses: list[str] | None = None
+    terms: list[str] | None = None
+    few: bool = False
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A table of no more rows than there are words: broadcast where these are few (FEW_QUERIES, FEW_WORDS)."""
+        return F.broadcast(df) if self.few else df
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """Only the courses, and terms, that are asked for: the reader passes over other folders and row groups."""
+        if self.courses and len(self.courses) <= 100:
+            df = df.filter(F.col("course_ref").isin(self.courses))
+        return df.filter(F.col("term").isin(self.terms)) if self.terms and len(self.terms) <= 200 and "term" in df.columns else df
+
+
+def _asked(queries: DataFrame) -> _Asked:
+    """Tokens of the queries, made once."""
     if "documents" not in queries.columns:
         queries = queries.withColumn("documents", F.lit(None).cast("array<string>"))
-    ids = F.when(F.size("documents") > 0, F.col("documents")).alias("documents")
-    q = queries.select("query_id", "course_ref", "k", ids, T.tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    documents = F.when(F.size("documents") > 0, F.col("documents")).alias("documents")
+    q = queries.select("query_id", "course_ref", F.col("k").cast("int").alias("k"), documents, T.tokens("text").alias("tokens"))
+    q = q.withColumn("stems", T.built("stems of tokens", lambda: F.transform("tokens", T.stem)))
     head = q.limit(FEW_QUERIES + 1).collect()
-    if len(head) > FEW_QUERIES or sum(len(r.tokens) + len(r.documents or ()) for r in head) > FEW_WORDS:
-        return kept(q), None
-    known = {"courses": sorted({r.course_ref for r in head if r.course_ref is not None}), "terms": sorted({t for r in head for t in r.tokens}), "narrow": any(r.documents for r in head), "most": max([r.k for r in head], default=0)}
-    return q.sparkSession.createDataFrame(head, q.schema), known
-
-
-def search(index: Searchable, queries: DataFrame, *, floor: float = RELATIVE_FLOOR, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    if len(head) <= FEW_QUERIES and sum(len(r.tokens or ()) + len(r.documents or ()) for r in head) <= FEW_WORDS:
+        head = [r for r in head if r.tokens and r.course_ref is not None]
+        spark, kind = q.sparkSession, {c: q.schema[c].dataType for c in ("query_id", "course_ref")}
+        schema = StructType([StructField("query_id", kind["query_id"]), StructField("course_ref", kind["course_ref"]), StructField("k", IntegerType()), StructField("narrow", BooleanType()), StructField("term", StringType()), StructField("stem", StringType()), StructField("qtf", LongType())])
+        words = [(r.query_id, r.course_ref, r.k, bool(r.documents), *term, n) for r in head for term, n in Counter(zip(r.tokens, r.stems, strict=True)).items()]
+        inside = [(r.query_id, r.course_ref, d) for r in head for d in sorted(set(r.documents or ()))]
+        narrow = spark.createDataFrame(inside, StructType([schema["query_id"], schema["course_ref"], StructField("doc_id", StringType())])) if inside else None
+        return _Asked(spark.createDataFrame(words, schema), narrow, max([r.k for r in head], default=0), sorted({r.course_ref for r in head}), sorted({w[4] for w in words}), True)
+    q = kept(q.filter(F.size("tokens") > 0))
+    words = q.select("query_id", "course_ref", "k", F.col("documents").isNotNull().alias("narrow"), F.inline(F.arrays_zip(F.col("tokens").alias("term"), F.col("stems").alias("stem")))).groupBy("query_id", "course_ref", "k", "narrow", "term", "stem").agg(F.count(F.lit(1)).alias("qtf"))
+    return _Asked(words, q.select("query_id", "course_ref", F.explode(F.array_distinct("documents")).alias("doc_id")), q.agg(F.max("k")).first()[0] or 0)
+
+
+def search(index: Searchable, queries: DataFrame, *, floor: float = RELATIVE_FLOOR, attributes: tuple[str, ...] = ATTRIBUTES, many_blocks: int = MANY_BLOCKS) -> DataFrame:
     """Ranked passages of ``queries(query_id, course_ref, text, k[, documents])``.
 
     ``documents`` (array of document ids, empty or null for all) narrows the
     scope before any statistic is taken. A hit on fewer than two different
     stems counts only if its rarest term is rare in the scope. The best k are
-    taken first; of these, scores under ``floor`` times the best go.
+    taken first; of these, scores under ``floor`` times the best go. Bounds are
+    taken where the queries meet more than ``many_blocks`` blocks; the rows are
+    the same with and without them.
     """
-    q, known = _asked(queries)
-    few = F.broadcast if known else (lambda df: df)  # bounded by FEW_QUERIES and FEW_WORDS
-    most = known["most"] if known else (q.agg(F.max("k")).first()[0] or 0)
-
-    def named(df: DataFrame, terms: bool = False) -> DataFrame:
-        """Only the courses, and terms, that are asked for: the reader passes over other folders and row groups."""
-        if known and len(known["courses"]) <= 100:
-            df = df.filter(F.col("course_ref").isin(known["courses"]))
-        return df.filter(F.col("term").isin(known["terms"])) if known and terms and len(known["terms"]) <= 200 else df
-
-    asked = q.select("query_id", "course_ref", "k", F.col("documents").isNotNull().alias("narrow"), F.explode("tokens").alias("term"))
-    asked = asked.groupBy("query_id", "course_ref", "k", "narrow", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    heads = named(index.terms, True).drop("hits").join(few(asked), ["course_ref", "term"])
-    documents = named(index.documents)
-    wide = documents.groupBy("course_ref").agg(F.sum(F.bit_count("bits")).alias("n"))
-    n = q.filter("documents IS NULL").select("query_id", "course_ref").join(wide, "course_ref").select("query_id", "n")
-    if known is None or known["narrow"]:
-        inside = documents.join(few(q.filter("documents IS NOT NULL").select("query_id", "course_ref", F.explode(F.array_distinct("documents")).alias("doc_id"))), ["course_ref", "doc_id"])
-        scope = inside.groupBy("query_id", "batch", "block").agg(F.bit_or("bits").alias("mask"))
-        n = n.unionByName(scope.groupBy("query_id").agg(F.sum(F.bit_count("mask")).alias("n")))
-        heads = heads.join(scope, ["query_id", "batch", "block"], "left").withColumn("bits", F.when(F.col("narrow"), F.col("bits").bitwiseAND(F.coalesce("mask", F.lit(0)))).otherwise(F.col("bits"))).drop("mask").filter("bits <> 0")
-    heads = kept(heads.select("query_id", "course_ref", "batch", "block", "term", "k", "qtf", "bits", "top"))
-    df = heads.groupBy("query_id", "term").agg(F.sum(F.bit_count("bits")).alias("df"))
-    heads = heads.join(df, ["query_id", "term"]).join(n, "query_id").withColumn("idf", F.log1p(F.col("n") / (1 + F.col("df"))))
-    heads = heads.withColumn("bound", F.sum(F.col("qtf") * F.col("top") * F.col("idf")).over(Window.partitionBy("query_id", "course_ref", "batch", "block")))
-
-    best_blocks = heads.groupBy("query_id", "course_ref", "batch", "block").agg(F.first("bound").alias("bound"))
-    best_blocks = best_blocks.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "batch", "block"))).filter(F.col("place") <= FIRST)
-    first = kept(_scored(index, named, heads.join(best_blocks.select("query_id", "batch", "block"), ["query_id", "batch", "block"], "left_semi")))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc()))).filter("rank = k")
-    bar = ranked.select("query_id", F.col("raw").alias("bar"))
-    rest = heads.join(best_blocks.select("query_id", "batch", "block"), ["query_id", "batch", "block"], "left_anti").join(bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") * (1 - 1e-9))).drop("bar")
-    scored = first.unionByName(_scored(index, named, rest))
-
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("raw"), 12).desc(), "batch", "place")))
-    ranked = ranked.filter(F.col("rank") <= most)  # a number: partitions keep no more than so many rows of a query
+    asked = _asked(queries)
+    own = ("query_id", "batch", "block")
+    documents, scope = asked.named(index.documents), None
+    if asked.narrow is not None:
+        inside = documents.join(asked.small(asked.narrow), ["course_ref", "doc_id"])
+        scope = kept(inside.groupBy(*own).agg(F.bit_or("bits").alias("mask")))
+
+    def masked(blocks: DataFrame) -> DataFrame:
+        """Blocks with the bits of each query's own documents."""
+        if scope is None:
+            return blocks
+        bits = F.when(F.col("narrow"), F.col("bits").bitwiseAND(F.coalesce("mask", F.lit(0)))).otherwise(F.col("bits"))
+        return blocks.join(scope, list(own), "left").withColumn("bits", bits).drop("mask").filter("bits <> 0")
+
+    # numbers of chunks, in all of a course and in its documents asked for, and those that hold a term
+    courses = asked.words.filter("NOT narrow").select("query_id", "course_ref").distinct()
+    n = asked.small(courses).join(documents.groupBy("course_ref").agg(F.sum(F.bit_count("bits")).alias("n")), "course_ref").select("query_id", "n")
+    n = n if scope is None else n.unionByName(scope.groupBy("query_id").agg(F.sum(F.bit_count("mask")).alias("n")))
+    heads = masked(asked.named(index.terms.drop("hits")).join(asked.small(asked.words), ["course_ref", "term"]))
+    counts = heads.groupBy("query_id", "term").agg(F.sum(F.bit_count("bits")).alias("df"), F.count(F.lit(1)).alias("blocks"))
+    if asked.few:  # a row a word
+        told = counts.withColumn("n", F.lit(None).cast("bigint")).unionByName(n.select("query_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("df"), F.lit(None).cast("bigint").alias("blocks"), "n")).collect()
+        blocks = sum(r.blocks or 0 for r in told)
+        counts = queries.sparkSession.createDataFrame([tuple(r)[:3] for r in told if r.term is not None], StructType(counts.schema.fields[:3]))
+        n = queries.sparkSession.createDataFrame([(r.query_id, r.n) for r in told if r.term is None], n.schema)
+    else:
+        counts = kept(counts)
+        blocks = counts.agg(F.sum("blocks")).first()[0] or 0
+    weights = asked.words.join(asked.small(counts.drop("blocks")), ["query_id", "term"]).join(asked.small(n), "query_id").withColumn("idf", F.log1p(F.col("n") / (1 + F.col("df")))).drop("df")
+
+    def scored(only: DataFrame | None = None) -> DataFrame:
+        """(query, course, batch, place, k, raw): scores of the chunks, of some blocks or of all, that the guard lets pass."""
+        hits = masked(asked.named(index.terms.drop("top")).join(asked.small(weights), ["course_ref", "term"]))
+        hits = hits if only is None else hits.join(only, list(own), "left_semi")
+        hits = hits.select("*", F.inline("hits")).filter(F.call_function("bit_get", "bits", F.col("slot")) == 1).withColumn("place", F.col("block") * BLOCK + F.col("slot"))
+        each = hits.groupBy("query_id", "course_ref", "batch", "place", "k", "n").agg(F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"), F.min("stem").alias("least"), F.max("stem").alias("greatest"), F.max("idf").alias("rarest"))
+        guard = (F.col("least") != F.col("greatest")) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))  # two stems, or a rare one
+        return each.filter(guard & (F.col("raw") > 0)).select("query_id", "course_ref", "batch", "place", "k", "raw")
+
+    if blocks <= many_blocks:
+        every = scored()
+    else:
+        bound = F.sum(F.col("qtf") * F.col("top") * F.col("idf")).alias("bound")
+        bounds = kept(masked(asked.named(index.terms.drop("hits")).join(asked.small(weights), ["course_ref", "term"])).groupBy(*own).agg(bound))
+        best = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "batch", "block"))).filter(F.col("place") <= FIRST)
+        first = kept(scored(best))
+        bar = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc()))).filter("rank = k").select("query_id", F.col("raw").alias("bar"))
+        rest = bounds.join(best, list(own), "left_anti").join(bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") * (1 - 1e-9)))
+        every = first.unionByName(scored(rest))
+
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("raw"), 12).desc(), "batch", "place")))
+    ranked = ranked.filter(F.col("rank") <= asked.most)  # a number: partitions keep no more than so many rows of a query
     best = ranked.filter("rank <= k").withColumn("top", F.max("raw").over(Window.partitionBy("query_id"))).filter(F.col("raw") >= floor * F.col("top"))
-    texts = named(index.chunks).select("course_ref", "batch", "place", "chunk_ord", *attributes, "text")
+    texts = asked.named(index.chunks).select("course_ref", "batch", "place", "chunk_ord", *attributes, "text")
     return best.join(texts, ["course_ref", "batch", "place"]).select("query_id", "rank", "course_ref", "chunk_ord", *attributes, F.round("raw", 4).alias("score"), "text")
 
 
-def _scored(index: Searchable, named, heads: DataFrame) -> DataFrame:
-    """(query, course, batch, place, k, raw): scores of the chunks of some blocks that the guard lets pass."""
-    own = ("course_ref", "batch", "block", "term")
-    hits = named(index.terms, True).select(*own, "hits").join(heads.select(*own, "query_id", "k", "n", "qtf", "idf", "bits"), list(own))
-    hits = hits.select("*", F.inline("hits")).filter(F.call_function("bit_get", "bits", F.col("slot")) == 1).withColumn("place", F.col("block") * BLOCK + F.col("slot"))
-    scored = hits.groupBy("query_id", "course_ref", "batch", "place", "k", "n").agg(
-        F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"),
-        F.countDistinct(T.stem(F.col("term"))).alias("stems"),
-        F.max("idf").alias("rarest"),
-    )
-    return scored.filter(_guard() & (F.col("raw") > 0)).select("query_id", "course_ref", "batch", "place", "k", "raw")
-
-
-def _guard() -> Column:
-    return (F.col("stems") >= LEAST_TERMS) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))
-
-
 def search_corpus(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """A search without an index: the courses asked for are chunked and tokenised now."""
     chunks = kept(chunked(corpus.join(queries.select("course_ref").distinct(), "course_ref", "left_semi")))

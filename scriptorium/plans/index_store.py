@@ -80,7 +80,7 @@ class IndexStore:
         """What a search by words reads."""
         terms = self.rows("term").select("course_ref", "batch", "term", "block", "bits", "top", "hits")
         documents = self.rows("document").select("course_ref", "batch", "doc_id", "block", "bits")
-        return lexical.Searchable(terms, documents, self._numbered(self.rows("chunk")))
+        return lexical.Searchable(terms, documents, self._numbered(self.rows("chunk")).select("batch", "place", *CHUNK.fieldNames()))
 
     # ---- writing
 

@@ -107,7 +107,7 @@ def _searched(rows, asked, k, documents, tokens):
 _STEM = {}
 
 
-def test_search_with_bounds_equals_the_formula(spark, store):
+def test_search_with_bounds_equals_the_formula(spark, store, monkeypatch):
     rnd = random.Random(9)
     words = ["gemein"] * 30 + [f"wort{i}" for i in range(40)] + ["selten"]
     rows = [(f"d{i // 7}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 25)))) for i in range(1500)]
@@ -121,10 +121,16 @@ def test_search_with_bounds_equals_the_formula(spark, store):
     toks = {r.x: r.t for r in spark.createDataFrame([(x,) for x in {t for _, t in rows} | set(texts)], "x string").select("x", T.tokens("x").alias("t")).collect()}
     _STEM.update({r.x: r.s for r in spark.createDataFrame([(w,) for w in {w for t in toks.values() for w in t}], "x string").select("x", T.stem(F.col("x")).alias("s")).collect()})
     got = {}
-    for r in store.search(frame).orderBy("query_id", "rank").collect():
+    for r in lexical.search(store.searchable(), frame, many_blocks=0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.chunk_ord, r.score))
     want = {n: w for n, _, text, k, _ in queries if (w := _searched(rows, toks[text], k, only[n], toks))}
     assert got == want
+    monkeypatch.setattr(lexical, "FEW_QUERIES", 2)  # as tables, not as literals
+    for bounds in (0, 1 << 40):
+        again = {}
+        for r in lexical.search(store.searchable(), frame, many_blocks=bounds).orderBy("query_id", "rank").collect():
+            again.setdefault(r.query_id, []).append((r.chunk_ord, r.score))
+        assert again == want
 
 
 def test_documents_without_order_are_numbered(spark):
