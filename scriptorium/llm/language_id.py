@@ -33,11 +33,12 @@ ORDER = 3
 SAMPLE_DOCS = 400
 #: ... of at most so many bytes each.
 SAMPLE_BYTES = 32_768
-#: Bytes that are priced at once.
-PIECE = 1 << 20
-#: More languages than this are an error: a model of all of them could not be shipped.
+#: Bytes of all languages' samples together: with many languages each has less.
+SAMPLE_ALL = 64 << 20
+#: More languages than this are an error: they would share too small a sample.
 MOST_LANGUAGES = 5000
-_MEMO = 1 << 18
+#: Bytes of text that are priced at once, of their costs under all languages, and of the table of windows already priced.
+PIECE, COSTS_BYTES, MEMO_BYTES = 1 << 20, 64 << 20, 16 << 20
 
 
 def _joined(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,19 +122,22 @@ class Model:
         self.languages = sorted(k for k, v in texts_by_language.items() if v)
         self.trees = [ContextTree(texts_by_language[k], order) for k in self.languages]
         self.memo: tuple[np.ndarray, np.ndarray] | None = None
+        wide = 8 * max(1, len(self.trees))
+        self.piece = max(1 << 10, min(PIECE, COSTS_BYTES // wide))
+        self.memo_bits = max(8, min(18, int(np.log2(MEMO_BYTES // wide))))
 
     def _priced(self, grams: np.ndarray) -> np.ndarray:
         if self.memo is None:
-            self.memo = np.full(_MEMO, np.uint64(1 << 63)), np.zeros((_MEMO, len(self.trees)), np.float64)
+            self.memo = np.full(1 << self.memo_bits, np.uint64(1 << 63)), np.zeros((1 << self.memo_bits, len(self.trees)), np.float64)
         keys, costs = self.memo
-        slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
+        slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.memo_bits)).astype(np.int64)
         out = costs[slot]
         miss = np.flatnonzero(keys[slot] != grams)
         if len(miss):
             new, back = np.unique(grams[miss], return_inverse=True)
             priced = np.stack([t.bits(new) for t in self.trees], 1)
             out[miss] = priced[back]
-            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int64)
+            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.memo_bits)).astype(np.int64)
             at, one = np.unique(at, return_index=True)
             keys[at], costs[at] = new[one], priced[one]
         return out
@@ -144,16 +148,16 @@ class Model:
         group: list[int] = []
         size = 0
         for i, text in enumerate(texts):
-            if len(text) > PIECE:  # by itself, piece by piece
+            if len(text) > self.piece:  # by itself, piece by piece
                 before = b"\0" * self.order
-                for a in range(0, len(text), PIECE):
-                    piece = before + text[a : a + PIECE]
+                for a in range(0, len(text), self.piece):
+                    piece = before + text[a : a + self.piece]
                     out[i] += self._priced(_windows(np.frombuffer(piece, np.uint8), self.order + 1)[self.order :]).sum(0)
                     before = piece[-self.order :] if self.order else b""
                 continue
             group.append(i)
             size += len(text)
-            if size >= PIECE:
+            if size >= self.piece:
                 out[group] = self._sums([texts[j] for j in group])
                 group, size = [], 0
         if group:
@@ -186,7 +190,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     ``sample_bytes`` bytes, so it and the model have a fixed bound at any input
     size. A language whose labelled texts are all longer is learned from a piece
     of that size of each drawn text. Rows that repeat an id are drawn together;
-    at most ``4 * sample_docs`` of a language are taken, however ids repeat.
+    at most ``4 * sample_docs`` of a language are taken, however ids repeat, and
+    no more bytes than its share of ``SAMPLE_ALL`` (but one text at least).
     """
     own = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, folds) != held_out)).select(F.col(lang_col).cast("string").alias("k"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     short = F.octet_length("t") <= sample_bytes
@@ -198,8 +203,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r.k, min(1.0, sample_docs / (r.short or r["all"])))])
     only_long = [r.k for r in counts if not r.short]
     drawn = own.filter((short | F.col("k").isin(only_long)) & (hash_share("id", 17) < rate[F.col("k")])).select("k", F.left("t", F.lit(sample_bytes)).alias("t"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"), "t"))
-    chosen = drawn.withColumn("place", place).filter(F.col("place") <= 4 * sample_docs).select("k", "t")
+    order_of = Window.partitionBy("k").orderBy(F.xxhash64("t"), "t")
+    drawn = drawn.withColumn("place", F.row_number().over(order_of)).filter(F.col("place") <= 4 * sample_docs)
+    so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("k").orderBy("place"))
+    chosen = drawn.withColumn("bytes", so_far).filter((F.col("place") == 1) | (F.col("bytes") <= SAMPLE_ALL // len(counts))).select("k", "t")
     texts: dict[str, list[bytes]] = {}
     for k, t in sorted((r.k, r.t.encode()) for r in chosen.collect()):
         texts.setdefault(k, []).append(t)

@@ -2,13 +2,14 @@
 
 ``wrap`` stores a payload as fixed-size access units of raw 8-bit samples in an
 ISO media container (ftyp, moov with full sample tables, mdat). ``inspect``
-walks the nested boxes of any such file, decodes the sample tables and reports
-codec, timescale, duration and the byte ranges of the key frames; it never
-decodes the payload. ``payload`` reads the stored bytes back by the tables.
+walks the nested boxes of any such file, a track at a time, decodes its sample
+tables and reports codec, timescale, duration and the byte ranges of the key
+frames of every track; it never decodes the payload. ``payload`` reads the stored bytes back by the tables.
 
 Defined results: a null text counts as empty and yields one padded unit; equal
 texts yield equal files; texts of any length are one file each, which a worker
-holds alone; repeated rows give equal rows; an empty table gives an empty one.
+holds alone; repeated rows give equal rows; null ids and further columns pass
+through; an empty table gives an empty one.
 ``inspect`` and ``payload`` raise ``ValueError`` for a container that is cut
 short, lacks a table or contradicts itself; ``media_features`` then gives a row
 with an ``error`` and nulls, also for a null file.
@@ -125,30 +126,40 @@ def _table(media: bytes, at: tuple[int, int] | None, skip: int, kind: str, colum
     return np.frombuffer(media, kind, n * columns, at[0] + skip).astype(np.int64).reshape(n, columns)
 
 
-def inspect(media: bytes) -> dict:
-    """Codec, timescale, duration and sample layout of the first track, from the tables alone."""
+def inspect(media: bytes) -> list[dict]:
+    """Codec, timescale, duration and sample layout of every track in order, from its own tables alone."""
+    tracks = [_track(media, a, b) for name, a, b in boxes(media) if name == "/moov/trak"]
+    if not tracks:
+        raise ValueError("no /moov/trak")
+    return tracks
+
+
+def _track(media: bytes, start: int, end: int) -> dict:
+    """One track: nothing outside its box is looked at."""
     found: dict[str, tuple[int, int]] = {}
-    for name, a, b in boxes(media):
-        found.setdefault(name, (a, b))
-    mdia, stbl = "/moov/trak/mdia", "/moov/trak/mdia/minf/stbl"
-    missing = [t for t in (f"{stbl}/stsd", f"{mdia}/mdhd", f"{stbl}/stsz") if t not in found]
+    for name, a, b in boxes(media, start, end):
+        if name in found:
+            raise ValueError(f"a track has two {name}")
+        found |= {name: (a, b)} if name in _READ else {}
+    missing = [t for t in ("stsd", "mdhd", "stsz") if _AT[t] not in found]
     if missing:
-        raise ValueError(f"no {missing[0]}")
-    for name, least in ((f"{stbl}/stsd", 16), (f"{mdia}/mdhd", 24), (f"{stbl}/stsz", 12)):
-        if found[name][1] - found[name][0] < least:
-            raise ValueError(f"{name} is cut short")
-    at = found[f"{stbl}/stsd"][0]
+        raise ValueError(f"a track without {_AT[missing[0]]}")
+    for t, least in (("stsd", 16), ("mdhd", 24), ("stsz", 12)):
+        if found[_AT[t]][1] - found[_AT[t]][0] < least:
+            raise ValueError(f"{_AT[t]} is cut short")
+    at = found[_AT["stsd"]][0]
     codec = media[at + 12 : at + 16].decode("latin-1")
-    timescale = struct.unpack_from(">I", media, found[f"{mdia}/mdhd"][0] + (20 if media[found[f"{mdia}/mdhd"][0]] else 12))[0]
-    durations = _table(media, found.get(f"{stbl}/stts"), 8, ">u4", 2)
-    fixed, count = struct.unpack_from(">II", media, found[f"{stbl}/stsz"][0] + 4)
+    mdhd = found[_AT["mdhd"]][0]
+    timescale = struct.unpack_from(">I", media, mdhd + (20 if media[mdhd] else 12))[0]
+    durations = _table(media, found.get(_AT["stts"]), 8, ">u4", 2)
+    fixed, count = struct.unpack_from(">II", media, found[_AT["stsz"]][0] + 4)
     if fixed * count > len(media):
         raise ValueError("the samples are longer than the file")
-    sizes = np.full(count, fixed, np.int64) if fixed else _table(media, found[f"{stbl}/stsz"], 12, ">u4")[:, 0]
-    offsets = _table(media, found.get(f"{stbl}/stco"), 8, ">u4")[:, 0]
-    if f"{stbl}/co64" in found:
-        offsets = _table(media, found[f"{stbl}/co64"], 8, ">u8")[:, 0]
-    runs = _table(media, found.get(f"{stbl}/stsc"), 8, ">u4", 3)
+    sizes = np.full(count, fixed, np.int64) if fixed else _table(media, found[_AT["stsz"]], 12, ">u4")[:, 0]
+    if _AT["stco"] in found and _AT["co64"] in found:
+        raise ValueError("a track has two tables of offsets")
+    offsets = _table(media, found[_AT["co64"]], 8, ">u8")[:, 0] if _AT["co64"] in found else _table(media, found.get(_AT["stco"]), 8, ">u4")[:, 0]
+    runs = _table(media, found.get(_AT["stsc"]), 8, ">u4", 3)
     if len(sizes) != count or (runs < 1).any() or (np.diff(runs[:, 0]) < 1).any() or (runs[:, 1] > count).any() or (runs[:, 0] > len(offsets)).any():
         raise ValueError("the sample tables disagree")
     ends = np.append(runs[1:, 0] - 1, len(offsets))
@@ -159,26 +170,36 @@ def inspect(media: bytes) -> dict:
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(a_chunk) - a_chunk
     starts = offsets[chunk] + before - before[first][chunk] if count else before
-    sync = _table(media, found[f"{stbl}/stss"], 8, ">u4")[:, 0] - 1 if f"{stbl}/stss" in found else np.arange(count)
+    sync = _table(media, found[_AT["stss"]], 8, ">u4")[:, 0] - 1 if _AT["stss"] in found else np.arange(count)
     if ((sync < 0) | (sync >= count)).any():
         raise ValueError("a key frame is no sample")
     return {"codec": codec, "timescale": timescale, "duration": int((durations[:, 0] * durations[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": sync}
 
 
-def payload(media: bytes, layout: dict) -> bytes:
-    """The samples' bytes in order, by their ranges."""
-    starts, ends = layout["starts"], layout["starts"] + layout["sizes"]
-    if len(ends) and ends.max() > len(media):
-        raise ValueError("a sample lies outside the file")
-    cut = np.flatnonzero(starts[1:] != ends[:-1]) + 1
-    return b"".join(media[a:b] for a, b in zip(starts[np.r_[0, cut]], ends[np.r_[cut - 1, len(ends) - 1]], strict=True)) if len(starts) else b""
+_AT = {"mdhd": "/mdia/mdhd", **{t: f"/mdia/minf/stbl/{t}" for t in ("stsd", "stts", "stsz", "stsc", "stss", "stco", "co64")}}
+_READ = frozenset(_AT.values())
+
+
+def payload(media: bytes, tracks: list[dict]) -> bytes:
+    """The samples' bytes in order, track after track, by their ranges."""
+    out = []
+    for track in tracks:
+        starts, ends = track["starts"], track["starts"] + track["sizes"]
+        if len(ends) and ends.max() > len(media):
+            raise ValueError("a sample lies outside the file")
+        cut = np.flatnonzero(starts[1:] != ends[:-1]) + 1
+        if len(starts):
+            out += [media[a:b] for a, b in zip(starts[np.r_[0, cut]], ends[np.r_[cut - 1, len(ends) - 1]], strict=True)]
+    return b"".join(out)
 
 
-def feature(layout: dict) -> str:
-    """Codec, duration and key-frame byte ranges in one line."""
-    keys = layout["keys"]
-    ranges = ",".join(f"{a}+{n}" for a, n in zip(layout["starts"][keys].tolist(), layout["sizes"][keys].tolist(), strict=True))
-    return f"codec={layout['codec'].strip()};timescale={layout['timescale']};duration={layout['duration']};samples={len(layout['sizes'])};keyframes={ranges}"
+def feature(tracks: list[dict]) -> str:
+    """Codec, duration and key-frame byte ranges of each track, tracks parted by a bar."""
+    parts = []
+    for t in tracks:
+        ranges = ",".join(f"{a}+{n}" for a, n in zip(t["starts"][t["keys"]].tolist(), t["sizes"][t["keys"]].tolist(), strict=True))
+        parts.append(f"codec={t['codec'].strip()};timescale={t['timescale']};duration={t['duration']};samples={len(t['sizes'])};keyframes={ranges}")
+    return "|".join(parts)
 
 
 def to_media(docs: DataFrame, *, text_col: str = "text", media_col: str = "media") -> DataFrame:
@@ -209,11 +230,11 @@ def media_features(frame: DataFrame, *, media_col: str = "media") -> DataFrame:
             return (None,) * 6 + ("no file",)
         own = (len(m), hashlib.sha256(m).hexdigest())
         try:
-            layout = inspect(m)
-            data = payload(m, layout)
+            tracks = inspect(m)
+            data = payload(m, tracks)
         except (ValueError, struct.error) as fault:
             return (None, None, None, *own, None, str(fault))
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *own, feature(layout), None
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *own, feature(tracks), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
