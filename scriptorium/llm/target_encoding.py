@@ -166,6 +166,7 @@ def encoded_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     counts = lambda columns: [at(c, f"before_{x}").alias(f"{c}_{x}") for c in columns for x in "ns"]
     lines_told = rows.filter(F.col("g") < len(by_line)).groupBy("rid").agg(at("item_id", "tag").alias("sale_row"), at("item_id", "key").alias("item_id"), at("vendor_id", "key").alias("vendor_id"), at("item_id", "n").alias("n_lines"), at("item_id", "s").alias("n_returned"), *counts(by_line))
     sales_told = rows.filter(F.col("g") >= len(by_line)).groupBy(F.col("rid").alias("sale_row")).agg(at("whole", "tag").alias("sale_id"), *counts(by_sale))
+    sales_told = written(sales_told, "target-sales-told")  # as the dimensions: so that a sale of very many lines is split
     both = lines_told.join(sales_told.hint("shuffle_hash"), "sale_row")
     rated = lambda c, prior: rate(F.col(f"{c}_n"), F.col(f"{c}_s"), prior)
     both = both.withColumn("p", rated("whole", F.lit(prior).cast("long")))
