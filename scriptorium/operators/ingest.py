@@ -35,12 +35,6 @@ def long_enough(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.filter(T.size(T.collapse(text_col)) >= floor)
 
 
-def short_pages(pages: DataFrame, floor: int = 15) -> DataFrame:
-    """Per file (``pages`` array of texts), the numbers of pages with too little text."""
-    marked = F.transform("pages", lambda p, i: F.when(T.size(T.collapse(p)) < floor, i + 1))
-    return pages.withColumn("short", F.filter(marked, lambda x: x.isNotNull())).drop("pages")
-
-
 def page_budget(files: DataFrame, budget: int, *, order: str = "ord") -> DataFrame:
     """How many pages of each file are read within one budget of a course, and how many are skipped."""
     before = F.coalesce(F.col("before"), F.lit(0))
@@ -165,45 +159,6 @@ def transcript(body: Column) -> tuple[Column, Column]:
     return F.coalesce(F.from_json(F.coalesce(nested, flat), kind), F.array().cast("array<struct<start:double,end:double,text:string,speaker:string>>")), F.coalesce(F.get_json_object(body, "$.text"), F.lit(""))
 
 
-def _unbounded_walk(spark: SparkSession, nodes: str) -> None:
-    """Lift the session's recursion limits: any number of rows, and as many levels as ``nodes`` has rows, past which only a cycle goes."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    key = "spark.sql.cteRecursionLevelLimit"
-    levels = int(spark.conf.get(key))
-    if levels != -1:
-        spark.conf.set(key, str(max(levels, spark.table(nodes).count() + 1)))
-
-
-def reading_order(spark: SparkSession, elements: str) -> DataFrame:
-    """Depth-first order of a view ``(tree, id, parent, position)``; siblings by position, then id; orphans last."""
-    _unbounded_walk(spark, elements)
-    return spark.sql(f"""
-        WITH RECURSIVE walk (tree, id, path) AS (
-          SELECT tree, id, array(named_struct('p', position, 'i', CAST(id AS STRING))) FROM {elements} WHERE parent IS NULL
-          UNION ALL
-          SELECT e.tree, e.id, concat(w.path, array(named_struct('p', e.position, 'i', CAST(e.id AS STRING))))
-          FROM {elements} e JOIN walk w ON e.tree = w.tree AND e.parent = w.id),
-        placed AS (
-          SELECT tree, id, 0 AS late, path FROM walk
-          UNION ALL
-          SELECT e.tree, e.id, 1, array(named_struct('p', e.position, 'i', CAST(e.id AS STRING)))
-          FROM {elements} e LEFT ANTI JOIN walk w ON e.tree = w.tree AND e.id = w.id)
-        SELECT tree, id, row_number() OVER (PARTITION BY tree ORDER BY late, path) AS place FROM placed""")
-
-
-def folder_walk(spark: SparkSession, nodes: str, depth: int = 8) -> DataFrame:
-    """Objects of a view ``(tree, id, parent, type, title)`` with the path of containers above them; containers deeper than ``depth`` stay closed."""
-    _unbounded_walk(spark, nodes)
-    return spark.sql(f"""
-        WITH RECURSIVE walk (tree, id, type, title, folder, depth) AS (
-          SELECT tree, id, type, title, '', 0 FROM {nodes} WHERE parent IS NULL
-          UNION ALL
-          SELECT n.tree, n.id, n.type, n.title, CASE WHEN w.depth = 0 THEN '' WHEN w.folder = '' THEN w.title ELSE w.folder || '/' || w.title END, w.depth + 1
-          FROM {nodes} n JOIN walk w ON n.tree = w.tree AND n.parent = w.id
-          WHERE w.type IN ('fold', 'grp', 'cat', 'crs', 'itgr') AND w.depth <= {depth})
-        SELECT tree, id, type, title, folder, depth FROM walk""")
-
-
 def with_folder(files: DataFrame, folders: DataFrame) -> DataFrame:
     """Files with their folder's name, '' if unknown."""
     return files.join(folders.select(F.col("folder_id"), F.col("name").alias("folder_name")), "folder_id", "left").withColumn("folder", F.coalesce("folder_name", F.lit(""))).drop("folder_name")

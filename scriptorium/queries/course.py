@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links
 from ..functions import text as T
-from ..operators import catalog, ingest, lexical, providers, vector
+from ..operators import catalog, ingest, lexical, providers, trees, vector
 from ..plans.index_store import IndexStore
 from ..plans.scratch import fresh
 from ..schema import INDEX
@@ -32,9 +32,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of few files dealt over all cores, for work that takes longer than the shuffle of a small table; many files are many tasks already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as material of twenty courses."""
-    return read(spark, sf_dir, "documents").selectExpr(*duck.CORPUS_COLUMNS)
+    return dealt(read(spark, sf_dir, "documents")).selectExpr(*duck.CORPUS_COLUMNS)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,7 @@ def tokenize_terms(spark, sf_dir):
 
 @query(f"WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, {duck.LIT(T.WORD)}))) AS word FROM documents) SELECT word, {duck.stem('word')} AS stem FROM w")
 def stem_terms(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("w"))
+    words = dealt(read(spark, sf_dir, "documents")).select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("w"))
     return words.select(F.lower("w").alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
@@ -353,7 +359,7 @@ def _html_sql(x: str) -> str:
 
 @query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 def strip_html_pages(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.strip_html("html").alias("text"))
+    return dealt(read(spark, sf_dir, "pages")).select("page_id", T.strip_html("html").alias("text"))
 
 
 _KINDS = ["file", "wiki", "news", "description"]
@@ -502,9 +508,8 @@ _NODES = ["source AS tree", "doc_id AS id", "CASE WHEN doc_id < 20 THEN NULL WHE
 _TREE = f"nodes AS (SELECT {', '.join(_NODES)} FROM documents)"
 
 
-def _tree(spark, sf_dir) -> str:
-    read(spark, sf_dir, "documents").selectExpr(*_NODES).createOrReplaceTempView("scriptorium_nodes")
-    return "scriptorium_nodes"
+def _tree(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").selectExpr(*_NODES)
 
 
 @query(f"""WITH RECURSIVE {_TREE}, walk(tree, id, path) AS (
@@ -513,7 +518,7 @@ def _tree(spark, sf_dir) -> str:
   placed AS (SELECT tree, id, 0 AS late, path FROM walk UNION ALL SELECT n.tree, n.id, 1, [lpad(n.position::VARCHAR, 4, '0') || ':' || n.id] FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.tree = n.tree AND w.id = n.id))
   SELECT tree, id, row_number() OVER (PARTITION BY tree ORDER BY late, path) AS place FROM placed""")
 def reading_order(spark, sf_dir):
-    return ingest.reading_order(spark, _tree(spark, sf_dir)).withColumn("place", F.col("place").cast("bigint"))
+    return trees.reading_order(_tree(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_TREE}, walk(tree, id, type, title, folder, depth) AS (
@@ -522,7 +527,7 @@ def reading_order(spark, sf_dir):
     FROM nodes n JOIN walk w ON n.tree = w.tree AND n.parent = w.id WHERE w.type IN ('fold', 'grp', 'cat', 'crs', 'itgr') AND w.depth <= 8)
   SELECT tree, id, type, title, folder, depth FROM walk""")
 def folder_walk(spark, sf_dir):
-    return ingest.folder_walk(spark, _tree(spark, sf_dir))
+    return trees.folder_walk(_tree(spark, sf_dir))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 < 5 THEN 'Ordner ' || (doc_id % 7) ELSE '' END AS folder FROM documents")

@@ -17,17 +17,19 @@ from ..operators import access, catalog, ingest, providers, vector
 from ..plans.index_store import IndexStore
 from ..sources import files, lms, office
 from . import duck
-from .course import _EVENTS, _STATES, _html_sql, chunks, query, read, scratch, stored
+from .course import _EVENTS, _STATES, _html_sql, chunks, dealt, query, read, scratch, stored
 
 # ---- files
 
-_ASCII = r"'[^\x20-\x7E\n]'"
-_PLAIN = f"regexp_replace(coalesce(text, ''), {_ASCII}, '', 'g')"
+#: What one byte a letter can say, less the letters whose capital it cannot.
+_LATIN = r"[^\x20-\x7E\nÀ-ÖØ-Þà-öø-þ]"
+_BEYOND = f"'{_LATIN}'"
+_PLAIN = f"regexp_replace(coalesce(text, ''), {_BEYOND}, '', 'g')"
 _TIDY = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {duck.LIT(f'^{T.WS}+|{T.WS}+$')}, '', 'g')"
 
 
 def _plain(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", "").alias("text"))
+    return dealt(read(spark, sf_dir, "documents")).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), _LATIN, "").alias("text"))
 
 
 @query(f"WITH d AS (SELECT doc_id, {_PLAIN} AS t FROM documents) SELECT doc_id, 1 AS unit, 'S. 1' AS locator, {_TIDY('t')} AS text, 'builtin' AS engine FROM d UNION ALL SELECT doc_id, 2, 'S. 2', {_TIDY('upper(t)')}, 'builtin' FROM d")
@@ -36,8 +38,8 @@ def extract_pdf_pages(spark, sf_dir):
     escaped = F.regexp_replace("text", r"([\\()])", r"\\$1")
     upper = F.concat(F.lit("[("), F.regexp_replace(F.upper(escaped), " ", ") -250 ("), F.lit(")] TJ"))
     stream = lambda n, c: F.concat(F.lit(f"{n} 0 obj << /Length 0 >>\nstream\nBT /F1 12 Tf "), c, F.lit(" ET\nendstream\nendobj\n"))
-    body = F.concat(F.lit("%PDF-1.4\n"), stream(1, F.concat(F.lit("("), escaped, F.lit(") Tj"))), F.lit("2 0 obj << /Subtype /Image >>\nstream\n(no text) Tj\nendstream\nendobj\n"), stream(3, upper), F.lit("%%EOF"))
-    made = _plain(spark, sf_dir).select("doc_id", body.cast("binary").alias("content"))
+    body = F.concat(F.lit("%PDF-1.4\n5 0 obj << /Title (Data streams) >> endobj\n4 0 obj << /Type /Font /Encoding /WinAnsiEncoding >> endobj\n"), stream(1, F.concat(F.lit("("), escaped, F.lit(") Tj"))), F.lit("2 0 obj << /Subtype /Image >>\nstream\n(no text) Tj\nendstream\nendobj\n"), stream(3, upper), F.lit("%%EOF"))
+    made = _plain(spark, sf_dir).select("doc_id", F.encode(body, "windows-1252").alias("content"))
     return files.extract_units(made, engine="builtin").select("doc_id", "unit", "locator", "text", "engine")
 
 
@@ -253,7 +255,7 @@ def moodle_downloads(spark, sf_dir):
 def _ilias(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A course each source: folders in the first twenty thousandths, other objects below them; and the files' replies."""
     i = F.col("doc_id")
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E\n]", ""), r"[<>&]", "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _LATIN, ""), r"[<>&]", "")
     d = read(spark, sf_dir, "documents").select("source", "doc_id", F.when(i < 200, "fold").when(i % 3 == 0, "file").otherwise("frm").alias("type"), text.alias("said"), F.when(i < 200, F.col("source")).otherwise((i % 20 + 20 * (i % 9)).cast("string")).alias("parent"))
     one = F.concat(F.lit('<Object type="'), "type", F.lit('" obj_id="9"><Title>n'), i.cast("string"), F.lit("</Title><Description>"), F.when(F.col("type") != "file", F.col("said")).otherwise(""), F.lit('</Description><References ref_id="'), i.cast("string"), F.lit('"/></Object>'))
     part = d.select("source", "parent", F.floor(i / 1000).alias("part"), "doc_id", one.alias("o")).groupBy("source", "parent", "part").agg(F.concat(F.lit("<Objects>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "o"))), lambda x: x["o"]), ""), F.lit("</Objects>")).alias("xml"))
@@ -264,7 +266,7 @@ def _ilias(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return about, children, d.filter("type = 'file'").select(F.col("source").alias("tree"), i.cast("string").alias("id"), reply.alias("xml"))
 
 
-_ILIAS_TEXT = f"{duck.collapse('regexp_replace(regexp_replace(coalesce(text, ' + chr(39) * 2 + '), ' + _ASCII + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[<>&]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}"
+_ILIAS_TEXT = f"{duck.collapse('regexp_replace(regexp_replace(coalesce(text, ' + chr(39) * 2 + '), ' + _BEYOND + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[<>&]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}"
 
 
 @query(f"""WITH d AS (SELECT source, doc_id, {_ILIAS_TEXT} AS t, CASE WHEN doc_id < 200 THEN 'fold' WHEN doc_id % 3 = 0 THEN 'file' ELSE 'frm' END AS type, doc_id % 20 + 20 * (doc_id % 9) AS p FROM documents),

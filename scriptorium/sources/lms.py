@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import links
 from ..functions import text as T
-from ..operators import ingest
+from ..operators import ingest, trees
+from ..plans.scratch import kept
 
 DOCUMENT_COLUMNS = ("course_ref", "rank", "ord", "activity_ref", "title", "locator", "text", "course_name", "folder", "licence")
 #: Most items taken from one response.
@@ -172,7 +173,6 @@ def studip_rules(responses: DataFrame) -> DataFrame:
 
 def courseware(responses: DataFrame) -> DataFrame:
     """Chapters of Courseware as documents in reading order, under their module's title."""
-    spark = responses.sparkSession
     units = items(responses, _COURSE + "/courseware-units", "courseware-units", "course")
     units = units.select("course", F.col("n").alias("unit_n"), _at("id").alias("unit"), _at("relationships['structural-element'].data.id").alias("root")).filter("root <> ''")
     one = r"^/courseware-structural-elements/([^/?]+)$"
@@ -189,8 +189,7 @@ def courseware(responses: DataFrame) -> DataFrame:
     elements = elements.filter("id <> root").dropDuplicates(["root", "id"])
     nodes = elements.select(F.col("root").alias("tree"), "id", F.coalesce("parent", F.lit("")).alias("parent"), "position")
     nodes = nodes.unionByName(elements.select("root").distinct().select(F.col("root").alias("tree"), F.col("root").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(-1).alias("position")))
-    nodes.createOrReplaceTempView("scriptorium_chapters")
-    places = ingest.reading_order(spark, "scriptorium_chapters").select(F.col("tree").alias("root"), "id", (F.col("place") - 1).alias("place"))  # the root is first
+    places = trees.reading_order(nodes).select(F.col("tree").alias("root"), "id", (F.col("place") - 1).alias("place"))  # the root is first
 
     body = F.concat_ws("\n\n", F.nullif(F.col("intro"), F.lit("")), F.nullif(F.col("blocks"), F.lit("")))
     chapters = elements.join(places, ["root", "id"]).join(block_texts(responses), F.col("id") == F.col("element"), "left").withColumn("text", body)
@@ -239,7 +238,7 @@ def studip_documents(responses: DataFrame, units: DataFrame | None = None) -> Da
         about = courses.withColumn("text", T.strip_html(F.coalesce(F.get_json_object("a", f"$['{field}']"), F.lit("")))).withColumn("n", F.lit(n)).filter(T.size("text") >= 40)
         parts.append(_documents(about, 2, "n", course_ref=course_ref, activity_ref=_ref("studip", F.col("course"), field), title=F.concat("name", F.lit(f" — {label}")), text=F.col("text")))
     if units is not None:
-        kept = units.filter(F.col("error").isNull()).withColumn("text", T.collapse("text")).filter(T.size("text") >= 15)
+        read = units.filter(F.col("error").isNull() & links.extractable_by_name(F.col("filename"), "ilias")).withColumn("text", T.collapse("text")).filter(T.size("text") >= 15)
         kept = kept.join(studip_wanted(responses), ["course", "file_id"])
         parts.append(_documents(kept, 4, "n", "unit", course_ref=course_ref, activity_ref=_ref("studip", F.col("course"), "file", F.col("file_id")), title=F.col("name"), locator=F.col("locator"), text=F.col("text"), folder=F.col("folder"), licence=F.col("licence")))
     named = courses.select(course_ref.alias("course_ref"), "name")
@@ -296,7 +295,7 @@ def moodle_documents(responses: DataFrame, units: DataFrame | None = None) -> Da
         _documents(active, 1, *order, course_ref=course_ref, activity_ref=_ref("moodle", F.col("course"), "module", F.col("id"), F.col("modname")), title=titled(F.col("title"), "Aktivität"), text=F.col("text")),
     ]
     if units is not None:
-        kept = units.filter(F.col("error").isNull()).withColumn("text", T.collapse("text")).filter(T.size("text") >= 15)
+        read = units.filter(F.col("error").isNull() & links.extractable_by_name(F.col("filename"), "ilias")).withColumn("text", T.collapse("text")).filter(T.size("text") >= 15)
         kept = kept.join(moodle_files(responses).withColumn("file_n", F.col("file_n") + 1), "url").withColumn("level", F.lit(1))
         parts.append(_documents(kept, 1, *order, course_ref=course_ref, activity_ref=F.col("activity_ref"), title=F.col("name"), locator=F.col("locator"), text=F.col("text"), folder=F.col("folder")))
     named = courses.select(course_ref.alias("course_ref"), "name")
@@ -357,7 +356,6 @@ def ilias_documents(courses: DataFrame, children: DataFrame, units: DataFrame |
 
     ``units(tree, id, filename, name, unit, locator, text, error)`` are the units of their files.
     """
-    spark = courses.sparkSession
     told = courses.select(F.col("tree"), *[c.alias(k) for k, c in ilias_course(F.col("xml")).items()])
     name = F.when(F.col("title") != "", F.col("title")).otherwise("Kurs")
     course_ref = _ref("ilias", F.col("tree"))
@@ -367,16 +365,17 @@ def ilias_documents(courses: DataFrame, children: DataFrame, units: DataFrame |
         parts.append(_documents(about, 0, "n", course_ref=course_ref, activity_ref=_ref("ilias", F.col("tree"), field), title=F.concat(name, F.lit(f" — {label}")), text=F.col(field)))
     nodes = children.dropDuplicates(["tree", "id"])
     roots = told.select("tree", F.col("tree").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("crs").alias("type"), F.lit("").alias("title"))
-    nodes.select("tree", "id", "parent", "type", "title").unionByName(roots).createOrReplaceTempView("scriptorium_objects")
-    walked = ingest.folder_walk(spark, "scriptorium_objects").filter("depth > 0").select("tree", "id", "folder")
-    placed = nodes.join(walked, ["tree", "id"])
+    objects = kept(nodes.select("tree", "id", "parent", "type", "title", F.col("n").alias("position")).unionByName(roots.withColumn("position", F.lit(0))))
+    walked = trees.folder_walk(objects).filter("depth > 0").select("tree", "id", "folder")
+    places = trees.reading_order(objects)  # an object, then all that is in it
+    placed = nodes.join(walked, ["tree", "id"]).join(places, ["tree", "id"])
     object_ref = _ref("ilias", F.col("tree"), "obj", F.col("id"))
     floor = F.when(F.col("type").isin("fold", "grp", "cat", "crs", "itgr"), 1).otherwise(40)
     spoken = placed.filter((F.col("type") != "file") & (T.size("description") >= floor))
-    parts.append(_documents(spoken, 1, "n", course_ref=course_ref, activity_ref=object_ref, title=F.col("title"), text=F.col("description"), folder=F.col("folder")))
+    parts.append(_documents(spoken, 1, "place", course_ref=course_ref, activity_ref=object_ref, title=F.col("title"), text=F.col("description"), folder=F.col("folder")))
     if units is not None:
-        kept = units.filter(F.col("error").isNull()).withColumn("text", T.collapse("text")).filter(T.size("text") >= 15).join(placed.filter("type = 'file'"), ["tree", "id"])
-        parts.append(_documents(kept, 1, "n", "unit", course_ref=course_ref, activity_ref=_ref("ilias", F.col("tree"), "file", F.col("id"), F.col("filename")), title=F.col("name"), locator=F.col("locator"), text=F.col("text"), folder=F.col("folder")))
+        read = units.filter(F.col("error").isNull() & links.extractable_by_name(F.col("filename"), "ilias")).withColumn("text", T.collapse("text")).filter(T.size("text") >= 15).join(placed.filter("type = 'file'"), ["tree", "id"])
+        parts.append(_documents(read, 1, "place", "unit", course_ref=course_ref, activity_ref=_ref("ilias", F.col("tree"), "file", F.col("id"), F.col("filename")), title=F.col("name"), locator=F.col("locator"), text=F.col("text"), folder=F.col("folder")))
     named = told.select(course_ref.alias("course_ref"), name.alias("name"))
     return reduce(DataFrame.unionByName, parts).join(named, "course_ref").withColumn("course_name", F.col("name")).select(*DOCUMENT_COLUMNS)
 

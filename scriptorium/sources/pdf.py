@@ -33,28 +33,37 @@ class Scanned(Unreadable):
     """A PDF of images alone."""
 
 
+_PLAIN = re.compile(rb"[^\\()]+")
+_OCTAL = re.compile(rb"[0-7]{1,3}")
+
+
 def literal(data: bytes, at: int) -> tuple[bytes, int]:
     """The string whose opening parenthesis is at ``at``, and where it ends."""
-    out, depth, i = bytearray(), 1, at + 1
+    out, depth, i = [], 1, at + 1
     while i < len(data):
-        c = data[i]
-        if c == 0x5C:
-            octal = re.compile(rb"[0-7]{1,3}").match(data, i + 1)
-            nxt = data[i + 1 : i + 2]
-            if octal:
-                out.append(int(octal[0], 8) & 255)
+        if run := _PLAIN.match(data, i):
+            out.append(run[0])
+            i = run.end()
+            continue
+        mark = data[i : i + 1]
+        if mark == b"\\":
+            after = data[i + 1 : i + 2]
+            if octal := _OCTAL.match(data, i + 1):
+                out.append(bytes([int(octal[0], 8) & 255]))
                 i = octal.end()
+            elif data[i + 1 : i + 3] == b"\r\n":  # a line that goes on
+                i += 3
             else:
-                if nxt not in (b"\n", b"\r", b""):
-                    out.append(_SHORT.get(nxt[0], nxt[0]))
-                i += 3 if data[i + 1 : i + 3] == b"\r\n" else 2
+                if after not in (b"\n", b"\r", b""):
+                    out.append(bytes([_SHORT.get(after[0], after[0])]))
+                i += 2
             continue
-        depth += (c == 0x28) - (c == 0x29)
+        depth += 1 if mark == b"(" else -1
         i += 1
         if not depth:
             break
-        out.append(c)
-    return bytes(out), i
+        out.append(mark)
+    return b"".join(out), i
 
 
 def decoded(raw: bytes, encoding: str = "") -> str:
@@ -94,29 +103,36 @@ def shown(stream: bytes, encoding: str = "") -> str:
     return re.sub("\n{3,}", "\n\n", text).strip()
 
 
+#: A stream begins where a dictionary ends; the word alone may stand in any text.
+_BEGIN = re.compile(rb">>[\x00\t\n\f\r ]*stream(?:\r\n|\n|\r)")
+#: Bytes that the streams of one file may hold once they are inflated.
+MOST_INFLATED = 256 << 20
+
+
 def streams(data: bytes) -> Iterator[bytes]:
     """The content of every stream that is no image and has no filter but Flate."""
-    at = 0
-    while (start := data.find(b"stream", at)) >= 0:
-        if data[max(0, start - 3) : start] == b"end":
-            at = start + 6
-            continue
-        body = re.compile(rb"\r\n|\n|").match(data, start + 6).end()
-        end = data.find(b"endstream", body)
+    at, left = 0, MOST_INFLATED
+    while begin := _BEGIN.search(data, at):
+        end = data.find(b"endstream", begin.end())
         if end < 0:
             return
-        head = data[data.rfind(b"obj", at, start) : start]
+        head = data[data.rfind(b"obj", at, begin.start()) : begin.start()]
         at = end + 9
-        raw = re.sub(rb"[\r\n]{1,2}\Z", b"", data[body:end])
+        raw = re.sub(rb"[\r\n]{1,2}\Z", b"", data[begin.end() : end])
         if b"/Subtype" in head and b"/Image" in head:
             continue
         if b"/FlateDecode" in head:
+            inflate = zlib.decompressobj()
             try:
-                yield zlib.decompressobj().decompress(raw)
+                raw = inflate.decompress(raw, left + 1)
             except zlib.error:
                 continue
-        elif b"/Filter" not in head:
-            yield raw
+        elif b"/Filter" in head:
+            continue
+        left -= len(raw)
+        if left < 0:
+            raise Unreadable(f"its streams hold more than {MOST_INFLATED} bytes")
+        yield raw
 
 
 def builtin_pages(data: bytes) -> list[str]:

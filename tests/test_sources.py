@@ -1,4 +1,6 @@
+import io
 import threading
+import zipfile
 import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.error import HTTPError
@@ -13,7 +15,6 @@ from scriptorium.operators import access, catalog, ingest, lexical, providers
 from scriptorium.plans.index_store import IndexStore
 from scriptorium.queries.sources import _office
 from scriptorium.sources import files, lms, office, pdf
-from scriptorium.streaming import jobs
 
 CHUNK = "activity_ref string, title string, locator string, course_name string, folder string, licence string, text string, chunk_ord long, course_ref string"
 
@@ -128,25 +129,14 @@ def test_forget_any_name(spark, tmp_path, course):
 
 def test_store_searches_what_it_keeps(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
-    assert store.append(spark.createDataFrame([("a", "t", "S. 1", "", "", "", "Monaden sind schwer", 0, "c:1")], CHUNK), batch="b")
-    assert not store.append(spark.createDataFrame([("a", "t", "S. 1", "", "", "", "Monaden sind schwer", 0, "c:1")], CHUNK), batch="b")
+    for _ in range(2):  # the second takes its own place
+        store.append(spark.createDataFrame([("a", "t", "S. 1", "", "", "", "Monaden sind schwer", 0, "c:1")], CHUNK), batch="b")
     asked = spark.createDataFrame([(1, "c:1", "Was sind Monaden?", 4)], "query_id int, course_ref string, text string, k int")
     assert [(r.title, r.chunk_ord) for r in store.search(asked).collect()] == [("t", 0)]
     store.replace(store.read().limit(0), ["c:1"])
     assert store.read().count() == 0 and store.search(asked).count() == 0
 
 
-def test_batch_that_stopped_half_way_is_taken_back(spark, tmp_path):
-    store = IndexStore(spark, str(tmp_path / "index"))
-    row = spark.createDataFrame([("a", "t", "", "", "", "", "Monaden", 0, "c:1")], CHUNK)
-    store.replace(row)
-    store._note(store._hadoop("batches", "b.begun"), "\n".join(f for t in ("chunks", "postings") for f in store._files(t)))
-    store._write(row, "chunks", row.schema, "append")  # what a lost driver left
-    assert store.read().count() == 2
-    assert store.append(row, batch="b")
-    assert sorted(r.chunk_ord for r in store.read().collect()) == [0, 1]
-
-
 class _Server(BaseHTTPRequestHandler):
     def do_GET(self):
         self.send_response(404 if "missing" in self.path else 200)
@@ -257,18 +247,6 @@ def test_tools(spark, tmp_path):
     assert tools.forget_course("c:1") == 2
 
 
-def test_jobs_stream(spark, tmp_path):
-    rows = [("c:1", "a", None), ("c:2", "b", "boom")]
-    spark.createDataFrame(rows, "course_ref string, title_of_job string, fault string").write.parquet(str(tmp_path / "jobs"))
-    stream = spark.readStream.schema("course_ref string, title_of_job string, fault string").parquet(str(tmp_path / "jobs"))
-    store = IndexStore(spark, str(tmp_path / "index"))
-    blank = [F.lit("").alias(c) for c in ("activity_ref", "title", "locator", "course_name", "folder", "licence")]
-    work = lambda batch: batch.select("course_ref", "title_of_job", *blank, F.lit("gelesen").alias("text"), F.lit(0).cast("long").alias("chunk_ord"), F.col("fault").alias("error"))
-    events = jobs.process(stream, work, store, str(tmp_path / "checkpoint"))
-    assert sorted((r.course_ref, r.event) for r in events.collect()) == [("c:1", "done"), ("c:2", "failed")]
-    assert [r.course_ref for r in store.read().collect()] == ["c:1"]
-
-
 def test_claims_and_names(spark):
     rows = spark.createDataFrame([("a.b",), ("x.e30.y",), ("x.!!.y",), (None,)], "t string")
     assert [r.c for r in rows.select(access.claims(F.col("t")).alias("c")).collect()] == [None, "{}", None, None]
@@ -284,3 +262,32 @@ def test_numbers_within_large_courses(spark):
     for r in got:
         assert r.before == sum(i % 5 for i in range(0, r.ord, 7) if f"c:{i % 2}" == r.course_ref)
     assert lexical.chunked(spark.createDataFrame([], "course_ref string, ord long, text string")).count() == 0
+
+
+def test_pdf_words_and_bombs(monkeypatch):
+    packed = zlib.compress(b"(Seite eins) Tj")
+    page = lambda n, body, filters="": b"%d 0 obj << /Length %d %s>>\nstream\r\n" % (n, len(body), filters.encode()) + body + b"\nendstream endobj\n"
+    data = b"%PDF-1.4\n1 0 obj << /Title (Data streams) >> endobj\n" + page(2, packed, "/Filter /FlateDecode ") + page(3, b"(Seite \\(zwei\\) mit (Klammern) \\344) Tj")
+    assert pdf.builtin_pages(data) == ["Seite eins", "Seite (zwei) mit (Klammern) ä"]
+    monkeypatch.setattr(pdf, "MOST_INFLATED", 1000)
+    with pytest.raises(pdf.Unreadable, match="more than"):
+        pdf.builtin_pages(page(1, zlib.compress(b"(a) Tj " * 1000), "/Filter /FlateDecode "))
+    monkeypatch.setattr(office, "MOST_INFLATED", 10)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "application/vnd.oasis.opendocument.text")
+        z.writestr("content.xml", "<x>" + "a" * 100 + "</x>")
+    with pytest.raises(pdf.Unreadable, match="more than"):
+        office.units(out.getvalue())
+
+
+def test_ilias_goes_depth_first_and_by_format(spark):
+    said = "Eine Beschreibung, die lang genug für ein Dokument dieser Art ist."
+    one = lambda i, kind: f'<Object type="{kind}" obj_id="1"><Title>n{i}</Title><Description>{said}</Description><References ref_id="{i}"/></Object>'
+    tree = {"86": ["1", "2"], "1": ["3", "4"], "3": ["5"], "2": ["6"]}
+    kinds = {"1": "fold", "2": "fold", "3": "fold", "5": "frm", "4": "file", "6": "file"}
+    children = lms.ilias_children(spark.createDataFrame([("86", p, "<Objects>" + "".join(one(i, kinds[i]) for i in own) + "</Objects>") for p, own in tree.items()], "tree string, parent string, xml string"))
+    courses = spark.createDataFrame([("86", "<Course><MetaData><General><Title>Kurs</Title></General></MetaData></Course>")], "tree string, xml string")
+    units = spark.createDataFrame([("86", "4", "a.pdf", "A", 1, "S. 1", "Text der ersten Seite", None), ("86", "6", "b.odt", "B", 1, "", "Text des anderen Formats", None)], "tree string, id string, filename string, name string, unit int, locator string, text string, error string")
+    rows = lms.ilias_documents(courses, children, units).orderBy("rank", "ord").collect()
+    assert [r.activity_ref.partition(":86:")[2] for r in rows] == ["obj:1", "obj:3", "obj:5", "file:4:a.pdf", "obj:2"]
