@@ -34,9 +34,12 @@ def search(entries: DataFrame, queries: DataFrame, *, k: int = 4, floor: float =
     Joined on the course, so each query meets its own course's entries only.
     """
     double = lambda c: F.col(c).cast("array<double>")
-    e = entries.filter(F.col("vector").isNotNull()).select("course_ref", "ord", double("vector").alias("v"))
-    q = queries.select("query_id", "course_ref", double("vector").alias("q"))
-    scored = e.join(q, "course_ref").withColumn("score", cosine(F.col("q"), F.col("v"))).filter(F.col("score") >= floor)
+    # a length belongs to a vector, not to a pair; one is divided by the other's in the pair, as cosine() has it
+    e = entries.filter(F.col("vector").isNotNull()).select("course_ref", "ord", double("vector").alias("v")).withColumn("v_norm", norm(F.col("v")))
+    q = queries.select("query_id", "course_ref", double("vector").alias("q")).withColumn("q_norm", norm(F.col("q")))
+    lengths = F.col("q_norm") * F.col("v_norm")
+    score = F.when(lengths == 0, 0.0).otherwise(_dot(F.col("q"), F.col("v")) / lengths)
+    scored = e.join(q, "course_ref").withColumn("score", score).filter(F.col("score") >= floor)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "ord"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "course_ref", "ord", F.round("score", 4).alias("score"))
 

@@ -291,7 +291,7 @@ _PART = "CAST(floor(doc_id / 3) AS BIGINT)"
 _PLACES = ["'c' AS course_ref", f"'a' || {_PART} AS activity_ref", "'t' AS title", "'' AS folder", "doc_id AS chunk_ord", f"CASE {_PART} % 5 WHEN 0 THEN 'S. ' || doc_id % 3 WHEN 1 THEN 'Folie ' || doc_id % 2 WHEN 2 THEN '12:3' || doc_id % 3 WHEN 3 THEN 'Kapitel' ELSE CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'S. 4' ELSE 'Folie 9' END END AS locator"]
 
 
-@query(f"""WITH p AS (SELECT {', '.join(_PLACES)} FROM documents), n AS (
+@query(rf"""WITH p AS (SELECT {', '.join(_PLACES)} FROM documents), n AS (
     SELECT activity_ref, count(DISTINCT locator) FILTER (regexp_matches(locator, '^S\. \d+$')) AS s, count(DISTINCT locator) FILTER (regexp_matches(locator, '^Folie \d+$')) AS f, count(*) FILTER (regexp_matches(locator, '^(\d+:)?\d+:\d\d$')) AS r FROM p GROUP BY activity_ref)
     SELECT activity_ref, CASE WHEN s = 1 THEN '1 Seite' WHEN s > 1 THEN s || ' Seiten' WHEN f = 1 THEN '1 Folie' WHEN f > 1 THEN f || ' Folien' WHEN r > 0 THEN 'Aufnahme' ELSE '' END AS label FROM n""")
 def kind_labels(spark, sf_dir):

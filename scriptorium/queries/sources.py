@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import links
 from ..functions import text as T
-from ..operators import access, catalog, ingest, providers, vector
+from ..operators import access, attachments, catalog, ingest, providers, vector
 from ..plans.index_store import IndexStore
+from ..plans.scratch import kept
 from ..sources import files, lms, office
 from . import duck
 from .course import _EVENTS, _STATES, _html_sql, chunks, dealt, query, read, scratch, stored
@@ -39,7 +40,7 @@ def extract_pdf_pages(spark, sf_dir):
     upper = F.concat(F.lit("[("), F.regexp_replace(F.upper(escaped), " ", ") -250 ("), F.lit(")] TJ"))
     stream = lambda n, c: F.concat(F.lit(f"{n} 0 obj << /Length 0 >>\nstream\nBT /F1 12 Tf "), c, F.lit(" ET\nendstream\nendobj\n"))
     body = F.concat(F.lit("%PDF-1.4\n5 0 obj << /Title (Data streams) >> endobj\n4 0 obj << /Type /Font /Encoding /WinAnsiEncoding >> endobj\n"), stream(1, F.concat(F.lit("("), escaped, F.lit(") Tj"))), F.lit("2 0 obj << /Subtype /Image >>\nstream\n(no text) Tj\nendstream\nendobj\n"), stream(3, upper), F.lit("%%EOF"))
-    made = _plain(spark, sf_dir).select("doc_id", F.encode(body, "windows-1252").alias("content"))
+    made = _plain(spark, sf_dir).select("doc_id", F.encode(body, "ISO-8859-1").alias("content"))
     return files.extract_units(made, engine="builtin").select("doc_id", "unit", "locator", "text", "engine")
 
 
@@ -469,3 +470,47 @@ def scans_only_request(spark, sf_dir):
     store.replace(store.read().limit(0), courses)
     after = store.read().count()
     return request.select("course_ref", F.lit(after).cast("bigint").alias("chunks_after"), F.lit(before).cast("bigint").alias("chunks_before"), "replace")
+
+
+# ---- what requests carry
+
+#: Each page as a request with two scans and a recording: its html behind the first bytes of a PNG, sent twice; some of it no base64, some no image.
+def _scan_requests(spark, sf_dir) -> DataFrame:
+    html = F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    magic = F.when(F.col("page_id") % 7 == 2, F.lit("")).otherwise("89504E470D0A1A0A")
+    content = F.concat(F.unhex(magic), html)
+    i = F.col("page_id").cast("string")
+    entry = F.struct(F.concat(F.lit("studip:c:file:"), i).alias("activity_ref"), F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("Scan "), i)).alias("title"), F.when(F.col("page_id") % 5 == 3, "no base64 x!").otherwise(F.base64(content)).alias("content_base64"))
+    body = F.to_json(F.struct(F.concat(F.lit("studip:src"), (F.col("page_id") % 20).cast("string")).alias("course_ref"), F.array(entry, entry).alias("scans"), F.array(entry).alias("media")))
+    return dealt(read(spark, sf_dir, "pages")).select("page_id", body.alias("body"))
+
+
+_SCANS = """raw AS (SELECT page_id, CASE WHEN page_id % 7 = 2 THEN ''::BLOB ELSE '\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB END || encode(coalesce(html, '')) AS content FROM pages WHERE page_id % 5 <> 3),
+  sent AS (SELECT 'studip:src' || (page_id % 20) AS course_ref, page_id, kind, n, 'studip:c:file:' || page_id AS activity_ref, CASE WHEN page_id % 3 > 0 THEN 'Scan ' || page_id WHEN kind = 'scan' THEN 'Scan' ELSE 'Aufnahme' END AS title, sha256(content) AS key, octet_length(content) AS bytes, content
+    FROM raw, (VALUES ('scan', 0), ('scan', 1), ('media', 0)) v(kind, n))"""
+
+
+@query(f"WITH {_SCANS} SELECT course_ref, page_id, kind, n, activity_ref, title, key, bytes::INT AS bytes FROM sent WHERE bytes > 0")
+def request_attachments(spark, sf_dir):
+    """Scans and recordings of requests, decoded and named by their content; what cannot be decoded goes."""
+    found = attachments.attachments(_scan_requests(spark, sf_dir), order="page_id")
+    return found.select("course_ref", F.col("ord").alias("page_id"), "kind", "n", "activity_ref", "title", "key", F.octet_length("content").alias("bytes"))
+
+
+@query(f"""WITH {_SCANS}, s AS (SELECT *, row_number() OVER (PARTITION BY course_ref ORDER BY page_id, n) AS place FROM sent WHERE kind = 'scan' AND page_id % 7 <> 2)
+  SELECT course_ref, activity_ref, title, text FROM (SELECT *, {duck.collapse("decode(content[9:])")} AS text FROM s WHERE place <= 12) WHERE length(text) >= 15""")
+def request_scan_texts(spark, sf_dir):
+    """From requests to the texts of their scans: stored by content, twelve pages a course, each different page read once."""
+    found = kept(attachments.attachments(_scan_requests(spark, sf_dir), order="page_id"))
+    path = scratch(spark, "blobs")
+    for _ in range(2):  # the second time adds nothing
+        attachments.put_blobs(spark, path, found)
+    blobs = attachments.read_blobs(spark, path)
+    plan = attachments.planned(found, attachments.counted(blobs), 12)
+    documents, _ = attachments.scanned_texts(plan, blobs, ingest.read_cache(spark, scratch(spark, "texts")), _after_magic, "told")
+    return documents.select("course_ref", "activity_ref", "title", "text")
+
+
+def _after_magic(image: bytes, mime: str) -> str:
+    """A stand-in for a reader: the text behind the first bytes."""
+    return image[8:].decode()

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links
@@ -96,11 +96,21 @@ def _good(responses: DataFrame) -> DataFrame:
 
 
 def items(responses: DataFrame, route: str, kind: str, *keys: str, cap: int | None = None) -> DataFrame:
-    """The items of responses whose route matches: its groups as ``keys``, the place ``n``, the ``item`` as JSON."""
+    """The items of responses whose route matches: its groups as ``keys``, the place ``n``, the ``item`` as JSON.
+
+    One response gives its first ``cap`` items (as many as a platform is asked
+    for at once). Responses with a ``page`` were read to their end, by
+    :func:`api.read_pages`: they give all items, numbered through the pages.
+    """
     own = _good(responses).filter(F.col("route").rlike(route))
-    listed = F.slice(F.from_json("body", "data ARRAY<STRING>")["data"], 1, cap or CAPS[kind])
     groups = [F.regexp_extract("route", route, i + 1).alias(k) for i, k in enumerate(keys)]
-    return own.select(*groups, F.posexplode(listed).alias("n", "item"))
+    listed = F.from_json("body", "data ARRAY<STRING>")["data"]
+    if "page" not in responses.columns:
+        return own.select(*groups, F.posexplode(F.slice(listed, 1, cap or CAPS[kind])).alias("n", "item"))
+    pages = own.select("route", "page", *groups, listed.alias("listed"))
+    before = F.coalesce(F.sum(F.size("listed")).over(Window.partitionBy("route").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a page
+    found = pages.withColumn("before", before).select(*keys, "before", F.posexplode("listed").alias("at", "item")).select(*keys, (F.col("before") + F.col("at")).cast("int").alias("n"), "item")
+    return found if cap is None else found.filter(F.col("n") < cap)
 
 
 def _at(path: str, column: str = "item") -> Column:
