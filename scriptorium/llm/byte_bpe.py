@@ -6,8 +6,9 @@ Tier two, for the rest, merges bytes held in a linked list, taking the pair of
 lowest rank (leftmost first) from a heap, so a pre-token of n bytes costs
 O(n log n).
 
-Defined results: a null text counts as empty and has no ids; repeated rows give
-equal rows; texts of any length are encoded whole.
+Defined results: a null text counts as empty and has no ids; null ids pass
+through; repeated rows give equal rows; texts of any length are encoded whole;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations

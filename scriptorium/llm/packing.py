@@ -10,7 +10,8 @@ rank in its partition plus the counts of the partitions before it, so neither
 the driver nor a single task ever holds the pieces.
 
 Defined results: null text counts as empty and gives a piece of the end id
-alone; repeated rows are packed as often as they occur; equal lengths are
+alone; null ids are packed like others; a text of any length is encoded whole
+and then cut into pieces; repeated rows are packed as often as they occur; equal lengths are
 ranked by partition and place; an empty table gives an empty one.
 """
 

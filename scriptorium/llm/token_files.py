@@ -11,8 +11,9 @@ and a document's global start is the sum of the files before it, the start of
 its segment and its place there: nothing but one total a file meets anywhere.
 
 Defined results: null text counts as empty; a null id sorts first; rows with
-the same id are ordered by a hash of the text and the text; an empty table
-gives an empty one.
+the same id follow each other in the order in which the table is read, so their
+starts follow its layout; texts of any length are written whole, each in one
+segment; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ from .pieces import library_encoder
 BLOCK = 128
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 0.9
-#: A segment is closed once it has so many ids; documents are never cut.
 #: Stored text of a file, about.
 FILE_BYTES = 32 << 20
+#: A segment is closed once it has so many ids; documents are never cut.
 SEGMENT_IDS = 1 << 18
 _MAGIC = b"PFR1"
 

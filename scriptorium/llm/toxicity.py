@@ -8,7 +8,8 @@ weights; only those are broadcast, at most ``2 ** BITS`` of them.
 Defined results: a null or empty text scores the bias alone; without training
 rows every score is 0.5, which predicts 1; labels repeated for an id count with
 the highest; a null id has no label; repeated rows give equal rows; texts of any
-length are scored whole; an empty table gives an empty one.
+length are scored whole; a score of exactly 0.5 predicts 1; null ids are scored
+like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
