@@ -14,7 +14,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..plans.index_store import IndexStore
+from ..plans.scratch import kept
 from . import catalog, ingest, lexical
+from .trees import sums_before
 
 # Limits and settings of requests.
 LONGEST_EDGE, MAX_PAGES, MAX_TOKENS = 2048, 200, 4096
@@ -294,15 +296,17 @@ class Tools:
         chunks = self._seen()
         return catalog.courses(chunks, platform).join(catalog.course_names(chunks), "course_ref").orderBy("course_ref")
 
-    def index_course(self, documents: DataFrame) -> int:
-        """Index documents (of a platform's reader); how many chunks there are."""
-        self._service()
-        numbered = documents.groupBy("course_ref", "activity_ref", "rank", "ord", "locator").agg(*[F.first(c).alias(c) for c in ("title", "text", "course_name", "folder", "licence")])
-        from pyspark.sql import Window
+    def index_course(self, documents: DataFrame, courses: list[str] | None = None) -> int:
+        """Index documents (of a platform's reader); how many chunks there are. Of ``courses``, those without a document are emptied.
 
-        place = F.row_number().over(Window.partitionBy("course_ref").orderBy("rank", "ord", "activity_ref", "locator"))
-        chunks = lexical.chunked(numbered.withColumn("place", place.cast("bigint")).drop("ord").withColumnRenamed("place", "ord"))
-        self.store.replace(chunks)
+        Of rows with the same place, the least is taken.
+        """
+        self._service()
+        place = ["rank", "ord", "activity_ref", "locator"]
+        own = documents.groupBy("course_ref", *place).agg(F.min(F.struct("title", "text", "course_name", "folder", "licence")).alias("x")).select("course_ref", *place, "x.*", F.lit(1).alias("one"))
+        numbered = sums_before(own, ["course_ref"], place, "one", name="place").drop("one", "ord")
+        chunks = kept(lexical.chunked(numbered, order="place"))
+        self.store.replace(chunks, courses)
         return chunks.count()
 
     def search_course(self, course_ref: str, query: str, k: int = 6, documents: list[str] | None = None) -> tuple[DataFrame, str]:

@@ -212,7 +212,7 @@ def test_waiting_and_trying():
     with pytest.raises(RuntimeError, match="no words"):
         providers.waited_for(lambda: {"status": "failed", "error": "no words"}, 1)
     clock = iter([0, 1, 99999])
-    with pytest.raises(RuntimeError, match="timed out"):
+    with pytest.raises(RuntimeError, match="no transcript after"):
         providers.waited_for(lambda: {"status": "running"}, 1, pause=lambda s: None, clock=lambda: next(clock))
     assert providers.longest_wait(100_000_000) == 6000 and providers.longest_wait(5) == 1800
     calls, waits = iter([OSError("a"), OSError("b"), {"ok": 1}]), []
@@ -244,6 +244,9 @@ def test_tools(spark, tmp_path):
         user.search_course("c:1", "Monaden")
     with pytest.raises(PermissionError):
         user.forget_course("c:1")
+    assert tools.index_course(documents.filter("rank = 4"), ["c:1", "c:9"]) == 1
+    assert tools.index_course(documents.filter("course_ref = 'none'"), ["c:1"]) == 0 and store.read().count() == 0
+    assert tools.index_course(documents.unionByName(documents)) == 2
     assert tools.forget_course("c:1") == 2
 
 
