@@ -207,11 +207,6 @@ def positional(c: Column | str) -> Column:
     return _col(c).rlike(POSITIONAL)
 
 
-def short_ref(c: Column | str) -> Column:
-    """Folded for comparing names: lower case, ß as ss."""
-    return F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))
-
-
 def cited(answer: Column | str, n_sources: Column) -> Column:
     """Valid source numbers that an answer cites, ascending."""
     found = F.regexp_extract_all(_col(answer), F.lit(r"[\[［【]\s*(\d+)\s*[\]］】]"), F.lit(1))

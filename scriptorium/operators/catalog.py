@@ -64,11 +64,15 @@ def parse_allowlist(text: DataFrame) -> DataFrame:
 
 
 def resolve(documents_: DataFrame, wanted: DataFrame, *, required: bool = False) -> DataFrame:
-    """Ids of documents whose id, title or only non-positional locator is a wanted ``name``; with ``required``, none is an error."""
+    """Ids of documents whose id, title or only non-positional locator is a wanted ``name``; with ``required``, none is an error.
+
+    Names are joined under a collation that passes over case, so that ligatures,
+    sharp s and final sigma meet what they fold to.
+    """
     chapters = F.filter("locators", lambda x: ~T.positional(x))
     only = F.when((F.size("locators") == 1) & (F.size(chapters) == 1), F.get(chapters, F.lit(0)))
     keys = documents_.select("course_ref", "doc_id", F.explode(F.array("doc_id", "title", only)).alias("key")).filter("key is not null")
-    key = lambda c: T.short_ref(T.strip(c))
+    key = lambda c: F.collate(F.replace(F.lower(T.strip(c)), F.lit("ß"), F.lit("ss")), "UNICODE_CI")
     names = wanted.select(key("name").alias("key")).distinct()
     found = keys.withColumn("key", key("key")).join(names, "key", "left_semi").select("course_ref", "doc_id").distinct()
     if required and not found.limit(1).count():

@@ -257,6 +257,11 @@ def test_claims_and_names(spark):
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     assert [r.doc_id for r in catalog.resolve(documents, names(" STRASSE ")).collect()] == ["d2"]
     assert catalog.resolve(documents, names("S. 1")).count() == 0
+    odd = spark.createDataFrame([("c:1", f"d{i}", t, ["S. 1"]) for i, t in enumerate(["Σίσυφος", "ﬁnal", "İstanbul", "Große Übung", "Uebung", "résumé", "resume"])], documents.schema)
+    for asked, found in (("ΣΊΣΥΦΟΣ", "d0"), ("FINAL", "d1"), ("GROSSE ÜBUNG", "d3"), ("RÉSUMÉ", "d5"), ("Resume", "d6")):
+        assert [r.doc_id for r in catalog.resolve(odd, names(asked)).collect()] == [found]
+        assert asked.casefold() == odd.filter(F.col("doc_id") == found).first().title.casefold()
+    assert catalog.resolve(odd, names("Ubung")).count() == 0
 
 
 def test_numbers_within_large_courses(spark):
