@@ -87,6 +87,49 @@ def test_office():
             office.units(data)
 
 
+def packed(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, body in parts.items():
+            archive.writestr(name, body)
+    return out.getvalue()
+
+
+def points(*links: tuple[str, str, str]) -> str:
+    return "<Relationships xmlns='r'>" + "".join(f"<Relationship Id='{i}' Type='http://x/{role}' Target='{to}'/>" for i, role, to in links) + "</Relationships>"
+
+
+def test_office_parts_are_those_declared():
+    main = "application/vnd.openxmlformats-officedocument.{}.main+xml"
+    types = lambda part, type_: f"<Types xmlns='t'><Override PartName='/{part}' ContentType='{main.format(type_)}'/></Types>"
+    sheet = lambda x: f"<worksheet xmlns='x'><c t='s'><v>{x}</v></c><c t='s'><v>9</v></c><c><v>4,5</v></c></worksheet>"
+    book = packed({
+        "[Content_Types].xml": types("mappe/buch.xml", "spreadsheetml.sheet"),
+        "mappe/buch.xml": "<workbook xmlns='x' xmlns:r='rel'><sheets><sheet name='Zweites' r:id='b'/><sheet name='Erstes' r:id='a'/></sheets></workbook>",
+        "mappe/_rels/buch.xml.rels": points(("a", "worksheet", "worksheets/sheet1.xml"), ("b", "worksheet", "/mappe/worksheets/sheet2.xml"), ("s", "sharedStrings", "texte.xml")),
+        "mappe/texte.xml": "<sst xmlns='x'><si><t>eins</t></si><si><r><t>zw</t></r><r><t>ei</t></r></si></sst>",
+        "mappe/worksheets/sheet1.xml": sheet(0),
+        "mappe/worksheets/sheet2.xml": sheet(1),
+        "mappe/worksheets/sheet3.xml": sheet(0),
+    })
+    assert office.units(book) == ([("Zweites", "zwei 4,5"), ("Erstes", "eins 4,5"), ("Tabelle 3", "eins 4,5")], "xlsx")
+    slide = lambda x: f"<p:sld xmlns:p='p' xmlns:a='a'><a:t>{x}</a:t></p:sld>"
+    show = packed({
+        "[Content_Types].xml": types("ppt/presentation.xml", "presentationml.slideshow"),
+        "ppt/presentation.xml": "<a/>",
+        "ppt/slides/slide1.xml": slide("A"),
+        "ppt/slides/slide3.xml": slide("B"),
+        "ppt/slides/_rels/slide3.xml.rels": points(("n", "notesSlide", "../notesSlides/notesSlide1.xml")),
+        "ppt/slides/_rels/slide1.xml.rels": points(("n", "notesSlide", "../notesSlides/notesSlide7.xml")),
+        "ppt/notesSlides/notesSlide1.xml": slide("zu B"),
+        "ppt/notesSlides/notesSlide7.xml": slide(" 1 "),
+    })
+    assert office.units(show) == ([("Folie 1", "A"), ("Folie 2", "B\n\nNotizen: zu B")], "pptx")
+    for parts, why in (({"word/document.xml": "<a"}, "could not read the docx"), ({"[Content_Types].xml": "<a"}, "not an Office"), ({"mimetype": "application/vnd.oasis.opendocument.text"}, "no extractable text")):
+        with pytest.raises(pdf.Unreadable, match=why):
+            office.units(packed(parts))
+
+
 def test_units_and_scans(spark):
     rows = [("a", made_pdf(b"(Eine Seite mit viel Text) Tj", b"(kurz) Tj")), ("b", None), ("c", _office("docx", "Ein Absatz mit Text"))]
     units = files.extract_units(spark.createDataFrame(rows, "path string, content binary"), engine="builtin")
