@@ -88,12 +88,15 @@ def stem_terms(spark, sf_dir):
     return words.select(F.lower("w").alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
-_WORDS = ["E-Klausuren", "KI-Kompetenzen", "Lehrendenbefragung", "Studierendenbefragung", "Prüfungsverwaltung", "Forschungsdatenmanagement", "Modulhandbuchnutzung", "Erfahrungen", "Studentinnen", "x", "2024", "Weiterbildungsveranstaltungen"]
+#: Words of the questions, alone and as part of compounds.
+_FORMS = ["w", "'E-' || w", "'KI-' || w", "w || 'befragung'", "w || 'verwaltung'", "'Forschungs' || w || 'nutzung'"]
 
 
-@query(f"SELECT w AS word, array_to_string({duck.tokens('w')}, ' ') AS terms FROM (SELECT unnest([{', '.join(map(duck.LIT, _WORDS))}]) AS w)")
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, {duck.LIT(T.WORD)})) AS w FROM benchmark), f AS (SELECT DISTINCT unnest([{', '.join(_FORMS)}]) AS word FROM w) SELECT word, array_to_string({duck.tokens('word')}, ' ') AS terms FROM f")
 def compound_split(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in _WORDS], "word string").select("word", F.array_join(T.tokens("word"), " ").alias("terms"))
+    words = dealt(read(spark, sf_dir, "benchmark")).select(F.explode(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("w")).distinct()
+    forms = words.select(F.explode(F.array(*map(F.expr, _FORMS))).alias("word")).distinct()
+    return forms.select("word", F.array_join(T.tokens("word"), " ").alias("terms"))
 
 
 @query(f"WITH {duck.POSTINGS} SELECT course_ref, chunk_ord, term, tf, len FROM postings")
@@ -190,6 +193,13 @@ def chat_messages(spark, sf_dir):
     return told.select("query_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("messages"))
 
 
+@query(SQL["chat_messages"].replace(" AS messages ", " AS answer "))
+def model_answers(spark, sf_dir):
+    """Answers of a model that repeats what it was told."""
+    asked = batch(spark, sf_dir)
+    return providers.completed(asked, stored(spark, sf_dir).search(asked), lambda told: "\n".join(f"{m['role']}: {m['content']}" for m in told))
+
+
 @query(f"WITH {duck.search(_BATCH)}, a AS (SELECT query_id, count(*) AS n FROM hits GROUP BY query_id) SELECT query_id, 'Siehe [' || CASE WHEN n >= 2 THEN 1 ELSE 2 END || '].' AS answer, CASE WHEN n >= 2 THEN (SELECT title FROM hits h WHERE h.query_id = a.query_id AND h.rank = 2) ELSE '' END AS sources FROM a")
 def cited_answers(spark, sf_dir):
     asked = batch(spark, sf_dir)
@@ -276,9 +286,14 @@ def visible_courses_none(spark, sf_dir):
     return catalog.visible(corpus(spark, sf_dir), "none").select("course_ref")
 
 
-@query("SELECT 'student1' AS username, unnest(['ilias:86', 'moodle:5']) AS course_ref UNION ALL SELECT 'tutor', 'studip:abc'")
+@query("""WITH d AS (SELECT doc_id, source FROM documents)
+  SELECT 'user' || doc_id AS username, unnest(['studip:' || source, 'moodle:' || doc_id % 7]) AS course_ref FROM d
+  UNION SELECT 'tutor' || doc_id % 50, 'ilias:' || source FROM d WHERE doc_id % 3 = 0""")
 def allowlist_parse(spark, sf_dir):
-    return catalog.parse_allowlist(spark.createDataFrame([("student1=ilias:86, moodle:5; tutor = studip:abc;",)], "text string"))
+    """A setting a document, with blanks, capitals, empty entries and repetitions."""
+    tutor = "CASE WHEN doc_id % 3 = 0 THEN '; Tutor' || doc_id % 50 || '=ilias:' || source || ';' ELSE ' ; ' END"
+    settings = read(spark, sf_dir, "documents").selectExpr(f"' USER' || doc_id || ' = studip:' || source || ', moodle:' || doc_id % 7 || ' ,, studip:' || source || {tutor} AS text")
+    return catalog.parse_allowlist(settings)
 
 
 @query(f"WITH {duck.CORPUS} SELECT course_ref, substr(sha1(activity_ref), 1, 10) AS doc_id FROM corpus WHERE lower(title) IN ('doc-7.pdf', 'doc-12.pdf') OR substr(sha1(activity_ref), 1, 10) = substr(sha1('studip:src3:file:3'), 1, 10)")
@@ -318,10 +333,39 @@ def lms_links(spark, sf_dir):
     return corpus(spark, sf_dir).select("activity_ref", links.lms_link(F.col("activity_ref"), F.col("locator"), studip="https://lms.example/").alias("link"))
 
 
-@query("SELECT r AS ref, CASE r WHEN 'studip:a' THEN 'studip' WHEN 'moodle:5:x' THEN 'moodle' WHEN ':x' THEN '' ELSE 'unknown' END AS platform FROM (SELECT unnest(['studip:a', 'moodle:5:x', 'plain', '', ':x']) AS r)")
+#: An activity of each form, by doc_id modulo 14: its reference and its address.
+_FORMS_OF_LINKS = [
+    ("'studip:' || source || ':file:' || doc_id", "'https://s/dispatch.php/file/details/' || doc_id || '?cid=' || source"),
+    ("'studip:a b/ü:file:' || doc_id", "'https://s/dispatch.php/file/details/' || doc_id || '?cid=a%20b/%C3%BC'"),
+    ("'studip:' || source || ':courseware:' || doc_id || ':7'", "'https://s/dispatch.php/course/courseware/courseware/7?cid=' || source || '#/structural_element/' || doc_id"),
+    ("'studip:' || source || ':courseware:' || doc_id", "'https://s/dispatch.php/course/courseware?cid=' || source"),
+    ("'studip:' || source || ':wiki:' || doc_id", "'https://s/dispatch.php/course/overview?cid=' || source"),
+    ("'moodle:5:file:' || doc_id || ':resource:A.pdf'", "'https://m/mod/resource/view.php?id=' || doc_id || '&redirect=1#page=' || doc_id % 9"),
+    ("'moodle:5:module:' || doc_id || ':page'", "'https://m/mod/page/view.php?id=' || doc_id"),
+    ("'moodle:5:module:' || doc_id || ':H5P'", "'https://m/course/view.php?id=5#module-' || doc_id"),
+    ("'moodle:5:section:' || doc_id", "'https://m/course/view.php?id=5'"),
+    ("'ilias:86:file:' || doc_id || ':A.pdf'", "'https://i/goto.php?target=file_' || doc_id || '&client_id=c#page=' || doc_id % 9"),
+    ("'ilias:86:obj:' || doc_id", "'https://i/goto.php?target=crs_86&client_id=c'"),
+    ("'other:1:file:' || doc_id", "''"),
+    ("'plain' || doc_id", "''"),
+    ("'ilias:' || doc_id", "'https://i/goto.php?target=crs_' || doc_id || '&client_id=c'"),
+]
+_ANY_FORM = lambda side: f"CASE doc_id % {len(_FORMS_OF_LINKS)} {' '.join(f'WHEN {n} THEN {x[side]}' for n, x in enumerate(_FORMS_OF_LINKS))} END"
+
+
+@query(f"SELECT {_ANY_FORM(0)} AS activity_ref, {_ANY_FORM(1)} AS link FROM documents")
+def lms_link_forms(spark, sf_dir):
+    """Addresses of all kinds of activities of three platforms, of a fourth and of none."""
+    refs = read(spark, sf_dir, "documents").selectExpr(f"{_ANY_FORM(0)} AS activity_ref", "'S. ' || doc_id % 9 AS locator")
+    return refs.select("activity_ref", links.lms_link(F.col("activity_ref"), F.col("locator"), studip="https://s", moodle="https://m/", ilias="https://i", client="c").alias("link"))
+
+
+_REF = "CASE doc_id % 5 WHEN 0 THEN 'studip:' || doc_id WHEN 1 THEN 'moodle:' || doc_id || ':x' WHEN 2 THEN 'plain' || doc_id WHEN 3 THEN '' ELSE ':' || doc_id END"
+
+
+@query(f"SELECT doc_id, {_REF} AS ref, CASE doc_id % 5 WHEN 0 THEN 'studip' WHEN 1 THEN 'moodle' WHEN 4 THEN '' ELSE 'unknown' END AS platform FROM documents")
 def namespaces(spark, sf_dir):
-    refs = spark.createDataFrame([(r,) for r in ("studip:a", "moodle:5:x", "plain", "", ":x")], "ref string")
-    return refs.select("ref", T.namespace("ref").alias("platform"))
+    return read(spark, sf_dir, "documents").selectExpr("doc_id", f"{_REF} AS ref").select("doc_id", "ref", T.namespace("ref").alias("platform"))
 
 
 @query(f"WITH {duck.CORPUS} SELECT activity_ref, title || ', ' || locator || ' (' || CASE WHEN course_name <> '' THEN course_name || ' / ' ELSE '' END || folder || ')' AS citation FROM corpus")
@@ -334,13 +378,20 @@ def stamps(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.stamp(F.col("doc_id") * 37).alias("stamp"))
 
 
-_ANSWERS = ["Siehe [2] und [4].", "Nur [4].", "Nichts [9].", "Weit ［3］ und 【1】.", "Ohne Quelle.", "[2] [2] [10]"]
+#: Each text as an answer that cites one source in its middle and one at its end; numbers over 4 are no sources.
+_SAID = "regexp_replace(coalesce(text, ''), '[\\[\\]［］【】]', '', 'g')"
+_CITED = "doc_id % 7 AS a, doc_id % 4 + 1 AS b"
 
 
-@query("SELECT unnest(['Siehe [2] und [4].', 'Nur [4].', 'Nichts [9].', 'Weit ［3］ und 【1】.', 'Ohne Quelle.', '[2] [2] [10]']) AS answer, unnest(['Siehe [1] und [2].', 'Nur [1].', 'Nichts [9].', 'Weit [2] und [1].', 'Ohne Quelle.', '[1] [1] [10]']) AS shown, unnest(['2,4', '4', '', '1,3', '', '2']) AS cited")
+@query(f"""WITH d AS (SELECT doc_id, {_SAID} AS t, {_CITED} FROM documents), v AS (SELECT *, a BETWEEN 1 AND 4 AS ok FROM d)
+  SELECT doc_id, t || CASE WHEN ok THEN ' [' || CASE WHEN b < a THEN 2 ELSE 1 END || ']' ELSE ' ［' || a || '］' END || ' und [' || CASE WHEN ok AND a < b THEN 2 ELSE 1 END || '].' AS shown,
+    CASE WHEN NOT ok OR a = b THEN b::VARCHAR ELSE least(a, b) || ',' || greatest(a, b) END AS cited FROM v""")
 def cited_sources(spark, sf_dir):
-    a = spark.createDataFrame([(x,) for x in _ANSWERS], "answer string").withColumn("c", T.cited("answer", F.lit(4)))
-    return a.select("answer", T.renumbered("answer", F.col("c")).alias("shown"), F.array_join("c", ",").alias("cited"))
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]［］【】]", "")
+    answers = read(spark, sf_dir, "documents").selectExpr("doc_id", "text", *_CITED.split(", "))
+    answers = answers.select("doc_id", F.concat(said, F.lit(" ［"), F.col("a").cast("string"), F.lit("］ und 【 "), F.col("b").cast("string"), F.lit("】.")).alias("answer"))
+    answers = answers.withColumn("c", T.cited("answer", F.lit(4)))
+    return answers.select("doc_id", T.renumbered("answer", F.col("c")).alias("shown"), F.array_join("c", ",").alias("cited"))
 
 
 # ---- ingestion
@@ -492,14 +543,17 @@ def job_states_stream(spark, sf_dir):
     return states.select("course_ref", "job_id", "kind", "title", "ended", "error")
 
 
-@query("""SELECT r AS recordings, s AS scans, CASE
+@query(f"""WITH {_STATES}, c AS (SELECT course_ref, count(*) FILTER (kind = 'transcription') AS r, count(*) FILTER (kind = 'scan') AS s FROM states WHERE submitted AND ended IS NULL GROUP BY course_ref)
+  SELECT course_ref, r AS recordings, s AS scans, CASE
   WHEN r > 0 AND s > 0 THEN 'Hinweis: ' || r || CASE WHEN r = 1 THEN ' Aufnahme' ELSE ' Aufnahmen' END || ' und ' || s || CASE WHEN s = 1 THEN ' gescannte Datei' ELSE ' gescannte Dateien' END || ' werden noch verarbeitet und stehen für diese Frage noch nicht zur Verfügung.'
   WHEN s > 0 THEN 'Hinweis: ' || s || CASE WHEN s = 1 THEN ' gescannte Datei wird noch gelesen und steht' ELSE ' gescannte Dateien werden noch gelesen und stehen' END || ' für diese Frage noch nicht zur Verfügung.'
   WHEN r > 0 THEN 'Hinweis: ' || r || CASE WHEN r = 1 THEN ' Aufnahme wird noch verarbeitet und steht' ELSE ' Aufnahmen werden noch verarbeitet und stehen' END || ' für diese Frage noch nicht zur Verfügung.'
-  ELSE '' END AS note FROM (SELECT i // 3 AS r, i % 3 AS s FROM (SELECT unnest(range(9)) AS i))""")
+  ELSE '' END AS note FROM c""")
 def job_notes(spark, sf_dir):
-    pairs = spark.range(9).selectExpr("id div 3 AS recordings", "id % 3 AS scans")
-    return pairs.withColumn("note", ingest.job_note(F.col("recordings"), F.col("scans")))
+    """What each course's readers are told of its jobs that have not ended."""
+    pending = ingest.job_states(_events(spark, sf_dir)).filter(F.col("submitted") & F.col("ended").isNull())
+    counts = pending.groupBy("course_ref").agg(F.count_if(F.col("kind") == "transcription").alias("recordings"), F.count_if(F.col("kind") == "scan").alias("scans"))
+    return counts.withColumn("note", ingest.job_note(F.col("recordings"), F.col("scans")))
 
 
 # ---- trees and unions
@@ -544,21 +598,28 @@ def source_union(spark, sf_dir):
     return docs.unionByName(pages)
 
 
-_BODIES = ['{"course_ref":"studip:a","documents":[{"activity_ref":"studip:a:wiki:1","title":"","text":"Monaden"},{"activity_ref":"studip:a:file:2","title":"B","text":"Funktoren","locator":"S. 2"}]}', '{"course_ref":"","documents":[{"text":"x"}]}', '{"course_ref":"studip:b","documents":[]}', '{"course_ref":"studip:c","documents":[{"text":""}],"replace":false}']
-
-
-def _requests(spark) -> DataFrame:
-    return ingest.requests(spark.createDataFrame([(b,) for b in _BODIES], "body string"))
+def _requests(spark, sf_dir) -> DataFrame:
+    """A request a document: with its text twice, without a course, without documents, with an empty text, with something that is no JSON."""
+    i = F.col("doc_id")
+    ref = lambda kind: F.concat(F.lit("studip:"), "source", F.lit(f":{kind}:"), i.cast("string"))
+    text = F.when(i % 5 == 3, "").otherwise(F.col("text"))
+    one = F.struct(ref("wiki").alias("activity_ref"), F.lit("").alias("title"), text.alias("text"))
+    other = F.to_json(F.struct(ref("file").alias("activity_ref"), F.lit("B").alias("title"), F.col("text").alias("text"), F.concat(F.lit("S. "), i.cast("string")).alias("locator")))
+    documents = F.when(i % 5 == 2, F.lit("[]")).otherwise(F.concat(F.lit("["), F.to_json(one), F.lit(","), other, F.lit("]")))
+    course = F.when(i % 5 == 1, "").otherwise(F.concat(F.lit("studip:"), "source"))
+    body = F.concat(F.lit('{"course_ref":"'), course, F.lit('","replace":'), (i % 2 == 0).cast("string"), F.lit(',"documents":'), documents, F.lit("}"))
+    return ingest.requests(dealt(read(spark, sf_dir, "documents")).select("doc_id", F.when(i % 5 == 4, F.substr(body, F.lit(2))).otherwise(body).alias("body")))
 
 
-@query("SELECT unnest(['studip:a', 'studip:a']) AS course_ref, true AS replace, unnest(['untitled', 'B']) AS title, unnest(['Monaden', 'Funktoren']) AS text, unnest(['', 'S. 2']) AS locator")
+@query("""SELECT 'studip:' || source AS course_ref, doc_id % 2 = 0 AS replace, unnest(['untitled', 'B']) AS title, text, unnest(['', 'S. ' || doc_id]) AS locator FROM documents WHERE doc_id % 5 = 0 AND coalesce(text, '') <> ''""")
 def index_request_json(spark, sf_dir):
-    return _requests(spark).filter("error IS NULL").select("course_ref", "replace", "title", "text", "locator")
+    return _requests(spark, sf_dir).filter("error IS NULL").select("course_ref", "replace", "title", "text", "locator")
 
 
-@query("SELECT unnest(['', 'studip:b', 'studip:c']) AS course_ref, unnest(['course_ref is required', 'documents are required', 'text is required']) AS error")
+@query("""SELECT CASE WHEN doc_id % 5 = 1 THEN '' WHEN doc_id % 5 <> 4 THEN 'studip:' || source END AS course_ref, CASE WHEN doc_id % 5 IN (1, 4) THEN 'course_ref is required' WHEN doc_id % 5 = 2 THEN 'documents are required' ELSE 'text is required' END AS error
+  FROM documents WHERE doc_id % 5 <> 0 OR coalesce(text, '') = ''""")
 def requests_invalid(spark, sf_dir):
-    return _requests(spark).filter("error IS NOT NULL").select("course_ref", "error")
+    return _requests(spark, sf_dir).filter("error IS NOT NULL").select("course_ref", "error")
 
 
 # ---- the stored index

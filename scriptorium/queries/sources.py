@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import io
+import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -317,6 +320,62 @@ def licences(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", ref.alias("item")).select("doc_id", lms.licence().alias("licence"))
 
 
+@query("SELECT source || '-' || doc_id AS course, n, text, doc_id AS rule FROM documents, (VALUES (0), (1)) v(n) WHERE doc_id % 4 <> 3")
+def ai_rules(spark, sf_dir):
+    """Rules of courses on AI, two a course; some courses' platforms answer with an error."""
+    attributes = F.struct(F.struct("text", F.col("doc_id").alias("rule")).alias("attributes"))
+    route = F.concat(F.lit("/courses/"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit("/kitoolbox-rules"))
+    responses = read(spark, sf_dir, "documents").select(route.alias("route"), F.when(F.col("doc_id") % 4 == 3, 404).otherwise(200).alias("status"), F.to_json(F.struct(F.array(attributes, attributes).alias("data"))).alias("body"))
+    rule = lambda name: F.get_json_object("rule", f"$.{name}")
+    return lms.studip_rules(responses).select("course", F.col("n").cast("int").alias("n"), rule("text").alias("text"), rule("rule").cast("bigint").alias("rule"))
+
+
+# ---- who reads and listens
+
+
+def _model_that_reads(image: bytes, mime: str) -> str:
+    """A stand-in for a server: it answers a request with what its picture says, in the ways in which models answer."""
+    request = providers.image_request(image, mime, model="told", mode="vision")
+    said = base64.b64decode(request["messages"][0]["content"][-1]["image_url"]["url"].partition(",")[2]).decode()
+    ways = {"image/png": "```markdown\n{}\n```", "image/jpeg": "<think>What is it?\n</think>\n{}", "image/gif": "NO_TEXT"}
+    if mime not in ways:
+        raise OSError("no such picture")
+    return ways[mime].replace("{}", said)
+
+
+@query(f"SELECT page_id::VARCHAR AS key, CASE page_id % 4 WHEN 2 THEN '' WHEN 3 THEN NULL ELSE {duck.strip("coalesce(html, '')")} END AS text, CASE WHEN page_id % 4 = 3 THEN 'no such picture' END AS error FROM pages")
+def read_page_texts(spark, sf_dir):
+    """Pictures read by a model: fenced, with its reasoning, without text, and failed ones."""
+    mime = F.element_at(F.array(*map(F.lit, ("image/png", "image/jpeg", "image/gif", "image/x"))), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("image"), mime.alias("mime"))
+    return providers.read_pages(pages, _model_that_reads, at_once=8)
+
+
+def _model_that_listens(content: bytes, title: str) -> str:
+    """A stand-in for a server: a text, or an utterance with its speaker, or a failure, by the title's number."""
+    said, way = content.decode(), int(title) % 4
+    if way == 3:
+        raise OSError("line is dead")
+    one = [{"start": 61.5, "end": 63, "text": said, "speaker": "A"}]
+    return json.dumps({0: {"text": said}, 1: {"segments": one}, 2: {"segments": {"segments": one}}}[way])
+
+
+_HEARD = duck.strip("coalesce(text, '')")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_HEARD} AS t FROM documents)
+  SELECT doc_id::VARCHAR AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '1:01' END AS locator, CASE WHEN doc_id % 4 > 0 THEN 'A: ' ELSE '' END || t AS text, NULL AS error FROM d WHERE doc_id % 4 < 3 AND t <> ''
+  UNION ALL SELECT doc_id::VARCHAR, NULL, NULL, doc_id || ': line is dead' FROM d WHERE doc_id % 4 = 3""")
+def transcribed_passages(spark, sf_dir):
+    """Recordings heard by a model: texts, utterances flat and one level deeper, and failed ones."""
+    i = F.col("doc_id").cast("string")
+    media = read(spark, sf_dir, "documents").select(i.alias("activity_ref"), i.alias("title"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    heard = kept(providers.transcribed(media, _model_that_listens, at_once=8))
+    none = F.lit(None).cast("string")
+    failed = heard.filter("error IS NOT NULL").select("title", none.alias("locator"), none.alias("text"), "error")
+    return providers.passages(heard).select("title", "locator", "text", none.alias("error")).unionByName(failed)
+
+
 # ---- who asks
 
 
@@ -424,15 +483,26 @@ def vector_index_search(spark, sf_dir):
     return provided.search(asked).withColumn("query_id", F.col("query_id").cast("int"))
 
 
-@query("SELECT unnest(['none', 'external', 'builtin', 'embeddings', 'auto', 'auto+model']) AS mode, unnest(['none', 'external', 'lexical', 'lexical', 'lexical', 'embeddings']) AS provider, unnest([false, false, false, true, false, false]) AS warned")
+_MODES = {"none": "none", "external": "external", "builtin": "lexical", "embeddings": "lexical", "auto": "lexical", "auto+model": "embeddings"}
+
+
+@query(f"""WITH {duck.CHUNKS}, c AS (SELECT course_ref, count(*) AS chunks FROM chunks GROUP BY course_ref), m AS (SELECT unnest([{', '.join(map(duck.LIT, _MODES))}]) AS mode, unnest([{', '.join(map(duck.LIT, _MODES.values()))}]) AS provider)
+  SELECT mode, provider, mode = 'embeddings' AS warned, course_ref, chunks FROM m, c WHERE provider IN ('lexical', 'embeddings')
+  UNION ALL SELECT mode, provider, false, NULL, 0 FROM m WHERE provider IN ('none', 'external')""")
 def provider_choice(spark, sf_dir):
-    """Which retrieval each setting gives."""
-    del sf_dir
-    rows = []
-    for mode in ("none", "external", "builtin", "embeddings", "auto", "auto+model"):
-        provided, warning = providers.retrieval(spark, mode.partition("+")[0], "/nowhere", _letters if "+" in mode else None)
-        rows.append((mode, provided.name, bool(warning)))
-    return spark.createDataFrame(rows, "mode string, provider string, warned boolean")
+    """Which retrieval each setting gives, and what it holds of each course once all chunks are given to the first of its kind."""
+    found, given, path, filled = [], stored(spark, sf_dir).read(), scratch(spark, "choice"), set()
+    for mode in _MODES:
+        provided, warning = providers.retrieval(spark, mode.partition("+")[0], path, _letters if "+" in mode else None)
+        about = [F.lit(mode).alias("mode"), F.lit(provided.name).alias("provider"), F.lit(bool(warning)).alias("warned")]
+        try:
+            if provided.name not in filled:
+                provided.index(given)
+                filled.add(provided.name)
+            found.append(provided.courses().select(*about, "course_ref", F.col("chunks").cast("bigint").alias("chunks")))
+        except (RuntimeError, NotImplementedError):  # the slots without an index refuse
+            found.append(spark.range(1).select(*about, F.lit(None).cast("string").alias("course_ref"), F.lit(0).cast("bigint").alias("chunks")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(f"WITH {duck.CHUNKS} SELECT course_ref, count(*) AS chunks, coalesce(arg_min(course_name, chunk_ord) FILTER (course_name <> ''), '') AS course_name FROM chunks WHERE course_ref IN ('studip:src1', 'studip:src7') GROUP BY course_ref")
@@ -457,19 +527,23 @@ def index_summary(spark, sf_dir):
     return ingest.index_summary(d, chunks(spark, sf_dir), scans, d.filter("doc_id % 5 = 1"))
 
 
-@query("SELECT 'studip:scans' AS course_ref, 0::BIGINT AS chunks_after, 3::BIGINT AS chunks_before, true AS replace")
+@query(f"""WITH {duck.CHUNKS}, c AS (SELECT course_ref, count(*) AS chunks FROM chunks GROUP BY course_ref), q AS (SELECT DISTINCT 'studip:' || source AS course_ref, regexp_extract(source, '[0-9]+$') NOT LIKE '%3' AS replace FROM documents)
+  SELECT course_ref, coalesce(chunks, 0)::BIGINT AS chunks_before, CASE WHEN replace THEN 0 ELSE coalesce(chunks, 0) END::BIGINT AS chunks_after, replace FROM q LEFT JOIN c USING (course_ref)""")
 def scans_only_request(spark, sf_dir):
-    """A request of scans alone replaces what the course had by nothing; the jobs fill it."""
-    del sf_dir
+    """Requests of scans alone replace what their courses had by nothing, for the jobs to fill; those that only add leave it."""
     store = IndexStore(spark, scratch(spark, "scans-only"))
-    row = ("studip:scans:file:1", "t", "S. 1", "", "", "", "x y z", "studip:scans")
-    store.replace(spark.createDataFrame([(*row[:7], n, row[7]) for n in range(3)], "activity_ref string, title string, locator string, course_name string, folder string, licence string, text string, chunk_ord long, course_ref string"))
-    before = store.read().count()
-    request = ingest.requests(spark.createDataFrame([('{"course_ref":"studip:scans","scans":[{"title":"a"}]}',)], "body string")).filter("error IS NULL")
-    courses = [r.course_ref for r in request.filter("replace").select("course_ref").distinct().collect()]
-    store.replace(store.read().limit(0), courses)
-    after = store.read().count()
-    return request.select("course_ref", F.lit(after).cast("bigint").alias("chunks_after"), F.lit(before).cast("bigint").alias("chunks_before"), "replace")
+    store.replace(stored(spark, sf_dir).read())
+    counted = lambda name: kept(store.read().groupBy("course_ref").agg(F.count(F.lit(1)).alias(name)))
+    before = counted("chunks_before")
+    scan = F.array(F.struct(F.concat(F.lit("Scan "), F.col("doc_id").cast("string")).alias("title")))
+    replace = ~F.regexp_extract("source", "[0-9]+$", 0).endswith("3")
+    body = F.to_json(F.struct(F.concat(F.lit("studip:"), "source").alias("course_ref"), replace.alias("replace"), scan.alias("scans")))
+    requests = ingest.requests(read(spark, sf_dir, "documents").select(body.alias("body"))).filter("error IS NULL")
+    asked = kept(requests.groupBy("course_ref").agg(F.bool_or("replace").alias("replace")))
+    store.replace(store.read().limit(0), [r.course_ref for r in asked.filter("replace").collect()])  # a row a course
+    rows = asked.join(before, "course_ref", "left").join(counted("chunks_after"), "course_ref", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return rows.select("course_ref", none("chunks_before"), none("chunks_after"), "replace")
 
 
 # ---- what requests carry
