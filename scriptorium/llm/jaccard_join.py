@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, extended, small_batches, written
+from .common import discard, extended, give_back, small_batches, written
 from .components import components
 from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
 
@@ -199,6 +199,7 @@ def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, bits: int,
     pieces = 1 << (bits - int(part_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hasher, seen, kind = WordHasher(), set(), None
         held, size = [], 0
 
@@ -269,6 +270,7 @@ def index(docs: DataFrame, sketch: np.ndarray, identity: Identity, *, text_col:
     shipped = docs.sparkSession.sparkContext.broadcast(sketch)  # a byte a counter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hasher, seen, sign = WordHasher(), set(), Signer(shipped.value, percent)
         for b in batches:
             keys, hots, codes, many = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [], []
@@ -331,6 +333,7 @@ def _chosen_sets(docs: DataFrame, wanted: DataFrame, identity: Identity, *, id_c
     source = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << _BITMAP_BITS)).alias("h"), F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hasher, seen, bits = WordHasher(), set(), shipped.value
         for b in batches:
             at = b.column(0).to_numpy()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, small_batches, written
+from .common import extended, give_back, small_batches, written
 from .pieces import library_encoder
 
 SEQUENCE = 1024
@@ -114,6 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         part, encoder, seen = TaskContext.get().partitionId(), library_encoder(tokenizer_path), Counter()
         end = array("I", [end_id]).tobytes()
         for b in batches:
@@ -146,6 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     schema = extended(source.drop("rank"), "sequence_id long, offset long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         table = shipped.value
         keys = table[:, 0] * (1 << 40) + table[:, 1]
         for b in batches:
