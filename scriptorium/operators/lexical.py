@@ -110,8 +110,9 @@ def posting_blocks(postings: DataFrame, *within: str) -> DataFrame:
     return postings.groupBy("course_ref", *within, "term", _block().alias("block")).agg(F.bit_or(_bit()).alias("bits"), share, hits).drop(*within)
 
 
-def document_blocks(chunks: DataFrame, *within: str) -> DataFrame:
-    """(course, document, block): which chunks of a block are a document's."""
+def document_blocks(chunks: DataFrame) -> DataFrame:
+    """(course, document, block): which chunks of a block are a document's; chunks dealt by the course and a ``part`` stay where they are."""
+    within = [c for c in ("part",) if c in chunks.columns]
     return chunks.groupBy("course_ref", *within, T.doc_id("activity_ref").alias("doc_id"), _block().alias("block")).agg(F.bit_or(_bit()).alias("bits")).drop(*within)
 
 

@@ -123,7 +123,7 @@ class IndexStore:
         kinds = {
             "chunk": placed,
             "term": lexical.posting_blocks(lexical.postings(dealt, "part"), "part"),
-            "document": lexical.document_blocks(dealt, "part"),
+            "document": lexical.document_blocks(dealt),
             "batch": self.spark.createDataFrame([(r.course_ref, r.n) for r in sizes], "course_ref string, n long").coalesce(1),
         }
         if self.provider:
