@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, extended, give_back, small_batches, written
 from .components import components
-from .words import ODD, WordHasher, mixed, squeezed, summed, unsqueezed
+from .words import ODD, WordHasher, mixed, squeezed, unsqueezed
 
 WIDTH = 5
 PERCENT = 80
@@ -70,7 +70,6 @@ FEW = 48
 _ID_BITS = 57
 _ID = (1 << _ID_BITS) - 1
 _BITMAP_BITS = 24
-_FLUSH = 4_000_000
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -184,6 +183,27 @@ class Signer:
         return distinct, np.concatenate(hot)[first], min(63, 64 * rare // max(1, n))
 
 
+class Counters:
+    """What a task adds to the count sketch: a byte a counter, whatever the number of tokens."""
+
+    def __init__(self, bits: int):
+        self.bits, self.piece = bits, 1 << min(20, bits - 6)
+        self.counts = np.zeros(1 << bits, np.uint8)
+
+    def add(self, tokens: np.ndarray) -> None:
+        """Count tokens, up to FULL each counter."""
+        at, many = np.unique(_bucket(tokens, self.bits), return_counts=True)
+        self.counts[at] = np.minimum(self.counts[at] + many, FULL)
+
+    def pieces(self) -> Iterator[tuple[int, bytes]]:
+        """The counters that are not 0, a piece of the sketch at a time."""
+        for i, a in enumerate(range(0, len(self.counts), self.piece)):
+            own = self.counts[a : a + self.piece]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield i, squeezed((at + a).astype(np.uint64), own[at])
+
+
 def sketch_bits(docs: DataFrame, text_col: str) -> int:
     """The size of the sketch, by the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
@@ -195,20 +215,11 @@ def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, bits: int,
     identity = identity or Identity()
     schema = extended(docs.select(F.col(id_col).alias("id")), "n long, class long, other long, bits binary, part int, counts binary")
     schema["id"].nullable = True  # rows of the sketch have no id
-    part_bits = np.uint64(min(20, bits - 6))
-    pieces = 1 << (bits - int(part_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         hasher, seen, kind = WordHasher(), set(), None
-        held, size = [], 0
-
-        def shipped() -> pa.RecordBatch:
-            keys, many = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            cut = np.searchsorted(keys >> part_bits, np.arange(pieces + 1, dtype=np.uint64))
-            rows = [(i, squeezed(keys[a:b], np.minimum(many[a:b], FULL))) for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=schema.names)
+        counters = Counters(bits)
 
         for b in batches:
             kind = b.column(0).type
@@ -220,15 +231,11 @@ def sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, bits: int,
                     seen.add(name)
                     fresh.append(x)
             if fresh:
-                held.append(np.unique(_bucket(np.concatenate(fresh), bits).astype(np.uint64), return_counts=True))
-                size += len(held[-1][0])
+                counters.add(np.concatenate(fresh))
             n = len(own)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([y for _, y in named], pa.int64()), pa.array([bitmap(x) if len(x) else None for x in own], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
-            if size > _FLUSH:
-                yield shipped()
-                held, size = [], 0
-        if held:
-            yield shipped()
+        for i, raw in counters.pieces():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([i], pa.int32()), pa.array([raw], pa.binary())], names=schema.names)
 
     return written(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "sets")
 
