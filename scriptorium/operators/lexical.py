@@ -38,6 +38,19 @@ FEW_QUERIES, FEW_WORDS = 1_000, 100_000
 MOST = 100
 #: So many numbers of the order share a part of a course.
 PART = 1 << 14
+#: Bytes of texts, as the planner knows them, that a task numbers; and blocks of postings that a task scores.
+TASK_BYTES, TASK_BLOCKS = 16 << 20, 1 << 14
+
+
+def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows dealt by their keys: to so many tasks where the session's number of partitions would make fewer."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
+def _planned_bytes(df: DataFrame) -> int:
+    """Bytes of a table as the planner has them; 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def chunked(corpus: DataFrame, order: str = "ord") -> DataFrame:
@@ -54,6 +67,7 @@ def chunked(corpus: DataFrame, order: str = "ord") -> DataFrame:
     # a document's chunks as one column: what counts them and what numbers them read the same rows, packed and dealt once
     rows = F.transform(T.chunks("text"), lambda piece, pos: F.struct(*own, pos.alias("pos"), piece.alias("text")))
     packed = corpus.select(F.struct("course_ref", late.alias("late"), no.alias("no")).alias("_of"), F.struct(order, *ties, F.xxhash64("text")).alias("_order"), rows.alias("_rows"))
+    packed = spread(packed, -(-_planned_bytes(corpus) // TASK_BYTES), "_of")
     so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = packed.withColumn("_before", so_far(F.size("_rows"), Window.partitionBy("_of").orderBy("_order")))
     parts = placed.groupBy("_of").agg(F.max(F.col("_before") + F.size("_rows")).alias("_all"))
@@ -227,9 +241,11 @@ def search(index: Searchable, queries: DataFrame, *, floor: float = RELATIVE_FLO
     def scored(only: DataFrame | None = None) -> DataFrame:
         """(query, course, batch, place, k, raw): scores of the chunks, of some blocks or of all, that the guard lets pass."""
         hits = masked(asked.named(index.terms.drop("top")).join(asked.small(weights), ["course_ref", "term"]))
-        hits = hits if only is None else hits.join(only, list(own), "left_semi")
+        # dealt once and as blocks, which are smaller than their hits; what follows takes place where a block lies
+        hits = spread(hits.select(*own, "course_ref", "k", "n", "qtf", "idf", "stem", "bits", "hits"), -(-blocks // TASK_BLOCKS), *own)
+        hits = hits if only is None else hits.join(only.select(*own), list(own))  # a row a block; a semi-join would be moved before the dealing
         hits = hits.select("*", F.inline("hits")).filter(F.call_function("bit_get", "bits", F.col("slot")) == 1).withColumn("place", F.col("block") * BLOCK + F.col("slot"))
-        each = hits.groupBy("query_id", "course_ref", "batch", "place", "k", "n").agg(F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"), F.min("stem").alias("least"), F.max("stem").alias("greatest"), F.max("idf").alias("rarest"))
+        each = hits.groupBy(*own, "course_ref", "place", "k", "n").agg(F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"), F.min("stem").alias("least"), F.max("stem").alias("greatest"), F.max("idf").alias("rarest"))
         guard = (F.col("least") != F.col("greatest")) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))  # two stems, or a rare one
         return each.filter(guard & (F.col("raw") > 0)).select("query_id", "course_ref", "batch", "place", "k", "raw")
 
