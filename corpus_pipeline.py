@@ -49,8 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into sequences; a null text is its end token, each repeated row is packed."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pack the documents into sequences; a null text is its end token, each repeated row is packed.
+
+    Executors come here with heaps that the stages before have filled, so workers hold small memos and encode little at once.
+    """
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=200_000, at_once=1 << 19)
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("pack", pack)]

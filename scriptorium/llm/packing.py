@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended, give_back, small_batches, written
-from .pieces import library_encoder
+from .pieces import AT_ONCE, MEMO, library_encoder
 
 SEQUENCE = 1024
 
@@ -105,8 +105,11 @@ def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[int,
     return runs
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = SEQUENCE) -> DataFrame:
-    """Cut encoded documents into pieces; written, with each piece's partition and rank there."""
+def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = SEQUENCE, memo: int = MEMO, at_once: int = AT_ONCE) -> DataFrame:
+    """Cut encoded documents into pieces; written, with each piece's partition and rank there.
+
+    ``memo`` and ``at_once`` bound what a worker holds (see ``pieces``): results are the same.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     schema = extended(docs.select(F.col(id_col).alias("_id")), "piece int, start long, length long, ids_crc32 long, part long, place long")
@@ -115,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         from pyspark import TaskContext
 
         give_back()
-        part, encoder, seen = TaskContext.get().partitionId(), library_encoder(tokenizer_path), Counter()
+        part, encoder, seen = TaskContext.get().partitionId(), library_encoder(tokenizer_path, memo, at_once), Counter()
         end = array("I", [end_id]).tobytes()
         for b in batches:
             rows, source = [], []
@@ -133,9 +136,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     return written(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = SEQUENCE, memo: int = MEMO, at_once: int = AT_ONCE) -> DataFrame:
     """Per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
-    cut = pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity)
+    cut = pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, memo=memo, at_once=at_once)
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     runs = sorted(plan(histogram, capacity))

@@ -6,7 +6,8 @@ match, so a text may be cut there. A batch is cut and its units are numbered by
 Arrow; the memo is asked once for each different unit of the batch, and only
 new units go to the encoder behind. Texts with runs of white space, or with
 special strings, go to that encoder whole. The memo is emptied when full, so
-its memory is bounded and results never depend on it.
+its memory is bounded and results never depend on it; nor do they depend on how
+many bytes of text are encoded together.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ _SPACES = frozenset(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *r
 #: How a unit begins that no single white space stands before, or a line feed.
 _ODD = _SPACES | {""}
 
+#: Units that a memo holds at most before it is emptied, and bytes of text that are encoded together (a text that is longer comes whole).
+MEMO, AT_ONCE = 600_000, 4 << 20
+
 #: What an encoder gives for several strings: all ids, and how many each string has.
 Encoded = tuple[np.ndarray, np.ndarray]
 
@@ -52,9 +56,9 @@ class PieceEncoder:
     begins with), ``encode_whole`` texts of any form.
     """
 
-    def __init__(self, encode_units: Callable[[list[str]], Encoded], encode_whole: Callable[[list[str]], Encoded], special: Sequence[str] = (), capacity: int = 600_000):
+    def __init__(self, encode_units: Callable[[list[str]], Encoded], encode_whole: Callable[[list[str]], Encoded], special: Sequence[str] = (), capacity: int = MEMO, at_once: int = AT_ONCE):
         self.encode_units, self.encode_whole = encode_units, encode_whole
-        self.special, self.capacity = list(special), capacity
+        self.special, self.capacity, self.at_once = list(special), capacity, at_once
         self._forget()
 
     def _forget(self) -> None:
@@ -103,6 +107,12 @@ class PieceEncoder:
         column = column.cast(pa.large_string()).fill_null("")
         if not len(column):
             return []
+        until = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff((until - 1) // self.at_once)) + 1).tolist(), len(column)]
+        return list(chain.from_iterable(self._encode(column.slice(a, z - a)) for a, z in zip(cuts, cuts[1:], strict=False)))
+
+    def _encode(self, column: pa.LargeStringArray) -> list[bytes]:
+        """Ids of texts that are encoded together."""
         whole = pc.match_substring(column, " \n").to_numpy(zero_copy_only=False)
         for s in self.special:
             whole = whole | pc.match_substring(column, s).to_numpy(zero_copy_only=False)
@@ -147,7 +157,7 @@ class LibraryEncoder:
     #: Units that the library gets in one string.
     JOINED = 64
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = MEMO, at_once: int = AT_ONCE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,7 +167,7 @@ class LibraryEncoder:
         #: Bytes of each token: the vocabulary spells a byte as a character.
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.memo = PieceEncoder(self._units, self._whole, special, capacity)
+        self.memo = PieceEncoder(self._units, self._whole, special, capacity, at_once)
 
     def _whole(self, texts: list[str]) -> Encoded:
         return flattened([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
@@ -178,11 +188,13 @@ class LibraryEncoder:
         return self.memo.encode(texts)
 
 
-_LOADED: dict[str, LibraryEncoder] = {}
+_LOADED: dict[tuple[str, int, int], LibraryEncoder] = {}
 
 
-def library_encoder(path: str) -> LibraryEncoder:
-    """The encoder of this worker process for a tokenizer file."""
-    if path not in _LOADED:
-        _LOADED[path] = LibraryEncoder(path)
-    return _LOADED[path]
+def library_encoder(path: str, capacity: int = MEMO, at_once: int = AT_ONCE) -> LibraryEncoder:
+    """The encoder of this worker process for a tokenizer file; the one before goes, so that a worker holds one memo."""
+    key = (path, capacity, at_once)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = LibraryEncoder(*key)
+    return _LOADED[key]
