@@ -167,7 +167,7 @@ class _Asked:
     few: bool = False
 
     def small(self, df: DataFrame) -> DataFrame:
-        """A table of no more rows than there are words: broadcast where these are few (FEW_QUERIES, FEW_WORDS)."""
+        """A table of no more rows than there are words, or a few a query: broadcast where these are few (FEW_QUERIES, FEW_WORDS)."""
         return F.broadcast(df) if self.few else df
 
     def named(self, df: DataFrame) -> DataFrame:
@@ -238,12 +238,19 @@ def search(index: Searchable, queries: DataFrame, *, floor: float = RELATIVE_FLO
         blocks = counts.agg(F.sum("blocks")).first()[0] or 0
     weights = asked.words.join(asked.small(counts.drop("blocks")), ["query_id", "term"]).join(asked.small(n), "query_id").withColumn("idf", F.log1p(F.col("n") / (1 + F.col("df")))).drop("df")
 
-    def scored(only: DataFrame | None = None) -> DataFrame:
-        """(query, course, batch, place, k, raw): scores of the chunks, of some blocks or of all, that the guard lets pass."""
+    tasks = -(-blocks // TASK_BLOCKS)
+
+    def scored(only: DataFrame | None = None, broadcast: bool = False) -> DataFrame:
+        """(query, course, batch, place, k, raw): scores of the chunks, of some blocks (a row each) or of all, that the guard lets pass."""
         hits = masked(asked.named(index.terms.drop("top")).join(asked.small(weights), ["course_ref", "term"]))
+        hits = hits.select(*own, "course_ref", "k", "n", "qtf", "idf", "stem", "bits", "hits")
         # dealt as blocks, which are smaller than their hits; a block's scores are made where it lies
-        hits = spread(hits.select(*own, "course_ref", "k", "n", "qtf", "idf", "stem", "bits", "hits"), -(-blocks // TASK_BLOCKS), *own)
-        hits = hits if only is None else hits.join(only, list(own), "left_semi")
+        if broadcast:
+            hits = spread(hits.join(F.broadcast(only), list(own), "left_semi"), 0, *own)
+        elif only is None:
+            hits = spread(hits, tasks, *own)
+        else:  # a semi-join would be made before the dealing, in the session's partitions; ``only`` has a row a block, so this one takes the same hits
+            hits = spread(hits, tasks, *own).join(spread(only.select(*own), tasks, *own).hint("shuffle_hash"), list(own))
         hits = hits.select("*", F.inline("hits")).filter(F.call_function("bit_get", "bits", F.col("slot")) == 1).withColumn("place", F.col("block") * BLOCK + F.col("slot"))
         each = hits.groupBy(*own, "course_ref", "place", "k", "n").agg(F.sum(F.col("qtf") * (F.col("tf") / F.col("len")) * F.col("idf")).alias("raw"), F.min("stem").alias("least"), F.max("stem").alias("greatest"), F.max("idf").alias("rarest"))
         guard = (F.col("least") != F.col("greatest")) | ~(F.col("rarest") < RARE_SHARE * F.log1p(F.col("n") / 2))  # two stems, or a rare one
@@ -255,9 +262,10 @@ def search(index: Searchable, queries: DataFrame, *, floor: float = RELATIVE_FLO
         bound = F.sum(F.col("qtf") * F.col("top") * F.col("idf")).alias("bound")
         bounds = kept(masked(asked.named(index.terms.drop("hits")).join(asked.small(weights), ["course_ref", "term"])).groupBy(*own).agg(bound))
         best = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "batch", "block"))).filter(F.col("place") <= FIRST)
-        first = kept(scored(best))
+        best = kept(best.select(*own))
+        first = kept(scored(best, asked.few))  # of few queries these are few: the other hits need not be dealt
         bar = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc()))).filter("rank = k").select("query_id", F.col("raw").alias("bar"))
-        rest = bounds.join(best, list(own), "left_anti").join(bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") * (1 - 1e-9)))
+        rest = bounds.join(asked.small(best), list(own), "left_anti").join(asked.small(bar), "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") * (1 - 1e-9)))
         every = first.unionByName(scored(rest))
 
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("raw"), 12).desc(), "batch", "place")))
