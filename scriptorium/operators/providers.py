@@ -32,6 +32,8 @@ class Retrieval(Protocol):
 
     def index(self, chunks: DataFrame, replace: bool = True) -> None: ...
 
+    def take(self, store: IndexStore) -> None: ...
+
     def search(self, queries: DataFrame) -> DataFrame: ...
 
     def forget(self, course_ref: str) -> int: ...
@@ -49,6 +51,10 @@ class Stored:
     def index(self, chunks: DataFrame, replace: bool = True) -> None:
         (self.store.replace if replace else self.store.append)(chunks)
 
+    def take(self, store: IndexStore) -> None:
+        """Index all that another index holds; what it made of its chunks is taken over, and only vectors are made."""
+        self.store.copy(store)
+
     def search(self, queries: DataFrame) -> DataFrame:
         if not self.store.provider:
             return self.store.search(queries)
@@ -76,6 +82,9 @@ class Null:
     def index(self, chunks: DataFrame, replace: bool = True) -> None:
         raise RuntimeError("no retrieval is set up")
 
+    def take(self, store: IndexStore) -> None:
+        self.index(store.read())
+
     def search(self, queries: DataFrame) -> DataFrame:
         return self.spark.createDataFrame([], "query_id long, rank int, course_ref string, chunk_ord long, score double, text string")
 

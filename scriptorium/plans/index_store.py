@@ -30,6 +30,11 @@ PART = 1 << 12
 BASE, LATE = "0", "1-"
 
 
+def _shaped(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of one kind as the table has them."""
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(kind if f.name == "kind" else None).cast(f.dataType).alias(f.name) for f in INDEX.fields))
+
+
 class IndexStore:
     """A table under one folder; ``provider`` embeds texts where vectors are wanted."""
 
@@ -96,8 +101,8 @@ class IndexStore:
         rows = rows.sortWithinPartitions("course_ref", "batch", "kind", "term", "block")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("course_ref", "batch").parquet(f"{self.path}/index")
 
-    def _linked(self, other: IndexStore) -> bool:
-        """Give the files of another index a second name here, where one disk holds both and nothing is here yet; whether that could be done.
+    def _linked(self, other: IndexStore, more: DataFrame | None) -> bool:
+        """Give the files of another index a second name here, with ``more`` rows beside them, where one disk holds both and nothing is here yet; whether that could be done.
 
         Files are never changed once they are written, only put in place of each
         other and deleted: what one index does then is not seen in the other.
@@ -106,22 +111,36 @@ class IndexStore:
         if fs.exists(at) or {x.getUri().getScheme() for x in (fs, held_fs)} != {"file"}:
             return False
         own, source = at.toUri().getPath(), held.toUri().getPath()
-        aside = f"{own}-{uuid.uuid4().hex}"
+        aside = f"-{uuid.uuid4().hex}"
         try:
-            shutil.copytree(source, aside, copy_function=os.link, ignore=shutil.ignore_patterns("_*", "._*"))
-            os.rename(aside, own)
+            shutil.copytree(source, own + aside, copy_function=os.link, ignore=shutil.ignore_patterns("_*", "._*"))
+            if more is not None:
+                more.write.mode("append").option("compression", "zstd").partitionBy("course_ref", "batch").parquet(at.toString() + aside)
+            os.rename(own + aside, own)
         except OSError:  # another disk, or one without links
-            shutil.rmtree(aside, ignore_errors=True)
             return False
+        finally:
+            shutil.rmtree(own + aside, ignore_errors=True)
         return True
 
     def copy(self, other: IndexStore) -> None:
-        """Take over all that another index holds, as it is stored: no text is read into terms again, and on one disk no file is written again."""
+        """Take over all that another index holds, as it is stored: no text is read into terms again, and on one disk no file is written again.
+
+        With a provider, the chunks of an index without vectors get theirs.
+        """
         fs, at = other._hadoop()
-        if fs.exists(at) and not self._linked(other):
+        if not fs.exists(at):
+            return
+        more = None
+        if self.provider and other.rows("vector").isEmpty():
+            documents = T.doc_id("activity_ref").alias("doc_id")
+            more = _shaped(vector.embedded(other.rows("chunk").select("course_ref", "batch", "place", documents, "text"), self.provider).drop("text"), "vector")
+        if not self._linked(other, more):
+            rows = self.spark.read.schema(INDEX).parquet(f"{other.path}/index")
+            rows = rows if more is None else rows.unionByName(more)
             parts = other.rows("batch").agg(F.sum(F.ceil(F.col("n") / PART))).first()[0] or 0
             part = F.floor(F.coalesce("place", F.col("block") * lexical.BLOCK, F.lit(0)) / PART)
-            self._write(self.spark.read.schema(INDEX).parquet(f"{other.path}/index").repartition(max(1, 2 * parts), "course_ref", "batch", "kind", part))
+            self._write(rows.repartition(max(1, 2 * parts), "course_ref", "batch", "kind", part))
 
     def _put(self, chunks: DataFrame, batch: str) -> set[str | None]:
         """Write a batch in one go, in place of what it had; the courses that it names."""
@@ -154,7 +173,7 @@ class IndexStore:
             kinds["vector"] = vector.embedded(part("activity_ref", "text").select("course_ref", F.col("chunk_ord").alias("place"), documents, "text"), self.provider).drop("text")
         rows = None
         for kind, own in kinds.items():
-            own = own.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in own.columns else F.lit(kind if f.name == "kind" else batch if f.name == "batch" else None).cast(f.dataType).alias(f.name) for f in INDEX.fields))
+            own = _shaped(own.withColumn("batch", F.lit(batch)), kind)
             rows = own if rows is None else rows.unionByName(own)
         self._write(rows)
         fs.delete(at, True)
